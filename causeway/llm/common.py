@@ -46,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of long texts small: what Python workers hold follows them."""
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        have = spark.conf.get(key).removesuffix("b")
+        if not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(key, most)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

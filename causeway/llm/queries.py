@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import line_dedup, packing, sharding, toxicity, url_filter
+from causeway.llm import jaccard_join, line_dedup, packing, sharding, toxicity, url_filter
 from causeway.llm.common import read
 
 #: The rules that the url query judges by: verdict, host, path.
@@ -32,6 +32,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixture_packing": op3_mixture_packing,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
     "op9_uniform_sharding": op9_uniform_sharding,
 }
