@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import jaccard_join, line_dedup, packing, sharding, toxicity, url_filter
+from causeway.llm import decontaminate, html_extract, jaccard_join, line_dedup, neighbours, packing, sharding, token_counts, toxicity, url_filter
 from causeway.llm.common import read
 
 #: The rules that the url query judges by: verdict, host, path.
@@ -19,6 +19,14 @@ URL_RULES = [
 ]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.self_search(read(spark, sf_dir, "embeddings"))
+
+
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -36,6 +44,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -44,6 +56,10 @@ def op9_uniform_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 _URL_SQL = """
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
     ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -63,15 +79,20 @@ GROUP BY p.page_id, p.host, p.path
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_mixture_packing": op3_mixture_packing,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_token_counts": op7_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_uniform_sharding": op9_uniform_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": _URL_SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op10_decontamination": decontaminate.SQL,
 }
