@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm.common import cut, small_batches
+
 THRESHOLD = 0.7
 #: Labelled rows that a fit sees at most, features it keeps at most, rows a feature must occur in.
 SAMPLE, FEATURES, MIN_DOCS = 12_000, 6_000, 3
@@ -80,24 +82,31 @@ class Model:
         return float(1 / (1 + np.exp(-z))) if z >= 0 else float(np.exp(z) / (1 + np.exp(z)))
 
 
-def fit(rows: list[tuple[int, set[int]]], pairing: float = 1.0, ridge: float = 1e-3, steps: int = 300, seed: int = 0) -> Model:
-    """``rows``: label and features of each text. Without both labels, a constant score."""
+def select_features(rows: DataFrame, positive: int, negative: int) -> list[int]:
+    """Of ``toxic, f`` rows (features as unsigned 32-bit numbers), the features whose log-odds
+    ratio is three standard errors from none or more; the ``FEATURES`` clearest at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = [np.frombuffer(x, "<u4") for x in b.column("f").to_pylist()]
+            y = np.repeat(np.array(b.column("toxic").to_pylist(), np.int64), [len(x) for x in f])
+            key, n = np.unique(np.concatenate([np.zeros(0, "<u4"), *f]).astype(np.int64) << 1 | y, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(n * (1 - (key & 1))), pa.array(n * (key & 1))], names=["f", "n0", "n1"])
+
+    c = rows.mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    a, b, p, q = F.col("n1") + 0.5, F.col("n0") + 0.5, F.lit(positive) - F.col("n1") + 0.5, F.lit(negative) - F.col("n0") + 0.5
+    z = F.abs((F.log(a / p) - F.log(b / q)) / F.sqrt(1 / a + 1 / b + 1 / p + 1 / q))
+    c = c.where(F.col("n0") + F.col("n1") >= MIN_DOCS).withColumn("z", z).where("z >= 3")
+    return [r[0] for r in c.orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect()]
+
+
+def fit(rows: list[tuple[int, set[int]]], chosen: list[int], pairing: float = 1.0, ridge: float = 1e-3, steps: int = 300, seed: int = 0) -> Model:
+    """``rows``: label and chosen features of each text. Without both labels, a constant score."""
     y = np.array([r[0] for r in rows], float)
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model({}, float(np.log(p / (1 - p))))
-    counts: dict[int, list[int]] = {}
-    for label, feats in rows:
-        for f in feats:
-            counts.setdefault(f, [0, 0])[label] += 1
     pos, neg = y.sum(), len(y) - y.sum()
-    names = [f for f, c in counts.items() if c[0] + c[1] >= MIN_DOCS]
-    c = np.array([counts[f] for f in names], float).reshape(-1, 2)
-    odds = np.log((c[:, 1] + 0.5) / (pos - c[:, 1] + 0.5)) - np.log((c[:, 0] + 0.5) / (neg - c[:, 0] + 0.5))
-    error = np.sqrt(1 / (c[:, 1] + 0.5) + 1 / (pos - c[:, 1] + 0.5) + 1 / (c[:, 0] + 0.5) + 1 / (neg - c[:, 0] + 0.5))
-    z = odds / error
-    order = np.lexsort((np.array(names), -np.abs(z)))[:FEATURES]
-    chosen = [names[i] for i in order if abs(z[i]) >= 3.0]
     terms = [(g, t) for g, ts in IDENTITY.items() for t in ts]
     of_term = [set(word_features(t)) for _, t in terms]
     column = {f: i for i, f in enumerate([*chosen, *sorted(set().union(*of_term) - set(chosen))])}
@@ -154,15 +163,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
             found = [np.array(sorted(text_features(t, cache)), "<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "f"])
 
+    small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-    got = own.mapInArrow(extract, "doc_id long, toxic int, f binary").collect()
+    own = cut(own.mapInArrow(extract, "doc_id long, toxic int, f binary"))
+    by = {r[0]: r[1] for r in own.groupBy("toxic").count().collect()}
+    chosen = select_features(own, by.get(1, 0), by.get(0, 0)) if len(by) == 2 else []
+    terms = {f for ts in IDENTITY.values() for t in ts for f in word_features(t)}
+    kept = np.array(sorted({*chosen, *terms}), "<u4")
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = [np.intersect1d(np.frombuffer(x, "<u4"), kept, True).tobytes() for x in b.column("f").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(f, pa.binary())], names=["doc_id", "toxic", "f"])
+
+    got = own.mapInArrow(narrow, "doc_id long, toxic int, f binary").collect()
     got.sort(key=lambda x: (x[0], bytes(x[2])))
-    return fit([(x[1], set(np.frombuffer(x[2], "<u4").tolist())) for x in got], **options)
+    return fit([(x[1], set(np.frombuffer(x[2], "<u4").tolist())) for x in got], chosen, **options)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
     docs = docs.drop("score", "predicted")
+    small_batches(docs.sparkSession)
     given = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # at most FEATURES and the terms'
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
