@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: NN-descent builds the graph, greedy search answers.
 
-The graph starts from exact neighbours inside blocks of points that random projections
-sort together. Then, round by round, every point joins its neighbours and the points that
+The graph starts from exact neighbours inside blocks of points that lie on the same sides
+of random planes. Then, round by round, every point joins its neighbours and the points that
 have it as a neighbour with each other: neighbours of neighbours become candidates, and a
 candidate nearer than a point's last neighbour replaces it. Only pairs with an entry that
 is new since the last round are looked at. Rounds are Spark joins of the edge table with
@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import cut, shuffle_partitions
 
-DEGREE, BEAM, EXPAND = 24, 96, 12
-#: Points of an initial block; number of projections that make blocks.
-SEED_BLOCK, SEED_PASSES = 512, 2
-ROUNDS, ENOUGH = 8, 0.005
+DEGREE, BEAM, EXPAND = 40, 192, 48
+#: So many queries' vectors are broadcast at most; more are joined.
+BROADCAST_QUERIES = 20_000
+#: Points of an initial block; how often blocks are made, from how many planes.
+SEED_BLOCK, SEED_PASSES, SEED_PLANES = 512, 3, 12
+ROUNDS, ENOUGH = 7, 0.01
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -71,7 +73,8 @@ def packed(points: DataFrame) -> DataFrame:
 
 
 def _seed(vectors: DataFrame, degree: int, salt: int) -> DataFrame:
-    """``id, other, d``: exact neighbours inside blocks along one random direction."""
+    """``id, other, d``: exact neighbours inside blocks of points in the order of which sides of
+    random planes they lie on."""
     n = shuffle_partitions(vectors.sparkSession)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +82,9 @@ def _seed(vectors: DataFrame, degree: int, salt: int) -> DataFrame:
             m = _matrix(b.column("v"), "<f2").astype(np.float32)
             if not len(m):
                 continue
-            along = m @ np.random.default_rng(salt).normal(size=m.shape[1]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(along.astype(np.float64))], names=["id", "v", "along"])
+            sides = m @ np.random.default_rng(salt).normal(size=(m.shape[1], SEED_PLANES)).astype(np.float32) > 0
+            along = sides @ (1 << np.arange(SEED_PLANES)[::-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(along.astype(np.int64))], names=["id", "v", "along"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -111,7 +115,7 @@ def _seed(vectors: DataFrame, degree: int, salt: int) -> DataFrame:
         if held:
             yield from blocks(True)
 
-    ranged = vectors.mapInArrow(project, "id long, v binary, along double").repartitionByRange(n, "along", "id").sortWithinPartitions("along", "id")
+    ranged = vectors.mapInArrow(project, "id long, v binary, along long").repartitionByRange(n, "along", "id").sortWithinPartitions("along", "id")
     return ranged.select("id", "v").mapInArrow(run, "id long, other long, d float")
 
 
@@ -168,6 +172,8 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = 10,
     """
     near = graph.select("id", F.transform("near", lambda e: e["other"]).alias("near"))
     asked = cut(queries.select("query_id", "q"))
+    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        asked = F.broadcast(asked)
     tries = queries.select("query_id", F.explode("start").alias("id")).distinct()
     state = None  # query_id, found: array of (d, id, done), nearest first
     for _ in range(most):
@@ -176,6 +182,7 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = 10,
         rows = scored.select("query_id", F.struct("d", "id", F.lit(False).alias("done")).alias("e"))
         if state is not None:
             rows = rows.union(state.select("query_id", F.explode("found").alias("e")))
+        rows = rows.repartition(shuffle_partitions(graph.sparkSession), "query_id")  # serves both aggregates
         once = rows.groupBy("query_id", F.col("e.id").alias("id")).agg(F.max_by("e", F.col("e.done")).alias("e"))
         best = once.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("e")), 1, beam).alias("found"))
         # expand the nearest that aren't yet, and mark them
