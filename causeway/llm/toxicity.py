@@ -100,32 +100,31 @@ def select_features(rows: DataFrame, positive: int, negative: int) -> list[int]:
     return [r[0] for r in c.orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect()]
 
 
-def fit(rows: list[tuple[int, set[int]]], chosen: list[int], pairing: float = 1.0, ridge: float = 1e-3, steps: int = 300, seed: int = 0) -> Model:
-    """``rows``: label and chosen features of each text. Without both labels, a constant score."""
+def fit(rows: list[tuple[int, np.ndarray]], pairing: float = 1.0, ridge: float = 1e-3, steps: int = 300, seed: int = 0) -> Model:
+    """``rows``: label and sorted chosen features of each text. Without both labels, a constant score."""
     y = np.array([r[0] for r in rows], float)
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model({}, float(np.log(p / (1 - p))))
     pos, neg = y.sum(), len(y) - y.sum()
-    terms = [(g, t) for g, ts in IDENTITY.items() for t in ts]
-    of_term = [set(word_features(t)) for _, t in terms]
-    column = {f: i for i, f in enumerate([*chosen, *sorted(set().union(*of_term) - set(chosen))])}
-    # plain rows, then for each of a part of them two copies that name two groups
-    rng = np.random.default_rng(seed)
-    sets, labels, left, right = [r[1] for r in rows], [r[0] for r in rows], [], []
+    terms = [t for ts in IDENTITY.values() for t in ts]
+    of_term = [np.unique(np.array(word_features(t), "<u4")) for t in terms]
+    names = np.unique(np.concatenate([*(r[1] for r in rows), *of_term]))
+    sets, labels = [np.searchsorted(names, r[1]).astype(np.int32) for r in rows], [r[0] for r in rows]
+    of_term = [np.searchsorted(names, t).astype(np.int32) for t in of_term]
+    # plain rows, then for a part of them two copies that name two groups
+    rng, left, right = np.random.default_rng(seed), [], []
     for i in rng.permutation(len(rows))[: max(50, len(rows) // 4)]:
         a, b = rng.choice(len(terms), 2, replace=False)
-        present = set().union(*(t for t in of_term if t <= sets[i]))
+        present = [t for t in of_term if np.isin(t, sets[i], assume_unique=True).all()]
+        rest = np.setdiff1d(sets[i], np.concatenate(present), assume_unique=False) if present else sets[i]
         for t, side in ((a, left), (b, right)):
             side.append(len(sets))
-            sets.append((sets[i] - present) | of_term[t])
+            sets.append(np.union1d(rest, of_term[t]).astype(np.int32))
             labels.append(labels[i])
-    rows_at, cols_at = [], []
-    for i, feats in enumerate(sets):
-        own = [column[f] for f in feats if f in column]
-        rows_at += [i] * len(own)
-        cols_at += own
-    r, k = np.array(rows_at, np.int64), np.array(cols_at, np.int64)
+    column = {int(f): i for i, f in enumerate(names)}
+    r = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+    k = np.concatenate(sets)
     y, n, m = np.array(labels, float), len(sets), len(column)
     left, right = np.array(left), np.array(right)
     w, bias, g2, b2 = np.zeros(m), float(np.log(pos / neg)), np.full(m, 1e-8), 1e-8
@@ -178,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
 
     got = own.mapInArrow(narrow, "doc_id long, toxic int, f binary").collect()
     got.sort(key=lambda x: (x[0], bytes(x[2])))
-    return fit([(x[1], set(np.frombuffer(x[2], "<u4").tolist())) for x in got], chosen, **options)
+    return fit([(x[1], np.frombuffer(x[2], "<u4")) for x in got], **options)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
