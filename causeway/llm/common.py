@@ -60,6 +60,17 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def wrapped(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """All columns as one struct ``row`` beside ``keys``: no name of ``df`` can clash with them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(k) for k, c in keys.items()))
+
+
+def unwrapped(df: DataFrame, names: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns that ``wrapped`` took, with some of them ``changed``."""
+    changed = changed or {}
+    return df.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in names))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

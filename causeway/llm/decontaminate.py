@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import SHINGLE, SPACE, ascii_lower, cut
+from causeway.llm.common import SHINGLE, SPACE, ascii_lower, cut, unwrapped, wrapped
 
 PERCENT = 80
 #: Rows of a sketch or of an item table that are broadcast at most.
@@ -87,11 +87,10 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a leak, with their own columns."""
-    names = docs.columns
     gone = _small(cut(leaks(docs.select("doc_id", "text"), items).select("_id", "_t").distinct()))
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "_t": F.xxhash64(text)})
-    return marked.join(gone, ["_id", "_t"], "left_anti").select(*names)
+    marked = wrapped(docs, {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "_t": F.xxhash64(text)})
+    return unwrapped(marked.join(gone, ["_id", "_t"], "left_anti"), docs.columns)
 
 
 _WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''),

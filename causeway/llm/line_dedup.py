@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import SPACE, ascii_lower, cut, shuffle_partitions
+from causeway.llm.common import SPACE, ascii_lower, cut, shuffle_partitions, unwrapped, wrapped
 
 #: Stands for a null id where the largest is sought.
 _LEAST = -(2**63)
@@ -58,10 +58,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
 
 
 def with_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """``docs`` with ``drop_words`` (null where nothing goes)."""
-    docs = docs.drop("drop_words")
-    marked = docs.withColumns(_row_key())
-    return marked.join(drop_bitmaps(docs, min_docs, min_chars), ["_id", "_t"], "left").select(*docs.columns, "drop_words")
+    """``row`` (all columns of ``docs``) and ``drop_words`` (null where nothing goes)."""
+    bitmaps = drop_bitmaps(docs, min_docs, min_chars)
+    return wrapped(docs, _row_key()).join(bitmaps, ["_id", "_t"], "left").select("row", "drop_words")
 
 
 def kept_text(text: Column, drop_words: Column) -> Column:
@@ -82,20 +81,20 @@ def dropped_count(drop_words: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` with their texts cut down; all columns stay, and ``n_chars`` is counted anew."""
-    out = with_bitmaps(docs, min_docs, min_chars).withColumn("text", kept_text(F.col("text"), F.col("drop_words")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    text = kept_text(F.col("row.text"), F.col("drop_words"))
+    changed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return unwrapped(with_bitmaps(docs, min_docs, min_chars), docs.columns, changed)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256`` of every document."""
     marked = with_bitmaps(docs.select("doc_id", "text"))
+    text, gone = F.col("row.text"), F.col("drop_words")
     return marked.select(
-        "doc_id",
-        F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
-        dropped_count(F.col("drop_words")).alias("n_dropped"),
-        F.sha2(kept_text(F.col("text"), F.col("drop_words")), 256).alias("kept_sha256"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.size(lines_of(text)).cast("long").alias("n_lines"),
+        dropped_count(gone).alias("n_dropped"),
+        F.sha2(kept_text(text, gone), 256).alias("kept_sha256"),
     )
 
 

@@ -227,6 +227,6 @@ def self_search(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     if not short.limit(1).count():
         return first
     spread = [r[0] for r in points.select("id").orderBy(F.xxhash64("id"), "id").limit(256).collect()]
-    again = short.select(F.col("id").alias("query_id"), F.col("x").alias("q"), F.array(*(F.lit(i) for i in spread)).alias("start"))
+    again = short.select(F.col("id").alias("query_id"), F.col("x").alias("q"), F.array(*(F.lit(i).cast("long") for i in spread)).alias("start"))
     more = search(graph, points, cut(again), k)
     return cut(first.join(again.select("query_id"), "query_id", "left_anti").union(more))

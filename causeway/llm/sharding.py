@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.common import cut
+from causeway.llm.common import cut, wrapped
 
 #: numpy draws hypergeometric numbers from populations below this.
 _NUMPY_MOST = 10**9
@@ -85,8 +85,8 @@ def shuffle_into(df: DataFrame, shards: int, seed: int = 0, columns: list[str] |
 
     Slots are gapless from 0 in each shard and uniformly random. An empty table gives none.
     """
-    keep = [c for c in columns or df.columns if c not in ("shard", "slot")]
-    rows = cut(df.select(*keep).withColumn("_at", F.monotonically_increasing_id()))
+    names = [c for c in columns or df.columns if c not in ("shard", "slot")]
+    rows = cut(wrapped(df.select(*names), {"_at": F.monotonically_increasing_id()}))
     rows = rows.withColumn("_part", F.shiftright("_at", 33))
     spark = df.sparkSession
     counts = sorted((r[0], r[1]) for r in rows.groupBy("_part").count().collect())
@@ -104,13 +104,13 @@ def shuffle_into(df: DataFrame, shards: int, seed: int = 0, columns: list[str] |
     buckets = max(1, math.ceil(total / shards / BUCKET_ROWS))
     key = F.xxhash64(F.lit(seed), F.lit("second"), "_at")
     rows = rows.withColumns({"_key": key, "_bucket": F.shiftright(F.shiftrightunsigned(key, 33) * buckets, 31).cast("int")})
-    rows = rows.select(*keep, "shard", "_key", "_bucket", "_at")
+    rows = rows.select("row", "shard", "_key", "_bucket", "_at")
     sizes = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("shard", "_bucket").orderBy(F.shiftrightunsigned("_key", 1), "_at")
     rows = rows.withColumn("_in", F.row_number().over(inside)).join(base, ["shard", "_bucket"])
-    return rows.select(*keep, "shard", (F.col("_base") + F.col("_in") - 1).alias("slot"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in names), "shard", (F.col("_base") + F.col("_in") - 1).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:

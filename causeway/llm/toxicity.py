@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import cut, small_batches
+from causeway.llm.common import cut, small_batches, unwrapped, wrapped
 
 THRESHOLD = 0.7
 #: Labelled rows that a fit sees at most, features it keeps at most, rows a feature must occur in.
@@ -203,8 +203,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model doesn't call toxic, with their own columns."""
-    names = docs.columns
-    return score(docs.select(F.struct("*").alias("row"), "text"), model).where("predicted = 0").select(*(F.col("row")[c].alias(c) for c in names))
+    return unwrapped(score(wrapped(docs, {"text": F.col("text")}), model).where("predicted = 0"), docs.columns)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

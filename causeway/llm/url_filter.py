@@ -170,12 +170,11 @@ def judge_sharded(df: DataFrame, rules: DataFrame, url: str = "url", shards: int
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            x = x.assign(host=x.host.str.lower())
-            yield x.assign(shard=[shard(h + p) for h, p in zip(x.host, x.path, strict=True)])
+            yield x.assign(shard=[shard(h + p) for h, p in zip(x["host"], x["path"], strict=True)])
 
     def tried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            rows = [(h, p, k, shard(k)) for h, p in zip(x.host, x.head, strict=True) for k in probes(h, p, lengths)]
+            rows = [(h, p, k, shard(k)) for h, p in zip(x["host"], x["head"], strict=True) for k in probes(h, p, lengths)]
             yield pd.DataFrame(rows, columns=["host", "head", "probe", "shard"])
 
     def search(keys: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -183,12 +182,12 @@ def judge_sharded(df: DataFrame, rules: DataFrame, url: str = "url", shards: int
         at = index.find(list(keys.probe))
         hit = at >= 0
         said = [(ALLOW, BLOCK)[v] for v in index.verdicts[at[hit]]]
-        return pd.DataFrame({"probe": keys.probe[hit], "verdict": said})
+        return pd.DataFrame({"probe": [k for k, h in zip(keys.probe, hit, strict=True) if h], "verdict": said}, dtype=object)
 
     head = F.substring("path", 1, longest)
     pages = df.select("host", head.alias("head")).distinct()  # a hot host is one row here
     tries = pages.mapInPandas(tried, "host string, head string, probe string, shard int")
-    sides = rules.select("verdict", "host", "path").mapInPandas(dealt, "verdict string, host string, path string, shard int")
+    sides = rules.select("verdict", ascii_lower(F.col("host")).alias("host"), "path").mapInPandas(dealt, "verdict string, host string, path string, shard int")
     hits = tries.select("probe", "shard").distinct().groupBy("shard").cogroup(sides.groupBy("shard")).applyInPandas(search, "probe string, verdict string")
     best = tries.join(hits, "probe").groupBy("host", "head").agg(F.max_by(F.struct("probe", "verdict"), F.length("probe")).alias("best"))
     out = df.withColumn("head", head).join(best, ["host", "head"], "left")
