@@ -64,8 +64,8 @@ class DiscreteTimeSurvival:
         n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
         self.coefficients = None
         if len(n) > 1:
-            data = VectorAssembler(inputCols=[*features, "t"], outputCol="x").transform(rows)
-            fitted = LogisticRegression(featuresCol="x", labelCol="label", regParam=1.0 / sum(n.values()), standardization=False, maxIter=1000).fit(data)
+            data = VectorAssembler(inputCols=[*features, "t"], outputCol="_features").transform(rows)
+            fitted = LogisticRegression(featuresCol="_features", labelCol="label", regParam=1.0 / sum(n.values()), standardization=False, maxIter=1000).fit(data)
             self.coefficients, self.intercept = [float(c) for c in fitted.coefficients], float(fitted.intercept)
         rows.unpersist()
         return self

@@ -638,9 +638,9 @@ def cvar(spark, d):
     return metrics.cvar(T.policy_losses(spark, d), "loss", ["policy"], 0.05).withColumn("cvar", F.round("cvar", 4))
 
 
-@query(f"WITH {LOSSES} SELECT policy, round(quantile_cont(loss, 0.95), 4) AS var FROM losses GROUP BY policy")
+@query(f"WITH {LOSSES} SELECT policy, round(quantile_cont(loss, 0.95), 2) AS var FROM losses GROUP BY policy")
 def value_at_risk(spark, d):
-    return T.policy_losses(spark, d).groupBy("policy").agg(F.round(metrics.value_at_risk("loss", 0.05), 4).alias("var"))
+    return T.policy_losses(spark, d).groupBy("policy").agg(F.round(metrics.value_at_risk("loss", 0.05), 2).alias("var"))
 
 
 @query(f"""WITH {LOSSES}, r AS (SELECT *, loss - min(loss) OVER (PARTITION BY s) AS regret FROM losses)
