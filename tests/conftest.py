@@ -20,6 +20,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
+    from causeway.session import ship
+
+    ship(session)
     yield session
     session.stop()
 
