@@ -37,13 +37,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage.
 
-    Spark deletes the files when nothing refers to them any more.
+    Slim tables go to two files a core at most, since a file costs more than its rows;
+    tables of the corpus's size stay ``spread`` over their own partitions, as do those
+    whose rows name their task's partition. Spark deletes the files when nothing refers
+    to them any more.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    return (df if spread else df.coalesce(2 * spark.sparkContext.defaultParallelism)).checkpoint()
 
 
 def small_batches(spark: SparkSession) -> None:

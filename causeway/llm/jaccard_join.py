@@ -133,7 +133,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], names=["doc_id", "n", "s1", "s2", "ps", "cut", "prefix"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    return cut(own.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, ps long, cut int, prefix binary"))
+    return cut(own.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, ps long, cut int, prefix binary"), spread=True)
 
 
 def _need(n1, c1, n2, c2):
@@ -204,7 +204,7 @@ def lists(groups: DataFrame) -> DataFrame:
 
     rows = groups.mapInArrow(explode, "h int, gid long, meta long")
     rows = rows.repartition(shuffle_partitions(groups.sparkSession), "h").sortWithinPartitions("h", "gid")
-    return cut(rows.mapInArrow(run, "h int, a long, b long, meta long, need int"))
+    return cut(rows.mapInArrow(run, "h int, a long, b long, meta long, need int"), spread=True)
 
 
 def _short(h, gid, meta, starts, long_rows, names) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "shingles"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    return cut(own.mapInArrow(run, "doc_id long, shingles binary"))
+    return cut(own.mapInArrow(run, "doc_id long, shingles binary"), spread=True)
 
 
 def similar(both, n1, n2):

@@ -46,9 +46,9 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
     lines = docs.select(*(c.alias(k) for k, c in _row_key().items()), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     # texts are read once here: the slim rows are written, and the range's bounds sampled from them
-    lines = cut(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "_id", "_t", "pos"))
+    lines = cut(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "_id", "_t", "pos"), spread=True)
     ranged = lines.repartitionByRange(n, "h1", "h2", "_id", "_t").sortWithinPartitions("h1", "h2", "_id", "_t", "pos")
-    occurrences = cut(ranged.groupBy("h1", "h2", "_id", "_t").agg(F.collect_list("pos").alias("at")))
+    occurrences = cut(ranged.groupBy("h1", "h2", "_id", "_t").agg(F.collect_list("pos").alias("at")), spread=True)
     repeated = occurrences.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= min_docs)
     dropped = occurrences.join(repeated, ["h1", "h2"]).where(F.col("_id") != F.col("keeper"))
     bits = dropped.select("_id", "_t", F.explode("at").alias("pos"))

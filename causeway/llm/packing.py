@@ -114,7 +114,7 @@ def tokenized(docs: DataFrame, source: str = "source", vocab=None, separator: in
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", queue.alias("queue"), "text")
-    return cut(plain.mapInArrow(run, f"doc_id {kind}, queue long, part int, first long, n long, ids binary"))
+    return cut(plain.mapInArrow(run, f"doc_id {kind}, queue long, part int, first long, n long, ids binary"), spread=True)
 
 
 def pack(

@@ -86,7 +86,7 @@ def shuffle_into(df: DataFrame, shards: int, seed: int = 0, columns: list[str] |
     Slots are gapless from 0 in each shard and uniformly random. An empty table gives none.
     """
     names = [c for c in columns or df.columns if c not in ("shard", "slot")]
-    rows = cut(wrapped(df.select(*names), {"_at": F.monotonically_increasing_id()}))
+    rows = cut(wrapped(df.select(*names), {"_at": F.monotonically_increasing_id()}), spread=True)
     rows = rows.withColumn("_part", F.shiftright("_at", 33))
     spark = df.sparkSession
     counts = sorted((r[0], r[1]) for r in rows.groupBy("_part").count().collect())

@@ -62,7 +62,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocab=None) ->
                 out.close()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(docs.select("doc_id", "text").mapInArrow(run, f"path string, ordinal long, doc_id {kind}"))
+    return cut(docs.select("doc_id", "text").mapInArrow(run, f"path string, ordinal long, doc_id {kind}"), spread=True)
 
 
 def scan(spark: SparkSession, paths: list[str] | DataFrame, separator: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
@@ -96,7 +96,7 @@ def scan(spark: SparkSession, paths: list[str] | DataFrame, separator: int, dtyp
                 yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.array([last]), pa.array([ends], pa.list_(pa.int64()))], names=["path", "at", "n", "last", "ends"])
 
     dealt = blocks.repartition(shuffle_partitions(spark), "path", "at")
-    found = cut(dealt.mapInArrow(search, "path string, at long, n long, last boolean, ends array<long>"))
+    found = cut(dealt.mapInArrow(search, "path string, at long, n long, last boolean, ends array<long>"), spread=True)
     # the prefix scan goes over one slim row a block
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     slim = found.select("path", "at", F.size("ends").cast("long").alias("k"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("end"))

@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
 
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-    own = cut(own.mapInArrow(extract, "doc_id long, toxic int, f binary"))
+    own = cut(own.mapInArrow(extract, "doc_id long, toxic int, f binary"), spread=True)
     by = {r[0]: r[1] for r in own.groupBy("toxic").count().collect()}
     chosen = select_features(own, by.get(1, 0), by.get(0, 0)) if len(by) == 2 else []
     terms = {f for ts in IDENTITY.values() for t in ts for f in word_features(t)}
