@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a checkpoint; only a local session may use a folder of its own."""
+    """Write ``df`` as a checkpoint of two files a core at most; only a local session may use a folder of its own."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -16,4 +16,4 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="causeway-"))
-    return df.checkpoint()
+    return df.coalesce(2 * sc.defaultParallelism).checkpoint()
