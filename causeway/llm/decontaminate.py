@@ -97,7 +97,8 @@ _WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"""
 
 
-def _sql_shingles(table: str, key: str) -> str:
+def sql_shingles(table: str, key: str) -> str:
+    """DuckDB's distinct shingles of a table's texts: ``key, s``."""
     return f"""(
     SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s
     FROM (SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {key}, {_WORDS} AS w FROM {table}) WHERE len(w) >= 5)
@@ -108,7 +109,7 @@ def _sql_shingles(table: str, key: str) -> str:
 
 #: DuckDB's statement of ``report``: all documents' shingles against all items'.
 SQL = f"""
-WITH d AS {_sql_shingles("documents", "doc_id")}, b AS {_sql_shingles("benchmark", "item_id")},
+WITH d AS {sql_shingles("documents", "doc_id")}, b AS {sql_shingles("benchmark", "item_id")},
 n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
 SELECT d.doc_id, b.item_id, any_value(n.item_shingles) AS item_shingles, count(*) AS shared
 FROM d JOIN b USING (s) JOIN n USING (item_id)

@@ -78,6 +78,21 @@ FROM parts p LEFT JOIN rules r
 GROUP BY p.page_id, p.host, p.path
 """
 
+#: All pairs that share a shingle are compared, and links followed.
+_JACCARD_SQL = f"""
+WITH RECURSIVE s AS {decontaminate.sql_shingles("documents", "doc_id")},
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r
+)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(r) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -93,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": _URL_SQL,
+    "op6_jaccard_join": _JACCARD_SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
