@@ -391,6 +391,9 @@ def _without_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of ``docs`` that are the first of their component; a null id stays."""
+    """The documents of ``docs`` that are the first of their component; a null id stays.
+
+    Rows that share an id are one document: they stay or go together.
+    """
     named = similarity_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
     return docs.join(named, "doc_id", "left_anti")
