@@ -12,6 +12,10 @@ A search keeps, for each query, the ``beam`` nearest points found; each round it
 neighbours of the nearest ones not yet expanded, and it ends when all of them are. Queries
 that are rows themselves start from their own place in the graph.
 
+Rows with identical vectors are one point of the graph. A point keeps the ids of its rows,
+and a hit on it is expanded to them, so equal distances go to the smaller ``vec_id``
+however many rows share a vector.
+
 Graph building works on half-precision copies scaled to the largest component. Distances
 that are returned are Euclidean, in double precision on the original vectors. Vectors that
 are null, empty, zero, or hold null or non-finite components take no part, nor do those
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.common import cut, shuffle_partitions
@@ -39,8 +43,8 @@ ROUNDS, ENOUGH = 7, 0.01
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``id, x`` (array of double) of the rows that take part; written to the shared folder."""
-    x = F.col(embedding).cast("array<double>")
+    """``id, x`` (array of double, no negative zeros) of the rows that take part; written to the shared folder."""
+    x = F.transform(F.col(embedding).cast("array<double>"), lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v))
     own = df.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), x.alias("x"))
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     own = own.where(~F.exists("x", bad)).where(F.exists("x", lambda v: v != 0))
@@ -49,6 +53,20 @@ def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding")
     return cut(own.groupBy("id").agg(F.max("x").alias("x")))
 
 
+def distinct(points: DataFrame, most: int) -> DataFrame:
+    """``id, x, members``: each vector once, named by its smallest id, with the ``most`` smallest
+    ids of its rows in order. Written to the shared folder.
+
+    A search for k rows never names more than the k + 1 smallest ids of a vector (one may be
+    the query), so ``most`` = k + 1 leaves nothing out. The rows are cut to them before the
+    shuffle, so a vector of very many rows makes no large task.
+    """
+    place = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    few = points.select("id", "x", place.alias("place")).where(F.col("place") <= most)
+    each = few.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return cut(each.select(F.element_at("members", 1).alias("id"), "x", "members"))
+
+
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, kind).reshape(len(column), -1) if len(column) else np.zeros((0, 0), kind)
@@ -217,16 +235,26 @@ def self_search(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     points all over the graph.
     """
     points = usable(df)
-    graph = build_graph(packed(points))
-    own = points.where(F.pmod("id", F.lit(every)) == 0)
+    nodes = distinct(points, k + 1)
+    graph = build_graph(packed(nodes))
+    asked = points.where(F.pmod("id", F.lit(every)) == 0)
+    few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    asked = cut((F.broadcast(asked) if few else asked).join(nodes.select(F.col("id").alias("node"), "x"), "x").select("id", "node"))
+    own = nodes.join(asked.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "x")
     starts = own.join(graph, "id", "left").select(F.col("id").alias("query_id"), F.col("x").alias("q"), F.coalesce(F.transform("near", lambda e: e["other"]), F.array().cast("array<long>")).alias("start"))
-    first = cut(search(graph, points, cut(starts), k))
-    total = points.count()
-    full = first.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1))
+    found = cut(search(graph, nodes, cut(starts), k))
+    total = nodes.count()
+    full = found.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1))
     short = own.join(full.withColumnRenamed("query_id", "id"), "id", "left_anti")
-    if not short.limit(1).count():
-        return first
-    spread = [r[0] for r in points.select("id").orderBy(F.xxhash64("id"), "id").limit(256).collect()]
-    again = short.select(F.col("id").alias("query_id"), F.col("x").alias("q"), F.array(*(F.lit(i).cast("long") for i in spread)).alias("start"))
-    more = search(graph, points, cut(again), k)
-    return cut(first.join(again.select("query_id"), "query_id", "left_anti").union(more))
+    if short.limit(1).count():
+        spread = [r[0] for r in nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(256).collect()]
+        again = short.select(F.col("id").alias("query_id"), F.col("x").alias("q"), F.array(*(F.lit(i).cast("long") for i in spread)).alias("start"))
+        more = search(graph, nodes, cut(again), k)
+        found = cut(found.join(again.select("query_id"), "query_id", "left_anti").union(more))
+    # hits and the query's own point become their rows; the k + 1 first hold the k first without the query
+    hits = found.select("query_id", "vec_id", "score").union(own.select("id", "id", F.lit(0.0)))
+    rows = hits.join(nodes.select(F.col("id").alias("vec_id"), "members"), "vec_id").select(F.col("query_id").alias("node"), "score", F.explode("members").alias("vec_id"))
+    tops = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1).alias("top"))
+    others = asked.join(F.broadcast(tops) if few else tops, "node").select(F.col("id").alias("query_id"), F.slice(F.filter("top", lambda e: e["vec_id"] != F.col("id")), 1, k).alias("top"))
+    out = others.select("query_id", F.posexplode("top").alias("pos", "e"))
+    return cut(out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), F.col("e.score").alias("score")))

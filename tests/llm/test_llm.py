@@ -149,6 +149,40 @@ def test_few_neighbours(spark):
     assert neighbours.self_search(df.limit(0)).count() == 0
 
 
+def neighbours_of(spark, x, kind="float"):
+    """What self_search finds, and brute force, as {query: [(id, distance)]}."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").repartition(4)
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.self_search(df).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = {}
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(axis=1))
+        want[q] = [(int(i), d[i]) for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+    return dict(got), want
+
+
+def test_neighbours_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SEED_BLOCK", 64)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[rng.permutation(900)[:500]] = x[0]  # spans several seed blocks
+    x[100] = rng.normal(size=8)
+    x[[13, 300, 700]] = x[100] + np.float32(1e-3)  # fewer copies than asked for
+    x[500], x[600] = 0.0, -0.0
+    x[500, 0] = x[600, 0] = 1.0  # equal but for the sign of zeros
+    got, want = neighbours_of(spark, x)
+    copies = [q for q in want if want[q][9][1] == 0]
+    assert copies and all(got[q] == want[q] for q in copies)
+    assert [i for i, _ in got[100][:3]] == [13, 300, 700] and got[500][0] == (600, 0.0)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want]) >= 9.5
+
+
+def test_neighbours_of_copies_only(spark):
+    got, want = neighbours_of(spark, np.ones((250, 3), np.float32))
+    assert got == want
+
+
 # --- 3, 7 ------------------------------------------------------------------------------------
 
 
