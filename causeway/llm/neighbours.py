@@ -16,8 +16,9 @@ Rows with identical vectors are one point of the graph. A point keeps the ids of
 and a hit on it is expanded to them, so equal distances go to the smaller ``vec_id``
 however many rows share a vector.
 
-Graph building works on half-precision copies scaled to the largest component. Distances
-that are returned are Euclidean, in double precision on the original vectors. Vectors that
+Graph building works on the vectors as they are, in single precision if that is how they
+are given, else in double, and computes in double; so no row's size changes what is kept
+of another. Distances that are returned are Euclidean, in double precision. Vectors that
 are null, empty, zero, or hold null or non-finite components take no part, nor do those
 whose length isn't the commonest one. Rows that share an id count once.
 """
@@ -73,34 +74,39 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    return np.maximum(d, 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    return np.where(np.isnan(d), np.inf, np.maximum(d, 0))  # squares beyond double precision are infinite
 
 
-def packed(points: DataFrame) -> DataFrame:
-    """``id, v``: half-precision copies, as bytes."""
-    top = points.agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).collect()[0][0] or 1.0
+def kind_of(df: DataFrame, embedding: str = "embedding") -> str:
+    """The numpy type that holds the vectors' components without loss."""
+    return "<f4" if df.schema[embedding].dataType.elementType.typeName() in ("float", "short", "byte") else "<f8"
+
+
+def packed(points: DataFrame, kind: str = "<f8") -> DataFrame:
+    """``id, v``: the vectors as bytes, numbers of ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column("x").flatten().to_numpy(zero_copy_only=False)
-            m = (flat.reshape(len(b), -1) / top).astype("<f2")
+            m = flat.reshape(len(b), -1).astype(kind)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "v"])
 
-    return cut(points.mapInArrow(run, "id long, v binary"))
+    return cut(points.select("id", "x").mapInArrow(run, "id long, v binary"))
 
 
-def _seed(vectors: DataFrame, degree: int, salt: int) -> DataFrame:
+def _seed(vectors: DataFrame, degree: int, salt: int, kind: str) -> DataFrame:
     """``id, other, d``: exact neighbours inside blocks of points in the order of which sides of
     random planes they lie on."""
     n = shuffle_partitions(vectors.sparkSession)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _matrix(b.column("v"), "<f2").astype(np.float32)
+            m = _matrix(b.column("v"), kind).astype(np.float64)
             if not len(m):
                 continue
-            sides = m @ np.random.default_rng(salt).normal(size=(m.shape[1], SEED_PLANES)).astype(np.float32) > 0
+            sides = m @ np.random.default_rng(salt).normal(size=(m.shape[1], SEED_PLANES)) > 0
             along = sides @ (1 << np.arange(SEED_PLANES)[::-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(along.astype(np.int64))], names=["id", "v", "along"])
 
@@ -114,7 +120,7 @@ def _seed(vectors: DataFrame, degree: int, salt: int) -> DataFrame:
                 k = SEED_BLOCK if len(table) - at >= 2 * SEED_BLOCK else len(table) - at
                 c = table.slice(at, k)
                 at += k
-                m, ids = _matrix(c.column("v"), "<f2").astype(np.float32), c.column("id").to_numpy()
+                m, ids = _matrix(c.column("v"), kind).astype(np.float64), c.column("id").to_numpy()
                 d = _squares(m, m)
                 np.fill_diagonal(d, np.inf)
                 take = min(degree, k - 1)
@@ -134,7 +140,7 @@ def _seed(vectors: DataFrame, degree: int, salt: int) -> DataFrame:
             yield from blocks(True)
 
     ranged = vectors.mapInArrow(project, "id long, v binary, along long").repartitionByRange(n, "along", "id").sortWithinPartitions("along", "id")
-    return ranged.select("id", "v").mapInArrow(run, "id long, other long, d float")
+    return ranged.select("id", "v").mapInArrow(run, "id long, other long, d double")
 
 
 def _best(pairs: DataFrame, degree: int) -> DataFrame:
@@ -144,11 +150,11 @@ def _best(pairs: DataFrame, degree: int) -> DataFrame:
     return lists.select("id", F.slice(F.array_sort("all"), 1, degree).alias("near"))
 
 
-def build_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """``id, near`` (array of d, other, new) of every vector; written to the shared folder."""
-    seeds = _seed(vectors, degree, 1)
+def build_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, kind: str = "<f8") -> DataFrame:
+    """``id, near`` (array of d, other, new) of every vector of ``packed``; written to the shared folder."""
+    seeds = _seed(vectors, degree, 1, kind)
     for salt in range(2, SEED_PASSES + 1):
-        seeds = seeds.union(_seed(vectors, degree, salt))
+        seeds = seeds.union(_seed(vectors, degree, salt, kind))
     graph = cut(_best(seeds.withColumn("new", F.lit(True)), degree))
     total = graph.count()
     spark = vectors.sparkSession
@@ -159,10 +165,10 @@ def build_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS)
         draw = F.pmod(F.xxhash64(F.lit(turn), "id", "other"), F.lit(1 << 20)) / (1 << 20)
         back = edges.join(hubs, "other", "left").where(F.col("n").isNull() | (draw < degree / F.col("n"))).select(F.col("other").alias("id"), F.col("id").alias("other"), "new")
         around = edges.union(back).groupBy("id", "other").agg(F.max("new").alias("new"))
-        last = F.when(F.size("near") >= degree, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf"))).cast("float")
-        ends = vectors.join(graph, "id", "left").select(F.col("id").alias("other"), "v", F.coalesce(last, F.lit(float("inf")).cast("float")).alias("last"))
+        last = F.when(F.size("near") >= degree, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf")))
+        ends = vectors.join(graph, "id", "left").select(F.col("id").alias("other"), "v", F.coalesce(last, F.lit(float("inf"))).alias("last"))
         local = around.join(ends, "other").select("id", "other", "new", "v", "last")
-        found = local.groupBy("id").applyInArrow(_local_join, "id long, other long, d float").withColumn("new", F.lit(True))
+        found = local.groupBy("id").applyInArrow(_local_join(kind), "id long, other long, d double").withColumn("new", F.lit(True))
         kept = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"), F.col("e.d").alias("d"), F.lit(False).alias("new"))
         graph = cut(_best(found.union(kept), degree))
         spark.sparkContext._jvm.System.gc()  # so that the last round's shuffle files go before the next are written
@@ -172,14 +178,17 @@ def build_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS)
     return graph
 
 
-def _local_join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """All pairs around one point that have a new entry and are nearer than either's last neighbour."""
-    ids, new, last = (table.column(c).to_numpy() for c in ("other", "new", "last"))
-    m = _matrix(table.column("v"), "<f2").astype(np.float32)
-    d = _squares(m, m).astype(np.float32)
-    ok = (new[:, None] | new[None, :]) & (d < last[:, None]) & (ids[:, None] != ids[None, :])
-    i, j = np.nonzero(ok)
-    return pa.table({"id": pa.array(ids[i]), "other": pa.array(ids[j]), "d": pa.array(d[i, j])})
+def _local_join(kind: str):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """All pairs around one point that have a new entry and are nearer than either's last neighbour."""
+        ids, new, last = (table.column(c).to_numpy() for c in ("other", "new", "last"))
+        m = _matrix(table.column("v"), kind).astype(np.float64)
+        d = _squares(m, m)
+        ok = (new[:, None] | new[None, :]) & (d < last[:, None]) & (ids[:, None] != ids[None, :])
+        i, j = np.nonzero(ok)
+        return pa.table({"id": pa.array(ids[i]), "other": pa.array(ids[j]), "d": pa.array(d[i, j])})
+
+    return run
 
 
 def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, expand: int = EXPAND, most: int = 64) -> DataFrame:
@@ -234,9 +243,9 @@ def self_search(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     Should a query's part of the graph hold fewer than ``k`` points, it is asked again from
     points all over the graph.
     """
-    points = usable(df)
+    points, kind = usable(df), kind_of(df)
     nodes = distinct(points, k + 1)
-    graph = build_graph(packed(nodes))
+    graph = build_graph(packed(nodes, kind), kind=kind)
     asked = points.where(F.pmod("id", F.lit(every)) == 0)
     few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     asked = cut((F.broadcast(asked) if few else asked).join(nodes.select(F.col("id").alias("node"), "x"), "x").select("id", "node"))

@@ -178,6 +178,20 @@ def test_neighbours_of_many_copies(spark, monkeypatch):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want]) >= 9.5
 
 
+@pytest.mark.parametrize("large", [1e5, 1e7, 1e30])
+def test_graph_beside_a_large_row(spark, monkeypatch, large):
+    monkeypatch.setattr(neighbours, "SEED_BLOCK", 64)
+    x = np.random.default_rng(2).normal(size=(1000, 8))
+    x[7, 3] = large
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    near = {r["id"]: [e["other"] for e in r["near"]] for r in neighbours.build_graph(neighbours.packed(df)).collect()}
+    hits = []
+    for i in range(0, 1000, 20):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        hits.append(len(set(np.argsort(np.where(np.arange(1000) == i, np.inf, d))[:10].tolist()) & set(near[i][:10])))
+    assert np.mean(hits) >= 9
+
+
 def test_neighbours_of_copies_only(spark):
     got, want = neighbours_of(spark, np.ones((250, 3), np.float32))
     assert got == want
