@@ -39,6 +39,8 @@ SKETCH, PIECE = 1 << 21, 1 << 15
 #: Longest list whose pairs are enumerated; longer ones form clusters.
 LONGEST = 32
 BLOCK, CHUNK = 256, 2048
+#: Counts from here on are one in ``cut``, whose upper 20 bits hold them.
+COMMON = (1 << 20) - 1
 #: Bits of the filter that says which documents' sets are wanted.
 FILTER_BITS = 1 << 25
 
@@ -108,7 +110,8 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """``doc_id, n, s1, s2, ps, cut, prefix`` of every row with an id; written to the shared folder.
 
     ``s1, s2`` sign the whole set and ``ps`` the prefix; ``cut`` is where the prefix ends in
-    the global order (its upper 31 bits).
+    the global order: the count and 11 bits of the hash. All counts of ``COMMON`` or more have
+    the same ``cut``, without hash bits, since those would put them in another order.
     """
     size = len(counts)
     shift = np.uint64(64 - (size.bit_length() - 1))
@@ -126,8 +129,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 c = sketch[(h >> shift).astype(np.int64)]
                 first = h[np.lexsort((h, c))[: prefix_length(n)]]
                 end = int(first[-1])
-                count = min(int(sketch[end >> int(shift)]), (1 << 20) - 1)
-                rows.append((n, _sign(h, 1), _sign(h, 2), _sign(first, 3), count << 11 | end >> 53, first.astype("<u8").tobytes()))
+                count = int(sketch[end >> int(shift)])
+                where = count << 11 | end >> 53 if count < COMMON else COMMON << 11
+                rows.append((n, _sign(h, 1), _sign(h, 2), _sign(first, 3), where, first.astype("<u8").tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], names=["doc_id", "n", "s1", "s2", "ps", "cut", "prefix"])

@@ -429,6 +429,20 @@ def test_jaccard_classes(spark, monkeypatch, longest):
     assert classes(spark, rows) == brute_classes(rows)
 
 
+def test_jaccard_of_very_common_shingles(spark, monkeypatch):
+    counts = jaccard_join.shingle_counts
+    monkeypatch.setattr(jaccard_join, "shingle_counts", lambda docs: counts(docs) * np.uint64(1 << 20))  # as in a corpus a million times larger
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(30):
+        a = [f"a{i}x{k}" for k in range(104)]
+        b = a + [f"b{i}x{k}" for k in range(15)]
+        parts = [a[at : at + int(rng.integers(6, 30))] for at in rng.integers(0, 80, 12)]  # like nothing, but shingles differ in count
+        rows += [" ".join(x) for x in (a, b, *parts)]
+    rows = list(enumerate(rows))
+    assert classes(spark, rows) == brute_classes(rows)
+
+
 def test_jaccard_edges(spark):
     assert classes(spark, [(1, None), (2, "")]) == collections.Counter({(1, 0, 1): 1, (2, 0, 2): 1})
     assert jaccard_join.similarity_classes(empty(spark)).count() == 0
