@@ -15,13 +15,14 @@ travel as one small table (partition, source, tokens); deficits thus carry over
 as over windows. Tokens are written once to the shared folder and never shuffled.
 
 Targets default to the sources' own shares of all tokens. Null sources are one queue.
-Above ``MAX_QUEUES`` sources, queues are shared by the source's hash. Null or empty texts
-are documents of one token, the separator.
+Every source has a queue of its own, however many there are: a number per source is
+collected and broadcast. Null or empty texts are documents of one token, the separator.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,58 +35,74 @@ from causeway.llm.common import cut, small_batches
 from causeway.llm.tokens import ID, encoder, vocabulary
 
 LENGTH, WINDOW, QUANTUM = 1024, 32 * 1024, 256
-MAX_QUEUES = 4096
+#: Binary digits behind the point of what a weight of one has earned.
+DIGITS = 120
+#: So many numbers of windows are held at once by a task, about.
+HELD = 1 << 22
 #: A table of queue parts up to this many rows is broadcast; a larger one is joined.
 BROADCAST_PARTS = 200_000
 
 
 class Schedule:
-    """How many tokens each queue has handed over before window r, in closed form."""
+    """How many tokens each queue has handed over before window r, in closed form.
+
+    What a weight of one has earned before a window is one number for all queues. It grows
+    evenly until a queue runs dry; these phases hold no numbers of single queues. Queues
+    with a target of nothing earn by their sizes after all others are dry.
+    """
 
     def __init__(self, totals: list[int], targets: list[float] | None = None, window: int = WINDOW, quantum: int = QUANTUM):
         self.totals, self.quantum, self.window = totals, quantum, window
         weights = [int(1_000_000 * t) for t in targets] if targets else totals
-        #: (first window, tokens earned before it, weight, sum of weights)
-        self.phases: list[tuple[int, list[int], list[int], int]] = []
-        at, base = 0, [0] * len(totals)
-        while any(b < t for b, t in zip(base, totals, strict=True)):
-            live = [w if b < t else 0 for w, b, t in zip(weights, base, totals, strict=True)]
-            if not any(live):  # only queues with a target of nothing are left
-                live = [t if b < t else 0 for b, t in zip(base, totals, strict=True)]
-            whole = sum(live)
-            self.phases.append((at, base, live, whole))
-            step = min(-(-(t - b) * whole // (w * window)) for w, b, t in zip(live, base, totals, strict=True) if w)
-            base = [min(t, b + w * window * step // whole) for w, b, t in zip(live, base, totals, strict=True)]
-            at += step
-        self.windows = at
-
-    def _phase(self, r: int):
-        lo, hi = 0, len(self.phases) - 1
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if self.phases[mid][0] <= r else (lo, mid - 1)
-        return self.phases[lo]
+        self.weights = [w or t for w, t in zip(weights, totals, strict=True)]
+        self.late = [not w for w in weights]
+        self._t, self._w, self._late = np.array(totals, np.int64), np.array(self.weights, np.float64), np.array(self.late, bool)
+        self.windows = 0
+        #: of the queues with a target, and of those without: first windows, earned by a weight of one before them, sums of weights
+        self.phases = [self._phases([i for i, x in enumerate(self.late) if x == late and totals[i]]) for late in (False, True)]
+
+    def _phases(self, queues: list[int]) -> tuple[list[int], list[int], list[int]]:
+        at, earned, whole = [self.windows], [0], [sum(self.weights[i] for i in queues)]
+        dry = sorted((-(-(self.totals[i] << DIGITS) // self.weights[i]), self.weights[i]) for i in queues)
+        i, live = 0, whole[0]
+        while i < len(dry):
+            step = (dry[i][0] - earned[-1] - 1) * live // (self.window << DIGITS) + 1
+            at.append(at[-1] + step)
+            earned.append(earned[-1] - (-step * (self.window << DIGITS) // live))
+            while i < len(dry) and dry[i][0] <= earned[-1]:
+                live -= dry[i][1]
+                i += 1
+            whole.append(live)
+        self.windows = at[-1]
+        return at, earned, whole
 
     def given(self, r: int) -> list[int]:
         """Tokens of each queue before window ``r``."""
+        return self.shares(r).tolist()
+
+    def shares(self, r: int) -> np.ndarray:
+        """``given`` as an array."""
         if r >= self.windows:
-            return self.totals
-        at, base, live, whole = self._phase(r)
-        q = self.quantum
-        earned = (min(t, b + w * self.window * (r - at) // whole) for w, b, t in zip(live, base, self.totals, strict=True))
-        return [e if e == t else e // q * q for e, t in zip(earned, self.totals, strict=True)]
+            return self._t
+        late = r >= self.phases[1][0][0]
+        at, earned, whole = self.phases[late]
+        i = bisect_right(at, r) - 1
+        each = earned[i] - (-(r - at[i]) * (self.window << DIGITS) // whole[i])
+        x = np.minimum(self._w * (each / (1 << DIGITS)), self._t + 1.0)
+        e = np.floor(x).astype(np.int64)
+        near = (np.abs(x - np.rint(x)) < 1e-3 + 1e-15 * x) & (x > 0) & (x < self._t + 0.5) & (self._late == late)
+        for k in np.flatnonzero(near):  # too near to a whole number for floating point
+            e[k] = self.weights[k] * each >> DIGITS
+        e = np.where(self._late == late, np.minimum(e, self._t), np.where(self._late, 0, self._t))
+        return np.where(e == self._t, e, e // self.quantum * self.quantum)
 
     def window_of(self, s: int, x: int) -> int:
         """The window that gets token ``x`` of queue ``s``: the first r with given(r + 1) > x."""
         goal = min(self.totals[s], (x // self.quantum + 1) * self.quantum)
-        for i, (at, base, live, whole) in enumerate(self.phases):
-            end = self.phases[i + 1][0] if i + 1 < len(self.phases) else self.windows
-            last = i + 1 == len(self.phases)
-            reached = self.totals[s] if last else self.phases[i + 1][1][s]
-            if reached >= goal and live[s]:
-                r = at + -(-(goal - base[s]) * whole // (live[s] * self.window))
-                return min(max(r, at + 1), end) - 1
-        return self.windows - 1
+        at, earned, whole = self.phases[self.late[s]]
+        need = -(-(goal << DIGITS) // self.weights[s])
+        i = bisect_left(earned, need) - 1
+        return at[i] + (need - earned[i] - 1) * whole[i] // (self.window << DIGITS)
 
 
 def tokenized(docs: DataFrame, source: str = "source", vocab=None, separator: int = 0) -> DataFrame:
@@ -131,61 +148,52 @@ def pack(
     spark = docs.sparkSession
     tokens = tokenized(docs, vocab=vocab)
     parts = cut(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")))
-    queues = sorted(r[0] for r in parts.select("queue").distinct().limit(MAX_QUEUES + 1).collect())
-    slot = F.col("queue")
-    if len(queues) > MAX_QUEUES:
-        if targets:
-            raise ValueError(f"targets need {MAX_QUEUES} sources at most")
-        slot, queues = F.pmod(F.col("queue"), F.lit(MAX_QUEUES)), list(range(MAX_QUEUES))
-    place = {q: i for i, q in enumerate(queues)}
-    parts = parts.withColumn("slot", slot)
-    totals = [0] * len(queues)
-    for r in parts.groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        totals[place[r[0]]] = r[1]
+    sums = sorted((r[0], r[1]) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect())
+    queues, totals = [q for q, _ in sums], [n for _, n in sums]
     wanted = None
     if targets is not None:
         named = spark.createDataFrame([(k, float(v)) for k, v in targets.items()], "s string, v double")
         code = F.coalesce(F.pmod(F.xxhash64("s"), F.lit(1 << 62)), F.lit(-1).cast("long"))
         by = {r[0]: r[1] for r in named.select(code, "v").collect()}
         wanted = [by.get(q, 0.0) for q in queues]
-    # the parts' places in their queues: a running sum by queue over partitions (and over sources that share one)
+    # the parts' places in their queues: a running sum by queue over partitions
     from pyspark.sql import Window
 
-    before = Window.partitionBy("slot").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut(parts.select("queue", "part", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut(parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     small = bases.count() <= BROADCAST_PARTS
     placed = tokens.join(F.broadcast(bases) if small else bases, ["queue", "part"])
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id"]
 
+    given = spark.sparkContext.broadcast((np.array(queues, np.int64), Schedule(totals, wanted, window, quantum)))
+
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Schedule(totals, wanted, window, quantum)
-        known: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        order, plan = given.value
+        most = max(1, min(2048, HELD // max(1, len(order))))
+        known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-        def edges(r: int) -> tuple[list[int], list[int], list[int]]:
+        def edges(r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Of window r: tokens given before and after, and each queue's place among all tokens."""
             if r not in known:
-                if len(known) > 2048:
+                if len(known) >= most:
                     known.clear()
-                a, b = plan.given(r), plan.given(r + 1)
-                at, places = sum(a), []
-                for x, y in zip(a, b, strict=True):
-                    places.append(at)
-                    at += y - x
-                known[r] = a, b, places
+                a, b = plan.shares(r), plan.shares(r + 1)
+                known[r] = a, b, a.sum() + np.cumsum(b - a) - (b - a)
             return known[r]
 
         for b in batches:
             rows: list[list] = [[] for _ in range(9)]
             doc = b.column("doc_id")
             index: list[int] = []
-            for i, (q, base, first, n, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in ("slot", "base", "first", "n", "ids")), strict=True)):
-                s, x, done = place[q], base + first, 0
+            slots = np.searchsorted(order, b.column("queue").to_numpy()).tolist()
+            for i, (s, base, first, n, raw) in enumerate(zip(slots, *(b.column(c).to_pylist() for c in ("base", "first", "n", "ids")), strict=True)):
+                x, done = base + first, 0
                 ids = np.frombuffer(raw, ID).astype("<u4")
                 while done < n:
                     r = plan.window_of(s, x)
                     a, z, places = edges(r)
-                    g = places[s] + x - a[s]
-                    take = min(n - done, z[s] - x, length - g % length)
+                    g = int(places[s]) + x - int(a[s])
+                    take = min(n - done, int(z[s]) - x, length - g % length)
                     piece = ids[done : done + take]
                     index.append(i)
                     for c, v in zip(rows, (done, take, zlib.crc32(piece.tobytes()), n, g // length, g % length, r, piece), strict=False):
@@ -198,4 +206,4 @@ def pack(
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in out[1:]) + ", ids binary" * with_ids
-    return placed.select("doc_id", "slot", "base", "first", "n", "ids").mapInArrow(cuts, schema)
+    return placed.select("doc_id", "queue", "base", "first", "n", "ids").mapInArrow(cuts, schema)

@@ -264,6 +264,29 @@ def test_mixture_stays_within_a_quantum(spark):
                     assert abs(given[s] - goal) <= 64 + 1
 
 
+def test_mixture_of_very_many_sources(spark):
+    rows = [(i, "word " * 9 + "word", f"s{i % 4500}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    goals = {f"s{i}": 0.5 if i < 2 else 0.0 for i in range(4500)}
+    for targets in (None, goals):
+        out = packing.pack(df, targets, length=64, window=8192, quantum=2)
+        own = out.join(df.select("doc_id", "source"), "doc_id").groupBy("source", "window_id").agg(F.sum("length").alias("n")).collect()
+        each = len(ids_of(rows[0][1])) * 2
+        if targets is None:
+            windows = 4500 * each / 8192
+            by = collections.defaultdict(int)
+            for r in own:
+                by[r["source"], r["window_id"]] += r["n"]
+            for s in range(0, 4500, 7):
+                n = 0
+                for w in range(int(windows)):
+                    n += by.get((f"s{s}", w), 0)
+                    assert abs(n - each * (w + 1) / windows) <= 3
+        else:
+            assert {r["source"] for r in own if r["window_id"] == 0} == {"s0", "s1"}
+        assert sum(r["n"] for r in own) == 4500 * each
+
+
 def test_schedule():
     rng = np.random.default_rng(3)
     for _ in range(200):
