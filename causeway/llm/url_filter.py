@@ -162,7 +162,7 @@ def judge_sharded(df: DataFrame, rules: DataFrame, url: str = "url", shards: int
     """The same for a rule table (verdict, host, path) too large to be mapped everywhere."""
     host, path = host_and_path(F.col(url))
     df = df.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().limit(4096).collect()]
+    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # as many as the longest path has characters, at most
     longest = max(lengths, default=0)
 
     def shard(text: str) -> int:

@@ -357,6 +357,13 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0), url_filter.build([])).count() == 0
 
 
+def test_sharded_rules_of_very_many_lengths(spark):
+    rules = spark.range(1, 8001).select(F.lit("block").alias("verdict"), F.lit("a.com").alias("host"), F.expr("concat('/', repeat('x', 8000 - cast(id AS int)))").alias("path"))
+    df = spark.createDataFrame([(k, "http://a.com/" + "x" * k) for k in range(60)], "page_id long, url string")
+    got = {r["page_id"]: r["rule"] for r in url_filter.judge_sharded(df, rules, shards=4).collect()}
+    assert got == {k: "a.com/" + "x" * k for k in range(60)}
+
+
 def test_equal_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda raw: len(raw))
     index = url_filter.Index(np.frombuffer(url_filter.build([("block", "a.com", "/x"), ("allow", "b.com", "/y"), ("block", "b.com", "/y")]), np.uint8))
