@@ -1,11 +1,13 @@
 """Line deduplication that returns keep bitmaps, by DataFrame functions alone.
 
 Lines' 128-bit hashes are range-partitioned together with the document, with a secondary
-sort by document and position: one streaming pass gives each (line, document) its
-positions, and a hot line is spread over many partitions, since the range goes on into
-the document. Per line only a count and the largest document are combined, partially
-first. What comes back per document is a sparse bitmap of the lines that go - 64 lines a
-word, words without a dropped line left out - and not its text.
+sort by document and position: a pass of fixed-width rows gives each (line, document) its
+positions as 64-bit words, and marks its first. A hot line is spread over many partitions,
+since the range goes on into the document; it stays so when the lines that go are found,
+as the part of the range is a key of that join. Per line only a count and the largest
+document are combined, by part first. What comes back per document is a sparse bitmap of
+the lines that go - 64 lines a word, words without a dropped line left out - and not its
+text.
 
 A line counts if its key (``SPACE`` stripped at both ends, A-Z lower-cased) has at least
 ``min_chars`` code points; a key found in ``min_docs`` documents or more keeps its lines
@@ -17,11 +19,13 @@ all others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.common import SPACE, ascii_lower, cut, shuffle_partitions, unwrapped, wrapped
 
+#: 64-bit words of the filter of documents that lose lines: at least, at most.
+FILTER_WORDS = (1 << 14, 1 << 20)
 #: Stands for a null id where the largest is sought.
 _LEAST = -(2**63)
 
@@ -47,20 +51,54 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     # texts are read once here: the slim rows are written, and the range's bounds sampled from them
     lines = cut(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "_id", "_t", "pos"), spread=True)
-    ranged = lines.repartitionByRange(n, "h1", "h2", "_id", "_t").sortWithinPartitions("h1", "h2", "_id", "_t", "pos")
-    occurrences = cut(ranged.groupBy("h1", "h2", "_id", "_t").agg(F.collect_list("pos").alias("at")), spread=True)
-    repeated = occurrences.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= min_docs)
-    dropped = occurrences.join(repeated, ["h1", "h2"]).where(F.col("_id") != F.col("keeper"))
-    bits = dropped.select("_id", "_t", F.explode("at").alias("pos"))
+    ranged = lines.repartitionByRange(n, "h1", "h2", "_id", "_t")
     bit = F.expr("shiftleft(1L, pmod(pos, 64))")
-    words = bits.groupBy("_id", "_t", F.expr("int(pos div 64)").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return words.groupBy("_id", "_t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drop_words"))
+    words = ranged.groupBy("h1", "h2", "_id", "_t", F.expr("int(pos div 64)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    # the range serves the window as well: the sorted rows of a (line, document) follow each other in one task
+    first = F.row_number().over(Window.partitionBy("h1", "h2", "_id", "_t").orderBy("word")) == 1
+    occurrences = cut(words.withColumns({"first": first.cast("int"), "part": F.spark_partition_id()}), spread=True)
+    # a line of very many documents lies in many parts of the range, which stay apart in the join
+    parts = occurrences.groupBy("h1", "h2", "part").agg(F.sum("first").alias("n"), F.max("_id").alias("keeper"))
+    repeated = parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"), F.collect_list("part").alias("parts")).where(F.col("n") >= min_docs)
+    repeated = repeated.select("h1", "h2", "keeper", F.explode("parts").alias("part"))
+    dropped = occurrences.join(repeated, ["h1", "h2", "part"]).where(F.col("_id") != F.col("keeper"))
+    gone = dropped.groupBy("_id", "_t", "word").agg(F.bit_or("bits").alias("bits"))
+    return gone.groupBy("_id", "_t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drop_words"))
+
+
+def _filter(bitmaps: DataFrame, words: int) -> DataFrame:
+    """One row, one array of ``words`` 64-bit words: a bit is set for each document of ``bitmaps``."""
+    spark = bitmaps.sparkSession
+    at, bit = _place(words)
+    held = bitmaps.groupBy(at.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    whole = spark.range(words).join(held, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    return whole.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("filter"))
+
+
+def _place(words: int) -> tuple[Column, Column]:
+    """The word and the bit that stand for a document."""
+    h = F.xxhash64("_id", "_t")
+    return F.pmod(F.shiftright(h, 6), F.lit(words)), F.pmod(h, F.lit(64)).cast("int")
 
 
 def with_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """``row`` (all columns of ``docs``) and ``drop_words`` (null where nothing goes)."""
-    bitmaps = drop_bitmaps(docs, min_docs, min_chars)
-    return wrapped(docs, _row_key()).join(bitmaps, ["_id", "_t"], "left").select("row", "drop_words")
+    """``row`` (all columns of ``docs``) and ``drop_words`` (null where nothing goes).
+
+    Texts don't travel for the sake of documents that lose nothing: a filter of bounded size
+    (8 bits a document that loses lines) tells them, and only the others, and the few that
+    share a bit with one, are shuffled to meet their bitmaps. Where more documents lose lines
+    than the filter has room for, all are.
+    """
+    bitmaps = cut(drop_bitmaps(docs, min_docs, min_chars))
+    rows = wrapped(docs, _row_key())
+    losing = bitmaps.count()
+    if 8 * losing > 64 * FILTER_WORDS[1]:
+        return rows.join(bitmaps, ["_id", "_t"], "left").select("row", "drop_words")
+    words = max(FILTER_WORDS[0], 1 << max(0, (losing // 8 - 1).bit_length()))
+    at, bit = _place(words)
+    loses = F.getbit(F.get(cut(_filter(bitmaps, words)).scalar(), at.cast("int")), bit) == 1
+    marked = rows.where(loses).join(bitmaps, ["_id", "_t"], "left").select("row", "drop_words")
+    return marked.unionByName(rows.where(~loses).select("row", F.lit(None).cast(bitmaps.schema["drop_words"].dataType).alias("drop_words")))
 
 
 def kept_text(text: Column, drop_words: Column) -> Column:

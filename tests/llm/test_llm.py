@@ -503,7 +503,9 @@ def brute_lines(rows):
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("room", [(1 << 14, 1 << 20), (1, 1 << 20), (1, 0)])
+def test_line_dedup(spark, monkeypatch, room):
+    monkeypatch.setattr(line_dedup, "FILTER_WORDS", room)  # ample, with false hits, and none at all
     rng = np.random.default_rng(0)
     pool = [f"  Line number {i} é of the common pool\t" for i in range(30)] + ["short", "", "exactly twenty chars"]
     rows = [*ODD, *((100 + i, "\n".join(x if rng.random() < 0.5 else x.upper() for x in rng.choice(pool, rng.integers(1, 200)))) for i in range(40))]
@@ -518,6 +520,14 @@ def test_line_dedup(spark):
     assert {(r["doc_id"], r["n_dropped"]) for r in none} == {(None, 1), (1, 1), (2, 0)}
 
 
+def test_line_dedup_of_a_line_in_many_parts(spark):
+    line, tail = "a line that very many documents hold", "\nanother line of three documents"
+    rows = [(i, f"{line}\nown line number {i}\n{line.upper()}" + tail * (i in (5, 70, 300))) for i in range(400)] + [(None, line), (7, line)]
+    got = collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.digest(docs(spark, rows)).collect())
+    assert sum(n for (_, _, gone, _), n in got.items() if gone) == 401
+    assert {(i, gone) for i, _, gone, _ in got if i in (300, 399, 5, 7, None)} == {(300, 2), (399, 0), (5, 3), (7, 2), (7, 1), (None, 1)}
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 
