@@ -8,9 +8,11 @@ of text whose marginal is over one half are the page's text. Potentials are trai
 labelled pages: random layouts with known main text (``html_pages``), a bounded set
 (``PAGES``) that is the same for any corpus.
 
-Scripts, styles, the head, templates and form controls hold no text. Character references
-are decoded, white space inside a block becomes one space, and blocks are joined in page
-order by one line feed. A null or empty page, and one without content, give an empty text.
+Scripts, styles, titles, templates, form controls, drawings and players hold no text. One
+of these that was never closed takes nothing along, but for those whose text a parser takes
+as it is (``RAW``). Character references are decoded, white space inside a block becomes one
+space, and blocks are joined in page order by one line feed. A null or empty page, and one
+without content, give an empty text.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +38,19 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea select title iframe noembed noframes svg math object video audio canvas button head".split())
+#: Elements whose text the parser takes as it is, up to their end tag or else the page's end;
+#: elements whose text isn't shown as text where they have an end tag; of these, the ones that can't lie in their own kind.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+MUTED = frozenset("button select svg object video audio canvas template datalist annotation annotation-xml".split())
+ALONE = frozenset("button select".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"},
 }
 #: What stops the search for an element to close.
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r">|=\s*+[\"']")
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|itemprop)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -62,18 +70,113 @@ def _attributes(raw: str) -> list[str]:
         if key == "hidden":
             out.append("hidden")
         elif key == "style":
-            if re.search(r"display\s*:\s*none", value):
+            if re.search(r"display\s*+:\s*+none", value):
                 out.append("hidden")
         else:
-            for part in _PART.findall(value[:400]):
-                out.append(f"a:{part.lower()}")
+            out += [f"a:{part.lower()}" for part in _PART.findall(value)]
     return out
 
 
+class Tag(NamedTuple):
+    """A tag, comment or declaration, or a whole element of ``RAW``; ``name`` is empty for all but tags."""
+
+    start: int
+    stop: int
+    closing: bool
+    name: str
+    raw: str
+
+
+def tags(page: str) -> list[Tag]:
+    """The page's tags in order; all else is text.
+
+    A ``>`` in a quoted value ends no tag. Where the quotes of a tag don't close before the
+    page's end, its first ``>`` ends it; a page whose quotes mislead again and again is read
+    on without regard to them, so that the time stays in proportion to the page.
+    """
+    out: list[Tag] = []
+    at, end, last, wasted = 0, len(page), page.rfind(">"), 0
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            stop = page.find("-->", lt + 4)
+            at = end if stop < 0 else stop + 3
+            out.append(Tag(lt, at, False, "", ""))
+            continue
+        m = _NAME.match(page, lt + 1)
+        if m is None or lt > last:
+            if lt > last or page[lt + 1] not in "!?/":
+                at = lt + 1
+                continue
+            at = page.find(">", lt + 1) + 1
+            out.append(Tag(lt, at, False, "", ""))
+            continue
+        stop = _end_of_tag(page, m.end()) if wasted <= 8 * end else -1
+        if stop < 0:
+            wasted += end - lt
+            stop = page.find(">", m.end())
+        at, name, raw = stop + 1, m[2].lower(), page[m.end() : stop]
+        if name in RAW and not m[1] and not raw.endswith("/"):
+            shut = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            at = shut.end() if shut else end
+            out.append(Tag(lt, at, False, "", " "))
+        else:
+            out.append(Tag(lt, at, bool(m[1]), name, raw))
+    return out
+
+
+def _end_of_tag(page: str, at: int) -> int:
+    """The first ``>`` that isn't in a quoted value, or -1."""
+    while m := _STOP.search(page, at):
+        if page[m.start()] == ">":
+            return m.start()
+        at = page.find(page[m.end() - 1], m.end()) + 1
+        if not at:
+            break
+    return -1
+
+
+def muted_ends(found: list[Tag]) -> dict[int, int]:
+    """By place among the tags: the end tags of the ``MUTED`` elements that have one.
+
+    An element that is still open where an element around it ends, or where another of its
+    kind begins that can't lie in it, has none.
+    """
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+
+    def close(name: str) -> int:
+        while True:
+            top, i = stack.pop()
+            count[top] -= 1
+            if top == name:
+                return i
+
+    for i, t in enumerate(found):
+        if t.name not in MUTED and t.name not in BLOCKS or t.name in VOID:
+            continue
+        if not t.closing:
+            if t.name in MUTED and t.raw.endswith("/"):
+                continue
+            if t.name in ALONE and count.get(t.name):
+                close(t.name)
+            stack.append((t.name, i))
+            count[t.name] = count.get(t.name, 0) + 1
+        elif count.get(t.name):
+            start = close(t.name)
+            if t.name in MUTED:
+                ends[start] = i
+    return ends
+
+
 def parse(page: str) -> list[Node]:
-    """The page's tree in document order: elements that begin blocks, and runs of text (with ``text``)."""
+    """The page's tree in document order: elements that begin blocks, and runs of text (with ``text``).
+
+    Time and memory are in proportion to the page, however it is nested.
+    """
     nodes = [Node("#root", -1, ["t:#root"])]
     stack: list[int] = [0]
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
     parts: list[str] = []
     linked = in_link = 0
 
@@ -89,64 +192,51 @@ def parse(page: str) -> list[Node]:
                 nodes.append(n)
         linked = 0
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            parts.append(page[at:])
-            break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    def close_from(i: int) -> None:
+        for n in stack[i:]:
+            opened[nodes[n].tag].pop()
+        del stack[i:]
+
+    def innermost(names: set[str]) -> int:
+        return max((opened[t][-1] for t in names if opened.get(t)), default=0)
+
+    found = tags(page)
+    ends, at, i = muted_ends(found), 0, 0
+    while i < len(found):
+        t = found[i]
+        if t.start > at:
+            parts.append(page[at : t.start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            continue
-        tag, closing, raw = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
-        if tag in RAW:
-            if not closing and not raw.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*+>" + (r"|<body[\s>]" if tag == "head" else ""), re.I).search(page, at)
-                if tag == "head":
-                    at = (stop.start() if stop[0][:2] != "</" else stop.end()) if stop else at
-                else:
-                    at = stop.end() if stop else end
-                    parts.append(" ")
-            continue
-        if tag == "br":
+                linked += t.start - at
+        if i in ends:
+            i = ends[i]
+        at, tag, i = found[i].stop, t.name, i + 1
+        if not tag:
+            parts.append(t.raw)
+        elif tag == "br" or tag in MUTED:
             parts.append(" ")
-            continue
-        if tag == "a":
-            in_link = 0 if closing else 1
-            continue
-        if tag not in BLOCKS:
-            if not closing and tag not in VOID and "=" in raw and re.search(r"display\s*:\s*none|\bhidden\b", raw):
-                pass
-            continue
-        flush()
-        if tag in VOID:
-            continue
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    del stack[i:]
-                    break
-            in_link = 0
-            continue
-        if len(stack) > 1 and nodes[stack[-1]].tag == "p":
-            stack.pop()
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                open_ = nodes[stack[i]].tag
-                if open_ in FENCE[tag]:
-                    break
-                if open_ in CLOSES[tag]:
-                    del stack[i:]
-                    break
-        n = Node(tag, stack[-1], [f"t:{tag}", *_attributes(raw)])
-        nodes[stack[-1]].children.append(len(nodes))
-        stack.append(len(nodes))
-        nodes.append(n)
+        elif tag == "a":
+            in_link = 0 if t.closing else 1
+        elif tag in BLOCKS:
+            flush()
+            if tag in VOID:
+                continue
+            if t.closing:
+                if opened.get(tag):
+                    close_from(opened[tag][-1])
+                in_link = 0
+                continue
+            if nodes[stack[-1]].tag == "p":
+                close_from(len(stack) - 1)
+            if tag in CLOSES and (first := innermost(CLOSES[tag])) > innermost(FENCE[tag]):
+                close_from(first)
+            n = Node(tag, stack[-1], [f"t:{tag}", *_attributes(t.raw)])
+            nodes[stack[-1]].children.append(len(nodes))
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append(len(nodes))
+            nodes.append(n)
+    if at < len(page):
+        parts.append(page[at:])
     flush()
     return nodes
 

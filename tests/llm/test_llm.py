@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -101,6 +102,45 @@ def test_extraction_of_awkward_pages(spark):
     assert out[1]["text"] == out[2]["text"] == out[5]["text"] == "" and len(out) == 6
 
 
+UNCLOSED = ["button", "svg", "video", "math", "object", "select", "audio", "canvas", "template"]
+ARTICLE = [f"The {k} paragraph says many things, and it goes on for long. " * 4 for k in ("first", "second", "third")]
+
+
+@pytest.mark.parametrize("between", [f"<{t}>" for t in UNCLOSED] + ["<svg/>", "<button>Share</button>", "<svg><path d='M'/><title>icon</title></svg>", "<svg><svg>icon</svg>", "<button><button>Share</button>", "<!-- <p>icon</p> -->"])
+def test_nothing_is_lost_behind_an_element(between):
+    page = f"<title>T</title><nav><a href=/>Home</a></nav><article><h1>The title of this article</h1><p>{ARTICLE[0]}</p>{between}<p>{ARTICLE[1]}</p><p>{ARTICLE[2]}</p></article><footer><button>Top</button><svg>x</svg></footer>"
+    assert html_extract.train().extract(page).split("\n") == ["The title of this article", *(p.strip() for p in ARTICLE)]
+
+
+def test_formulas_stay_and_raw_text_goes():
+    m = html_extract.train()
+    page = f"<article><h1>The title of this article</h1><p>{ARTICLE[0]} It holds <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math>. {ARTICLE[1]}</p></article>"
+    assert "It holds E=m . The second" in m.extract(page)
+    assert m.extract(f"<article><p>{ARTICLE[0]}</p><script>if (a < b) {{}}</article>").strip() == ARTICLE[0].strip()
+    assert m.extract(f"<article><p>{ARTICLE[0]}</p><!-- no end {ARTICLE[1]}").strip() == ARTICLE[0].strip()
+    long = " ".join(f"w{i}" for i in range(200))
+    assert html_extract._attributes(f' class="{long} article-body"')[-2:] == ["a:article", "a:body"]
+
+
+HOSTILE = {
+    "no end": "<a " * 300_000, "quoted": '<a x=">" ' * 110_000, "unmatched": "<div>" * 80_000 + "</section>" * 60_000, "deep": "<div>" * 180_000,
+    "drawings": "<svg>" * 190_000, "cells": "<td><table>" + "<div>" * 90_000 + "<td></td>" * 60_000, "lists": "<ul><li>" * 110_000, "comments": "<!--" * 250_000,
+    "one quote": "<a x='" * 150_000 + ">", "two quotes": "<a =\"<a ='>" * 90_000, "names": '<p class="' + "a b " * 240_000 + '">x</p>', "references": "&lt" * 330_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_time_in_proportion(kind):
+    m, page = html_extract.train(), HOSTILE[kind]
+
+    def took(text):
+        began = time.process_time()
+        m.extract(text)
+        return time.process_time() - began
+
+    assert took(page) < 6  # quadratic work on a megabyte would take minutes
+
+
 def test_marginals_against_enumeration():
     nodes = html_extract.parse("<div class=ad><p>a b c.</p></div><article><p>d e f.</p></article>")
     html_extract.describe(nodes)
