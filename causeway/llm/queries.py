@@ -71,8 +71,8 @@ cut AS (
            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
     FROM cut
 )
-SELECT p.page_id, p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
-       coalesce(max_by(r.verdict, length(r.host || r.path)), 'allow') AS verdict
+SELECT p.page_id, p.host, p.path, max_by(r.host || r.path, (length(r.host || r.path), length(r.host))) AS rule,
+       coalesce(max_by(r.verdict, (length(r.host || r.path), length(r.host))), 'allow') AS verdict
 FROM parts p LEFT JOIN rules r
     ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
 GROUP BY p.page_id, p.host, p.path

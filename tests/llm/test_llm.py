@@ -377,9 +377,9 @@ def judged(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0].encode().translate(FOLD).decode()
     path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
-    fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    best = max(fit, default=(0, None, "allow"))
-    return host, path, best[1], best[2]
+    fit = [(len(h + p), len(h), h + p, v) for v, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=(0, 0, None, "allow"))
+    return host, path, best[2], best[3]
 
 
 URLS = [
@@ -397,6 +397,19 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0), url_filter.build([])).count() == 0
 
 
+def test_rules_of_equal_length_and_odd_rules(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PROBES", 3)
+    rules = [("allow", "a.com", "/x"), ("block", "com", "/xyz"), ("block", "com", "xyz"), ("block", "comxyz", "q"), ("allow", "b.com", ""), ("block", "b.com", ""), ("block", "", "/"), ("block", "x.net", "/a"), ("allow", "net", "/a/b")]
+    urls = ["http://a.com/xyz", "http://a.com/xy", "http://com/xyz", "http://comxyz", "http://comxyz/q", "http://b.com?", "http:///", "http://x.net/a/b", "http://y.x.net/a/", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([*rules, (None, "com", "/"), ("block", None, "/"), ("block", "com", None)], "verdict string, host string, path string")
+    for out in (url_filter.judge(df, url_filter.build(rules)), url_filter.judge_sharded(df, table, shards=3)):
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
+        assert [got[i] for i in range(len(urls))] == [judged(u, rules) for u in urls]
+    with pytest.raises(Exception, match="unknown verdict"):
+        url_filter.judge_sharded(df, spark.createDataFrame([("deny", "com", "/")], "verdict string, host string, path string")).collect()
+
+
 def test_sharded_rules_of_very_many_lengths(spark):
     rules = spark.range(1, 8001).select(F.lit("block").alias("verdict"), F.lit("a.com").alias("host"), F.expr("concat('/', repeat('x', 8000 - cast(id AS int)))").alias("path"))
     df = spark.createDataFrame([(k, "http://a.com/" + "x" * k) for k in range(60)], "page_id long, url string")
@@ -407,7 +420,7 @@ def test_sharded_rules_of_very_many_lengths(spark):
 def test_equal_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda raw: len(raw))
     index = url_filter.Index(np.frombuffer(url_filter.build([("block", "a.com", "/x"), ("allow", "b.com", "/y"), ("block", "b.com", "/y")]), np.uint8))
-    at = index.find(["a.com/x", "b.com/y", "c.com/z", "long.com/zz"])
+    at = index.find(["a.com\0/x", "b.com\0/y", "c.com\0/z", "long.com\0/zz"])
     assert at[0] >= 0 <= at[1] and at[0] != at[1] and at[2] == at[3] == -1 and index.verdicts[at[1]] == 1
 
 
