@@ -3,14 +3,16 @@
 How many rows of each input partition go to each shard is drawn first: row p of the
 matrix is multivariate hypergeometric given what the shards still take, so that its rows
 sum to the partitions' counts and its columns to the shards' sizes, and every assignment
-of rows to shards is equally likely. Each partition then permutes its rows and hands out
+of rows to shards is equally likely. It is drawn in two levels: the driver draws for blocks
+of partitions, of a bounded number, and tasks draw the partitions of each block, which given
+the block's row follow the same law. Each partition then permutes its rows and hands out
 that many to each shard; after the exchange each shard permutes again. Shard sizes differ
 by one at most, however the input lies and whatever it holds.
 
 Only ids, sizes and checksums travel; they are written to the shared folder first, with
-each row's partition and place, so that a lost executor can't draw again. The driver sees
-one count a partition. Rows are dealt one by one: repeated rows and equal texts are
-separate rows, each with its own slot. Null texts have size 8 and the checksum of nothing.
+each row's partition and place, so that a lost executor can't draw again. Rows are dealt
+one by one: repeated rows and equal texts are separate rows, each with its own slot. Null
+texts have size 8 and the checksum of nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,10 @@ from causeway.llm.common import cut, wrapped
 _NUMPY_MOST = 10**9
 #: Rows that one task orders in the second permutation, about.
 BUCKET_ROWS = 20_000
-#: A matrix of so many entries is broadcast at most; a larger one is joined.
+#: A matrix of so many entries is broadcast at most; a larger one is joined. The driver's own has as many at most.
 BROADCAST_ENTRIES = 1 << 20
+#: Blocks of partitions that the driver draws for, at most.
+BLOCKS = 1024
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -61,7 +66,7 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return mode
 
 
-def matrix(counts: list[int], sizes: list[int], seed: int = 0) -> np.ndarray:
+def matrix(counts: list[int], sizes: list[int], seed: int | list[int] = 0) -> np.ndarray:
     """Rows: partitions, columns: shards; row sums ``counts``, column sums ``sizes``."""
     if sum(counts) != sum(sizes):
         raise ValueError("the shards take as many rows as there are")
@@ -80,6 +85,24 @@ def shard_sizes(n: int, shards: int) -> list[int]:
     return [n // shards + (k < n % shards) for k in range(shards)]
 
 
+def dealt(counts: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``_part, _ends`` of ``_part, n``: how many rows of the partition go to the shards up to each one."""
+    spark = counts.sparkSession
+    last = counts.agg(F.max("_part")).collect()[0][0]
+    width = -(-((last or 0) + 1) // max(1, min(BLOCKS, BROADCAST_ENTRIES // shards)))
+    blocks = counts.withColumn("_block", F.floor(F.col("_part") / width))
+    sums = sorted((r[0], r[1]) for r in blocks.groupBy("_block").agg(F.sum("n")).collect())
+    drawn = matrix([n for _, n in sums], shard_sizes(sum(n for _, n in sums), shards), seed)
+    sizes = spark.createDataFrame([(b, m.tolist()) for (b, _), m in zip(sums, drawn, strict=True)], "_block long, _sizes array<long>")
+
+    def draw(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("_part")
+        own = matrix(x["n"].tolist(), [int(v) for v in x["_sizes"].iloc[0]], [seed, int(x["_block"].iloc[0]) + 1])
+        return pd.DataFrame({"_part": x["_part"], "_ends": own.cumsum(axis=1).tolist()})
+
+    return blocks.join(F.broadcast(sizes), "_block").groupBy("_block").applyInPandas(draw, "_part long, _ends array<long>")
+
+
 def shuffle_into(df: DataFrame, shards: int, seed: int = 0, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of every row (all by default), with ``shard`` and ``slot``.
 
@@ -88,14 +111,10 @@ def shuffle_into(df: DataFrame, shards: int, seed: int = 0, columns: list[str] |
     names = [c for c in columns or df.columns if c not in ("shard", "slot")]
     rows = cut(wrapped(df.select(*names), {"_at": F.monotonically_increasing_id()}), spread=True)
     rows = rows.withColumn("_part", F.shiftright("_at", 33))
-    spark = df.sparkSession
-    counts = sorted((r[0], r[1]) for r in rows.groupBy("_part").count().collect())
-    total = sum(n for _, n in counts)
-    dealt = matrix([n for _, n in counts], shard_sizes(total, shards), seed)
-    table = spark.createDataFrame(
-        [(p, np.cumsum(m).tolist()) for (p, _), m in zip(counts, dealt, strict=True)], "_part long, _ends array<long>"
-    )
-    if dealt.size <= BROADCAST_ENTRIES:
+    counts = cut(rows.groupBy("_part").agg(F.count("*").alias("n")))
+    parts, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
+    table = cut(dealt(counts, shards, seed))
+    if parts * shards <= BROADCAST_ENTRIES:
         table = F.broadcast(table)
     first = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed), F.lit("first"), "_at"), "_at")
     rows = rows.withColumn("_rank", F.row_number().over(first)).join(table, "_part")
@@ -114,7 +133,12 @@ def shuffle_into(df: DataFrame, shards: int, seed: int = 0, columns: list[str] |
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document, by rows."""
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every document.
+
+    The law is ``rows``: counts are at most one apart. So a group of equal texts is dealt like
+    any rows - one that holds a third of the table couldn't stay in one shard - and a row's
+    shard depends on all others, so ``grown_shard`` is null.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     out = shuffle_into(slim, shards, seed)
