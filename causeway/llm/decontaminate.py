@@ -4,13 +4,14 @@ A short item in a long document has a tiny Jaccard similarity, so sketches of eq
 would miss it. Here the items are partitioned by size (doubling classes), and an item's
 sketch is the k smallest hashes of its shingles, with k taken from the class's upper size
 so that a document which contains at least ``PERCENT`` of the item's shingles must hold
-one of them: no leak is missed, whatever the document's length. Documents' shingle hashes
-are probed against the sketches once; only the documents that hit are read again and
-verified by the exact containment of the item's shingles, as strings.
+one of them, or as many more as the item is smaller than its class (``need``): no leak is
+missed, whatever the document's length. Documents' shingle hashes are probed against the
+sketches of all classes in one pass; only the documents that hold enough of a sketch are
+read again and verified by the exact containment of the item's shingles, as strings.
 
 Shingles are five words, A-Z lower-cased; an item of fewer words is one shingle of its
-whole sequence and is found in documents of just that sequence. Items and documents
-without words match nothing. A null document id is kept as such; each row is a document of
+whole sequence and is found in documents of just that sequence: a few words inside a long
+text are no sign of a leak. Items and documents without words match nothing. A null document id is kept as such; each row is a document of
 its own, and repeated rows (equal in id and text) count once.
 """
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from causeway.llm.common import SHINGLE, SPACE, ascii_lower, cut, unwrapped, wrapped
 
 PERCENT = 80
-#: Rows of a sketch or of an item table that are broadcast at most.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a table that is broadcast, at most; a larger one is joined.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _LEAST = -(2**63)
 
 
@@ -50,17 +51,21 @@ def shingle_texts(words: str) -> Column:
 
 
 def item_table(items: DataFrame) -> DataFrame:
-    """``item_id, shingles, n, sketch`` of the items that have words."""
+    """``item_id, shingles, n, sketch, need`` of the items that have words."""
     own = items.where("item_id IS NOT NULL").select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     own = own.select("item_id", shingle_texts("w").alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes("w"))).alias("h")).distinct()
     n = F.size("shingles")
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")))).cast("int")
-    k = upper - F.ceil(upper * PERCENT / 100).cast("int") + 1
-    return own.select("item_id", "shingles", n.alias("n"), F.slice("h", F.lit(1), k).alias("sketch"))
+    missing = lambda m: m - F.ceil(m * PERCENT / 100).cast("int")
+    own = own.select("item_id", "shingles", n.alias("n"), F.slice("h", F.lit(1), missing(upper) + 1).alias("sketch"))
+    return own.withColumn("need", F.size("sketch") - missing(F.col("n")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: Column | int) -> DataFrame:
+    """``df`` for a broadcast, if its rows are few and their bytes (``size`` a row, about) too."""
+    size = size if isinstance(size, Column) else F.lit(size)
+    rows, total = df.select(size.cast("long").alias("b")).limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).collect()[0]
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -68,14 +73,17 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     table = cut(item_table(items))
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("_id"), F.xxhash64(text).alias("_t"))
-    sketch = _small(cut(table.select("item_id", F.explode("sketch").alias("h"))))
+    sketch = _small(cut(table.select("item_id", "need", F.explode("sketch").alias("h"))), 32)
     probes = keyed.select("_id", "_t", words_of(F.col("text")).alias("w")).select("_id", "_t", F.explode(shingle_hashes("w")).alias("h"))
-    hits = probes.join(sketch, "h").select("_id", "_t", "item_id").distinct()
+    hits = probes.join(sketch, "h").groupBy("_id", "_t", "item_id").agg(F.collect_set("h").alias("h"), F.max("need").alias("need"))  # a sketch's hashes at most
+    hits = hits.where(F.size("h") >= F.col("need"))
     # one row a document, with the items to verify: at most as many as there are items
-    found = _small(cut(hits.groupBy("_id", "_t").agg(F.collect_list("item_id").alias("found"))))
+    found = cut(hits.groupBy("_id", "_t").agg(F.collect_list("item_id").alias("found")))
+    found = _small(found, 32 + 8 * F.size("found"))
+    table = _small(table.drop("sketch", "need"), F.expr("16 + aggregate(shingles, 0L, (a, s) -> a + 16 + octet_length(s))"))
     again = keyed.join(found, ["_id", "_t"]).dropDuplicates(["_id", "_t"])
     again = again.select("_id", "_t", "doc_id", "found", words_of(F.col("text")).alias("w")).select("_id", "_t", "doc_id", "found", shingle_texts("w").alias("own"))
-    pairs = again.select("_id", "_t", "doc_id", "own", F.explode("found").alias("item_id")).join(_small(table.drop("sketch")), "item_id")
+    pairs = again.select("_id", "_t", "doc_id", "own", F.explode("found").alias("item_id")).join(table, "item_id")
     shared = pairs.withColumn("shared", F.size(F.array_intersect("shingles", "own")))
     return shared.where(100 * F.col("shared") >= PERCENT * F.col("n")).select("_id", "_t", "doc_id", "item_id", F.col("n").cast("long").alias("item_shingles"), F.col("shared").cast("long").alias("shared"))
 
@@ -87,7 +95,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a leak, with their own columns."""
-    gone = _small(cut(leaks(docs.select("doc_id", "text"), items).select("_id", "_t").distinct()))
+    gone = _small(cut(leaks(docs.select("doc_id", "text"), items).select("_id", "_t").distinct()), 32)
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = wrapped(docs, {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "_t": F.xxhash64(text)})
     return unwrapped(marked.join(gone, ["_id", "_t"], "left_anti"), docs.columns)
