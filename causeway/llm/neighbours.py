@@ -4,9 +4,10 @@ The graph starts from exact neighbours inside blocks of points that lie on the s
 of random planes. Then, round by round, every point joins its neighbours and the points that
 have it as a neighbour with each other: neighbours of neighbours become candidates, and a
 candidate nearer than a point's last neighbour replaces it. Only pairs with an entry that
-is new since the last round are looked at. Rounds are Spark joins of the edge table with
-the vectors, and end when few entries change. A point that very many have as a neighbour
-hands on a part of them, dealt by hash, each round.
+is new since the last round are looked at, so the vectors travel only to points with such
+an entry. Rounds are Spark joins of the edge table with the vectors, and end when few
+entries change (``ENOUGH``; ``ROUNDS`` at the latest). A point that very many have as a
+neighbour hands on a part of them, dealt by hash, each round.
 
 A search keeps, for each query, the ``beam`` nearest points found; each round it visits the
 neighbours of the nearest ones not yet expanded, and it ends when all of them are. Queries
@@ -19,8 +20,9 @@ however many rows share a vector.
 Graph building works on the vectors as they are, in single precision if that is how they
 are given, else in double, and computes in double; so no row's size changes what is kept
 of another. Distances that are returned are Euclidean, in double precision. Vectors that
-are null, empty, zero, or hold null or non-finite components take no part, nor do those
-whose length isn't the commonest one. Rows that share an id count once.
+are null, empty, zero, or hold null or non-finite components take no part. A distance needs
+equal lengths, so vectors of each length are searched by themselves. Rows that share an id
+count once.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ DEGREE, BEAM, EXPAND = 40, 192, 48
 BROADCAST_QUERIES = 20_000
 #: Points of an initial block; how often blocks are made, from how many planes.
 SEED_BLOCK, SEED_PASSES, SEED_PLANES = 512, 3, 12
-ROUNDS, ENOUGH = 7, 0.01
+#: Rounds at most, and the share of entries that ends them when no more are new.
+ROUNDS, ENOUGH = 30, 0.01
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -49,8 +52,6 @@ def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding")
     own = df.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), x.alias("x"))
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     own = own.where(~F.exists("x", bad)).where(F.exists("x", lambda v: v != 0))
-    sizes = own.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    own = own.where(F.size("x") == (sizes[0]["d"] if sizes else 0))
     return cut(own.groupBy("id").agg(F.max("x").alias("x")))
 
 
@@ -164,7 +165,9 @@ def build_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS,
         hubs = edges.groupBy("other").agg(F.count("*").alias("n")).where(F.col("n") > degree)
         draw = F.pmod(F.xxhash64(F.lit(turn), "id", "other"), F.lit(1 << 20)) / (1 << 20)
         back = edges.join(hubs, "other", "left").where(F.col("n").isNull() | (draw < degree / F.col("n"))).select(F.col("other").alias("id"), F.col("id").alias("other"), "new")
-        around = edges.union(back).groupBy("id", "other").agg(F.max("new").alias("new"))
+        # dealt by the point alone, which serves the window too: points without a new entry have no pair to look at
+        around = edges.union(back).repartition(shuffle_partitions(spark), "id").groupBy("id", "other").agg(F.max("new").alias("new"))
+        around = around.withColumn("any", F.max("new").over(Window.partitionBy("id"))).where("any").drop("any")
         last = F.when(F.size("near") >= degree, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf")))
         ends = vectors.join(graph, "id", "left").select(F.col("id").alias("other"), "v", F.coalesce(last, F.lit(float("inf"))).alias("last"))
         local = around.join(ends, "other").select("id", "other", "new", "v", "last")
@@ -191,11 +194,11 @@ def _local_join(kind: str):
     return run
 
 
-def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, expand: int = EXPAND, most: int = 64) -> DataFrame:
+def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """The ``k`` nearest found of each query: ``query_id, rank, vec_id, score``.
 
     ``queries``: ``query_id, q`` (array of double) and ``start``, the ids to start from.
-    The query's own id is no candidate.
+    The query's own id is no candidate. A search ends, as a point is expanded once for a query.
     """
     near = graph.select("id", F.transform("near", lambda e: e["other"]).alias("near"))
     asked = cut(queries.select("query_id", "q"))
@@ -203,7 +206,7 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = 10,
         asked = F.broadcast(asked)
     tries = queries.select("query_id", F.explode("start").alias("id")).distinct()
     state = None  # query_id, found: array of (d, id, done), nearest first
-    for _ in range(most):
+    while True:
         there = tries.join(points, "id").join(asked, "query_id")
         scored = there.mapInArrow(_distances, "query_id long, id long, d double").where("id <> query_id")
         rows = scored.select("query_id", F.struct("d", "id", F.lit(False).alias("done")).alias("e"))
@@ -223,8 +226,6 @@ def search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int = 10,
             break
         seen = state.select("query_id", F.explode("found").alias("e")).select("query_id", F.col("e.id").alias("id"))
         tries = front.join(near, "id").select("query_id", F.explode("near").alias("id")).distinct().join(seen, ["query_id", "id"], "left_anti")
-    if state is None:
-        raise ValueError("a search takes one round at least")
     return state.select("query_id", F.posexplode(F.slice("found", 1, k)).alias("pos", "e")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.id").alias("vec_id"), F.col("e.d").alias("score"))
 
 
@@ -238,12 +239,22 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def self_search(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
-    """Neighbours of the rows whose id is divisible by ``every``, among all other rows.
+    """``query_id, rank, vec_id, score``: neighbours of the rows whose id is divisible by ``every``,
+    among all other rows."""
+    points, kind = usable(df), kind_of(df)
+    sizes = sorted(r[0] for r in points.groupBy(F.size("x")).count().collect())
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in sizes:
+        out = out.union(_self_search(points.where(F.size("x") == d), kind, every, k))
+    return out
+
+
+def _self_search(points: DataFrame, kind: str, every: int, k: int) -> DataFrame:
+    """``self_search`` over vectors of one length.
 
     Should a query's part of the graph hold fewer than ``k`` points, it is asked again from
     points all over the graph.
     """
-    points, kind = usable(df), kind_of(df)
     nodes = distinct(points, k + 1)
     graph = build_graph(packed(nodes, kind), kind=kind)
     asked = points.where(F.pmod("id", F.lit(every)) == 0)
