@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a grouped prefix join over word shingles, exact at its threshold.
 
 Documents with equal shingle sets are one class. Shingles are put in one global order,
-rare ones first, by their counts over all documents in a count sketch of fixed size (the
+rare ones first, by their counts over all documents in a count sketch of bounded size (the
 sketch only orders: any order gives the same result). Two sets as similar as the threshold
 share a shingle in their prefixes, so prefixes alone are joined. Classes with the same
 prefix and size are one group and take part once; group pairs are filtered by size and by
@@ -34,28 +34,36 @@ from causeway.llm.components import components
 
 #: Links need a similarity of PERCENT / 100.
 PERCENT = 80
-#: Counters of the sketch (a power of two), and of one of its pieces.
-SKETCH, PIECE = 1 << 21, 1 << 15
+#: Counters of the sketch (powers of two; eight a document within these), and of one of its pieces.
+SKETCH, SKETCH_MOST, PIECE = 1 << 21, 1 << 24, 1 << 15
 #: Longest list whose pairs are enumerated; longer ones form clusters.
 LONGEST = 32
 BLOCK, CHUNK = 256, 2048
 #: Counts from here on are one in ``cut``, whose upper 20 bits hold them.
 COMMON = (1 << 20) - 1
-#: Bits of the filter that says which documents' sets are wanted.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that says which documents' sets are wanted (powers of two; eight an id within these).
+FILTER_BITS, FILTER_MOST = 1 << 25, 1 << 28
+#: Pairs of one document that a task verifies, about.
+PAIRS = 4096
 
 
 def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def sized(n: int, least: int, most: int) -> int:
+    """Eight for each of ``n``, as a power of two within bounds."""
+    return min(most, max(least, 1 << max(0, 8 * n - 1).bit_length()))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """``x`` in the smallest type that holds it."""
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if x.max() <= np.iinfo(k).max)
+    return np.dtype(kind).itemsize.to_bytes(1, "little") + x.astype(kind).tobytes()
+
+
 def _pieces(array: np.ndarray, part: int) -> pa.RecordBatch:
-    """``array`` in pieces, each in the smallest type that holds it."""
-    raw = []
-    for at in range(0, len(array), PIECE):
-        x = array[at : at + PIECE]
-        kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if x.max() <= np.iinfo(k).max)
-        raw.append(np.dtype(kind).itemsize.to_bytes(1, "little") + x.astype(kind).tobytes())
+    raw = [_packed(array[at : at + PIECE]) for at in range(0, len(array), PIECE)]
     n = len(raw)
     return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([part >> 8] * n, pa.int32()), pa.array(raw, pa.binary())], names=["piece", "lot", "raw"])
 
@@ -64,17 +72,17 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
 
 
-def _summed(pieces: DataFrame, size: int, how) -> np.ndarray:
-    """Combine the partitions' arrays piece by piece; what reaches the driver has a fixed size."""
+def _summed(pieces: DataFrame, size: int, how, kind=np.uint64) -> np.ndarray:
+    """Combine the partitions' arrays piece by piece; what reaches the driver has a bounded size."""
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros(PIECE, np.uint64)
         for raw in table.column("raw"):
             x = _unpack(raw.as_py())
             total[: len(x)] = how(total[: len(x)], x)
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "raw": pa.array([b"\x08" + total.tobytes()], pa.binary())})
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "raw": pa.array([_packed(total)], pa.binary())})
 
     lots = pieces.groupBy("piece", "lot").applyInArrow(merge, "piece int, raw binary")
-    out = np.zeros(size, np.uint64)
+    out = np.zeros(size, kind)
     for r in lots.groupBy("piece").applyInArrow(merge, "piece int, raw binary").collect():
         x = _unpack(bytes(r["raw"]))[: size - r["piece"] * PIECE]
         out[r["piece"] * PIECE :][: len(x)] = x
@@ -231,7 +239,7 @@ def _short(h, gid, meta, starts, long_rows, names) -> Iterator[pa.RecordBatch]:
 
 
 def wanted(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of fixed size that holds all ``ids`` (one long column), and some more."""
+    """A filter of bounded size that holds all ``ids`` (one long column), and some more."""
     mask = np.uint64(bits - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +252,13 @@ def wanted(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
         if all_pieces is not None:
             yield all_pieces.take(pa.array(at))
 
-    out = _summed(ids.mapInArrow(run, "piece int, lot int, raw binary"), bits // 8, lambda a, x: a | x)
-    return out.astype(np.uint8)
+    return _summed(ids.mapInArrow(run, "piece int, lot int, raw binary"), bits // 8, lambda a, x: a | x, np.uint8)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, shingles`` (sorted 64-bit hashes) of the documents in ``ids``, and of a few others."""
-    found = wanted(ids)
+    """``doc_id, shingles`` (sorted 64-bit hashes) of the documents in ``ids``, and of a few others
+    (of all, where there are more ids than the filter has room for)."""
+    found = wanted(ids, sized(ids.count(), FILTER_BITS, FILTER_MOST))
     given, mask = docs.sparkSession.sparkContext.broadcast(found), np.uint64(8 * len(found) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +280,10 @@ def similar(both, n1, n2):
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``a, b`` whose sets are similar enough."""
+    """The ``a, b`` whose sets are similar enough.
+
+    A document of very many pairs, such as a cluster's leader, lends its set to several tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -288,9 +299,19 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if len(keep):
                 yield keep
 
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = pairs.select("a", "b")
+    busy = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > PAIRS)
+    busy = cut(busy.select("id", F.ceil(F.col("n") / PAIRS).cast("int").alias("parts")))
+    one = F.lit(0)
+    if busy.limit(1).count():
+        for end, other in (("a", "b"), ("b", "a")):
+            parts = busy.select(F.col("id").alias(end), F.col("parts").alias("parts"))
+            pairs = pairs.join(parts, end, "left").withColumn(f"{end}_part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        sets = sets.join(busy.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("part", F.explode(F.sequence(one, F.coalesce("parts", F.lit(1)) - 1)))
+    else:
+        pairs, sets = pairs.withColumns({"a_part": one, "b_part": one}), sets.withColumn("part", one)
+    x, y = (sets.select(F.col("doc_id").alias(end), F.col("part").alias(f"{end}_part"), F.col("shingles").alias(c)) for end, c in (("a", "x"), ("b", "y")))
+    return pairs.join(x, ["a", "a_part"]).join(y, ["b", "b_part"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _block_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -344,7 +365,7 @@ def straggler_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     small_batches(docs.sparkSession)
-    table = prefixes(docs, shingle_counts(docs))
+    table = prefixes(docs, shingle_counts(docs, sized(docs.count(), SKETCH, SKETCH_MOST)))
     full = table.where("n > 0")
     classes = cut(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("ps").alias("ps")))
     in_groups = cut(classes.join(classes.groupBy("n", "ps").agg(F.min("rep").alias("gid"), F.count("*").alias("size")), ["n", "ps"]).select("gid", "rep", "size"))
