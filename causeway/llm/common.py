@@ -42,8 +42,9 @@ def cut(df: DataFrame, spread: bool = False) -> DataFrame:
 
     Slim tables go to two files a core at most, since a file costs more than its rows;
     tables of the corpus's size stay ``spread`` over their own partitions, as do those
-    whose rows name their task's partition. Spark deletes the files when nothing refers
-    to them any more.
+    whose rows name their task's partition. Where the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, Spark deletes the files when
+    nothing refers to them any more; else they stay until the folder is emptied.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)

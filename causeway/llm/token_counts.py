@@ -34,14 +34,22 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, folder: str | None = None, vocab=None) -> DataFrame:
+def remove(folder: str) -> None:
+    """Delete a folder with all in it, if it is there."""
+    from pyarrow import fs
+
+    system, path = filesystem(folder)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
+def write_token_files(docs: DataFrame, folder: str, vocab=None) -> DataFrame:
     """Write one flat file a partition; returns ``path, ordinal, doc_id`` of what was written.
 
     The returned table was written with the files: files of task attempts that it doesn't
     name are remains of failed ones.
     """
     vocab = vocab or vocabulary()
-    folder = folder or f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     small_batches(docs.sparkSession)
     separator = vocab[2]
 
@@ -112,8 +120,13 @@ def scan(spark: SparkSession, paths: list[str] | DataFrame, separator: int, dtyp
 
 
 def count_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens`` of every document, by writing flat token files and scanning them."""
+    """``doc_id, n_tokens`` of every document, by writing flat token files and scanning them.
+
+    The files go when they have been scanned: what was found is in the shared folder then.
+    """
     vocab = vocabulary()
-    written = write_token_files(docs, vocab=vocab)
+    folder = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    written = write_token_files(docs, folder, vocab)
     counts = scan(docs.sparkSession, written.select("path"), vocab[2])
+    remove(folder)
     return written.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")

@@ -1,7 +1,8 @@
 """Byte-level BPE token ids from the public vocabulary files, for Arrow batches.
 
 The ``.tiktoken`` file holds the vocabulary of the ``.json`` file as ranks; its library
-gives the same ids several times faster (``tests/llm/test_tokens.py`` compares them).
+gives the same ids several times faster (``tests/llm`` compares them). Ids are kept in 16
+bits (``ID``), so a vocabulary with larger ones is refused.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 END = "<|endoftext|>"
+ID = np.dtype("<u2")
 
 
 @lru_cache(maxsize=4)
@@ -20,6 +22,8 @@ def _encoding(path: str, pattern: str, end_id: int):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(end_id, *ranks.values()) > np.iinfo(ID).max:
+        raise ValueError(f"{path} has ids of more than 16 bits")
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={END: end_id})
 
 
@@ -37,5 +41,3 @@ def encoder(vocab: tuple[str, str, int], special: bool = True):
         return lambda t: e.encode_to_numpy(t or "", allowed_special="all")
     return lambda t: e.encode_to_numpy(t or "", allowed_special=set(), disallowed_special=())
 
-
-ID = np.dtype("<u2")

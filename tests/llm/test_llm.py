@@ -232,6 +232,35 @@ def test_graph_beside_a_large_row(spark, monkeypatch, large):
     assert np.mean(hits) >= 9
 
 
+def test_recall_of_small_seed_blocks(spark, monkeypatch):
+    """Blocks of 16 points alone find little, so the rounds have to; one row is far larger than the others."""
+    monkeypatch.setattr(neighbours, "SEED_BLOCK", 16)
+    monkeypatch.setattr(neighbours, "DEGREE", 12)
+    x = np.random.default_rng(3).normal(size=(4000, 10)).astype(np.float32)
+    x[17] *= 1e8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    seeds = neighbours._best(neighbours._seed(neighbours.packed(df), 12, 1, "<f8").withColumn("new", F.lit(True)), 12)
+    rounds = neighbours.build_graph(neighbours.packed(df), 12)
+    want = {i: set(np.argsort(np.where(np.arange(4000) == i, np.inf, ((x - x[i]) ** 2).sum(axis=1)))[:10].tolist()) for i in range(0, 4000, 40)}
+    recall = [np.mean([len(want[r["id"]] & {e["other"] for e in r["near"][:10]}) / 10 for r in g.where("id % 40 = 0").collect()]) for g in (seeds, rounds)]
+    assert recall[0] < 0.5 and recall[1] > 0.9
+    got, want = neighbours_of(spark, x)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want]) >= 9
+
+
+def test_neighbours_of_several_lengths_and_clashing_names(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3 if i % 2 else 5).tolist(), 1, "x", 2.0, [1.0]) for i in range(60)] + [(100, [1.0, 2.0, 3.0], 1, "x", 2.0, [1.0]), (200, [1.0], 1, "x", 2.0, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, x string, v double, near array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.self_search(df).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["vec_id"])
+    for q in (0, 100):
+        own = {i: np.linalg.norm(np.subtract(e, rows[0 if q == 0 else 60][1])) for i, e, *_ in rows if len(e) == (5 if q == 0 else 3) and i != q}
+        assert got[q] == sorted(own, key=own.get)[:10]
+    assert set(got) == {0, 100}  # the only vector of its length has no neighbour
+
+
 def test_neighbours_of_copies_only(spark):
     got, want = neighbours_of(spark, np.ones((250, 3), np.float32))
     assert got == want
@@ -500,8 +529,11 @@ def near_copies(rng, base, n, most):
 
 @pytest.mark.parametrize("longest", [32, 2])
 def test_jaccard_classes(spark, monkeypatch, longest):
-    """With a small ``LONGEST`` the clusters, leaders and stragglers are at work."""
+    """With a small ``LONGEST`` the clusters, leaders and stragglers are at work, with few ``PAIRS`` the leaders' copies."""
     monkeypatch.setattr(jaccard_join, "LONGEST", longest)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 4 if longest == 2 else 4096)
+    monkeypatch.setattr(jaccard_join, "FILTER_MOST", 1 << 8 if longest == 2 else 1 << 28)
+    monkeypatch.setattr(jaccard_join, "FILTER_BITS", 1 << 8 if longest == 2 else 1 << 25)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     monkeypatch.setattr(jaccard_join, "CHUNK", 16)
     rng = np.random.default_rng(longest)
@@ -514,7 +546,7 @@ def test_jaccard_classes(spark, monkeypatch, longest):
 
 def test_jaccard_of_very_common_shingles(spark, monkeypatch):
     counts = jaccard_join.shingle_counts
-    monkeypatch.setattr(jaccard_join, "shingle_counts", lambda docs: counts(docs) * np.uint64(1 << 20))  # as in a corpus a million times larger
+    monkeypatch.setattr(jaccard_join, "shingle_counts", lambda *x: counts(*x) * np.uint64(1 << 20))  # as in a corpus a million times larger
     rng = np.random.default_rng(5)
     rows = []
     for i in range(30):
@@ -596,6 +628,21 @@ def test_matrix():
         sharding.matrix([3], [2])
 
 
+def test_two_levels_draw_by_the_same_law(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCKS", 2)
+    counts = spark.createDataFrame([(0, 2), (1, 2), (2, 1), (3, 3)], "_part long, n long")
+    want = {0: 2, 1: 2, 2: 1, 3: 3}
+    draws = []
+    for seed in range(40):
+        rows = {r["_part"]: np.diff([0, *r["_ends"]]) for r in sharding.dealt(counts, 2, seed).collect()}
+        assert {p: x.sum() for p, x in rows.items()} == want and sum(rows.values()).tolist() == [4, 4]
+        draws.append(rows[1][0])
+    assert abs(np.mean(draws) - 1) < 0.4 and set(draws) == {0, 1, 2}
+    blocks = [sharding.matrix([4, 4], [4, 4], s)[0] for s in range(4000)]  # two partitions of two rows from a block's row
+    inner = [sharding.matrix([2, 2], list(m), [s, 1])[0, 0] for s, m in enumerate(blocks)]
+    assert np.allclose(np.bincount(inner, minlength=3) / 4000, [6 * 1 / 28, 16 / 28, 6 * 1 / 28], atol=0.03)
+
+
 def test_large_populations():
     rng = np.random.default_rng(1)
     x = [sharding._hypergeometric(rng, 2 * 10**9, 10**9, 3000) for _ in range(300)]
@@ -619,7 +666,9 @@ def test_sharding(spark):
 # --- 10 --------------------------------------------------------------------------------------
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_decontamination(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     rng = np.random.default_rng(0)
     text = lambda n: " ".join(f"t{rng.integers(0, 3000)}" for _ in range(n))
     items = [(i, text(int(n))) for i, n in enumerate(rng.integers(5, 60, 25))] + [(50, "two words"), (51, None), (52, ""), (53, PASSAGE), (53, PASSAGE), (None, PASSAGE)]
