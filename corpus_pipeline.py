@@ -1,8 +1,9 @@
 """Corpus pipeline: toxicity, line dedup, near duplicates, benchmark decontamination, packing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again; all but the
-last return the columns of ``documents``. A document whose lines are all dropped stays as
-an empty text.
+last return the columns of ``documents`` (``COLUMNS``), and any further column ends in the
+first. A document whose lines are all dropped stays as an empty text. Null ids are documents
+that no stage but toxicity, line dedup and decontamination takes away.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from causeway.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
 from causeway.llm.common import checkpoint_dir, read
+from causeway.llm.token_counts import remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,10 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what they hand on lies in the shared folder."""
+    """All stages over ``documents``; what they hand on lies in the shared folder, and goes when
+    the next stage has written its own (packing writes its tokens before it returns)."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), ""
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        stage(spark, docs, sf_dir).write.parquet(at := f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(at)
+        if last:
+            remove(last)
+        last = at
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(folder)
+    return out
