@@ -100,6 +100,24 @@ def select_features(rows: DataFrame, positive: int, negative: int) -> list[int]:
     return [r[0] for r in c.orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect()]
 
 
+def objective(w: np.ndarray, bias: float, r: np.ndarray, k: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, pairing: float, ridge: float) -> tuple[float, np.ndarray, float]:
+    """The loss and its slopes in the weights and the bias.
+
+    ``r, k``: row and column of each present feature; ``left, right``: rows that are each
+    other's counterfactual. The loss is the mean log loss, ``pairing`` times the mean squared
+    gap between the scores of counterfactuals, and a ridge.
+    """
+    n, m = len(y), len(w)
+    z = np.clip(np.bincount(r, w[k], n) + bias, -40, 40)
+    p = 1 / (1 + np.exp(-z))
+    gap, slope = p[left] - p[right], p * (1 - p)
+    d = (p - y) / n
+    np.add.at(d, left, 2 * pairing * gap * slope[left] / len(left))
+    np.add.at(d, right, -2 * pairing * gap * slope[right] / len(right))
+    loss = (np.logaddexp(0, z) - y * z).mean() + pairing * (gap**2).mean() + ridge / n * (w @ w) / 2
+    return float(loss), np.bincount(k, d[r], m) + ridge / n * w, float(d.sum())
+
+
 def fit(rows: list[tuple[int, np.ndarray]], pairing: float = 1.0, ridge: float = 1e-3, steps: int = 300, seed: int = 0) -> Model:
     """``rows``: label and sorted chosen features of each text. Without both labels, a constant score."""
     y = np.array([r[0] for r in rows], float)
@@ -125,17 +143,11 @@ def fit(rows: list[tuple[int, np.ndarray]], pairing: float = 1.0, ridge: float =
     column = {int(f): i for i, f in enumerate(names)}
     r = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
     k = np.concatenate(sets)
-    y, n, m = np.array(labels, float), len(sets), len(column)
+    y, m = np.array(labels, float), len(column)
     left, right = np.array(left), np.array(right)
     w, bias, g2, b2 = np.zeros(m), float(np.log(pos / neg)), np.full(m, 1e-8), 1e-8
     for _ in range(steps):  # AdaGrad on the whole sample: deterministic, no step size to tune
-        zz = np.bincount(r, w[k], n) + bias
-        p = 1 / (1 + np.exp(-np.clip(zz, -40, 40)))
-        d = (p - y) / n
-        gap, slope = p[left] - p[right], p * (1 - p)
-        np.add.at(d, left, 2 * pairing * gap * slope[left] / len(left))
-        np.add.at(d, right, -2 * pairing * gap * slope[right] / len(right))
-        gw, gb = np.bincount(k, d[r], m) + ridge / n * w, d.sum()
+        _, gw, gb = objective(w, bias, r, k, y, left, right, pairing, ridge)
         g2 += gw**2
         b2 += gb**2
         w -= 0.3 * gw / np.sqrt(g2)

@@ -1,7 +1,9 @@
 """The training-data operators against brute force, on small tables with every awkward row."""
 
 import collections
+import fractions
 import hashlib
+import pathlib
 import re
 import time
 import zlib
@@ -356,6 +358,28 @@ def test_mixture_of_very_many_sources(spark):
         assert sum(r["n"] for r in own) == 4500 * each
 
 
+def test_schedule_against_rounds():
+    """The closed form against the rounds themselves, a window at a time, with exact fractions."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        totals = [int(rng.integers(1, 900)) for _ in range(rng.integers(1, 6))]
+        targets = None if rng.random() < 0.5 else [float(rng.choice([0, 0.25, 1])) for _ in totals]
+        window, quantum = int(rng.choice([64, 300])), int(rng.choice([1, 7, 64]))
+        p = packing.Schedule(totals, targets, window, quantum)
+        earned, r = [fractions.Fraction(0)] * len(totals), 0
+        weights = totals if targets is None else [int(1_000_000 * t) for t in targets]
+        for late in (False, True):  # queues with no target of their own come last
+            own = [s for s, w in enumerate(weights) if (not w) == late]
+            share = {s: weights[s] or totals[s] for s in own}
+            while live := [s for s in own if earned[s] < totals[s]]:
+                for s in live:
+                    earned[s] += fractions.Fraction(window * share[s], sum(share[x] for x in live))
+                r += 1
+                handed = [t if e >= t else int(e) // quantum * quantum for e, t in zip(earned, totals, strict=True)]
+                assert p.given(r) == handed, (totals, targets, window, quantum, r)
+        assert p.windows == r
+
+
 def test_schedule():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -483,6 +507,41 @@ def test_toxicity(spark):
     assert kept.columns == df.columns and kept.count() == sum(1 - r["predicted"] for r in out)
 
 
+def test_slopes_of_the_counterfactual_loss():
+    rng = np.random.default_rng(6)
+    n, m = 30, 12
+    r, k = (x.astype(np.int32) for x in np.nonzero(rng.random((n, m)) < 0.4))
+    y, left, right = rng.integers(0, 2, n).astype(float), rng.permutation(n)[:8], rng.permutation(n)[:8]
+    w, bias, more = rng.normal(size=m), 0.3, (r, k, y, left, right, 1.7, 0.5)
+    loss, slopes, slope = toxicity.objective(w, bias, *more)
+    x = np.zeros((n, m))
+    x[r, k] = 1
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    assert loss == pytest.approx(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 1.7 * np.mean((p[left] - p[right]) ** 2) + 0.5 / n * (w**2).sum() / 2)
+    step = 1e-6 * np.eye(m)
+    assert slopes == pytest.approx([(toxicity.objective(w + s, bias, *more)[0] - toxicity.objective(w - s, bias, *more)[0]) / 2e-6 for s in step], abs=1e-6)
+    assert slope == pytest.approx((toxicity.objective(w, bias + 1e-6, *more)[0] - toxicity.objective(w, bias - 1e-6, *more)[0]) / 2e-6, abs=1e-6)
+
+
+def test_scores_against_recomputation(spark):
+    rows = [(i, f"Word{i % 7}, (bad{i % 3})! ÉTÉ {'x' * (i % 9)} ~ nice" if i % 3 else f"good{i % 5} text") for i in range(120)] + ODD
+    lab = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)] + [(0, None), (3, None), (200, 1)], "doc_id long, toxic int")
+    df = docs(spark, rows + rows[:5])  # repeated rows, and null labels beside others
+    model = toxicity.train(df, lab)
+
+    def plainly(text):
+        names = set()
+        for w in (text or "").lower().split():
+            w = re.sub(r"^[\W_]+|[\W_]+$", "", w)
+            names |= {w, *("^" + w[:n] for n in (3, 4, 5) if len(w) >= n)} - {""}
+        z = model.bias + sum(model.weights.get(c, 0.0) for c in {zlib.crc32(x.encode()) for x in names})
+        return 1 / (1 + np.exp(-z))
+
+    out = toxicity.digest(df, lab).collect()
+    want = collections.Counter((i, round(plainly(t), 9)) for i, t in rows + rows[:5])
+    assert collections.Counter((r["doc_id"], round(r["score"], 9)) for r in out) == want and len(model.weights) > 10
+
+
 def test_toxicity_without_usable_labels(spark):
     none = spark.createDataFrame([(None, 1), (1, None), (2, 7)], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.digest(docs(spark), none).collect()} == {0.5}
@@ -719,3 +778,29 @@ def test_pipeline(spark, sf_dir):
     assert sorted(texts[3]) == sorted((i, t) for i, t in texts[2] if not leaked(t))
     check_pieces(frame.collect(), texts[3], 1024)
     assert sorted(map(tuple, pipeline.run(spark, sf_dir).select("doc_id", "start", "length").collect())) == sorted(map(tuple, frame.select("doc_id", "start", "length").collect()))
+    assert not list(pathlib.Path(folder.removeprefix("file:")).glob("pipeline-*/*"))
+
+
+def test_pipeline_of_odd_tables(spark, sf_dir, tmp_path):
+    import corpus_pipeline as pipeline
+
+    for t in ("labels", "benchmark"):
+        common.read(spark, sf_dir, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    line = "\nthis very line is in many documents\n"
+    rows = [(None, None), (None, PASSAGE), (None, f"one{line}two"), (5, f"three{line}four"), (6, f"five{line}six"), (7, ""), (8, PASSAGE), (8, PASSAGE)]
+    odd = spark.createDataFrame([(i, t, None, None, None, "more") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, text_crc32 string")
+    for k, (df, want) in enumerate(((odd, len(rows)), (odd.limit(0), 0))):
+        df.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            (tmp_path / str(k) / f"{t}.parquet").symlink_to(tmp_path / f"{t}.parquet")
+        frame = common.read(spark, f"{tmp_path}/{k}", "documents")
+        for name, f in pipeline.STAGES[:-1]:
+            out = f(spark, frame, f"{tmp_path}/{k}")
+            assert out.columns == pipeline.COLUMNS
+            out.write.parquet(f"{tmp_path}/{k}/{name}")
+            frame = spark.read.parquet(f"{tmp_path}/{k}/{name}")
+        kept = collections.Counter((r["doc_id"], r["text"]) for r in frame.collect())
+        if want:
+            assert kept == collections.Counter([(None, ""), (None, PASSAGE), (None, "one\ntwo"), (5, "three\nfour"), (6, f"five{line}six"), (7, ""), (8, PASSAGE), (8, PASSAGE)])
+        pieces = pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        assert len({(r["doc_id"], r["doc_tokens"]) for r in pieces}) == (7 if want else 0)
