@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +12,25 @@ from causeway.schema import N_STATES
 
 
 def doubles(values: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
+    """One literal, however long: a plan doesn't grow with it."""
+    return F.lit(np.asarray(values, float)) if len(values) else F.array().cast("array<double>")
 
 
 def matrix(rows: Sequence[Sequence[float]]) -> Column:
     return F.array(*(doubles(r) for r in rows))
 
 
+class Table:
+    """Rows of equal width as one literal, read by row and column."""
+
+    def __init__(self, rows: Sequence[Sequence[float]]):
+        self.width = len(rows[0]) if rows else 1
+        self.flat = doubles([v for r in rows for v in r])
+
+    def at(self, i: Column, j: Column) -> Column:
+        return F.get(self.flat, i * self.width + j)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 

@@ -1,14 +1,15 @@
 """Access to services: nearest-facility times, and the loss when a set of nodes or edges fails.
 
-Two physical forms of the same relation. ``distances`` is a batched Bellman-Ford over edge
-tables of any size: all failure sets and facility types advance together, one join and one
-minimum a round. ``set_losses`` is for many failure sets on one small graph: the sets are
-the data, each is solved inside its row, and the graph - of checked size - goes along.
+Two physical forms of the same relation. ``distances`` relaxes edge tables of any size: all
+failure sets and facility types advance together, and a round's work follows its frontier.
+A ``Graph`` of checked size goes along with the failure sets, which are then the data, each
+solved inside its row. ``losses`` takes the second form where the graph allows it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,14 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
 from causeway.operators.lineage import cut
+from causeway.operators.network import must_be_empty
 
-#: A graph of so many edges goes along with the failure sets at most.
+#: A graph of so many edges, and as many habitations, goes along with the failure sets at most.
 SMALL_EDGES = 100_000
+#: Numbers (sets x edges) that a task holds at once, about.
+HELD = 1 << 24
+#: A round's rows that are broadcast at most, and rounds after which their tables become one.
+FEW, COMPACT = 100_000, 8
 INF = float("inf")
 
 
@@ -42,21 +48,35 @@ def distances(edges: DataFrame, sources: DataFrame, blocked_nodes: DataFrame | N
     if blocked_edges is not None:
         ends = blocked_edges.select("set_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct()
         blocked_edges = cut(ends)
-    start = sources.select(*keys).distinct().withColumns({"dist": F.lit(0.0), "path": F.array("node"), "new": F.lit(True)})
-    state = cut(start if with_path else start.drop("path"))
     carried = ["dist", "path"] if with_path else ["dist"]
-    while True:
-        step = state.where("new").withColumnRenamed("node", "at").join(ways.select(F.col("src").alias("at"), F.col("dst").alias("node"), "w"), "at")
+    start = sources.select(*keys).distinct().withColumns({"dist": F.lit(0.0), "path": F.array("node")})
+    frontier = cut(start.select(*keys, *carried))
+    known = [frontier]  # what each round found; the least of them counts
+    merged = lambda: known[0] if len(known) == 1 else _union(known).groupBy(*keys).agg(F.min(F.struct(*carried)).alias("b")).select(*keys, "b.*")
+    while not frontier.isEmpty():
+        step = frontier.withColumnRenamed("node", "at").join(ways.select(F.col("src").alias("at"), F.col("dst").alias("node"), "w"), "at")
         if blocked_nodes is not None:
             step = step.join(blocked_nodes, ["set_id", "node"], "left_anti")
         if blocked_edges is not None:
             step = step.withColumns({"lo": F.least("at", "node"), "hi": F.greatest("at", "node")}).join(blocked_edges, ["set_id", "lo", "hi"], "left_anti")
         moved = [(F.col("dist") + F.col("w")).alias("dist")] + ([F.concat(F.array("node"), "path").alias("path")] if with_path else [])
-        rows = state.select(*keys, *carried, F.lit(False).alias("new")).union(step.select(*keys, *moved, F.lit(True).alias("new")))
-        best = rows.groupBy(*keys).agg(F.min(F.struct("dist", "new", *carried[1:])).alias("b"))
-        state = cut(best.select(*keys, *(F.col(f"b.{c}").alias(c) for c in carried), F.col("b.new").alias("new")))
-        if state.where("new").isEmpty():
-            return state.select(*keys, *carried)
+        found = cut(step.select(*keys, *moved).groupBy(*keys).agg(F.min(F.struct(*carried)).alias("b")).select(*keys, "b.*"))
+        few = found.limit(FEW + 1).count() <= FEW
+        # what is known stays where it is, if the round's rows are few enough to go there
+        at = [F.col(f"f.{k}") == F.col(f"s.{k}") for k in keys]
+        stale = (F.broadcast(found) if few else found).alias("f").join(_union(known).alias("s"), [*at, F.col("s.dist") <= F.col("f.dist")]).select(*(f"f.{k}" for k in keys)).distinct()
+        frontier = cut(found.join(F.broadcast(stale) if few else stale, keys, "left_anti"))
+        known.append(frontier)
+        if len(known) > COMPACT:
+            known = [cut(merged())]
+    return merged()
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
 
 
 def sources_of(sets: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -64,11 +84,27 @@ def sources_of(sets: DataFrame, facilities: DataFrame) -> DataFrame:
     return sets.select("set_id").distinct().join(F.broadcast(facilities.select("facility_type", F.col("node_id").alias("node"))))
 
 
-def losses(edges: DataFrame, habitations: DataFrame, facilities: DataFrame, services: DataFrame, sets: DataFrame, failed_nodes: DataFrame | None = None, failed_edges: DataFrame | None = None) -> DataFrame:
-    """``set_id, loss`` of every set, by edge-table joins: population x weight x lost share of the cap.
+def losses(
+    edges: DataFrame, habitations: DataFrame, facilities: DataFrame, services: DataFrame, sets: DataFrame,
+    failed_nodes: DataFrame | None = None, failed_edges: DataFrame | None = None, validate: bool = False, small: bool | None = None,
+) -> DataFrame:
+    """``set_id, loss`` of every set: population x weight x lost share of the cap.
 
-    Gains are dropped, and a habitation without a way before has nothing to lose.
+    Gains are dropped, and a habitation without a way before has nothing to lose. What fails
+    is ``set_id, node`` and ``set_id, src, dst``; with ``validate``, nodes and edges that
+    aren't in the network are a ``KeyError``, otherwise nothing. ``small`` asks for one of the
+    two forms; by default the graph's size decides.
     """
+    if validate:
+        known = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(habitations.select("node_id")).union(facilities.select("node_id"))
+        if failed_nodes is not None:
+            must_be_empty(failed_nodes.join(known, "node", "left_anti"), "a failed node isn't in the network")
+        if failed_edges is not None:
+            pair = lambda df: df.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+            must_be_empty(pair(failed_edges).join(pair(edges), ["src", "dst"], "left_anti"), "a failed edge isn't in the network")
+    graph = Graph.small(edges, habitations, facilities, services) if small is not False else None
+    if graph is not None:
+        return _losses_inside(graph, sets, failed_nodes, failed_edges)
     base = sets.sparkSession.createDataFrame([("",)], "set_id string")
     before = distances(edges, sources_of(base, facilities))
     after = distances(edges, sources_of(sets, facilities), failed_nodes, failed_edges)
@@ -80,6 +116,27 @@ def losses(edges: DataFrame, habitations: DataFrame, facilities: DataFrame, serv
     return rows.groupBy("set_id").agg(F.sum(F.col("population") * F.col("weight") * F.greatest(worse, F.lit(0.0))).alias("loss"))
 
 
+def _losses_inside(graph: Graph, sets: DataFrame, failed_nodes: DataFrame | None, failed_edges: DataFrame | None) -> DataFrame:
+    """Each set as a row with what fails in it, solved there."""
+    rows = sets.select("set_id").distinct()
+    for name, failed, item in (("nodes", failed_nodes, lambda: F.col("node")), ("cuts", failed_edges, lambda: F.struct("src", "dst"))):
+        if failed is None:
+            rows = rows.withColumn(name, F.lit(None).cast("array<string>"))
+        else:
+            rows = rows.join(failed.groupBy("set_id").agg(F.collect_set(item()).alias(name)), "set_id", "left")
+    given = sets.sparkSession.sparkContext.broadcast(graph)  # SMALL_EDGES at most
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = given.value
+        for x in frames:
+            nodes = [[] if v is None else v for v in x["nodes"]]
+            cuts = [[] if v is None else [(e["src"], e["dst"]) for e in v] for v in x["cuts"]]
+            total = [g.losses(*g.failed(nodes[i : i + g.step], cuts[i : i + g.step])) for i in range(0, len(x), g.step)]
+            yield pd.DataFrame({"set_id": x["set_id"], "loss": np.concatenate(total) if total else np.zeros(0)})
+
+    return rows.mapInPandas(run, f"set_id {sets.schema['set_id'].dataType.simpleString()}, loss double")
+
+
 def affected(paths: DataFrame, habitations: DataFrame, failed_nodes: list, failed_edges: list[tuple] = ()) -> DataFrame:
     """``facility_type, node`` of habitations whose own path (to its source) uses a failed node or edge."""
     own = paths.join(habitations.select(F.col("node_id").alias("node")), "node")
@@ -110,27 +167,43 @@ class Graph:
         self.u, self.v, self.w = self.u[order], self.v[order], self.w[order]
         self.first = np.flatnonzero(np.r_[True, self.v[1:] != self.v[:-1]]) if len(self.v) else np.zeros(0, int)
         self.into = self.v[self.first] if len(self.v) else np.zeros(0, int)
-        for k, (_, _, places) in self.services.items():
-            if not places:
-                raise KeyError(f"no facility of type {k!r}")
+        self.arcs: dict[tuple[int, int], list[int]] = {}
+        for i, (x, y) in enumerate(zip(self.u.tolist(), self.v.tolist(), strict=True)):
+            self.arcs.setdefault((min(x, y), max(x, y)), []).append(i)
+        #: Sets that are solved together.
+        self.step = max(1, min(2048, HELD // max(1, self.n, len(self.w))))
         self.base = {k: self._share(self.times(places, np.zeros((1, self.n), bool)), cap)[0] for k, (cap, _, places) in self.services.items()}
 
+    @classmethod
+    def small(cls, edges: DataFrame, habitations: DataFrame, facilities: DataFrame, services: DataFrame) -> Graph | None:
+        """The graph, or None if it is too large to go along."""
+        tables = (
+            edges.select("src", "dst", F.coalesce("travel_time_min", F.lit(1.0))), habitations.select("node_id", "population"),
+            facilities.select("facility_type", "node_id"), services.select("facility_type", "cap_min", "weight"),
+        )
+        rows = []
+        for t in tables:
+            rows.append([tuple(r) for r in t.limit(SMALL_EDGES + 1).collect()])
+            if len(rows[-1]) > SMALL_EDGES:
+                return None
+        return cls(*rows)
+
     @classmethod
     def collect(cls, edges: DataFrame, habitations: DataFrame, facilities: DataFrame, services: DataFrame) -> Graph:
-        rows = edges.select("src", "dst", F.coalesce("travel_time_min", F.lit(1.0))).limit(SMALL_EDGES + 1).collect()
-        if len(rows) > SMALL_EDGES:
-            raise ValueError("this graph is too large to go along; use losses()")
-        plain = lambda df, *c: [tuple(r) for r in df.select(*c).collect()]
-        return cls([tuple(r) for r in rows], plain(habitations, "node_id", "population"), plain(facilities, "facility_type", "node_id"), plain(services, "facility_type", "cap_min", "weight"))
-
-    def times(self, places: list[int], blocked: np.ndarray) -> np.ndarray:
-        """Least time to ``places`` for each row of ``blocked`` (sets x nodes): all sets relax together."""
+        graph = cls.small(edges, habitations, facilities, services)
+        if graph is None:
+            raise ValueError("this graph is too large to go along; use losses() or Roads")
+        return graph
+
+    def times(self, places: list[int], blocked: np.ndarray, cuts: np.ndarray | None = None) -> np.ndarray:
+        """Least time to ``places`` for each row of ``blocked`` (sets x nodes) and ``cuts`` (sets x arcs): all sets relax together."""
         d = np.full(blocked.shape, INF)
         d[:, places] = 0.0
         d[blocked] = INF
+        w = self.w if cuts is None else np.where(cuts, INF, self.w)
         while len(self.v):
             reach = d.copy()
-            reach[:, self.into] = np.minimum(d[:, self.into], np.minimum.reduceat(d[:, self.u] + self.w, self.first, axis=1))
+            reach[:, self.into] = np.minimum(d[:, self.into], np.minimum.reduceat(d[:, self.u] + w, self.first, axis=1))
             reach[blocked] = INF
             if (reach == d).all():
                 break
@@ -141,33 +214,80 @@ class Graph:
     def _share(times: np.ndarray, cap: float) -> np.ndarray:
         return np.where(times >= cap, 1.0, times / cap)
 
-    def losses(self, blocked: np.ndarray) -> np.ndarray:
+    def failed(self, nodes: list, cuts: list | None = None, validate: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """What ``losses`` takes, of each set's nodes and edges. Unknown ones are a ``KeyError`` on demand, else nothing."""
+        blocked = np.zeros((len(nodes), self.n), bool)
+        for i, own in enumerate(nodes):
+            if validate and (unknown := [n for n in own if n not in self.names]):
+                raise KeyError(f"a failed node isn't in the network: {unknown[0]!r}")
+            blocked[i, [self.names[n] for n in own if n in self.names]] = True
+        if cuts is None or not any(map(len, cuts)):
+            return blocked, None
+        off = np.zeros((len(nodes), len(self.w)), bool)
+        for i, own in enumerate(cuts):
+            for u, v in own:
+                ends = sorted((self.names.get(u, -1), self.names.get(v, -1)))
+                if validate and tuple(ends) not in self.arcs:
+                    raise KeyError(f"a failed edge isn't in the network: {(u, v)!r}")
+                off[i, self.arcs.get(tuple(ends), [])] = True
+        return blocked, off
+
+    def losses(self, blocked: np.ndarray, cuts: np.ndarray | None = None) -> np.ndarray:
         total = np.zeros(len(blocked))
         for k, (cap, weight, places) in self.services.items():
-            worse = np.maximum(self._share(self.times(places, blocked), cap) - self.base[k], 0.0)
+            worse = np.maximum(self._share(self.times(places, blocked, cuts), cap) - self.base[k], 0.0)
             total += (worse * self.people * weight).sum(axis=1)
         return total
 
-    def loss_of(self, nodes: list) -> float:
-        blocked = np.zeros((1, self.n), bool)
-        blocked[0, [self.names[n] for n in nodes]] = True
-        return float(self.losses(blocked)[0])
+    def loss_of(self, nodes: list = (), edges: list[tuple] = (), validate: bool = False) -> float:
+        return float(self.losses(*self.failed([nodes], [edges], validate))[0])
 
+    def solo(self, nodes: list) -> list[float]:
+        """The loss of each node alone."""
+        return [x for i in range(0, len(nodes), self.step) for x in self.losses(*self.failed([[n] for n in nodes[i : i + self.step]])).tolist()]
 
-def set_losses(masks: DataFrame, graph: Graph, nodes: list) -> DataFrame:
-    """``mask, loss``: bit i of the mask says that ``nodes[i]`` failed."""
-    at = np.array([graph.names[n] for n in nodes], int)
-    given = masks.sparkSession.sparkContext.broadcast(graph)  # SMALL_EDGES at most
+    def set_losses(self, sets: DataFrame, nodes: list) -> DataFrame:
+        """``failed, loss``: ``failed`` holds the places in ``nodes`` of those that fail."""
+        given = sets.sparkSession.sparkContext.broadcast((self, list(nodes)))  # SMALL_EDGES at most
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            graph, names = given.value
+            for x in frames:
+                for i in range(0, len(x), graph.step):
+                    own = x["failed"].iloc[i : i + graph.step]
+                    yield pd.DataFrame({"failed": own, "loss": graph.losses(*graph.failed([[names[k] for k in f] for f in own]))})
+
+        return sets.select("failed").mapInPandas(run, "failed array<int>, loss double")
+
+
+@dataclass
+class Roads:
+    """A network of any size for the same questions, as tables."""
+
+    edges: DataFrame
+    habitations: DataFrame
+    facilities: DataFrame
+    services: DataFrame
+
+    def set_losses(self, sets: DataFrame, nodes: list) -> DataFrame:
+        spark = sets.sparkSession
+        keyed = sets.select("failed").distinct().withColumn("set_id", F.concat_ws(",", F.col("failed").cast("array<string>")))
+        names = spark.createDataFrame(list(enumerate(nodes)), f"place int, node {self.edges.schema['src'].dataType.simpleString()}")
+        gone = keyed.select("set_id", F.explode("failed").alias("place")).join(F.broadcast(names), "place").select("set_id", "node")  # the structures
+        out = losses(self.edges, self.habitations, self.facilities, self.services, keyed.select("set_id"), gone, small=False)
+        return keyed.join(out, "set_id").select("failed", "loss")
+
+    def solo(self, nodes: list) -> list[float]:
+        spark = self.edges.sparkSession
+        one = spark.createDataFrame([([i],) for i in range(len(nodes))], "failed array<int>")
+        return [r[1] for r in sorted(map(tuple, self.set_losses(one, nodes).collect()))] if nodes else []
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            for i in range(0, len(x), 2048):
-                mask = x["mask"].to_numpy(np.int64)[i : i + 2048]
-                blocked = np.zeros((len(mask), given.value.n), bool)
-                blocked[:, at] = (mask[:, None] >> np.arange(len(at))) & 1
-                yield pd.DataFrame({"mask": mask, "loss": given.value.losses(blocked)})
 
-    return masks.select("mask").mapInPandas(run, "mask long, loss double")
+def subsets(spark, n: int) -> DataFrame:
+    """``mask, failed``: every set of ``n`` structures, as bits and as places."""
+    masks = spark.range(1 << n).select(F.col("id").alias("mask"))
+    places = F.array(*(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(i)) for i in range(n))) if n else F.array().cast("array<int>")
+    return masks.withColumn("failed", F.filter(places, lambda i: i.isNotNull()))
 
 
 def societal_cost(loss, days):

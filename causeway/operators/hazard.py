@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
+from causeway.operators.metrics import portable_uniform
 
 PERIODS = (2, 5, 10, 25, 50, 100)
 LEAST_YEARS = 5
@@ -23,13 +24,15 @@ def finite(maxima: DataFrame, value: str = "value") -> DataFrame:
 def pooled(maxima: DataFrame, neighbours: DataFrame | None = None, min_years: int = 30) -> DataFrame:
     """``cell, value, origin``: a cell's own maxima, and its neighbours' where its record is short.
 
-    ``neighbours``: ``cell, neighbour``. ``origin`` names the cell that a value comes from.
+    ``neighbours``: ``cell, neighbour``. ``origin`` names the cell that a value comes from. A
+    cell without a finite value of its own has its neighbours' values alone.
     """
     own = finite(maxima).select("cell", "value")
     rows = own.withColumn("origin", F.col("cell"))
     if neighbours is None:
         return rows
-    short = own.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") < min_years).select("cell")
+    finite_value = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    short = maxima.groupBy("cell").agg(F.count(finite_value).alias("n")).where(F.col("n") < min_years).select("cell")
     more = neighbours.join(short, "cell").join(own.withColumnRenamed("cell", "neighbour"), "neighbour")
     return rows.unionByName(more.select("cell", "value", F.col("neighbour").alias("origin")))
 
@@ -132,10 +135,11 @@ def fit_one(x: np.ndarray) -> tuple[float, float, float]:
     return float(c), float(loc), math.exp(log_scale)
 
 
-def fit_gev(rows: DataFrame) -> DataFrame:
+def fit_gev(rows: DataFrame, min_years: int = 30) -> DataFrame:
     """``cell, c, loc, scale, n_years, pooled_cells`` by maximum likelihood; too short a record is an error.
 
-    A cell's record is a value a year, so one task holds a cell.
+    ``pooled_cells`` names a cell with fewer than ``min_years`` values of its own, and those it
+    borrowed from. A cell's record is a value a year, so one task holds a cell.
     """
     kind = rows.schema["cell"].dataType.simpleString()
 
@@ -143,7 +147,7 @@ def fit_gev(rows: DataFrame) -> DataFrame:
         cell = pdf["cell"].iloc[0]
         c, loc, scale = fit_one(pdf["value"].to_numpy())
         others = sorted(set(pdf["origin"]) - {cell}, key=str)
-        return pd.DataFrame([(cell, c, loc, scale, len(pdf), [str(cell), *map(str, others)] if others else [])], columns=["cell", "c", "loc", "scale", "n_years", "pooled_cells"])
+        return pd.DataFrame([(cell, c, loc, scale, len(pdf), [str(cell), *map(str, others)] if (pdf["origin"] == cell).sum() < min_years else [])], columns=["cell", "c", "loc", "scale", "n_years", "pooled_cells"])
 
     return rows.groupBy("cell").applyInPandas(run, f"cell {kind}, c double, loc double, scale double, n_years int, pooled_cells array<string>")
 
@@ -163,15 +167,20 @@ def ks_distance(rows: DataFrame, fits: DataFrame) -> DataFrame:
     return own.groupBy("cell").agg(F.max("n").alias("n"), F.max(gap).alias("d"))
 
 
-def resample_years(fields: DataFrame, n: int, seed: int = 0) -> DataFrame:
+def resample_years(fields: DataFrame, n: int, seed: int = 0, portable: bool = False) -> DataFrame:
     """``scenario, cell, value``: whole years drawn with replacement, so cells stay together.
 
-    ``fields``: ``year, cell, value``. The years' numbers are drawn by numpy on the driver.
+    ``fields``: ``year, cell, value``. The years' numbers are drawn by numpy on the driver, or
+    with ``portable`` by the linear congruence that any engine can repeat.
     """
     spark = fields.sparkSession
     years = sorted(r[0] for r in fields.select("year").distinct().collect())
     if not years:
         raise ValueError("no years to draw from")
-    drawn = np.random.default_rng(seed).integers(0, len(years), size=n)
+    if portable:
+        place = F.floor(portable_uniform(F.col("id") + seed + 1) * len(years)).cast("int")
+        drawn = [r[0] for r in spark.range(n).orderBy("id").select(place).collect()]
+    else:
+        drawn = np.random.default_rng(seed).integers(0, len(years), size=n)
     draws = spark.createDataFrame([(i, years[k]) for i, k in enumerate(drawn)], f"scenario int, year {fields.schema['year'].dataType.simpleString()}")
     return draws.join(fields, "year").select("scenario", "cell", "value")

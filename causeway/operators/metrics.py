@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import arrays as A
 from causeway.functions import scalars as S
+from causeway.operators.lineage import cut
 
 
 def log_loss(y: Column, p: Column, eps: float = 1e-12) -> Column:
@@ -53,17 +54,77 @@ def value_at_risk(value: str | Column, alpha: float = 0.05) -> Column:
     return F.percentile(value, 1 - alpha)
 
 
+#: Cuts of time and of score that make the cells of ``concordance``.
+CUTS = 64
+
+
+def _beaten(t: np.ndarray, x: np.ndarray, wi: np.ndarray, wj: np.ndarray) -> float:
+    """Sum over i, and j of a later ``t``, of wi x wj where x_i > x_j, and half of it where they are equal.
+
+    Bit by bit of the rank in ``t``: pairs that first differ in this bit meet in one sorted pass.
+    """
+    if not len(t):
+        return 0.0
+    rank, total = np.unique(t, return_inverse=True)[1], 0.0
+    for bit in range(int(rank.max()).bit_length()):
+        group, late = rank >> (bit + 1), (rank >> bit) & 1 == 1
+        order = np.lexsort((x, group))
+        g, v, own, other = group[order], x[order], np.where(late, 0.0, wi)[order], np.where(late, wj, 0.0)[order]
+        sums = np.r_[0.0, np.cumsum(other)]
+        new_group, new_value = np.r_[True, g[1:] != g[:-1]], np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+        starts = np.flatnonzero(new_value)
+        stops = np.r_[starts[1:], len(g)]
+        which = np.cumsum(new_value) - 1
+        base = sums[np.flatnonzero(new_group)][np.cumsum(new_group) - 1]
+        below, upto = sums[starts][which] - base, sums[stops][which] - base
+        total += float((own * (below + upto) / 2).sum())
+    return total
+
+
+def _cell(value: str, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` lie at or below the value."""
+    return F.size(F.filter(F.lit(np.asarray(cuts, float)), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+
+
 def concordance(df: DataFrame, time: str, score: str, event: str) -> DataFrame:
     """Harrell's C: of pairs where one has its event first, how often it has the higher score.
 
-    Equal (time, score, event) rows are counted first; pairs are made of the distinct ones.
+    Equal (time, score, event) rows are counted first. Quantiles cut time and score into
+    ``CUTS`` ranges; pairs of rows that differ in both ranges are counted from the cells' sums,
+    the others inside a range of time or of score, each sorted in its own task. So no pair of
+    rows is ever made.
     """
-    own = df.groupBy(F.col(time).alias("t"), F.col(score).alias("x"), F.col(event).cast("int").alias("e")).agg(F.count("*").alias("n"))
-    i, j = own.where("e <> 0").alias("i"), own.alias("j")
-    n = F.col("i.n") * F.col("j.n")
-    won = F.when(F.col("i.x") > F.col("j.x"), 1.0).when(F.col("i.x") < F.col("j.x"), 0.0).otherwise(0.5)
-    pairs = i.join(j, F.col("j.t") > F.col("i.t"))
-    return pairs.agg(F.coalesce(F.sum(n * won) / F.sum(n), F.lit(0.5)).alias("c_index"), F.coalesce(F.sum(n), F.lit(0)).alias("n_pairs"))
+    own = df.where(F.col(time).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(time).cast("double").alias("t"), F.col(score).cast("double").alias("x"), F.coalesce(F.col(event).cast("int") != 0, F.lit(False)).alias("e")).agg(F.count("*").cast("double").alias("n"))
+    own = own.groupBy("t", "x").agg(F.sum(F.when(F.col("e"), F.col("n")).otherwise(0.0)).alias("i"), F.sum("n").alias("j"))
+    own = cut(own)
+    shares = [k / CUTS for k in range(1, CUTS)]
+    at = own.agg(F.percentile_approx("t", shares), F.percentile_approx("x", shares)).collect()[0]
+    t_cuts, x_cuts = (sorted(set(v or [])) for v in at)
+    own = own.withColumns({"tc": _cell("t", t_cuts), "xc": _cell("x", x_cuts)})
+    cells = np.zeros((2, len(t_cuts) + 1, len(x_cuts) + 1))
+    for r in own.groupBy("tc", "xc").agg(F.sum("i"), F.sum("j")).collect():  # CUTS x CUTS rows at most
+        cells[:, r[0], r[1]] = r[2], r[3]
+    later = np.vstack([np.cumsum(cells[1][::-1], axis=0)[::-1][1:], np.zeros((1, cells.shape[2]))])  # j in later ranges of time, by range of score
+    lower = np.cumsum(later, axis=1) - later
+    wins = float((cells[0] * lower).sum())
+
+    def inside(key: str):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            t = pdf["t" if key == "tc" else "tc"].to_numpy()
+            won = _beaten(t, pdf["x"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy())
+            _, rank = np.unique(t, return_inverse=True)
+            by = np.bincount(rank, pdf["j"])
+            after = np.cumsum(by[::-1])[::-1] - by
+            return pd.DataFrame({"won": [won], "pairs": [float((pdf["i"].to_numpy() * after[rank]).sum())]})
+
+        return run
+
+    # within a range of time all scores meet; within a range of score only different ranges of time
+    same_t = own.groupBy("tc").applyInPandas(inside("tc"), "won double, pairs double").agg(F.sum("won").alias("won"), F.sum("pairs").alias("pairs"))
+    same_x = own.groupBy("xc").applyInPandas(inside("xc"), "won double, pairs double").agg(F.sum("won").alias("also"))
+    pairs = F.coalesce("pairs", F.lit(0.0)) + float((cells[0] * later.sum(axis=1, keepdims=True)).sum())
+    won = F.coalesce("won", F.lit(0.0)) + F.coalesce("also", F.lit(0.0)) + wins
+    return same_t.join(same_x).select(F.coalesce(F.try_divide(won, pairs), F.lit(0.5)).alias("c_index"), pairs.cast("long").alias("n_pairs"))  # one row each
 
 
 def robustness(losses: DataFrame, tol: float = 1e-9) -> DataFrame:
@@ -141,15 +202,23 @@ def paired_bootstrap_portable(diffs: DataFrame, n: int, alpha: float = 0.05, see
 def conformal_quantiles(residuals: DataFrame, keys: list[str], residual: str = "residual", alpha: float = 0.1) -> DataFrame:
     """``keys, q``: the ceil((n + 1)(1 - alpha))-th smallest absolute residual, the largest if there are fewer.
 
-    Equal residuals are counted first, so a group's window holds its distinct ones only.
+    Equal residuals are counted first, and ranges of (keys, residual) dealt to tasks; sums of
+    the ranges tell which one holds a group's rank, and only that one is looked into.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha is in (0, 1)")
     counts = residuals.where(F.col(residual).isNotNull()).groupBy(*keys, F.abs(residual).alias("r")).agg(F.count("*").alias("c"))
+    ranges = int(residuals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(counts.repartitionByRange(ranges, *keys, "r").withColumn("part", F.spark_partition_id()))
     over = Window.partitionBy(*keys)
-    own = counts.withColumns({"n": F.sum("c").over(over), "upto": F.sum("c").over(over.orderBy("r"))})
+    sums = ranged.groupBy(*keys, "part").agg(F.sum("c").alias("inside"))  # a row a range, and group in it
+    sums = sums.withColumns({"n": F.sum("inside").over(over), "before": F.coalesce(F.sum("inside").over(over.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     k = F.least(F.ceil((F.col("n") + 1) * F.lit(1.0 - alpha)), F.col("n"))
-    return own.where(F.col("upto") >= k).groupBy(*keys).agg(F.min("r").alias("q"))
+    hit = sums.withColumn("k", k).where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("inside")))
+    hit = hit.select(F.col("part").alias("_part"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keys)), "before", "k")
+    own = ranged.join(hit, [F.col("part") == F.col("_part"), *(F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys))])
+    own = own.withColumn("upto", F.col("before") + F.sum("c").over(over.orderBy("r")))
+    return own.where(F.col("upto") >= F.col("k")).groupBy(*keys).agg(F.min("r").alias("q"))
 
 
 def conformal_by_group(residuals: DataFrame, group: str, residual: str = "residual", alpha: float = 0.1) -> DataFrame:
@@ -171,8 +240,24 @@ def coverage(y: Column, lo: Column, hi: Column) -> Column:
     return F.avg(((y >= lo) & (y <= hi)).cast("double"))
 
 
-def kolmogorov_p(d: float, n: int) -> float:
-    """Asymptotic p-value of the distance ``d``."""
+def kolmogorov_p(d: float, n: int, exact: int = 140) -> float:
+    """P-value of the distance ``d`` of ``n`` values: by the powers of a matrix up to ``exact`` values, asymptotic beyond."""
+    if d <= 0.5 / n:
+        return 1.0
+    if d >= 1:
+        return 0.0
+    if n <= exact:
+        k = math.ceil(n * d)
+        h, m = k - n * d, 2 * k - 1
+        i, j = np.indices((m, m))
+        step = np.maximum(i - j + 1, 0)
+        a = (i - j + 1 >= 0).astype(float)
+        a[:, 0] -= h ** np.arange(1, m + 1)
+        a[-1, :] -= h ** np.arange(m, 0, -1)
+        a[-1, 0] += max(0.0, 2 * h - 1) ** m
+        a /= np.array([math.factorial(x) for x in range(m + 1)], float)[step]
+        q = np.linalg.matrix_power(a, n)[k - 1, k - 1]
+        return min(1.0, max(0.0, 1 - float(q * np.prod(np.arange(1, n + 1) / n))))
     x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
     if x < 0.2:
         return 1.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,37 +71,58 @@ def tagged(edges: DataFrame) -> DataFrame:
     return edges.where("is_bridge OR is_culvert")
 
 
+#: Cells a side of the grid on which points far from all targets look for them.
+GRID = 64
+
+
 def nearest(points: DataFrame, targets: DataFrame, cell: float, limit: float | None = None) -> DataFrame:
     """For each point (``id, x, y``) the nearest target (``target, tx, ty``; smallest id of equals) and ``dist``.
 
     Points and targets meet in grid cells of growing size: a target within one cell's width
     is among the nine cells around, so a match that near is final; the rest of the points
-    go on with cells four times as wide. Without targets the result is empty.
+    go on with cells four times as wide. Points far from all targets meet only those in
+    cells that bounds of the cells' distances leave possible. Without targets the result is empty.
     """
     bounds = points.select("x", "y").union(targets.select("tx", "ty")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).collect()[0]
+    none = points.select("id").withColumns({"target": F.lit(None).cast(targets.schema["target"].dataType), "dist": F.lit(None).cast("double")}).limit(0)
     if bounds[0] is None or targets.isEmpty():
-        return points.select("id").withColumns({"target": F.lit(None).cast(targets.schema["target"].dataType), "dist": F.lit(None).cast("double")}).limit(0)
+        return none
     extent = max(bounds[1] - bounds[0], bounds[3] - bounds[2], cell)
-    done, left, width = None, points.select("id", "x", "y"), float(cell)
-    while True:
-        last = width > extent
-        home = targets.select("target", "tx", "ty", F.floor(F.col("tx") / width).alias("cx"), F.floor(F.col("ty") / width).alias("cy"))
+    done, left, width = none, points.select("id", "x", "y"), float(cell)
+    while width <= extent / GRID or done is none:
         steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
         around = left.withColumn("step", F.explode(steps))
         around = around.select("id", "x", "y", (F.floor(F.col("x") / width) + F.col("step.i")).alias("cx"), (F.floor(F.col("y") / width) + F.col("step.j")).alias("cy"))
-        d = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2.0) + F.pow(F.col("y") - F.col("ty"), 2.0))
-        near = around.join(home, ["cx", "cy"]).withColumn("dist", d)
-        best = near.groupBy("id").agg(F.min(F.struct("dist", "target")).alias("b")).select("id", "b.target", "b.dist")
-        if not last:
-            best = best.where(F.col("dist") <= width)
-        best = cut(best)
-        done = best if done is None else done.union(best)
-        if last or (limit is not None and width >= limit):
+        best = cut(_closest(around, _celled(targets, width)).where(F.col("dist") <= width))
+        done = best if done is none else done.union(best)
+        if limit is not None and width >= limit:
             return done
         left = cut(left.join(best, "id", "left_anti"))
         if left.isEmpty():
             return done
         width *= 4
+    width = extent / GRID
+    left = left.withColumns({"px": F.floor(F.col("x") / width), "py": F.floor(F.col("y") / width)})
+    home = _celled(targets, width)
+    mine, theirs = (np.array(df.distinct().collect(), np.int64).reshape(-1, 2) for df in (left.select("px", "py"), home.select("cx", "cy")))  # (GRID + 2)^2 rows at most
+    pairs = []
+    for at in mine:
+        gap = np.abs(theirs - at)
+        low, high = np.hypot(*np.maximum(gap - 1, 0).T), np.hypot(*(gap + 1).T)
+        pairs += [(int(at[0]), int(at[1]), int(t[0]), int(t[1])) for t in theirs[low <= high.min() + 1e-9]]
+    near = left.sparkSession.createDataFrame(pairs, "px long, py long, cx long, cy long")
+    return done.union(_closest(left.join(F.broadcast(near), ["px", "py"]), home))
+
+
+def _celled(targets: DataFrame, width: float) -> DataFrame:
+    return targets.select("target", "tx", "ty", F.floor(F.col("tx") / width).alias("cx"), F.floor(F.col("ty") / width).alias("cy"))
+
+
+def _closest(around: DataFrame, home: DataFrame) -> DataFrame:
+    """The nearest of the targets that share a cell with a row of the point."""
+    d = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2.0) + F.pow(F.col("y") - F.col("ty"), 2.0))
+    near = around.join(home, ["cx", "cy"]).withColumn("dist", d)
+    return near.groupBy("id").agg(F.min(F.struct("dist", "target")).alias("b")).select("id", "b.target", "b.dist")
 
 
 def snap(points: DataFrame, nodes: DataFrame, tolerance_m: float = SNAP_TOLERANCE_M, connector_kph: float = CONNECTOR_KPH) -> DataFrame:
@@ -215,14 +237,56 @@ def segments_meet(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return proper | touch
 
 
-def _segments(lines: DataFrame, key: str, prefix: str, cell: float) -> DataFrame:
-    """A row for each segment of each polyline and grid cell that its box touches."""
+def _pieces(lines: DataFrame, *keys: str) -> DataFrame:
+    """``keys, x1, y1, x2, y2``: each segment of each polyline; a single point is a segment of no length."""
     k = lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.size("points") - 2, F.lit(0)))))
     p, q = F.get("points", F.col("k")), F.coalesce(F.get("points", F.col("k") + 1), F.get("points", F.col("k")))
-    own = k.select(key, *(c.alias(f"{prefix}{i}") for i, c in enumerate((p["x"], p["y"], q["x"], q["y"])))).where(F.col(f"{prefix}0").isNotNull())
-    low = lambda i, j: F.floor(F.least(f"{prefix}{i}", f"{prefix}{j}") / cell).cast("long")
-    high = lambda i, j: F.floor(F.greatest(f"{prefix}{i}", f"{prefix}{j}") / cell).cast("long")
-    return own.withColumn("cx", F.explode(F.sequence(low(0, 2), high(0, 2)))).withColumn("cy", F.explode(F.sequence(low(1, 3), high(1, 3))))
+    return k.select(*keys, *(c.alias(n) for n, c in (("x1", p["x"]), ("y1", p["y"]), ("x2", q["x"]), ("y2", q["y"])))).where("x1 IS NOT NULL")
+
+
+def _rows(segments: DataFrame, cell: float) -> DataFrame:
+    """A row for each segment and row ``cy`` of the grid that it touches."""
+    at = lambda f: F.floor(f("y1", "y2") / cell).cast("long")
+    return segments.withColumn("cy", F.explode(F.sequence(at(F.least), at(F.greatest))))
+
+
+def _segments(lines: DataFrame, key: str, prefix: str, cell: float) -> DataFrame:
+    """A row for each segment and cell that it touches: as many as it is long, not as its box holds."""
+    rows = _rows(_pieces(lines, key), cell)
+    part = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1"))))
+    x = lambda y, other: F.coalesce(F.col("x1") + part(y) * (F.col("x2") - F.col("x1")), F.col(other))
+    one, two = x(F.col("cy") * cell, "x1"), x((F.col("cy") + 1) * cell, "x2")
+    edge = 1e-6 * cell  # a neighbouring cell more does no harm, where rounding could leave one out
+    low, high = (F.floor(v / cell).cast("long") for v in (F.least(one, two) - edge, F.greatest(one, two) + edge))
+    cells = rows.withColumn("cx", F.explode(F.sequence(low, high)))
+    return cells.select(key, "cx", "cy", *(F.col(n).alias(f"{prefix}{i}") for i, n in enumerate(("x1", "y1", "x2", "y2"))))
+
+
+def _inside_rings(roads: DataFrame, water: DataFrame, cell: float) -> DataFrame:
+    """``edge_id`` of roads whose first point lies in a closed ring.
+
+    A ring's box lies in four cells at most of a grid of its own size, where points meet it
+    without its outline; only the segments in the point's row are then counted.
+    """
+    ring = water.where((F.size("points") > 3) & (F.get("points", F.lit(0)) == F.element_at("points", -1))).select("points")
+    ring = cut(ring.withColumn("ring", F.monotonically_increasing_id()))
+    x, y = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
+    box = ring.select("ring", *(f(v).alias(n) for n, f, v in (("x0", F.array_min, x), ("x1", F.array_max, x), ("y0", F.array_min, y), ("y1", F.array_max, y))))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    box = box.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(cell)) / cell))).cast("int"))
+    width = F.pow(F.lit(2.0), F.col("level")) * cell
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width).cast("long"), F.floor(F.col(b) / width).cast("long")))
+    box = box.withColumn("bx", span("x0", "x1")).withColumn("by", span("y0", "y1"))
+    levels = [r[0] for r in box.select("level").distinct().collect()]  # as many as the numbers' binary digits
+    first = roads.where(F.size("points") > 0).select("edge_id", F.get("points", F.lit(0)).alias("p")).select("edge_id", "p.x", "p.y")
+    first = first.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    first = first.withColumns({"bx": F.floor(F.col("x") / width).cast("long"), "by": F.floor(F.col("y") / width).cast("long")})
+    held = first.join(box, ["level", "bx", "by"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    held = held.select("edge_id", "x", "y", "ring", F.floor(F.col("y") / cell).cast("long").alias("cy"))
+    both = held.join(_rows(_pieces(ring, "ring"), cell), ["ring", "cy"])
+    over = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
+    at = F.col("x1") + (F.col("y") - F.col("y1")) * F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return both.groupBy("edge_id", "ring").agg(F.count_if(over & (F.col("x") < at)).alias("n")).where("n % 2 = 1").select("edge_id")
 
 
 def crossings(roads: DataFrame, water: DataFrame, cell: float = 1000.0) -> DataFrame:
@@ -230,27 +294,12 @@ def crossings(roads: DataFrame, water: DataFrame, cell: float = 1000.0) -> DataF
 
     Both sides are ``points``: arrays of struct(x, y). Segments meet in grid cells and are
     tested exactly; a road inside a ring without touching it is found by ray casting from
-    its first point against rings whose box holds it.
+    its first point.
     """
     a, b = _segments(roads.select("edge_id", "points"), "edge_id", "a", cell), _segments(water.select("water_id", "points"), "water_id", "b", cell)
     cols = lambda p: [F.col(f"{p}{i}") for i in range(4)]
-    meet = a.join(b, ["cx", "cy"]).where(segments_meet(cols("a"), cols("b"))).select("edge_id").distinct()
-    ring = water.where((F.size("points") > 3) & (F.get("points", F.lit(0)) == F.element_at("points", -1)))
-    x, y = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
-    boxes = ring.select("points", *(f(v).alias(n) for n, f, v in (("x0", F.array_min, x), ("x1", F.array_max, x), ("y0", F.array_min, y), ("y1", F.array_max, y))))
-    boxes = boxes.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell).cast("long"), F.floor(F.col("x1") / cell).cast("long")))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell).cast("long"), F.floor(F.col("y1") / cell).cast("long"))))
-    first = roads.where(F.size("points") > 0).select("edge_id", F.get("points", F.lit(0)).alias("p"))
-    first = first.select("edge_id", "p.x", "p.y").withColumns({"cx": F.floor(F.col("x") / cell).cast("long"), "cy": F.floor(F.col("y") / cell).cast("long")})
-    both = first.join(boxes, ["cx", "cy"])
-
-    def crossed(n: Column, k: Column) -> Column:
-        p, q = F.get("points", k), F.get("points", k + 1)
-        over = (p["y"] > F.col("y")) != (q["y"] > F.col("y"))
-        at = p["x"] + (F.col("y") - p["y"]) * F.try_divide(q["x"] - p["x"], q["y"] - p["y"])
-        return n + F.when(over & (F.col("x") < at), 1).otherwise(0)
-
-    inside = F.aggregate(F.sequence(F.lit(0), F.size("points") - 2), F.lit(0), crossed) % 2 == 1
-    return meet.union(both.where(inside).select("edge_id")).distinct()
+    meet = a.join(b, ["cx", "cy"]).where(segments_meet(cols("a"), cols("b"))).select("edge_id")
+    return meet.union(_inside_rings(roads, water, cell)).distinct()
 
 
 def facilities_of(features: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ solved in parallel, each inside its own row.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -60,9 +61,12 @@ def tail_term(loss: np.ndarray, alpha: float) -> float:
     return float((eta + above / ((1 - alpha) * len(eta))).min())
 
 
-def solve(inst: Instance, budget: float, crew: float, lam: float = 0.0, alpha: float = 0.05) -> list[int]:
-    """The exact optimum of mean + lam x tail term; of equals the cheapest, then the lower options."""
-    return _frontier(inst, budget, crew) if lam == 0 else _branch(inst, budget, crew, lam, alpha)
+def solve(inst: Instance, budget: float, crew: float, lam: float = 0.0, alpha: float = 0.05, time_limit: float | None = None) -> list[int]:
+    """The exact optimum of mean + lam x tail term; of equals the cheapest, then the lower options.
+
+    With a ``time_limit`` in seconds, the best plan found until then by depth-first search.
+    """
+    return _frontier(inst, budget, crew) if lam == 0 and time_limit is None else _branch(inst, budget, crew, lam, alpha, time_limit)
 
 
 def _frontier(inst: Instance, budget: float, crew: float) -> list[int]:
@@ -99,16 +103,17 @@ def _undominated(c: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.array(keep, int)
 
 
-def _branch(inst: Instance, budget: float, crew: float, lam: float, alpha: float) -> list[int]:
+def _branch(inst: Instance, budget: float, crew: float, lam: float, alpha: float, time_limit: float | None = None) -> list[int]:
     """Depth first; a branch is bounded by giving every open asset its least loss in each scenario."""
     n, best, plan = len(inst.cost), np.inf, None
     least = inst.loss.min(axis=1)
     rest = np.vstack([np.cumsum(least[::-1], axis=0)[::-1], np.zeros(inst.loss.shape[2])])
     room_c = np.r_[np.cumsum(inst.cost.min(axis=1)[::-1])[::-1], 0.0]
     room_w = np.r_[np.cumsum(inst.labour.min(axis=1)[::-1])[::-1], 0.0]
-    value = lambda x: float(x.mean()) + lam * tail_term(x, alpha)
+    value = lambda x: float(x.mean()) + (lam * tail_term(x, alpha) if lam else 0.0)
+    end = None if time_limit is None else time.monotonic() + time_limit
     stack: list[tuple[list[int], float, float, np.ndarray]] = [([], 0.0, 0.0, np.zeros(inst.loss.shape[2]))]
-    while stack:
+    while stack and not (end and plan is not None and time.monotonic() > end):
         chosen, c, w, x = stack.pop()
         a = len(chosen)
         bound = value(x + rest[a])
@@ -152,19 +157,20 @@ class Planner:
     move left the budget.
     """
 
-    def __init__(self, types: list[str], outage: list[float], nodes: list, graph: Graph, rain: np.ndarray, seed: int, budget: float, crew: float, fragility=(-3.0, 1.2, 2.0), lam: float = 0.0, alpha: float = 0.05, penalty: float = 1e6):
+    def __init__(
+        self, types: list[str], outage: list[float], nodes: list, graph: Graph, rain: np.ndarray, seed: int, budget: float, crew: float,
+        fragility=(-3.0, 1.2, 2.0), lam: float = 0.0, alpha: float = 0.05, penalty: float = 1e6, time_limit: float | None = None, u: np.ndarray | None = None,
+    ):
+        """``rain``: samples x assets; ``u``: assets x samples, the failures' numbers (drawn from ``seed`` by default)."""
         self.cost = np.array([[S.BASE_COST_CRORE[t] * S.COST_MULTIPLE[o] for o in S.OPTIONS] for t in types])
         self.labour = np.array([[S.LABOUR_DAYS[t] * S.LABOUR_MULTIPLE[o] for o in S.OPTIONS] for t in types])
         self.outage, self.graph, self.rain = np.array(outage, float), graph, np.maximum(np.asarray(rain, float), 1e-9)
         self.at = np.array([graph.names[n] for n in nodes], int)
-        self.u = np.random.default_rng(seed).random((self.rain.shape[1], self.rain.shape[0]))
-        self.budget, self.crew, self.fragility, self.lam, self.alpha, self.penalty = budget, crew, fragility, lam, alpha, penalty
-        n = len(types)
-        blocked = np.zeros((n, graph.n), bool)
-        blocked[np.arange(n), self.at] = True
-        self.solo = graph.losses(blocked) if n else np.zeros(0)
+        self.u = np.random.default_rng(seed).random((self.rain.shape[1], self.rain.shape[0])) if u is None else np.asarray(u, float)
+        self.budget, self.crew, self.fragility, self.lam, self.alpha, self.penalty, self.time_limit = budget, crew, fragility, lam, alpha, penalty, time_limit
+        self.solo = np.array(graph.solo(nodes))
         self.factor = np.array([S.fragility_factor(o) for o in S.OPTIONS])
-        self.known: dict[int, float] = {0: 0.0}
+        self.known: dict[bytes, float] = {}
 
     def probabilities(self, condition: list[int]) -> np.ndarray:
         """p[asset, option, scenario]."""
@@ -176,30 +182,33 @@ class Planner:
     def instance(self, condition: list[int]) -> Instance:
         return Instance(self.cost, self.labour, self.probabilities(condition) * (self.outage * self.solo)[:, None, None])
 
-    def set_losses(self, masks: np.ndarray) -> np.ndarray:
-        new = [m for m in set(masks.tolist()) if m not in self.known]
-        if new:
-            blocked = np.zeros((len(new), self.graph.n), bool)
-            blocked[:, self.at] = (np.array(new)[:, None] >> np.arange(len(self.at))) & 1
-            self.known.update(zip(new, self.graph.losses(blocked).tolist(), strict=True))
-        return np.array([self.known[m] for m in masks.tolist()])
+    def set_losses(self, fails: np.ndarray) -> np.ndarray:
+        """The loss of each row's set (rows x assets); each distinct set is solved once."""
+        keys = [r.tobytes() for r in np.packbits(fails, axis=1)]
+        new = {k: i for i, k in enumerate(keys) if k not in self.known}
+        at = list(new.values())
+        for i in range(0, len(at), self.graph.step):
+            blocked = np.zeros((len(at[i : i + self.graph.step]), self.graph.n), bool)
+            blocked[:, self.at] = fails[at[i : i + self.graph.step]]
+            self.known.update(zip(list(new)[i : i + self.graph.step], self.graph.losses(blocked).tolist(), strict=True))
+        return np.array([self.known[k] for k in keys])
 
     def objective(self, condition: list[int]) -> Callable[[list[int]], float]:
         fails = self.u[:, None, :] < self.probabilities(condition)
-        at, bits = np.arange(len(condition)), 1 << np.arange(len(condition), dtype=np.int64)
+        at = np.arange(len(condition))
 
         def value(choice: list[int]) -> float:
             f = fails[at, choice]
             n = f.sum(axis=0)
             outage = np.divide((f * self.outage[:, None]).sum(axis=0), n, out=np.zeros(len(n)), where=n > 0)
-            v = float((outage * self.set_losses((f * bits[:, None]).sum(axis=0))).sum() / len(n))
+            v = float((outage * self.set_losses(f.T)).sum() / len(n))
             spent, used = float(self.cost[at, choice].sum()), float(self.labour[at, choice].sum())
             return v + self.penalty * (max(0.0, spent - self.budget) + max(0.0, used - self.crew))
 
         return value
 
     def additive(self, condition: list[int]) -> list[int]:
-        return solve(self.instance(condition), self.budget, self.crew, self.lam, self.alpha)
+        return solve(self.instance(condition), self.budget, self.crew, self.lam, self.alpha, self.time_limit)
 
     def network_aware(self, condition: list[int]) -> list[int]:
         start = self.additive(condition)

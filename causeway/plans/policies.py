@@ -8,6 +8,7 @@ doesn't fit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +44,7 @@ class Assets:
 
 
 def no_plan(assets: Assets) -> Column:
-    return F.array(*(F.lit(0) for _ in assets.types)).cast("array<int>")
+    return F.array_repeat(F.lit(0), len(assets.types))
 
 
 def take_in_order(items: Column, assets: Assets, budget: float, crew: float, plan: Column | None = None) -> Column:
@@ -61,13 +62,13 @@ def take_in_order(items: Column, assets: Assets, budget: float, crew: float, pla
 def ranked(assets: Assets, score: Column, option: Column, budget: float | None = None, crew: float | None = None, only: list[int] | None = None, plan: Column | None = None) -> Column:
     """Greedy by score per cost, ties to the earlier asset. ``score`` and ``option``: arrays by asset."""
     budget, crew = assets.budget if budget is None else budget, assets.crew if crew is None else crew
-    at = F.array(*(F.lit(i) for i in (range(len(assets.types)) if only is None else only))).cast("array<int>")
-    cost, labour = A.matrix(assets.cost), A.matrix(assets.labour)
+    at = F.lit(np.arange(len(assets.types)) if only is None else np.array(only, int)).cast("array<int>")
+    cost, labour = A.Table(assets.cost), A.Table(assets.labour)
 
     def item(i: Column) -> Column:
         opt = F.get(option, i).cast("int")
-        c = F.get(F.get(cost, i), opt)
-        return F.struct(F.try_divide(-F.get(score, i), c).alias("key"), i.alias("ord"), opt.alias("opt"), c.alias("cost"), F.get(F.get(labour, i), opt).alias("labour"), F.get(score, i).alias("score"))
+        c = cost.at(i, opt)
+        return F.struct(F.try_divide(-F.get(score, i), c).alias("key"), i.alias("ord"), opt.alias("opt"), c.alias("cost"), labour.at(i, opt).alias("labour"), F.get(score, i).alias("score"))
 
     items = F.filter(F.transform(at, item), lambda x: (x["opt"] > 0) & (x["cost"] > 0) & (x["score"] > 0))
     return take_in_order(F.array_sort(items), assets, budget, crew, plan)
@@ -82,8 +83,16 @@ def random(assets: Assets, condition: Column) -> Column:
     order = list(range(len(assets.types)))
     np.random.default_rng(0).shuffle(order)
     best = [assets.best_option(i) for i in range(len(order))]
-    items = [F.struct(F.lit(i).alias("ord"), F.lit(best[i]).alias("opt"), F.lit(assets.cost[i][best[i]]).alias("cost"), F.lit(assets.labour[i][best[i]]).alias("labour")) for i in order if best[i]]
-    return take_in_order(F.array(*items), assets, assets.budget, assets.crew) if items else no_plan(assets)
+    turn = [i for i in order if best[i]]
+    if not turn:
+        return no_plan(assets)
+    option, cost, labour = F.lit(np.array(best)).cast("array<int>"), A.Table(assets.cost), A.Table(assets.labour)
+
+    def item(i: Column) -> Column:
+        opt = F.get(option, i)
+        return F.struct(i.alias("ord"), opt.alias("opt"), cost.at(i, opt).alias("cost"), labour.at(i, opt).alias("labour"))
+
+    return take_in_order(F.transform(F.lit(np.array(turn)).cast("array<int>"), item), assets, assets.budget, assets.crew)
 
 
 def worst_first(assets: Assets, condition: Column) -> Column:
@@ -92,7 +101,7 @@ def worst_first(assets: Assets, condition: Column) -> Column:
 
 
 def benefit_cost(assets: Assets, condition: Column) -> Column:
-    return ranked(assets, A.doubles(assets.benefit), F.array(*(F.lit(assets.best_option(i)) for i in range(len(assets.types)))))
+    return ranked(assets, A.doubles(assets.benefit), F.lit(np.array([assets.best_option(i) for i in range(len(assets.types))], int)).cast("array<int>"))
 
 
 def criticality_weighted(assets: Assets, condition: Column) -> Column:
@@ -109,7 +118,9 @@ def siloed(assets: Assets, condition: Column) -> Column:
     return plan
 
 
-BASELINES = {"do_nothing": do_nothing, "random": random, "worst_first": worst_first, "benefit_cost": benefit_cost, "criticality_weighted": criticality_weighted, "siloed": siloed}
+#: A policy turns the assets and the column of their conditions into the column of its plan; ``ranked`` makes greedy ones.
+Policy = Callable[[Assets, Column], Column]
+BASELINES: dict[str, Policy] = {"do_nothing": do_nothing, "random": random, "worst_first": worst_first, "benefit_cost": benefit_cost, "criticality_weighted": criticality_weighted, "siloed": siloed}
 
 
 def greedy_select(candidates: DataFrame, keys: list[str], budget: str, crew: str) -> DataFrame:

@@ -464,7 +464,8 @@ def access_loss_subsets(spark, d):
     """L(F) of every subset of the structures, each solved inside its row."""
     graph = access.Graph.collect(T.edges(spark, d), T.homes(spark, d), T.places(spark, d), T.services(spark))
     nodes = [n for n in sorted(r[0] for r in T.structures(spark, d).collect()) if n in graph.names]
-    return rounded(access.set_losses(spark.range(1 << len(nodes)).select(F.col("id").alias("mask")), graph, nodes), "loss")
+    sets = access.subsets(spark, len(nodes))
+    return rounded(sets.join(graph.set_losses(sets, nodes), "failed").select("mask", "loss"), "loss")
 
 
 @query()

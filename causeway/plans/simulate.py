@@ -3,8 +3,9 @@
 A row is a policy in a scenario, with the assets' conditions as an array. A year is a few
 array expressions over every row at once: no row needs another, so the work spreads over
 policies and scenarios, and only the years follow each other. The loss of a failing set
-is looked up by the set's bit mask; what isn't known yet is solved for the distinct masks.
-Plans of the optimising policies are solved once for each distinct condition vector.
+is looked up by the places of its members, of any number; what isn't known yet is solved
+for the distinct sets. Plans of the optimising policies are solved once for each distinct
+condition vector.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 
 from causeway.functions import arrays as A
 from causeway.functions import scalars as S
-from causeway.operators.access import Graph, set_losses
+from causeway.operators.access import Graph, Roads, subsets
 from causeway.operators.lineage import cut
 from causeway.plans import policies as P
 from causeway.plans.optimize import Planner
-from causeway.sources.synthetic import Scenarios
+from causeway.sources.synthetic import Scenarios, ScenarioTable
 
 #: Up to so many assets the losses of all their sets are worked out beforehand.
 ALL_SETS = 12
@@ -40,7 +41,7 @@ class Models:
     condition: list[int]
     budget: float
     crew: float
-    graph: Graph
+    graph: Graph | Roads
     transition: np.ndarray
     fragility: tuple[float, float, float] = (-3.0, 1.2, 2.0)
     premium: float = 1.8
@@ -51,27 +52,26 @@ class Models:
     def __post_init__(self):
         if self.outage is None:
             self.outage = [S.OUTAGE_DAYS.get(t, S.OUTAGE_OTHER) for t in self.types]
-        n = len(self.nodes)
-        blocked = np.zeros((n, self.graph.n), bool)
-        blocked[np.arange(n), [self.graph.names[x] for x in self.nodes]] = True
-        self.solo = self.graph.losses(blocked).tolist() if n else []
+        self.solo = self.graph.solo(self.nodes)
         self.assets = P.Assets(self.types, self.solo, self.budget, self.crew)
 
     def planner(self) -> Planner:
+        if not isinstance(self.graph, Graph):
+            raise ValueError("the optimising policies need a graph that goes along")
         return Planner(self.types, self.outage, self.nodes, self.graph, self.opt_rain, self.opt_seed, self.budget, self.crew, self.fragility)
 
 
 def _by_asset(n: int, f) -> Column:
-    return F.transform(F.array(*(F.lit(i) for i in range(n))), f)
+    return F.transform(F.lit(np.arange(n)).cast("array<int>") if n else F.array().cast("array<int>"), f)
 
 
 def solved_plans(state: DataFrame, models: Models) -> DataFrame:
     """``policy, condition, plan`` for the distinct condition vectors of the optimising policies."""
     asked = state.where(F.col("policy").isin(*OPTIMISERS)).select("policy", "condition").distinct()
-    given = state.sparkSession.sparkContext.broadcast(models)
+    given = state.sparkSession.sparkContext.broadcast(models.planner())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planner = given.value.planner()
+        planner = given.value
         for x in frames:
             plans = [(planner.network_aware if p == "network_aware" else planner.additive)([int(v) for v in c]) for p, c in zip(x.policy, x.condition, strict=True)]
             yield pd.DataFrame({"policy": x.policy, "condition": x.condition, "plan": plans})
@@ -80,28 +80,31 @@ def solved_plans(state: DataFrame, models: Models) -> DataFrame:
     return asked.repartition(parts).mapInPandas(run, "policy string, condition array<int>, plan array<int>")
 
 
-def simulate(spark: SparkSession, names: list[str], models: Models, scenarios: Scenarios, keep_plans: bool = False) -> DataFrame:
-    """``policy, s, person_days, planned, emergency[, plan]`` (the first year's plan) of every policy and scenario."""
-    n, years = len(models.types), scenarios.rain.shape[1]
-    unknown = [p for p in names if p not in P.BASELINES and p not in OPTIMISERS]
+def simulate(spark: SparkSession, names: list[str], models: Models, scenarios: Scenarios | ScenarioTable, keep_plans: bool = False, own: dict[str, P.Policy] | None = None) -> DataFrame:
+    """``policy, s, person_days, planned, emergency[, plan]`` (the first year's plan) of every policy and scenario.
+
+    ``own``: policies of the caller, by name.
+    """
+    n, years, known_policies = len(models.types), scenarios.years, P.BASELINES | (own or {})
+    unknown = [p for p in names if p not in known_policies and p not in OPTIMISERS]
     if unknown:
         raise KeyError(f"unknown policy {unknown[0]!r}")
     who = spark.createDataFrame([(p,) for p in names], "policy string")
-    first = F.array(*(F.lit(int(c)) for c in models.condition)).cast("array<int>")
+    first = F.lit(np.array(models.condition, int)).cast("array<int>")
     state = scenarios.table(spark).join(F.broadcast(who))  # scenarios x policies
     zero = F.lit(0.0)
     state = state.withColumns({"condition": first, "person_days": zero, "planned": zero, "emergency": zero, "first_plan": F.lit(None).cast("array<int>")})
-    cost, major = A.matrix(models.assets.cost), A.doubles([c[2] for c in models.assets.cost])
+    cost, major = A.Table(models.assets.cost), A.doubles([c[2] for c in models.assets.cost])
     reset = A.doubles([S.RESET[o] for o in S.OPTIONS])
     cdf = A.matrix(np.cumsum(models.transition, axis=1))
     outage = A.doubles(models.outage)
-    table = cut(set_losses(spark.range(1 << n).select(F.col("id").alias("mask")), models.graph, models.nodes)) if n <= ALL_SETS else None
+    table = cut(models.graph.set_losses(subsets(spark, n), models.nodes)) if n <= ALL_SETS else None
     b0, b1, b2 = models.fragility
     for y in range(years):
         plan = F.lit(None).cast("array<int>")
         for p in names:
-            if p in P.BASELINES:
-                plan = F.when(F.col("policy") == p, P.BASELINES[p](models.assets, F.col("condition"))).otherwise(plan)
+            if p in known_policies:
+                plan = F.when(F.col("policy") == p, known_policies[p](models.assets, F.col("condition"))).otherwise(plan)
         state = state.withColumn("plan", plan)
         if any(p in OPTIMISERS for p in names):
             solved = cut(solved_plans(state, models)).withColumnRenamed("plan", "solved")
@@ -109,7 +112,7 @@ def simulate(spark: SparkSession, names: list[str], models: Models, scenarios: S
         at = lambda c, i, y=y: F.get(F.get(F.col(c), F.lit(y)), i)
         repaired = _by_asset(n, lambda i: S.apply_reset(F.get("condition", i), F.get(reset, F.get("plan", i))))
         state = state.withColumns({
-            "planned": F.col("planned") + A.total(_by_asset(n, lambda i: F.get(F.get(cost, i), F.get("plan", i)))),
+            "planned": F.col("planned") + A.total(_by_asset(n, lambda i: cost.at(i, F.get("plan", i)))),
             "condition": repaired, "first_plan": F.coalesce("first_plan", "plan"),
         })
         worn = _by_asset(n, lambda i: A.next_state(F.get(cdf, F.get("condition", i)), at("det_u", i)))
@@ -117,17 +120,15 @@ def simulate(spark: SparkSession, names: list[str], models: Models, scenarios: S
         state = state.withColumn("fails", _by_asset(n, lambda i: at("fail_u", i) < S.sigmoid(b0 + b1 * F.get("condition", i) + b2 * F.ln(at("rain", i)))))
         count = F.size(F.filter("fails", lambda f: f))
         sum_if = lambda values: A.total(F.zip_with(values, F.col("fails"), lambda v, f: F.when(f, v).otherwise(0.0)))
-        bits = F.array(*(F.lit(1 << i).cast("long") for i in range(n)))
-        mask = F.aggregate(F.zip_with(bits, F.col("fails"), lambda b, f: F.when(f, b).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-        state = state.withColumn("mask", mask)
+        state = state.withColumn("failed", F.filter(F.transform("fails", lambda f, i: F.when(f, i)), lambda i: i.isNotNull()))
         if table is None:
             state = cut(state)
-        known = table if table is not None else cut(set_losses(state.select("mask").distinct(), models.graph, models.nodes))
-        state = state.join(known, "mask", "left")
+        known = table if table is not None else cut(models.graph.set_losses(state.select("failed").distinct(), models.nodes))
+        state = state.join(known, "failed", "left")
         state = cut(state.withColumns({
             "person_days": F.col("person_days") + F.when(count > 0, sum_if(outage) / count * F.col("loss")).otherwise(0.0),
             "emergency": F.col("emergency") + sum_if(major) * models.premium,
             "condition": F.zip_with("condition", "fails", lambda c, f: F.when(f, 0).otherwise(c)),
-        }).drop("mask", "loss", "fails", "plan"))
+        }).drop("failed", "loss", "fails", "plan"))
     out = ["policy", "s", "person_days", "planned", "emergency"]
     return state.select(*out, F.col("first_plan").alias("plan")) if keep_plans else state.select(*out)

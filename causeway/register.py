@@ -83,9 +83,9 @@ class Register:
         return Register([replace(p, default=float(values.get(n, p.default))) for n, p in self.parameters.items()])
 
     def sample(self, seed: int | np.random.Generator = 0, n: int = 1) -> list[dict[str, float]]:
-        """``n`` draws, each one uniform number a parameter, in register order."""
+        """``n`` draws, each one uniform number a parameter, in register order; a fixed parameter takes no number."""
         rng = np.random.default_rng(seed)
-        return [{k: float(rng.uniform(p.low, p.high)) for k, p in self.parameters.items()} for _ in range(n)]
+        return [{k: p.low if p.low == p.high else float(rng.uniform(p.low, p.high)) for k, p in self.parameters.items()} for _ in range(n)]
 
     def as_dict(self) -> dict[str, dict]:
         return {n: {"unit": p.unit, "low": p.low, "high": p.high, "default": p.default, "source": p.source, "why": p.why, "how": p.how} for n, p in self.parameters.items()}

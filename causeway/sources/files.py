@@ -64,10 +64,15 @@ def load_graphml(spark: SparkSession, path: str, speeds: dict[str, float] | None
 
 
 def load_if_present(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """A Parquet table, or an empty one with the given columns where there is none."""
+    """A Parquet table, or an empty one with the given columns where there is none.
+
+    Whatever else keeps it from being read is an error.
+    """
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ddl)
 
 
@@ -95,8 +100,10 @@ def write_results(result: dict, folder: str | Path, markdown: str) -> None:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Parquet, overwritten; columns of mixed or map type as text."""
+    """Parquet, overwritten; columns of mixed, map, interval or no type as text."""
     plain = {f.name: F.to_json(f.name) for f in df.schema if isinstance(f.dataType, (T.MapType, T.VariantType))}
+    odd = (T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType)
+    plain |= {f.name: F.col(f.name).cast("string") for f in df.schema if isinstance(f.dataType, odd)}
     df.withColumns(plain).write.mode("overwrite").parquet(path)
 
 
@@ -128,6 +135,3 @@ def evidence(spark: SparkSession, folder: str | Path) -> dict:
             {"name": "facilities", "kind": "points"}, {"name": "habitations", "kind": "points"}, {"name": "cost rates", "kind": "dimension"},
         ],
     }
-
-
-

@@ -127,6 +127,10 @@ class Scenarios:
     det_u: np.ndarray
     fail_u: np.ndarray
 
+    @property
+    def years(self) -> int:
+        return self.rain.shape[1]
+
     def table(self, spark: SparkSession) -> DataFrame:
         """``s`` and nested arrays [year][asset]: a row a scenario."""
         rows = [(s, self.rain[s].tolist(), self.det_u[s].tolist(), self.fail_u[s].tolist()) for s in range(len(self.rain))]
@@ -139,6 +143,17 @@ class Scenarios:
         return spark.createDataFrame(rows, schema.SCENARIOS)
 
 
+@dataclass
+class ScenarioTable:
+    """The same as a relation of any size: ``s``, and ``rain, det_u, fail_u`` as nested arrays [year][asset]."""
+
+    rows: DataFrame
+    years: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return self.rows
+
+
 def make_scenarios(n_assets: int, years: int, n: int, rng: np.random.Generator | int, rain: np.ndarray | None = None) -> Scenarios:
     """Rain ratios (given, or lognormal), then all deterioration and then all failure numbers."""
     rng = np.random.default_rng(rng)

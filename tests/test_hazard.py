@@ -43,6 +43,10 @@ def test_short_records_borrow(spark):
     m = series(spark, {"c0": draws(8, seed=1), "c1": draws(60, seed=2), "c2": [*draws(60, seed=3), float("inf"), float("nan")]})
     near = spark.createDataFrame([("c0", "c1"), ("c0", "c2"), ("c1", "c2")], "cell string, neighbour string")
     got = {r["cell"]: r for r in hazard.fit_gev(hazard.pooled(m, near)).collect()}
+    none = m.where("cell <> 'c1'").unionByName(spark.createDataFrame([("c1", 0, None), ("c1", 1, float("nan"))], "cell string, year int, value double"))
+    assert {(r["cell"], r["origin"], r["n"]) for r in hazard.pooled(none, near).groupBy("cell", "origin").agg(F.count("*").alias("n")).collect()} >= {("c1", "c2", 60), ("c0", "c0", 8)}
+    alone = {r["cell"]: r["pooled_cells"] for r in hazard.fit_gev(hazard.pooled(m)).collect()}
+    assert alone == {"c0": ["c0"], "c1": [], "c2": []}
     assert got["c0"]["n_years"] == 128 and got["c0"]["pooled_cells"] == ["c0", "c1", "c2"] and got["c1"]["n_years"] == 60 and got["c1"]["pooled_cells"] == []
 
 

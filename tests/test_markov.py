@@ -80,6 +80,43 @@ def test_metrics_order_forecasts(spark):
     assert r["accuracy_good"] == 1 and r["accuracy_vague"] == 0.5
 
 
+@pytest.mark.parametrize("cuts", [1, 3, 64])
+def test_concordance_against_all_pairs(spark, monkeypatch, cuts):
+    monkeypatch.setattr(metrics, "CUTS", cuts)
+    rng = np.random.default_rng(cuts)
+    rows = [(float(t), float(x), int(e)) for t, x, e in zip(rng.integers(0, 25, 300), rng.integers(0, 12, 300) / 2, rng.integers(0, 2, 300), strict=True)] + [(1.0, 5.0, None), (7.0, None, 1)]
+    own = [r for r in rows if r[1] is not None]
+    pairs = [(a[1] > b[1]) + 0.5 * (a[1] == b[1]) for a in own if a[2] for b in own if b[0] > a[0]]
+    got = metrics.concordance(spark.createDataFrame(rows, "t double, x double, e int"), "t", "x", "e").collect()[0]
+    assert got["n_pairs"] == len(pairs) and got["c_index"] == pytest.approx(np.mean(pairs))
+    none = metrics.concordance(spark.createDataFrame([], "t double, x double, e int"), "t", "x", "e").collect()[0]
+    assert (none["c_index"], none["n_pairs"]) == (0.5, 0)
+
+
+def test_kolmogorov_p():
+    rng = np.random.default_rng(0)
+    for n in (5, 20, 100):
+        d = []
+        for _ in range(4000):
+            u, i = np.sort(rng.random(n)), np.arange(n)
+            d.append(max((u - i / n).max(), ((i + 1) / n - u).max()))
+        for q in (0.2, 0.5, 0.9):
+            assert metrics.kolmogorov_p(float(np.quantile(d, 1 - q)), n) == pytest.approx(q, abs=0.03)
+    assert metrics.kolmogorov_p(0.1, 100) == pytest.approx(metrics.kolmogorov_p(0.1, 100, exact=0), abs=0.005) and metrics.kolmogorov_p(1.0, 3) == 0
+
+
+def test_ranks_of_hot_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(round(v, 1))) for g, n in (("hot", 900), (None, 30), ("one", 1)) for v in rng.normal(0, 5, n)] + [("hot", None)]
+    df = spark.createDataFrame(rows, "g string, residual double")
+    got = {r["g"]: r["q"] for r in metrics.conformal_quantiles(df, ["g"], alpha=0.2).collect()} | {"all": metrics.conformal_quantiles(df, [], alpha=0.2).collect()[0]["q"]}
+    for g in ("hot", None, "one", "all"):
+        r = sorted(abs(v) for k, v in rows if v is not None and g in (k, "all"))
+        assert got[g] == r[min(len(r), int(np.ceil((len(r) + 1) * (1 - 0.2)))) - 1]
+    plan = metrics.conformal_quantiles(df, [])._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
 def test_concordance(spark):
     for scores, want in (((3, 2, 1), 1.0), ((1, 2, 3), 0.0), ((1, 1, 1), 0.5)):
         df = spark.createDataFrame([(t, s, 1) for t, s in zip((1, 2, 3), scores, strict=True)], "t int, s int, e int")

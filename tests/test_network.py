@@ -1,6 +1,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,44 @@ def test_nearest_against_brute_force(spark):
     assert network.nearest(spark.createDataFrame(pts, "id int, x double, y double"), none, 10.0).count() == 0
 
 
+def test_far_points(spark):
+    """Points in a corner far from all targets, which crowd in others."""
+    rng = np.random.default_rng(5)
+    t = np.concatenate([rng.normal(0, 3, (150, 2)), rng.normal((900, 0), 3, (50, 2))])
+    p = np.concatenate([rng.normal((400, 1000), 20, (80, 2)), rng.normal((-500, -800), 5, (40, 2)), t[:10] + 0.5])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id long, x double, y double")
+    targets = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(t)], "target long, tx double, ty double")
+    got = {r["id"]: (r["target"], r["dist"]) for r in network.nearest(points, targets, 1.0).collect()}
+    d = np.hypot(p[:, None, 0] - t[None, :, 0], p[:, None, 1] - t[None, :, 1])
+    assert {i: x[0] for i, x in got.items()} == dict(enumerate(d.argmin(axis=1).tolist())) and all(abs(x[1] - d[i].min()) < 1e-9 for i, x in got.items())
+
+
+def test_crossings_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    line = lambda n, size: np.cumsum(rng.normal(0, size, (n, 2)), axis=0) + rng.uniform(-50, 50, 2)
+    roads = [line(3, 4) for _ in range(60)] + [rng.uniform(-20, 20, 2) + np.zeros((2, 2)) for _ in range(20)]
+    rings = [np.array([(r * np.cos(a) + x, r * np.sin(a) + y) for a in np.linspace(0, 2 * np.pi, 9)]) for x, y, r in ((0, 0, 30), (40, 40, 2), (-30, 20, 8))]
+    for r in rings:
+        r[-1] = r[0]
+    water = [*rings, line(4, 30)]
+    rows = lambda x: [(i, [(float(a), float(b)) for a, b in p]) for i, p in enumerate(x)]
+    kind = "points array<struct<x:double,y:double>>"
+    got = {r[0] for r in network.crossings(spark.createDataFrame(rows(roads), f"edge_id int, {kind}"), spark.createDataFrame(rows(water), f"water_id int, {kind}"), cell=5.0).collect()}
+
+    def cross(a, b, c):
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    def meets(p, q):
+        return any(cross(c, d, a) * cross(c, d, b) < 0 and cross(a, b, c) * cross(a, b, d) < 0 for a, b in zip(p, p[1:], strict=False) for c, d in zip(q, q[1:], strict=False))
+
+    def inside(p, ring):
+        x, y = p
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(ring, ring[1:], strict=False)) % 2 == 1
+
+    want = {i for i, p in enumerate(roads) if any(meets(p, w) for w in water) or any(inside(p[0], r) for r in rings)}
+    assert got == want and 0 < len(want) < len(roads)
+
+
 def test_population(spark):
     cells = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 90.0, 0.0, 7.0)], "id int, x double, y double, population double")
     homes = spark.createDataFrame([("a", 1.0, 0.0), ("b", 9999.0, 0.0)], "node_id string, x double, y double")
@@ -191,13 +230,38 @@ def test_losses_against_dijkstra(spark, seed):
     ids = spark.createDataFrame([(k,) for k in sets], "set_id string")
     nodes = spark.createDataFrame([(k, n) for k, (ns, _) in sets.items() for n in ns], "set_id string, node string")
     cuts = spark.createDataFrame([(k, v, u) for k, (_, es) in sets.items() for u, v in es], "set_id string, src string, dst string")
-    got = {r[0]: r[1] for r in access.losses(*t, ids, nodes, cuts).collect()}
+    both = [{r[0]: r[1] for r in access.losses(*t, ids, nodes, cuts, small=small).collect()} for small in (None, False)]
     g = access.Graph.collect(*t)
     for k, (ns, es) in sets.items():
         want = brute_loss(edges, homes, places, services, ns, es)
-        assert abs(got[k] - want) < 1e-9
-        if not es:
-            assert abs(g.loss_of(ns) - want) < 1e-9
+        assert all(abs(got[k] - want) < 1e-9 for got in both) and abs(g.loss_of(ns, es) - want) < 1e-9
+
+
+def test_unknown_failures(spark):
+    t = tables(spark, [("h", "m", 1.2), ("m", "f", 1.2)], [("h", 100.0)], [("health", "f")], [("health", 60.0, 1.0), ("school", 30.0, 1.0)])
+    sets = spark.createDataFrame([("s",)], "set_id string")
+    node, edge = spark.createDataFrame([("s", "zz")], "set_id string, node string"), spark.createDataFrame([("s", "h", "f")], "set_id string, src string, dst string")
+    for small in (None, False):
+        assert access.losses(*t, sets, node, edge, small=small).collect()[0]["loss"] == 0
+        for more in ((node, None), (None, edge)):
+            with pytest.raises(KeyError):
+                access.losses(*t, sets, *more, validate=True, small=small)
+    g = access.Graph.collect(*t)
+    assert g.loss_of(["zz"], [("h", "f")]) == 0 < g.loss_of([], [("m", "h")], validate=True)
+    for what in ((["zz"], []), ([], [("h", "f")])):
+        with pytest.raises(KeyError):
+            g.loss_of(*what, validate=True)
+
+
+def test_long_paths_take_little_of_each_round(spark, monkeypatch):
+    monkeypatch.setattr(access, "COMPACT", 3)
+    edges = [(f"n{i}", f"n{i + 1}", 1.0) for i in range(12)] + [("n0", "n9", 20.0), ("n3", "n8", 0.5)]
+    e, _, f, _ = tables(spark, edges, [("n0", 1.0)], [("health", "n0")], [("health", 60.0, 1.0)])
+    want = dijkstra(edges, ["n0"], set(), set())
+    for few in (100, 0):
+        monkeypatch.setattr(access, "FEW", few)
+        got = {r["node"]: r["dist"] for r in access.distances(e, access.sources_of(spark.createDataFrame([("",)], "set_id string"), f)).collect()}
+        assert got == want
 
 
 def test_affected_paths(spark):

@@ -1,3 +1,4 @@
+import dataclasses
 import itertools
 import json
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
 from causeway.operators import metrics
-from causeway.operators.access import Graph
+from causeway.operators.access import Graph, Roads
 from causeway.plans import experiments as X
 from causeway.plans import optimize as O
 from causeway.plans import policies as P
@@ -120,6 +121,42 @@ def test_optimum_against_enumeration(seed):
     assert O.solve(inst, 0, 0) == [0] * 5
 
 
+def test_time_limit():
+    inst = instance(3, n=40, s=30)
+    plan = O.solve(inst, 60, 60, time_limit=0.05)
+    assert inst.feasible(plan, 60, 60) and inst.objective(plan) <= inst.objective([0] * 40)
+    assert O.solve(instance(1), 8, 20, time_limit=60) == O.solve(instance(1), 8, 20)
+
+
+def test_more_structures_than_bits(spark):
+    """Seventy parallel culverts, and a policy of the caller's own."""
+    n = 70
+    edges = [e for i in range(n) for e in (("h", f"s{i}", 1.0), (f"s{i}", "f", 1.0))]
+    g = Graph(edges, [("h", 10.0)], [("health", "f")], [("health", 10.0, 1.0)])
+    m = Models([f"A{i}" for i in range(n)], [f"s{i}" for i in range(n)], ["culvert"] * n, [3] * n, 1.0, 500.0, g, np.eye(4), (60.0, 0.0, 0.0), opt_rain=np.ones((2, n)))
+    first_only = lambda assets, condition: F.transform(condition, lambda c, i: F.when(i < 2, 3).otherwise(0))
+    out = {r["policy"]: r for r in simulate(spark, ["do_nothing", "mine"], m, make_scenarios(n, 1, 1, 0), own={"mine": first_only}).collect()}
+    assert out["do_nothing"]["person_days"] == pytest.approx(10 * 8.0) and out["mine"]["planned"] == pytest.approx(2 * 0.24)
+    planner = m.planner()
+    fails = np.eye(n, dtype=bool)
+    assert planner.set_losses(fails).tolist() == [0.0] * n and planner.set_losses(np.ones((1, n), bool)).tolist() == [8.0]
+
+
+def test_roads_as_tables(spark):
+    d = X.make_district(n_junctions=8, n_habitations=4, n_structures=3, seed=2)
+    m = X.build_models(d, X.Register.default(), 2)
+    t = d.tables(spark)
+    services = spark.createDataFrame([("health", 60.0, 1.0), ("school", 45.0, 1.0)], "facility_type string, cap_min double, weight double")
+    roads = Roads(t["edges"], t["habitations"], t["facilities"], services)
+    big = dataclasses.replace(m, graph=roads)
+    assert big.solo == pytest.approx(m.solo)
+    scen = make_scenarios(3, 2, 3, 0)
+    plain = lambda x: {(r["policy"], r["s"]): (round(r["person_days"], 6), round(r["emergency"], 6)) for r in simulate(spark, ["worst_first"], x, scen).collect()}
+    assert plain(big) == plain(m)
+    with pytest.raises(ValueError):
+        simulate(spark, ["network_aware"], big, scen)
+
+
 def test_local_search_reaches_the_free_optimum():
     inst = instance(9)
     found, value = O.local_search(5, [0] * 5, lambda c: inst.objective(c))
