@@ -1,4 +1,4 @@
-"""``python -m causeway COMMAND``: experiments, the register, a road file's QA, the service."""
+"""``python -m causeway COMMAND``: experiments, the register, a road file's QA, a district, the service."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from causeway import api
 from causeway.operators import network
 from causeway.plans import experiments
+from causeway.plans.district import build_district
 from causeway.register import Register
 from causeway.session import ship
 from causeway.sources import files
@@ -31,6 +32,10 @@ def main(args: list[str] | None = None) -> None:
     p = sub.add_parser("qa", help="coverage and components of a GraphML road file")
     p.add_argument("graphml")
     p.add_argument("--structures", help="Parquet folder for tagged structures")
+    p = sub.add_parser("district", help="structures and a report out of map layers")
+    p.add_argument("graphml")
+    p.add_argument("--layers", default=".", help="folder of water.parquet, places.parquet, facilities.parquet")
+    p.add_argument("--out", required=True)
     p = sub.add_parser("serve")
     p.add_argument("--port", type=int, default=8000)
     p.add_argument("--folder", default=".")
@@ -42,6 +47,8 @@ def main(args: list[str] | None = None) -> None:
     ship(spark)
     if given.command == "serve":
         api.serve(spark, given.port, given.folder).serve_forever()
+    elif given.command == "district":
+        print(json.dumps(build_district(spark, given.graphml, given.layers, given.out)))
     elif given.command == "qa":
         nodes, edges = files.load_graphml(spark, given.graphml)
         coverage = network.tag_coverage(edges).collect()[0].asDict()

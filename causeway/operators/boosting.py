@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,12 +27,13 @@ class BoostedStates:
         counts = {r[0]: r[1] for r in data.groupBy("_y").count().collect()}
         self.shares = {s: n / sum(counts.values()) for s, n in counts.items()}
         if len(counts) > 1:
-            for s in sorted(counts):
+            def one(s: int):
                 own = data.withColumn("_label", (F.col("_y") == s).cast("double"))
-                model = GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=self.n_estimators, maxDepth=self.max_depth, stepSize=0.1, seed=self.seed)
-                self.models[s] = model.fit(own)
-                if len(counts) == 2:
-                    break
+                return GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=self.n_estimators, maxDepth=self.max_depth, stepSize=0.1, seed=self.seed).fit(own)
+
+            states = sorted(counts)[: 1 if len(counts) == 2 else None]
+            with ThreadPoolExecutor(len(states)) as pool:  # the states' fits are jobs of their own
+                self.models = dict(zip(states, pool.map(one, states), strict=True))
         data.unpersist()
         return self
 

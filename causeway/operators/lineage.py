@@ -1,19 +1,24 @@
-"""Cutting a plan's lineage in the shared folder that ``spark.checkpoint.dir`` names."""
+"""The folder that driver and executors share, and plans whose lineage is cut there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a checkpoint of two files a core at most; only a local session may use a folder of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names; only a local session may use a folder of its own."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="causeway-"))
-    return df.coalesce(2 * sc.defaultParallelism).checkpoint()
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a checkpoint of two files a core at most."""
+    shared_folder(df.sparkSession)
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).checkpoint()

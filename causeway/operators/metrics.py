@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from causeway.functions import arrays as A
 from causeway.functions import scalars as S
 from causeway.operators.lineage import cut
+from causeway.schema import STATES
 
 
 def log_loss(y: Column, p: Column, eps: float = 1e-12) -> Column:
@@ -32,6 +33,12 @@ def climatology(df: DataFrame, y: str = "y_next") -> DataFrame:
     return counts.select(y, (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
 
 
+def state_histogram(df: DataFrame, state: str = "state4") -> DataFrame:
+    """``state, n``: how many rows are in each state, by its name."""
+    name = F.get(F.array(*map(F.lit, STATES)), F.col(state))
+    return df.groupBy(name.alias("state")).agg(F.count("*").alias("n"))
+
+
 def cvar(df: DataFrame, value: str, keys: list[str], alpha: float = 0.05) -> DataFrame:
     """Mean of the worst ceil(alpha n) values (one at least) of each group, as ``cvar``.
 

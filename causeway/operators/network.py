@@ -253,8 +253,8 @@ def _rows(segments: DataFrame, cell: float) -> DataFrame:
 def _segments(lines: DataFrame, key: str, prefix: str, cell: float) -> DataFrame:
     """A row for each segment and cell that it touches: as many as it is long, not as its box holds."""
     rows = _rows(_pieces(lines, key), cell)
-    part = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1"))))
-    x = lambda y, other: F.coalesce(F.col("x1") + part(y) * (F.col("x2") - F.col("x1")), F.col(other))
+    part = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("y1")) / (F.col("y2") - F.col("y1"))))
+    x = lambda y, level: F.when(F.col("y1") == F.col("y2"), F.col(level)).otherwise(F.col("x1") + part(y) * (F.col("x2") - F.col("x1")))
     one, two = x(F.col("cy") * cell, "x1"), x((F.col("cy") + 1) * cell, "x2")
     edge = 1e-6 * cell  # a neighbouring cell more does no harm, where rounding could leave one out
     low, high = (F.floor(v / cell).cast("long") for v in (F.least(one, two) - edge, F.greatest(one, two) + edge))

@@ -1,16 +1,10 @@
-"""The registered queries over the driver's tables, and their DuckDB statements.
-
-Both sides state the same relation; the Spark side through the operators. Results are
-rounded to six digits, so that the order of a sum doesn't show.
-"""
+"""The registered queries of the operators over the driver's tables, and their DuckDB statements."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays as A
@@ -18,33 +12,10 @@ from causeway.functions import scalars as S
 from causeway.operators import access, hazard, markov, metrics, network, survival
 from causeway.operators import panel as panels
 from causeway.plans import optimize, policies
-from causeway.plans.experiments import DETERIORATION, build_models, matrices
-from causeway.plans.simulate import simulate
+from causeway.plans.experiments import DETERIORATION, matrices
+from causeway.plans.registry import ORACLE_SQL, QUERIES, query, r6, rounded
 from causeway.register import Register
 from causeway.sources import testdata as T
-from causeway.sources.synthetic import Scenarios, make_district
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: r6(n) for n in names})
-
 
 # --- condition panel -------------------------------------------------------------------
 
@@ -161,13 +132,22 @@ def dirichlet_matrices(spark, d):
     return rounded(markov.dirichlet_draws(_matrix(spark, d), 20), "p")
 
 
-@query()
+_BY_AGE = f"""{PAIRS}, agegrid AS (SELECT CAST(c AS INTEGER) AS age_class, CAST(a AS INTEGER) AS s, CAST(b AS INTEGER) AS s_next FROM range(9) v(c), range(4) t(a), range(4) u(b)),
+ac AS (SELECT g.age_class, g.s, g.s_next, count(t.key) AS n FROM agegrid g LEFT JOIN pairs t ON least(floor(coalesce(t.age, 0) / 10.0), 8) = g.age_class AND t.state4 = g.s AND t.y_next = g.s_next GROUP BY ALL),
+am AS MATERIALIZED (SELECT *, (n + 0.5) / sum(n + 0.5) OVER (PARTITION BY age_class, s) AS p FROM ac),
+latest AS (SELECT key, arg_max(state4, year) AS state4, coalesce(arg_max_null(age, year), 0) AS age FROM panel GROUP BY key),
+f0 AS MATERIALIZED (SELECT key, age, CAST(s AS INTEGER) AS state, CAST(s = state4 AS DOUBLE) AS p FROM latest, range(4) t(s)), """ + ", ".join(
+    f"f{t} AS MATERIALIZED (SELECT f.key, f.age, m.s_next AS state, sum(f.p * m.p) AS p FROM f{t - 1} f JOIN am m ON m.s = f.state AND m.age_class = least(floor((f.age + {t - 1}) / 10.0), 8) GROUP BY ALL)" for t in range(1, 6)
+)
+
+
+@query(f"WITH {_BY_AGE} " + " UNION ALL ".join(f"SELECT key, CAST({t} AS INTEGER) AS t, state, round(p, 6) AS p FROM f{t}" for t in range(6)))
 def markov_forecast_by_age(spark, d):
     pairs = panels.next_year_pairs(T.panel(spark, d))
     rows = matrices(pairs, DETERIORATION, 0.0).collect()
     m = F.array(*(A.matrix([r["p"] for r in sorted(rows, key=lambda r: r["s"]) if r["age_class"] == c]) for c in range(DETERIORATION["n_classes"])))
     latest = T.panel(spark, d).groupBy("key").agg(F.max_by(F.struct("state4", "age"), "year").alias("x"))
-    out = latest.select("key", A.forecast_by_age(F.col("x.state4"), F.col("x.age"), m, 10, 5).alias("f"))
+    out = latest.select("key", A.forecast_by_age(F.col("x.state4"), F.coalesce("x.age", F.lit(0)), m, 10, 5).alias("f"))
     return out.select("key", F.posexplode("f").alias("t", "v")).select("key", "t", F.posexplode("v").alias("state", "p")).withColumn("p", r6("p"))
 
 
@@ -459,7 +439,13 @@ def access_loss_set(spark, d):
     return _loss(spark, d, T.structures(spark, d).select(F.lit("all").alias("set_id"), "node"))
 
 
-@query()
+_SUBSETS = """names AS (SELECT n_nationkey AS node, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation WHERE n_regionkey = 3),
+set_ids AS (SELECT '' AS set_id UNION ALL SELECT CAST(m AS VARCHAR) FROM range(32) t(m)), fails AS (SELECT CAST(m AS VARCHAR) AS set_id, node FROM range(32) t(m), names WHERE (m >> i) & 1 = 1)"""
+#: The loss of each set of the structures, by mask, after the chain of times.
+SUBSETS = f"{_times_sql(_SUBSETS)}, subset AS (SELECT CAST(set_id AS BIGINT) AS mask, loss FROM ({_LOSS.replace('round(sum(', 'sum(', 1).replace(', 6) AS loss', ' AS loss', 1)}))"
+
+
+@query(f"WITH {SUBSETS} SELECT mask, round(loss, 6) AS loss FROM subset")
 def access_loss_subsets(spark, d):
     """L(F) of every subset of the structures, each solved inside its row."""
     graph = access.Graph.collect(T.edges(spark, d), T.homes(spark, d), T.places(spark, d), T.services(spark))
@@ -468,7 +454,8 @@ def access_loss_subsets(spark, d):
     return rounded(sets.join(graph.set_losses(sets, nodes), "failed").select("mask", "loss"), "loss")
 
 
-@query()
+@query(f"""WITH {_times_sql(_ALL)} SELECT y.facility_type, y.node FROM homes h JOIN d24 y ON y.set_id = '' AND y.node = h.node
+LEFT JOIN d24 x ON x.set_id = 'all' AND x.facility_type = y.facility_type AND x.node = y.node WHERE x.t IS NULL OR x.t > y.t + 1e-9""")
 def affected_habitations(spark, d):
     base = access.sources_of(spark.createDataFrame([("",)], "set_id string"), T.places(spark, d))
     paths = access.distances(T.edges(spark, d), base, with_path=True)
@@ -596,38 +583,6 @@ def additive_optimum(spark, d):
     return rounded(out, "cost", "labour").withColumn("loss", F.round("loss", 4))
 
 
-@query()
-def local_search(spark, d):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from causeway.operators.access import Graph
-        from causeway.plans.optimize import Planner
-
-        for x in frames:
-            for seed in x["id"]:
-                g = Graph([("h", "a", 1.0), ("a", "f", 1.0), ("h", "b", 1.0), ("b", "f", 1.0)], [("h", 100.0)], [("health", "f")], [("health", 60.0, 1.0)])
-                rain = np.exp(np.random.default_rng(int(seed)).normal(0.9, 0.15, size=(20, 2)))
-                p = Planner(["culvert"] * 2, [10.0] * 2, ["a", "b"], g, rain, int(seed), 0.1, 100.0)
-                choice, value = optimize.local_search(2, [0, 0], p.objective([2, 2]))
-                yield pd.DataFrame({"seed": [seed], "choice": [choice], "value": [round(value, 6)]})
-
-    return spark.range(16).mapInPandas(run, "seed long, choice array<int>, value double")
-
-
-@query()
-def simulate_policies(spark, d):
-    """Six baseline policies on a synthetic district, with portable random numbers."""
-    district = make_district(n_junctions=16, n_habitations=8, n_structures=8, seed=1)
-    district.budget_crore, district.crew_days = 0.6, 200.0
-    n, shape = len(district.structures), (16, 3, len(district.structures))
-    k = np.arange(3 * 16 * 3 * n, dtype=object)
-    for _ in range(3):
-        k = (k * 1103515245 + 12345) % 2147483648
-    u = (k / 2147483648.0).astype(float).reshape(3, *shape)
-    models = build_models(district, Register.default(), 1)
-    out = simulate(spark, list(policies.BASELINES), models, Scenarios(np.exp(u[0] * 1.2 - 0.4), u[1], u[2]))
-    return rounded(out, "person_days", "planned", "emergency")
-
-
 # --- tails, regret, paired comparisons ------------------------------------------------------------
 
 LOSSES = """losses AS (SELECT l_returnflag || l_linestatus AS policy, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS s, round(sum(l_extendedprice * l_discount), 4) AS loss FROM lineitem GROUP BY ALL)"""
@@ -740,10 +695,24 @@ def gev_likelihood(spark, d):
     return hazard.fit_gev(rows.join(enough.select("cell"), "cell")).withColumns({c: F.round(c, 3) for c in ("c", "loc", "scale")})
 
 
-@query()
+@query(f"""WITH {MAXIMA}, blocks AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT block FROM maxima))
+SELECT CAST(t.id AS INTEGER) AS scenario, cell, round(value, 6) AS value FROM range(10) t(id) JOIN blocks ON i = CAST(floor({_U('t.id + 1')} * k) AS BIGINT) JOIN maxima USING (block)""")
 def resample_fields(spark, d):
     days = T.maxima(spark, d).select(F.col("block").alias("year"), "cell", "value")
-    return hazard.resample_years(days, 10)
+    return rounded(hazard.resample_years(days, 10, portable=True), "value")
+
+
+_POOLED = MAXIMA.replace("maxima AS", "own AS").replace("max(value) AS value", "max(CASE WHEN user_id % 7 <> 3 THEN value END) AS value") + """, sizes AS (SELECT cell, count(value) AS n FROM own GROUP BY cell),
+maxima AS (SELECT cell, value FROM own WHERE value IS NOT NULL UNION ALL SELECT c.cell, o.value FROM sizes c JOIN own o ON abs(o.cell - c.cell) = 1 WHERE c.n < 25 AND o.value IS NOT NULL)""" + LMOM[len(MAXIMA):]
+
+
+@query(f"WITH {_POOLED} SELECT cell, n, round(c, 5) AS c, round(loc, 4) AS loc, round(scale, 4) AS scale FROM fits")
+def gev_pooled(spark, d):
+    """Cells with few values, and those with none, borrow from the cells next to them."""
+    m = T.maxima(spark, d).withColumn("value", F.when(F.col("cell") % 7 != 3, F.col("value")))
+    near = m.select("cell").distinct().select("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell") + 1)).alias("neighbour"))
+    f = hazard.fit_lmoments(hazard.pooled(m, near, 25))
+    return f.select("cell", "n", F.round("c", 5).alias("c"), F.round("loc", 4).alias("loc"), F.round("scale", 4).alias("scale"))
 
 
 @query("SELECT user_id AS cell, CAST(CAST(ts AS DATE) AS VARCHAR) AS block, round(max(value) * 1.5, 6) AS stressed, round(max(value) * (100.0::DOUBLE / 50.0), 6) AS at_level FROM events GROUP BY user_id, CAST(ts AS DATE)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from pathlib import Path
 
@@ -32,10 +33,12 @@ def load_sheets(spark: SparkSession, folder: str) -> DataFrame:
     found = sorted((int(r[1]) + 2000, r[0]) for r in files.select("path", year).where(F.length(year) > 0).collect())
     if not found:
         raise FileNotFoundError(f"no inspection sheets in {folder}")
-    # one scan for each header, so that a year's columns are read by name
+    # one scan for each header, so that a year's columns are read by name; the headers come from one scan of the files' beginnings
+    lines = spark.read.text([p for _, p in found]).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    firsts = lines.where("at = 0").withColumn("i", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "i"))
     headers: dict[tuple, list[str]] = {}
-    for _, path in found:
-        headers.setdefault(tuple(spark.read.csv(path, header=True).columns), []).append(path)
+    for path, line in sorted(map(tuple, firsts.collect())):
+        headers.setdefault(tuple(next(csv.reader([line]))), []).append(path)
     parts = []
     for names, paths in headers.items():
         text = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -76,27 +79,45 @@ def load_if_present(spark: SparkSession, path: str, ddl: str) -> DataFrame:
         return spark.createDataFrame([], ddl)
 
 
-def read_json(path: str | Path) -> dict | None:
-    """A JSON file, or None if it can't be read."""
+def filesystem(path: str | Path):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    path = str(path)
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else str(Path(path).absolute()))
+
+
+def read_text(path: str | Path) -> str | None:
+    """A small text file, or None if it can't be read."""
     try:
-        return json.loads(Path(path).read_text(encoding="utf-8"))
+        system, at = filesystem(path)
+        with system.open_input_stream(at) as f:
+            return f.read().decode()
     except (OSError, ValueError):
         return None
 
 
-def read_text(path: str | Path) -> str | None:
+def read_json(path: str | Path) -> dict | None:
+    """A JSON file, or None if it can't be read."""
     try:
-        return Path(path).read_text(encoding="utf-8")
-    except OSError:
+        return json.loads(read_text(path) or "")
+    except ValueError:
         return None
 
 
+def write_text(path: str | Path, text: str) -> None:
+    system, at = filesystem(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(at) as f:
+        f.write(text.encode())
+
+
 def write_results(result: dict, folder: str | Path, markdown: str) -> None:
     """``results.json`` and ``results.md``, overwritten."""
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
-    (folder / "results.json").write_text(json.dumps(result, indent=2, default=str), encoding="utf-8")
-    (folder / "results.md").write_text(markdown, encoding="utf-8")
+    write_text(f"{folder}/results.json", json.dumps(result, indent=2, default=str))
+    write_text(f"{folder}/results.md", markdown)
 
 
 def write_table(df: DataFrame, path: str) -> None:

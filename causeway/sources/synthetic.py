@@ -3,6 +3,7 @@ that a seed gives the same district and scenarios everywhere; the tables are sma
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -22,6 +23,7 @@ class District:
     habitations: dict = field(default_factory=dict)  # id -> population
     facilities: list = field(default_factory=list)  # (type, id)
     structures: list = field(default_factory=list)  # (asset id, node, type)
+    corridors: dict = field(default_factory=dict)  # asset id -> number, where the district has corridors
     budget_crore: float = 100.0
     crew_days: float = 500.0
     speed_kph: float = CLASS_SPEEDS["rural"]
@@ -53,9 +55,14 @@ class District:
         self.add_road(node, v, length * (1 - fraction), minutes * (1 - fraction))
         self.structures.append((asset, node, kind))
 
-    def node_kind(self, n, kind: str) -> None:
+    def settle(self, n, use: str, people: float | None = None) -> None:
+        """Make a junction a habitation of ``people``, or a facility of type ``use``."""
         x, y, _ = self.nodes[n]
-        self.nodes[n] = (x, y, kind)
+        self.nodes[n] = (x, y, "facility" if people is None else use)
+        if people is None:
+            self.facilities.append((use, n))
+        else:
+            self.habitations[n] = people
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         make = lambda rows, s: spark.createDataFrame(rows, s)
@@ -69,35 +76,34 @@ class District:
         }
 
 
+def _wire(d: District, rng: np.random.Generator, chords: int) -> None:
+    """Roads of random length: a random tree over all nodes, then chords between random pairs that lack one."""
+    turn = list(d.nodes)
+    rng.shuffle(turn)
+    length = lambda: rng.uniform(800, 4000)
+    for known in range(1, len(turn)):
+        d.add_road(turn[known], turn[rng.integers(0, known)], length())
+    for pair in (rng.integers(0, len(turn), 2).tolist() for _ in range(chords)):
+        if len(set(pair)) == 2 and pair[1] not in d.ways[pair[0]]:
+            d.add_road(*pair, length())
+
+
 def make_district(n_junctions: int = 24, n_habitations: int = 14, n_structures: int = 10, seed: int = 0, spacing_m: float = 3000.0, class_speeds: dict | None = None) -> District:
     """A connected district on a jittered grid: a random tree, some chords, four facilities, structures on random edges."""
-    rng = np.random.default_rng(seed)
-    d = District(speed_kph=(class_speeds or CLASS_SPEEDS)["rural"])
+    rng, d = np.random.default_rng(seed), District(speed_kph=(class_speeds or CLASS_SPEEDS)["rural"])
     side = math.ceil(math.sqrt(n_junctions))
-    for i in range(n_junctions):
-        jitter = [rng.uniform(0, 0.4 * spacing_m) for _ in range(2)]
-        d.add_node(i, i % side * spacing_m + jitter[0], i // side * spacing_m + jitter[1])
-    order = list(range(n_junctions))
-    rng.shuffle(order)
-    for i, u in enumerate(order[1:], 1):
-        d.add_road(u, order[rng.integers(0, i)], rng.uniform(800, 4000))
-    for _ in range(n_junctions // 3):
-        u, v = (int(rng.integers(0, n_junctions)) for _ in range(2))
-        if u != v and v not in d.ways[u]:
-            d.add_road(u, v, rng.uniform(800, 4000))
-    places = list(range(n_junctions))
-    rng.shuffle(places)
-    for h in places[:n_habitations]:
-        d.node_kind(h, "habitation")
-        d.habitations[h] = float(rng.integers(50, 800))
-    for kind, n in zip(("health", "health", "school", "school"), places[n_habitations:], strict=False):
-        d.node_kind(n, "facility")
-        d.facilities.append((kind, n))
-    edges = d.edges()
-    rng.shuffle(edges)
-    for i, (u, v) in enumerate(edges[:n_structures]):
-        if v in d.ways[u]:
-            d.put_structure(f"S{i}", u, v, float(rng.uniform(0.25, 0.75)), TYPES[i % len(TYPES)])
+    grid = np.array([(i % side, i // side) for i in range(n_junctions)]).reshape(-1, 2) * spacing_m
+    for n, at in enumerate(grid + rng.uniform(0, 0.4 * spacing_m, (n_junctions, 2))):
+        d.add_node(n, *at)
+    _wire(d, rng, n_junctions // 3)
+    free = list(d.nodes)
+    rng.shuffle(free)
+    for n, use in zip(free, ["habitation"] * n_habitations + ["health"] * 2 + ["school"] * 2, strict=False):
+        d.settle(n, use, float(rng.integers(50, 800)) if use == "habitation" else None)
+    bridged = d.edges()
+    rng.shuffle(bridged)
+    for i, (ends, kind) in enumerate(zip(bridged[:n_structures], itertools.cycle(TYPES), strict=False)):
+        d.put_structure(f"S{i}", *ends, float(rng.uniform(0.25, 0.75)), kind)
     return d
 
 
@@ -115,7 +121,8 @@ def make_redundant_district(n_corridors: int = 3, redundancy: int = 2, seed: int
             d.add_node(j, 2500, 1500 * c + 30 * i)
             d.add_road(h, j, route_length_m)
             d.add_road(j, "F", route_length_m)
-            d.put_structure(f"S{c * redundancy + i}", j, "F", 0.5, "culvert")
+            d.put_structure(asset := f"S{c * redundancy + i}", j, "F", 0.5, "culvert")
+            d.corridors[asset] = c
     return d
 
 

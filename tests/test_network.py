@@ -61,7 +61,8 @@ def test_far_points(spark):
 def test_crossings_against_brute_force(spark):
     rng = np.random.default_rng(6)
     line = lambda n, size: np.cumsum(rng.normal(0, size, (n, 2)), axis=0) + rng.uniform(-50, 50, 2)
-    roads = [line(3, 4) for _ in range(60)] + [rng.uniform(-20, 20, 2) + np.zeros((2, 2)) for _ in range(20)]
+    flat = [np.array([(x, y), (x + 9, y)]) for x, y in rng.uniform(-40, 40, (25, 2))] + [np.array([(x, y + 9), (x, y)]) for x, y in rng.uniform(-40, 40, (25, 2))]
+    roads = [line(3, 4) for _ in range(60)] + flat + [rng.uniform(-20, 20, 2) + np.zeros((2, 2)) for _ in range(20)]
     rings = [np.array([(r * np.cos(a) + x, r * np.sin(a) + y) for a in np.linspace(0, 2 * np.pi, 9)]) for x, y, r in ((0, 0, 30), (40, 40, 2), (-30, 20, 8))]
     for r in rings:
         r[-1] = r[0]
