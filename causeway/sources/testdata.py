@@ -146,13 +146,13 @@ def _text_files(df: DataFrame, folder: str, name: Column, head: str = "", foot:
     rows.mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
 
 
-def write_sheets(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """Orders as inspection sheets, a year a name; every other year's sheets have no traffic column."""
+def write_sheets(spark: SparkSession, sf_dir: str, folder: str, structure: str = "o_orderkey") -> None:
+    """Orders as inspection sheets of a ``structure``, a year a name; every other year's sheets have no traffic column."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     key, cust, yy = F.col("o_orderkey"), F.col("o_custkey"), F.year("o_orderdate") % 100
     text = lambda c: c.cast("string")
     cells = {
-        "state_code": F.concat(F.lit(" "), text(cust % 50)), "structure_id": F.concat(F.lit("  "), text(key), F.lit(" ")),
+        "state_code": F.concat(F.lit(" "), text(cust % 50)), "structure_id": F.concat(F.lit("  "), text(F.col(structure)), F.lit(" ")),
         "year_built": F.when(key % 7 == 0, "N").otherwise(text(1950 + cust % 150)),
         "year_rehab": F.when(key % 3 == 0, "0").when(key % 3 == 1, "").otherwise(text(2000 + cust % 20)),
         "deck": F.when(F.col("o_orderstatus") == "P", "N").otherwise(text(F.floor("o_totalprice") % 10)),
