@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from causeway.operators.lineage import cut
 
 CONNECTOR_KPH = 5.0
 SNAP_TOLERANCE_M = 25.0
+#: Edges that one task joins up at most.
+SMALL_EDGES = 100_000
 
 
 def must_be_empty(bad: DataFrame, message: str) -> None:
@@ -178,8 +181,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Smallest labels travel along edges and jump to the label's own label, so rounds grow
     with the logarithm of the diameter; each round's labels are written to the shared folder.
+    Up to ``SMALL_EDGES`` edges are joined up in one task instead.
     """
-    ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    if ends.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
+        named = ends.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_joined_up, f"node_id {edges.schema['src'].dataType.simpleString()}, component {edges.schema['src'].dataType.simpleString()}")
+        return nodes.select("node_id").join(named, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
     both = cut(ends.union(ends.select("b", "a")).where("a <> b").distinct())
     labels = cut(nodes.select("node_id", F.col("node_id").alias("component")))
     while True:
@@ -192,6 +199,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined_up(ends: pd.DataFrame) -> pd.DataFrame:
+    """``node_id, component`` of the nodes of an edge list ``a, b``."""
+    top: dict = {n: n for n in {*ends["a"], *ends["b"]}}
+
+    def find(n):
+        while top[n] != n:
+            top[n] = n = top[top[n]]
+        return n
+
+    for a, b in zip(ends["a"], ends["b"], strict=True):
+        low, high = sorted((find(a), find(b)))
+        top[high] = low
+    return pd.DataFrame({"node_id": list(top), "component": [find(n) for n in top]})
+
+
 def qa_report(nodes: DataFrame, edges: DataFrame, facilities: DataFrame, habitations: DataFrame, min_reach: float = 0.95) -> DataFrame:
     """One row: sizes, components, share of habitations that reach a health facility, orphans, verdict."""
     named = components(nodes, edges)

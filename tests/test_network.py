@@ -112,7 +112,9 @@ def test_qa(spark):
     assert not r["passes"] and r["n_orphan_facilities"] == 1 and r["share_habitations_with_health"] == 0
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_components_of_a_long_path(spark, monkeypatch, small):
+    monkeypatch.setattr(network, "SMALL_EDGES", small)
     n = spark.createDataFrame([(i,) for i in range(60)], "node_id int")
     e = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
     got = {r[0]: r[1] for r in network.components(n, e).collect()}
