@@ -22,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import cut, small_batches, unwrapped, wrapped
+from causeway.llm.common import cut, small_batches
 
 THRESHOLD = 0.7
 #: Labelled rows that a fit sees at most, features it keeps at most, rows a feature must occur in.
 SAMPLE, FEATURES, MIN_DOCS = 12_000, 6_000, 3
+#: Words whose features a task remembers.
+WORDS = 250_000
 #: Identity terms, by group, in the languages of the corpus.
 IDENTITY = {
     "religion": ["muslim", "jewish", "christian", "hindu", "buddhist", "catholic", "atheist", "musulman", "juif", "chrétien", "judío", "cristiano", "muslimisch", "jüdisch", "christlich"],
@@ -52,7 +54,7 @@ def word_features(word: str) -> tuple[int, ...]:
 
 def text_features(text: str | None, cache: dict[str, tuple[int, ...]]) -> set[int]:
     out: set[int] = set()
-    if len(cache) > 500_000:
+    if len(cache) > WORDS:
         cache.clear()
     for w in set((text or "").lower().split()):
         f = cache.get(w)
@@ -192,30 +194,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
     return fit([(x[1], np.frombuffer(x[2], "<u4")) for x in got], **options)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
-    docs = docs.drop("score", "predicted")
-    small_batches(docs.sparkSession)
-    given = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # at most FEATURES and the terms'
+def scorer(spark: SparkSession, model: Model):
+    """A function from a text column to its score. Only the text goes to a worker, only the score comes back."""
+    small_batches(spark)
+    given = spark.sparkContext.broadcast((model.weights, model.bias))  # at most FEATURES and the terms'
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted, cache = Model(*given.value), {}
-        for b in batches:
-            s = []
-            for t in b.column(text):
-                if len(cache) > 500_000:
+        for texts in batches:
+            out = []
+            for t in texts:
+                if len(cache) > WORDS:
                     cache.clear()
-                s.append(fitted.score(t.as_py(), cache))
-            s = np.array(s, float)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+                out.append(fitted.score(t.as_py(), cache))
+            yield pa.array(out, pa.float64())
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return run
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
+    scored = docs.drop("score", "predicted").withColumn("score", scorer(docs.sparkSession, model)(F.col(text)))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model doesn't call toxic, with their own columns."""
-    return unwrapped(score(wrapped(docs, {"text": F.col("text")}), model).where("predicted = 0"), docs.columns)
+    return docs.where(scorer(docs.sparkSession, model)(F.col("text")) < THRESHOLD)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
