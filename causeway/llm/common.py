@@ -138,7 +138,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, np.searchsorted(first, bounds)
 
 
-def shingle_sets(texts: pa.Array, most: int = 1 << 21):
+def shingle_sets(texts: pa.Array, most: int = 1 << 19):
     """Yield, for each text, the sorted distinct 64-bit hashes of its 5-word shingles.
 
     A text with one to four words has its whole sequence as the only shingle; a null or
