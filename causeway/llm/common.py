@@ -40,15 +40,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage.
 
-    Slim tables go to two files a core at most, since a file costs more than its rows;
-    tables of the corpus's size stay ``spread`` over their own partitions, as do those
-    whose rows name their task's partition. Where the session sets
+    Slim tables go to a file a core at most, since a file costs more than its rows (on a
+    local disk Hadoop starts two processes for each, which share the executor's memory until
+    they run); tables of the corpus's size stay ``spread`` over their own partitions, as do
+    those whose rows name their task's partition. Where the session sets
     ``spark.cleaner.referenceTracking.cleanCheckpoints``, Spark deletes the files when
     nothing refers to them any more; else they stay until the folder is emptied.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    return (df if spread else df.coalesce(2 * spark.sparkContext.defaultParallelism)).checkpoint()
+    return (df if spread else df.coalesce(spark.sparkContext.defaultParallelism)).checkpoint()
 
 
 def small_batches(spark: SparkSession) -> None:

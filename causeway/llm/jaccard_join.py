@@ -301,9 +301,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     pairs = pairs.select("a", "b")
     busy = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > PAIRS)
-    busy = cut(busy.select("id", F.ceil(F.col("n") / PAIRS).cast("int").alias("parts")))
+    busy = busy.select("id", F.ceil(F.col("n") / PAIRS).cast("int").alias("parts"))
     one = F.lit(0)
     if busy.limit(1).count():
+        busy = cut(busy)
         for end, other in (("a", "b"), ("b", "a")):
             parts = busy.select(F.col("id").alias(end), F.col("parts").alias("parts"))
             pairs = pairs.join(parts, end, "left").withColumn(f"{end}_part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
