@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import decontaminate, fill_middle, html_extract, jaccard_join, line_dedup, neighbours, packing, sharding, token_counts, toxicity, url_filter
+from causeway.llm import decontaminate, fill_middle, html_extract, jaccard_join, line_dedup, neighbours, packing, secret_scan, sharding, token_counts, toxicity, url_filter
 from causeway.llm.common import read
 
 #: The rules that the url query judges by: verdict, host, path.
@@ -60,6 +60,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(read(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(read(spark, sf_dir, "documents"))
 
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_uniform_sharding": op9_uniform_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_secret_scan": op11_secret_scan,
     "op12_fill_middle": op12_fill_middle,
 }
 
@@ -116,5 +121,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_jaccard_join": _JACCARD_SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op11_secret_scan": secret_scan.SQL,
     "op12_fill_middle": fill_middle.SQL,
 }
