@@ -26,8 +26,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rated_orders(read(spark, sf_dir, "orders"))
+
+
+def rated_orders(orders: DataFrame) -> DataFrame:
     """A rated inspection per order: ``key, year, state4, age``."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     deck, sub = F.floor("o_totalprice").cast("long") % 10, F.col("o_orderkey") % 10
     upper = F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") * 7 % 10)
     year = F.year("o_orderdate")
