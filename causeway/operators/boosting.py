@@ -1,54 +1,247 @@
-"""Boosted trees for the next state: one against the rest for each state that occurs."""
+"""Boosted trees for the next state: all classes together, from histograms of softmax gradients.
+
+Rows are cut into at most ``bins`` ranges a feature and counted first: rows that share all
+ranges and the outcome are one row with a weight, whatever the table's size. A level of a
+round's trees (one for each class) is one aggregate: every task sums its own rows'
+gradients by (class, node, feature, range), the tasks' sums are added, and the driver picks
+splits from cells whose number doesn't depend on the rows. Scores lie beside the rows, in
+blocks of bounded size, and are written anew every ``KEEP`` rounds, so a level adds a few
+trees at most.
+"""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions import arrays as A
 from causeway.functions import scalars as S
+from causeway.operators.lineage import cut
 from causeway.schema import N_STATES
 
+#: Rounds after which rows' scores are written.
+KEEP = 10
+#: Distinct rows a task takes, about: fewer would cost more to start than to sum.
+ROWS_A_TASK = 10_000
+#: Numbers of all tasks together that the driver adds up itself; beyond, Spark does.
+DRIVER_ADDS = 1 << 20
+#: The error of a feature's quantiles is one in this many rows.
+ACCURACY = 10_000
+
+
+def cut_points(df: DataFrame, columns: list[str], bins: int) -> list[list[float]]:
+    """Sorted values that part each feature into at most ``bins`` ranges: all but the largest
+    of up to ``bins`` distinct values, approximate quantiles of more."""
+    shares = [k / bins for k in range(1, bins)]
+    few = {c: F.array_sort(F.collect_set(c)) for c in columns}
+    counts = df.agg(*(F.approx_count_distinct(c, 0.02).alias(c) for c in columns)).first()
+    small = [c for c in columns if counts[c] <= 2 * bins]
+    found = df.agg(F.lit(0).alias("_"), *(few[c].alias(c) for c in small), *(F.percentile_approx(c, shares, ACCURACY).alias(c) for c in columns if c not in small)).first()
+    out = []
+    for c in columns:
+        values = sorted(set(found[c] or []))
+        if c in small:
+            values = values[:-1]
+            if len(values) >= bins:
+                values = sorted({values[len(values) * k // bins] for k in range(1, bins)})
+        out.append([float(v) for v in values])
+    return out
+
+
+def bin_of(value: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` lie below the value."""
+    return F.size(F.filter(F.lit(np.asarray(cuts, float)), lambda c: c < value)).cast("short") if cuts else F.lit(0).cast("short")
+
+
+class Tree:
+    """A full tree of ``depth`` levels: ``feature`` (-1 where a node isn't split) and ``at``
+    (the last range that goes left) by node, the root first, and ``leaf`` by last-level node."""
+
+    def __init__(self, depth: int):
+        self.feature = np.full(2**depth - 1, -1)
+        self.at = np.zeros(2**depth - 1, int)
+        self.leaf = np.zeros(2**depth)
+
+    def node(self, x: np.ndarray, levels: int) -> np.ndarray:
+        """The node of each row of ranges after ``levels`` levels, from 0 in its level."""
+        at = np.zeros(len(x), int)
+        for level in range(levels):
+            own = at + 2**level - 1
+            f = self.feature[own]
+            right = (f >= 0) & (x[np.arange(len(x)), np.maximum(f, 0)] > self.at[own])
+            at = 2 * at + right
+        return at
+
+
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def best_splits(g: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The feature and range of each node whose split takes most off the squared error, -1 without one.
+
+    ``g``, ``w``: sums of residuals and weights by (node, feature, range). Of equal gains the
+    first feature and range wins; gains below a billionth of the node's weight count as none.
+    """
+    left_g, left_w = np.cumsum(g, axis=2)[:, :, :-1], np.cumsum(w, axis=2)[:, :, :-1]
+    all_g, all_w = g.sum(axis=2, keepdims=True), w.sum(axis=2, keepdims=True)
+    right_g, right_w = all_g - left_g, all_w - left_w
+    both = (left_w > 0) & (right_w > 0)
+    difference = np.where(both, left_g / np.maximum(left_w, 1) - right_g / np.maximum(right_w, 1), 0.0)
+    gain = np.round(left_w * right_w * difference**2 / np.maximum(all_w, 1) ** 2, 12).reshape(len(g), -1)
+    if not gain.shape[1]:
+        return np.full(len(g), -1), np.zeros(len(g), int)
+    best = gain.argmax(axis=1)
+    top = gain[np.arange(len(g)), best]
+    width = g.shape[2] - 1
+    return np.where(top > 1e-9, best // width, -1), best % width
+
 
 class BoostedStates:
-    """Adds ``p`` (by state, absent states 0) and ``state`` to rows of the fitted columns."""
+    """Adds ``p`` (by state, absent states 0) and ``state`` to rows of the fitted columns.
 
-    def __init__(self, n_estimators: int = 100, max_depth: int = 3, seed: int = 0):
-        self.n_estimators, self.max_depth, self.seed = n_estimators, max_depth, seed
+    Multinomial deviance, as many trees a round as states occur, ``max_depth`` levels each;
+    splits by the error of the residuals, leaves by one Newton step for the deviance. Rows
+    without an outcome are left out, a null feature is an error (impute it first); one
+    outcome alone is predicted with certainty, none with zeros.
+    """
+
+    def __init__(self, n_estimators: int = 100, max_depth: int = 3, rate: float = 0.1, bins: int = 64):
+        self.n_estimators, self.max_depth, self.rate, self.bins = n_estimators, max_depth, rate, bins
 
     def fit(self, df: DataFrame, columns: list[str], label: str) -> BoostedStates:
-        self.columns, self.models, self.shares = columns, {}, {}
-        data = VectorAssembler(inputCols=columns, outputCol="_x").transform(df).select("_x", F.col(label).alias("_y")).cache()
-        counts = {r[0]: r[1] for r in data.groupBy("_y").count().collect()}
-        self.shares = {s: n / sum(counts.values()) for s, n in counts.items()}
-        if len(counts) > 1:
-            def one(s: int):
-                own = data.withColumn("_label", (F.col("_y") == s).cast("double"))
-                return GBTClassifier(featuresCol="_x", labelCol="_label", maxIter=self.n_estimators, maxDepth=self.max_depth, stepSize=0.1, seed=self.seed).fit(own)
-
-            states = sorted(counts)[: 1 if len(counts) == 2 else None]
-            with ThreadPoolExecutor(len(states)) as pool:  # the states' fits are jobs of their own
-                self.models = dict(zip(states, pool.map(one, states), strict=True))
-        data.unpersist()
+        self.columns, self.rounds = columns, []
+        xs = [f"x{i}" for i in range(len(columns))]
+        data = df.select(*(F.col(c).cast("double").alias(x) for c, x in zip(columns, xs, strict=True)), F.col(label).cast("int").alias("y")).where("y IS NOT NULL")
+        self.cuts = cut_points(data, xs, self.bins)
+        binned = data.select("y", *(bin_of(F.col(x), c).alias(x) for x, c in zip(xs, self.cuts, strict=True)))
+        rows = cut(binned.groupBy("y", *xs).agg(F.count("*").cast("double").alias("w")))
+        found = rows.groupBy("y").agg(F.sum("w"), F.count("*")).collect()
+        counts = {r[0]: r[1] for r in found}
+        self.classes = sorted(counts)
+        self.base = np.log([counts[c] / sum(counts.values()) for c in self.classes])
+        if len(self.classes) < 2:
+            return self
+        place = F.array_position(F.lit(self.classes), F.col("y")) - 1
+        rows = rows.select(place.cast("short").alias("k"), "w", *xs).coalesce(max(1, sum(r[2] for r in found) // ROWS_A_TASK))
+        blocks = cut(rows.mapInArrow(_pack(len(xs), self.base), BLOCK)).persist()
+        self.tasks, done = blocks.rdd.getNumPartitions(), 0
+        for r in range(self.n_estimators):
+            if r - done == KEEP:
+                blocks, old, done = self._scored(blocks, self.rounds[done:]).persist(), blocks, r
+                old.unpersist()
+            self.rounds.append(self._round(blocks, self.rounds[done:]))
+        blocks.unpersist()
         return self
 
+    def _scored(self, blocks: DataFrame, rounds: list[list[Tree]]) -> DataFrame:
+        rate, depth, width, k = self.rate, self.max_depth, len(self.columns), len(self.classes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for y, w, x, scores in _unpack(batch, width, k):
+                    yield _block(y, w, x, _add(x, scores, rounds, rate, depth))
+
+        return cut(blocks.mapInArrow(run, BLOCK))
+
+    def _round(self, blocks: DataFrame, rounds: list[list[Tree]]) -> list[Tree]:
+        """A tree for each class, a level an aggregate; the last level's sums give the leaves, too."""
+        trees, k, whole = [Tree(self.max_depth) for _ in self.classes], len(self.classes), max(range(len(self.cuts)), key=lambda f: len(self.cuts[f]))
+        for level in range(self.max_depth):
+            sums = _histogram(blocks, self.tasks, rounds, trees, level, self.rate, [len(c) + 1 for c in self.cuts])
+            own = slice(2**level - 1, 2 ** (level + 1) - 1)
+            for tree, (g, h, w) in zip(trees, sums, strict=True):
+                tree.feature[own], tree.at[own] = best_splits(g, w)
+                if level == self.max_depth - 1:
+                    for node, (f, at) in enumerate(zip(tree.feature[own], tree.at[own], strict=True)):
+                        for side in (0, 1):
+                            part = slice(None) if f < 0 else slice(at + 1, None) if side else slice(at + 1)
+                            below = h[node, whole if f < 0 else f, part].sum()
+                            tree.leaf[2 * node + side] = (k - 1) / k * g[node, whole if f < 0 else f, part].sum() / below if below > 1e-150 else 0.0
+        return trees
+
     def predict(self, df: DataFrame) -> DataFrame:
-        if not self.models:
-            p = A.doubles([self.shares.get(s, 0.0) for s in range(N_STATES)])
-            return df.withColumn("p", p).withColumn("state", S.arg_max(F.col("p")))
-        out = VectorAssembler(inputCols=self.columns, outputCol="_x").transform(df)
-        for s, model in self.models.items():
-            model = model.copy().setPredictionCol(f"_c{s}").setRawPredictionCol(f"_r{s}").setProbabilityCol(f"_v{s}")
-            out = model.transform(out).withColumn(f"_p{s}", F.get(vector_to_array(f"_v{s}"), F.lit(1))).drop(f"_c{s}", f"_r{s}", f"_v{s}")
-        if len(self.shares) == 2 and len(self.models) == 1:
-            (one,), (other,) = self.models, set(self.shares) - set(self.models)
-            out = out.withColumn(f"_p{other}", 1 - F.col(f"_p{one}"))
-        raw = [F.col(f"_p{s}") if s in self.shares else F.lit(0.0) for s in range(N_STATES)]
-        total = sum(raw[1:], raw[0])
-        out = out.withColumn("p", F.array(*(r / total for r in raw))).withColumn("state", S.arg_max(F.col("p")))
-        return out.drop("_x", *(f"_p{s}" for s in self.shares))
+        rounds, rate, depth, base, classes = self.rounds, self.rate, self.max_depth, self.base, self.classes
+        cuts = [np.asarray(c) for c in self.cuts]
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                values = np.stack(batch.to_list()) if len(batch) else np.zeros((0, len(cuts)))
+                x = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, values.T, strict=True)], axis=1)
+                p = np.zeros((len(x), N_STATES))
+                if classes:
+                    p[:, classes] = _softmax(_add(x, np.tile(base, (len(x), 1)), rounds, rate, depth))
+                yield pd.Series(list(p))
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        probability = F.pandas_udf(run, "array<double>")
+        return df.withColumn("p", probability(F.array(*(F.col(c).cast("double") for c in self.columns)))).withColumn("state", S.arg_max(F.col("p")))
+
+
+#: A block of distinct rows: classes, weights, ranges and scores, row after row.
+BLOCK = "y array<short>, w array<double>, x array<short>, s array<double>"
+
+
+def _block(y: np.ndarray, w: np.ndarray, x: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    columns = {"y": y.astype(np.int16), "w": w, "x": x.astype(np.int16).ravel(), "s": scores.ravel()}
+    return pa.RecordBatch.from_pydict({c: pa.array([v]) for c, v in columns.items()})
+
+
+def _pack(width: int, base: np.ndarray):
+    """Rows ``k, w`` and the ranges, a batch a block, with the scores of no tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(2 + f).to_numpy() for f in range(width)], axis=1)
+            yield _block(batch.column(0).to_numpy(), batch.column(1).to_numpy(), x, np.tile(base, (len(x), 1)))
+
+    return run
+
+
+def _unpack(batch: pa.RecordBatch, width: int, classes: int) -> Iterator[tuple[np.ndarray, ...]]:
+    for i in range(batch.num_rows):
+        y, w, x, s = (batch.column(c)[i].values.to_numpy() for c in "ywxs")
+        yield y, w, x.reshape(-1, width).astype(np.int64), s.reshape(-1, classes)
+
+
+def _add(x: np.ndarray, scores: np.ndarray, rounds: list[list[Tree]], rate: float, depth: int) -> np.ndarray:
+    """``scores`` and what the trees of ``rounds`` add to them."""
+    scores = scores.copy()
+    for trees in rounds:
+        for c, tree in enumerate(trees):
+            scores[:, c] += rate * tree.leaf[tree.node(x, depth)]
+    return scores
+
+
+def _histogram(blocks: DataFrame, tasks: int, rounds: list[list[Tree]], trees: list[Tree], level: int, rate: float, widths: list[int]) -> np.ndarray:
+    """By class: sums of residuals, of their slopes and of weights, by (node, feature, range) each."""
+    k, nodes, features, width, depth = len(trees), 2**level, len(widths), max(widths), len(trees[0].leaf).bit_length() - 1
+    shape, varied = (k, 3, nodes, features, width), [f for f, n in enumerate(widths) if n > 1] or [0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(shape), nodes * width
+        for y, w, x, scores in (block for batch in batches for block in _unpack(batch, features, k)):
+            p = _softmax(_add(x, scores, rounds, rate, depth))
+            for c, tree in enumerate(trees):
+                slope = p[:, c] * (1 - p[:, c])  # of either residual, of the class and of the others
+                node = tree.node(x, level) * width
+                for f in varied:
+                    for j, v in enumerate((w * ((y == c) - p[:, c]), w * slope, w)):
+                        sums[c, j, :, f] += np.bincount(node + x[:, f], v, n).reshape(nodes, width)
+        flat = np.moveaxis(sums, 1, 0).reshape(3, -1)
+        some = np.flatnonzero(flat[2])
+        yield pa.RecordBatch.from_pydict({"cell": some, "g": flat[0][some], "h": flat[1][some], "w": flat[2][some]})
+
+    sums = blocks.mapInArrow(run, "cell long, g double, h double, w double")
+    out = np.zeros((3, k * nodes * features * width))
+    if tasks * out.size > DRIVER_ADDS:
+        sums = sums.groupBy("cell").agg(*(F.sum(c).alias(c) for c in "ghw"))
+    cells = sums.toArrow()
+    for total, c in zip(out, "ghw", strict=True):
+        np.add.at(total, cells["cell"].to_numpy(), cells[c].to_numpy())
+    return np.moveaxis(out.reshape(3, k, nodes, features, width), 0, 1)

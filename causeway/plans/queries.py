@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,10 +13,13 @@ from causeway.functions import arrays as A
 from causeway.functions import scalars as S
 from causeway.operators import access, hazard, markov, metrics, network, survival
 from causeway.operators import panel as panels
+from causeway.operators.boosting import BoostedStates
+from causeway.operators.lineage import shared_folder
 from causeway.plans import optimize, policies
 from causeway.plans.experiments import DETERIORATION, matrices
 from causeway.plans.registry import ORACLE_SQL, QUERIES, query, r6, rounded
 from causeway.register import Register
+from causeway.sources import files
 from causeway.sources import testdata as T
 
 # --- condition panel -------------------------------------------------------------------
@@ -200,14 +205,56 @@ def feature_medians_impute(spark, d):
     return rounded(panels.imputed(c, ["balance", "nation"]), "balance", "nation")
 
 
-@query()
-def gbm_next_state(spark, d):
-    from causeway.operators.boosting import BoostedStates
+def _boosted_sql(rounds: int, rate: float = 0.1) -> str:
+    """Two-level trees of all four states, round by round, on ``state4`` and ``age`` as ``BoostedStates`` grows them."""
+    at = lambda f: f"CASE {f} WHEN 0 THEN a ELSE b END"
+    value = "CASE c.f WHEN 0 THEN c.a ELSE c.b END"
+
+    def level(r: int, n: int, nodes: str) -> str:
+        """The best split of each (class, node), from rows ``c, node, a, b, g, w``."""
+        return f"""v{r}_{n} AS MATERIALIZED (SELECT k, node, f, v, sum(g) AS g, sum(w) AS w FROM (SELECT k, node, f, {at("f")} AS v, g, w FROM {nodes}, range(2) t(f)) GROUP BY ALL),
+        c{r}_{n} AS MATERIALIZED (SELECT *, sum(g) OVER o AS lg, sum(w) OVER o AS lw, sum(g) OVER p AS tg, sum(w) OVER p AS tw FROM v{r}_{n} WINDOW o AS (PARTITION BY k, node, f ORDER BY v), p AS (PARTITION BY k, node, f)),
+        b{r}_{n} AS MATERIALIZED (SELECT k, node, f, v FROM (SELECT *, round(lw * (tw - lw) * (lg / lw - (tg - lg) / (tw - lw)) ** 2 / tw ** 2, 12) AS gain FROM c{r}_{n} WHERE lw < tw)
+            WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY k, node ORDER BY gain DESC, f, v) = 1)"""
+
+    parts = ["""obs AS MATERIALIZED (SELECT CAST(state4 AS DOUBLE) AS a, coalesce(age, (SELECT median(age) FROM train)) AS b, y_next AS y, count(*) AS w FROM train GROUP BY ALL)""",
+             "shares AS MATERIALIZED (SELECT y AS k, sum(w) / (SELECT sum(w) FROM obs) AS p FROM obs GROUP BY y)",
+             """asked AS MATERIALIZED (SELECT DISTINCT a, b FROM obs UNION SELECT DISTINCT CAST(state4 AS DOUBLE), coalesce(age, (SELECT median(age) FROM test)) FROM test)""",
+             "s0 AS MATERIALIZED (SELECT a, b, k, ln(p) AS s FROM asked, shares)"]
+    for r in range(1, rounds + 1):
+        parts += [
+            f"p{r} AS MATERIALIZED (SELECT a, b, k, exp(s) / sum(exp(s)) OVER (PARTITION BY a, b) AS p FROM s{r - 1})",
+            f"r{r} AS MATERIALIZED (SELECT k, 0 AS node, a, b, sum(CASE WHEN y = k THEN w ELSE 0 END) - sum(w) * any_value(p) AS g, sum(w) * any_value(p) * (1 - any_value(p)) AS h, sum(w) AS w FROM p{r} JOIN obs USING (a, b) GROUP BY k, a, b)",
+            level(r, 0, f"r{r}"),
+            f"n{r} AS MATERIALIZED (SELECT r.k, CASE WHEN c.f IS NULL OR CASE c.f WHEN 0 THEN r.a ELSE r.b END <= c.v THEN 0 ELSE 1 END AS node, r.a, r.b, g, h, w FROM r{r} r LEFT JOIN b{r}_0 c USING (k))",
+            level(r, 1, f"n{r}"),
+            f"""q{r} AS MATERIALIZED (SELECT x.a, x.b, x.k, x.node, CASE WHEN d.f IS NULL OR CASE d.f WHEN 0 THEN x.a ELSE x.b END <= d.v THEN 0 ELSE 1 END AS side FROM (
+                SELECT s.a, s.b, s.k, CASE WHEN c.f IS NULL OR CASE c.f WHEN 0 THEN s.a ELSE s.b END <= c.v THEN 0 ELSE 1 END AS node FROM s{r - 1} s LEFT JOIN b{r}_0 c USING (k)) x LEFT JOIN b{r}_1 d ON d.k = x.k AND d.node = x.node)""",
+            f"l{r} AS MATERIALIZED (SELECT q.k, q.node, q.side, CASE WHEN sum(h) > 1e-150 THEN 0.75 * sum(g) / sum(h) ELSE 0 END AS leaf FROM q{r} q JOIN r{r} r ON r.k = q.k AND r.a = q.a AND r.b = q.b GROUP BY ALL)",
+            f"s{r} AS MATERIALIZED (SELECT s.a, s.b, s.k, s.s + {rate} * coalesce(l.leaf, 0) AS s FROM s{r - 1} s JOIN q{r} q USING (a, b, k) LEFT JOIN l{r} l ON l.k = q.k AND l.node = q.node AND l.side = q.side)",
+        ]
+    return ", ".join(parts)
+
 
+@query(f"""WITH {PAIRS}, train AS (SELECT * FROM pairs WHERE year <= 1998), test AS (SELECT * FROM pairs WHERE year >= 2000), {_boosted_sql(3)}
+SELECT t.key, t.year, x.k AS state, round(exp(x.s) / sum(exp(x.s)) OVER (PARTITION BY t.key, t.year), 6) AS p FROM test t JOIN s3 x ON x.a = t.state4 AND x.b = coalesce(t.age, (SELECT median(age) FROM test))""")
+def boosted_rounds(spark, d):
+    """Three rounds of two levels, every score by state."""
     train, test = panels.split_by_year(panels.next_year_pairs(T.panel(spark, d)), 1998, 2000)
     columns = ["state4", "age"]
-    model = BoostedStates(10, 3).fit(panels.imputed(train, columns), columns, "y_next")
-    return model.predict(panels.imputed(test, columns)).select("key", "year", "state", F.transform("p", lambda v: F.round(v, 4)).alias("p"))
+    model = BoostedStates(3, 2).fit(panels.imputed(train, columns), columns, "y_next")
+    return rounded(model.predict(panels.imputed(test, columns)).select("key", "year", F.posexplode("p").alias("state", "p")), "p")
+
+
+@query()
+def gbm_next_state(spark, d):
+    """A hundred rounds on all features of the sheets."""
+    folder = f"{shared_folder(spark)}/gbm-sheets-{uuid.uuid4().hex}"
+    T.write_sheets(spark, d, folder, "o_custkey")
+    pairs = panels.next_year_pairs(files.load_sheets(spark, folder))
+    train, test = panels.split_by_year(pairs, 2096, 2097)
+    model = BoostedStates(100, 3).fit(panels.imputed(train, panels.FEATURES), panels.FEATURES, "y_next")
+    return model.predict(panels.imputed(test, panels.FEATURES)).select("key", "year", "state", F.transform("p", lambda v: F.round(v, 4)).alias("p"))
 
 
 # --- survival, conformal, concordance -----------------------------------------------------

@@ -153,6 +153,65 @@ def test_boosted_states(spark):
     assert np.mean([r["state"] == r["y"] for r in rows]) > 0.9 and all(len(r["p"]) == 4 and np.isclose(sum(r["p"]), 1) for r in rows)
 
 
+def plain_boosting(x, y, rounds, depth, rate=0.1):
+    """Scores of all rows, trees grown by trying every split."""
+    classes = sorted(set(y))
+    hot = np.array([[float(v == c) for c in classes] for v in y])
+    f = np.tile(np.log(hot.mean(axis=0)), (len(x), 1))
+    for _ in range(rounds):
+        p = np.exp(f) / np.exp(f).sum(axis=1, keepdims=True)
+        for c in range(len(classes)):
+            nodes, g, h = [np.arange(len(x))], hot[:, c] - p[:, c], p[:, c] * (1 - p[:, c])
+            for _ in range(depth):
+                parts = []
+                for rows in nodes:
+                    best = (1e-9, None)
+                    for j in range(x.shape[1]):
+                        for v in np.unique(x[rows, j])[:-1]:
+                            left = x[rows, j] <= v
+                            n, m = left.sum(), (~left).sum()
+                            gain = round(n * m * (g[rows][left].mean() - g[rows][~left].mean()) ** 2 / (n + m) ** 2, 12)
+                            if gain > best[0]:
+                                best = (gain, left)
+                    parts += [rows] if best[1] is None else [rows[best[1]], rows[~best[1]]]
+                nodes = parts
+            for rows in nodes:
+                f[rows, c] += rate * (len(classes) - 1) / len(classes) * g[rows].sum() / h[rows].sum()
+    return np.exp(f) / np.exp(f).sum(axis=1, keepdims=True)
+
+
+def test_boosting_against_every_split(spark, monkeypatch):
+    from causeway.operators import boosting
+
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    monkeypatch.setattr(boosting, "ROWS_A_TASK", 40)
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 6, 300), rng.integers(0, 9, 300) / 4, np.ones(300)], axis=1)
+    y = (x[:, 0] + 3 * x[:, 1] + rng.normal(size=300) * 2 > 5).astype(int) * 2 + (rng.random(300) < x[:, 0] / 9)
+    df = spark.createDataFrame([(*map(float, r), int(v), i) for i, (r, v) in enumerate(zip(x, y, strict=True))], "a double, b double, c double, y int, i int")
+    want = plain_boosting(x, list(y), 5, 3)
+    for adds in (1 << 20, 0):
+        monkeypatch.setattr(boosting, "DRIVER_ADDS", adds)
+        got = BoostedStates(5, 3).fit(df, ["a", "b", "c"], "y").predict(df).orderBy("i").collect()
+        assert np.allclose([[r["p"][k] for k in sorted(set(y))] for r in got], want, atol=1e-9)
+
+
+def test_boosting_without_a_choice(spark):
+    rows = spark.createDataFrame([(1.0, 2), (2.0, 2), (3.0, None)], "x double, y int")
+    assert {tuple(r["p"]) for r in BoostedStates(3).fit(rows, ["x"], "y").predict(rows).collect()} == {(0.0, 0.0, 1.0, 0.0)}
+    assert {tuple(r["p"]) for r in BoostedStates(3).fit(rows.limit(0), ["x"], "y").predict(rows).collect()} == {(0.0,) * 4}
+    same = spark.createDataFrame([(1.0, 0), (1.0, 3), (1.0, 3)], "x double, y int")
+    assert np.allclose([r["p"] for r in BoostedStates(3).fit(same, ["x"], "y").predict(same).collect()], [1 / 3, 0, 0, 2 / 3])
+
+
+def test_ranges_of_many_values(spark):
+    from causeway.operators.boosting import cut_points
+
+    df = spark.range(10_000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("few"), (F.col("id") % 90).cast("double").alias("some"))
+    many, few, some = cut_points(df, ["x", "few", "some"], 64)
+    assert 60 <= len(many) <= 63 and few == [0.0, 1.0] and 50 <= len(some) <= 63
+
+
 def test_conformal(spark):
     residuals = list(np.abs(np.random.default_rng(0).normal(size=500)))
     df = spark.createDataFrame([(float(r), "ab"[i % 2]) for i, r in enumerate(residuals)], "residual double, g string")
