@@ -12,11 +12,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays as A
 from causeway.functions import scalars as S
+from causeway.operators.lineage import cut
 
 SLACK = 1e-9
 
@@ -123,14 +124,31 @@ Policy = Callable[[Assets, Column], Column]
 BASELINES: dict[str, Policy] = {"do_nothing": do_nothing, "random": random, "worst_first": worst_first, "benefit_cost": benefit_cost, "criticality_weighted": criticality_weighted, "siloed": siloed}
 
 
+#: Candidates of a group that are folded in one row, at most; larger groups take rounds.
+FOLD_MOST = 10_000
+
+
 def greedy_select(candidates: DataFrame, keys: list[str], budget: str, crew: str) -> DataFrame:
     """The chosen rows of ``keys, ord, key, cost, labour``: greedy by ``key`` descending, ties to the lower ``ord``.
 
-    One fold a group, over its candidates in order; ``budget`` and ``crew`` are columns that
-    are equal within a group. Rows that don't fit what is left are passed over.
+    ``budget`` and ``crew`` are columns that are equal within a group. Rows that don't fit
+    what is left are passed over. Small groups are a fold each, over their candidates in
+    order; a group of any size is dealt to ranges of the order, and taken in rounds: the
+    longest run that fits goes at once, by running sums over the ranges, then what can't fit
+    any more leaves. A group without a key is never chosen from.
     """
+    own = candidates.where((F.col("cost") > 0) & (F.col("key") > 0)).select(*keys, "ord", "key", "cost", "labour", F.col(budget).alias("b"), F.col(crew).alias("c"))
+    large = cut(own.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FOLD_MOST).select(*keys))
+    if large.isEmpty():
+        taken = _fold(own, keys)
+    else:
+        taken = _fold(own.join(large, keys, "left_anti"), keys).unionByName(_in_rounds(own.join(large, keys), keys))
+    return candidates.join(taken, [*keys, "ord"])
+
+
+def _fold(own: DataFrame, keys: list[str]) -> DataFrame:
     item = F.struct((-F.col("key")).alias("k"), "ord", "cost", "labour")
-    groups = candidates.where((F.col("cost") > 0) & (F.col("key") > 0)).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max(budget).alias("b"), F.max(crew).alias("c"))
+    groups = own.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("b").alias("b"), F.max("c").alias("c"))
     start = F.struct(F.lit(0.0).alias("spent"), F.lit(0.0).alias("used"), F.array().cast("array<bigint>").alias("taken"))
 
     def step(a: Column, i: Column) -> Column:
@@ -138,5 +156,33 @@ def greedy_select(candidates: DataFrame, keys: list[str], budget: str, crew: str
         more = F.struct((a["spent"] + i["cost"]).alias("spent"), (a["used"] + i["labour"]).alias("used"), F.concat(a["taken"], F.array(i["ord"].cast("bigint"))).alias("taken"))
         return F.when(fits, more).otherwise(a)
 
-    taken = groups.select(*keys, F.explode(F.aggregate("items", start, step, lambda a: a["taken"])).alias("ord"))
-    return candidates.join(taken, [*keys, "ord"])
+    return groups.select(*keys, F.explode(F.aggregate("items", start, step, lambda a: a["taken"])).alias("ord"))
+
+
+def _in_rounds(own: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``_fold``, of groups that no row could hold. ``b`` and ``c`` are what is left of budget and crew.
+
+    A round takes at least the first candidate of every group that has one which fits.
+    """
+    order = [F.desc("key"), F.asc("ord")]
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alive = cut(own.repartitionByRange(n, *keys, *order).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    inside = Window.partitionBy(*keys, "part").orderBy(*order)
+    taken = []
+    while True:
+        fits = alive.where((F.col("cost") <= F.col("b") + SLACK) & (F.col("labour") <= F.col("c") + SLACK))
+        sums = fits.groupBy(*keys, "part").agg(F.sum("cost").alias("sc"), F.sum("labour").alias("sl"))
+        starts = sums.select(*keys, "part", *(F.coalesce(F.sum(s).over(before), F.lit(0.0)).alias(o) for s, o in (("sc", "oc"), ("sl", "ol"))))
+        run = fits.join(starts, [*keys, "part"]).withColumns({"oc": F.col("oc") + F.sum("cost").over(inside), "ol": F.col("ol") + F.sum("labour").over(inside)})
+        marked = cut(run.withColumn("take", (F.col("oc") <= F.col("b") + SLACK) & (F.col("ol") <= F.col("c") + SLACK)).drop("oc", "ol"))
+        if marked.isEmpty():
+            break
+        got = marked.where("take")
+        taken.append(got.select(*keys, "ord"))
+        spent = got.groupBy(*keys).agg(F.sum("cost").alias("sc"), F.sum("labour").alias("sl"))
+        alive = marked.where(~F.col("take")).join(spent, keys).withColumns({"b": F.col("b") - F.col("sc"), "c": F.col("c") - F.col("sl")}).drop("sc", "sl", "take")
+    out = own.select(*keys, "ord").limit(0)
+    for t in taken:
+        out = out.unionByName(t)
+    return out.withColumn("ord", F.col("ord").cast("bigint"))

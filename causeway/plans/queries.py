@@ -278,11 +278,30 @@ def survival_table(spark, d):
     return rounded(survival.life_table(_spells(spark, d), 5), "hazard", "survival", "pmf")
 
 
-@query()
+def _newton_sql(steps: int) -> str:
+    """Newton steps of the penalised logistic hazard in age and year: normal equations summed, and solved by determinants."""
+    parts = ["""obs AS MATERIALIZED (SELECT CAST(x AS DOUBLE) AS x, CAST(t AS DOUBLE) AS t, count(*)::DOUBLE AS n, sum(CASE WHEN t = d AND e = 1 THEN 1.0::DOUBLE ELSE 0 END) AS d
+        FROM aged, LATERAL (SELECT unnest(range(1, d + 1)) AS t) WHERE x IS NOT NULL GROUP BY ALL)""", "b0 AS (SELECT 0.0::DOUBLE AS bx, 0.0::DOUBLE AS bt, 0.0::DOUBLE AS b1)"]
+    for k in range(1, steps + 1):
+        parts.append(f"""e{k} AS MATERIALIZED (SELECT any_value(bx) AS bx, any_value(bt) AS bt, any_value(b1) AS b1, 1 + sum(w * x * x) AS a, sum(w * x * t) AS b, sum(w * x) AS c, 1 + sum(w * t * t) AS e, sum(w * t) AS f, sum(w) AS i,
+            sum(r * x) - any_value(bx) AS gx, sum(r * t) - any_value(bt) AS gt, sum(r) AS g1
+            FROM (SELECT *, d - n * h AS r, n * h * (1 - h) AS w FROM (SELECT *, 1 / (1 + exp(-(bx * x + bt * t + b1))) AS h FROM obs, b{k - 1})))""")
+        det = "(a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c))"
+        parts.append(f"""b{k} AS MATERIALIZED (SELECT bx + (gx * (e * i - f * f) - b * (gt * i - f * g1) + c * (gt * f - e * g1)) / {det} AS bx,
+            bt + (a * (gt * i - f * g1) - gx * (b * i - f * c) + c * (b * g1 - gt * c)) / {det} AS bt, b1 + (a * (e * g1 - gt * f) - b * (b * g1 - gt * c) + gx * (b * f - e * c)) / {det} AS b1 FROM e{k})""")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {_SPELLS}, aged AS (SELECT s.*, (SELECT min(age) FROM panel p WHERE p.key = s.key) AS x FROM spells s), {_newton_sql(10)},
+hazards AS (SELECT key, t, 1 / (1 + exp(-(bx * x + bt * t + b1))) AS h FROM aged, b10, range(1, 6) y(t)),
+s AS (SELECT key, t, exp(sum(ln(1 - h)) OVER (PARTITION BY key ORDER BY t)) AS s FROM hazards)
+SELECT key, CAST(t AS INTEGER) AS t, round(coalesce(s, -1), 6) AS survival, CAST(CASE WHEN count(s) OVER k = 0 THEN 5 ELSE coalesce(min(t) FILTER (s < 0.5) OVER k, 5) END AS DOUBLE) AS median_time FROM s WINDOW k AS (PARTITION BY key)""")
 def survival_logistic(spark, d):
+    """Survival after each year; -1 where a structure's age isn't known."""
     model = survival.DiscreteTimeSurvival(5).fit(_spells(spark, d), ["age"])
     out = model.predict(_spells(spark, d))
-    return out.select("key", "median_time", F.transform("survival", lambda v: F.round(v, 4)).alias("survival"))
+    years = out.select("key", "median_time", F.posexplode("survival").alias("t", "survival")).where("t > 0")
+    return years.withColumn("survival", F.coalesce(r6("survival"), F.lit(-1.0)))
 
 
 _C = "WITH x AS (SELECT s_suppkey % 17 AS t, round(s_acctbal / 100) AS x, s_nationkey % 2 AS e FROM supplier)"

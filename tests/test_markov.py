@@ -153,6 +153,26 @@ def test_boosted_states(spark):
     assert np.mean([r["state"] == r["y"] for r in rows]) > 0.9 and all(len(r["p"]) == 4 and np.isclose(sum(r["p"]), 1) for r in rows)
 
 
+def test_logistic_survival_against_slopes(spark):
+    """The fit's penalised likelihood has no slope left, and rows that aren't known stay apart."""
+    rng = np.random.default_rng(1)
+    rows = [(float(50 + 30 * v), float(rng.normal()), int(np.clip(round(5 - 2 * v), -3, 9)), int(i % 3 != 0)) for i, v in enumerate(rng.normal(size=300))]
+    df = spark.createDataFrame([*rows, (None, 1.0, 3, 1)], "a double, b double, duration int, event int")
+    model = survival.DiscreteTimeSurvival(6).fit(df, ["a", "b"])
+    x, y = [], []
+    for a, b, d, e in rows:
+        d = min(max(d, 1), 6)
+        x += [(a, b, t, 1.0) for t in range(1, d + 1)]
+        y += [float(t == d and e == 1) for t in range(1, d + 1)]
+    x, y, beta = np.array(x), np.array(y), np.array([*model.coefficients, model.intercept])
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ beta))) - np.array([1, 1, 1, 0]) * beta
+    assert np.abs(slope).max() < 1e-6
+    out = model.predict(df).where("a IS NULL").collect()[0]
+    assert out["hazard"][0] is None and out["survival"][1] is None
+    apart = spark.createDataFrame([(float(i), 1, int(i > 5)) for i in range(12)], "x double, duration int, event int")  # separable: the ridge holds
+    assert np.isfinite(survival.DiscreteTimeSurvival(3).fit(apart, ["x"]).coefficients).all()
+
+
 def plain_boosting(x, y, rounds, depth, rate=0.1):
     """Scores of all rows, trees grown by trying every split."""
     classes = sorted(set(y))

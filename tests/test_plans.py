@@ -259,3 +259,46 @@ def test_deterioration_report(spark):
     out = X.deterioration(df, gbm=False)
     names = {m["model"]: m for m in out["metrics"]}
     assert names["M0 Markov"]["log_loss"] < names["climatology"]["log_loss"] and out["n_pairs"] == 420
+
+
+def folded(rows, budget, crew):
+    """The greedy choice of ``(ord, key, cost, labour)`` rows, one after another."""
+    spent, used, out = 0.0, 0.0, set()
+    for o, k, c, w in sorted(rows, key=lambda r: (-r[1], r[0])):
+        if c > 0 and k > 0 and spent + c <= budget + 1e-9 and used + w <= crew + 1e-9:
+            spent, used = spent + c, used + w
+            out.add(o)
+    return out
+
+
+@pytest.mark.parametrize("most", [10_000, 0, 150])
+def test_greedy_groups_of_any_size(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "FOLD_MOST", most)
+    rng, rows, limits = np.random.default_rng(5), [], {}
+    for g in range(12):
+        limits[g] = (float(rng.integers(0, 60)), float(rng.integers(0, 90)))
+        rows += [(g, i, float(rng.integers(-1, 9)), float(rng.integers(0, 40)) / 4, float(rng.integers(0, 40)) / 4, *limits[g]) for i in range(int(rng.integers(1, 300)))]
+    df = spark.createDataFrame(rows, "g int, ord int, key double, cost double, labour double, budget double, crew double")
+    got = P.greedy_select(df, ["g"], "budget", "crew")
+    assert got.columns == ["g", "ord", "key", "cost", "labour", "budget", "crew"]
+    got = got.groupBy("g").agg(F.collect_set("ord")).collect()
+    want = {g: folded([r[1:5] for r in rows if r[0] == g], *limits[g]) for g in limits}
+    assert {g: set(o) for g, o in got} == {g: o for g, o in want.items() if o}
+
+
+def test_greedy_of_one_very_large_group(spark, monkeypatch):
+    """No row of the plan holds a group's candidates, and few rounds do."""
+    rounds = []
+    monkeypatch.setattr(P, "cut", lambda df, own=P.cut: rounds.append(df) or own(df))
+    df = spark.range(1_000_000).select(F.lit(1).alias("g"), F.col("id").alias("ord"), ((F.col("id") * 7919) % 1000003 + 1).cast("double").alias("key"), (1 + F.col("id") % 17).cast("double").alias("cost"), (1 + F.col("id") % 5).cast("double").alias("labour"), F.lit(1e5).alias("budget"), F.lit(1e9).alias("crew"))
+    got = P.greedy_select(df, ["g"], "budget", "crew")
+    i = np.arange(1_000_000)
+    order = np.argsort(-((i * 7919) % 1000003 + 1), kind="stable")
+    spent, want = 0, []
+    for o in order:
+        if spent + 1 + o % 17 <= 1e5:
+            spent += 1 + o % 17
+            want.append(o)
+    assert sorted(r["ord"] for r in got.select("ord").collect()) == sorted(want)
+    assert len(rounds) <= 12
+    assert not any("collect_list" in d._jdf.queryExecution().optimizedPlan().toString() for d in rounds)
