@@ -1,19 +1,20 @@
 """Access to services: nearest-facility times, and the loss when a set of nodes or edges fails.
 
-Two physical forms of the same relation. ``distances`` relaxes edge tables of any size: all
-failure sets and facility types advance together, and a round's work follows its frontier.
+Two physical forms of the same relation. ``distances`` takes edge tables of any size, cell by
+cell: all failure sets and facility types advance together, and a round's work follows its frontier.
 A ``Graph`` of checked size goes along with the failure sets, which are then the data, each
 solved inside its row. ``losses`` takes the second form where the graph allows it.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
@@ -26,6 +27,10 @@ SMALL_EDGES = 100_000
 HELD = 1 << 24
 #: A round's rows that are broadcast at most, and rounds after which their tables become one.
 FEW, COMPACT = 100_000, 8
+#: Edges of a graph that is one cell, and nodes of a cell of a larger one, at most.
+CELL_EDGES, CELL_NODES = 20_000, 4_000
+#: Rows that the sets of a cell are dealt to.
+TURNS = 64
 INF = float("inf")
 
 
@@ -34,42 +39,169 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", w).union(edges.select("dst", "src", w))
 
 
-def distances(edges: DataFrame, sources: DataFrame, blocked_nodes: DataFrame | None = None, blocked_edges: DataFrame | None = None, with_path: bool = False) -> DataFrame:
-    """``set_id, facility_type, node, dist[, path]``: least time from any source of the type.
+def cells_of(edges: DataFrame, most: int = CELL_NODES) -> DataFrame:
+    """``node, cell``: connected groups of ``most`` nodes or fewer, of neighbours that are near.
+
+    Half of the groups, by a tossed coin, ask the nearest of the others, which takes those
+    nearest to it that it has room for. Rounds grow with the logarithm of ``most``, and the
+    table of links between groups shrinks with each; they end at twice the least number of
+    groups, or when hardly any still finds another.
+    """
+    ways = both_ways(edges).where("src <> dst")
+    of = cut(ways.select(F.col("src").alias("node")).distinct().withColumn("cell", F.col("node").cast("string")))
+    name = lambda c: F.col(c).cast("string").alias(c)
+    links, sizes = cut(ways.groupBy(name("src"), name("dst")).agg(F.min("w").alias("w"))), cut(of.select("cell", F.lit(1).alias("n")))
+    moved = lambda df, c, moves: df.join(moves.select(F.col("src").alias(c), F.col("dst").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    nodes = groups = sizes.count()
+    r, idle, open_ = 0, 0, []  # what nodes haven't heard of yet
+    while idle < 2 and 2 * nodes < groups * most:
+        r += 1
+        asks = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(r)), F.lit(2)) == 0  # noqa: B023, E731
+        able = links.where(asks("src") & ~asks("dst")).join(sizes.select(F.col("cell").alias("src"), F.col("n").alias("own")), "src").join(sizes.select(F.col("cell").alias("dst"), "n"), "dst")
+        asked = able.where(F.col("own") + F.col("n") <= most).groupBy("src").agg(F.min(F.struct("w", "dst", "own", "n")).alias("to")).select("src", "to.*")
+        room = F.sum("own").over(Window.partitionBy("dst").orderBy("w", "src"))
+        moves = cut(asked.withColumn("sum", room).where(F.col("sum") + F.col("n") <= most).select("src", "dst"))
+        n = moves.count()
+        groups, idle = groups - n, idle + 1 if 50 * n < groups else 0
+        if n:
+            sizes = cut(moved(sizes, "cell", moves).groupBy("cell").agg(F.sum("n").cast("int").alias("n")))
+            links = cut(moved(moved(links, "src", moves), "dst", moves).where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")))
+            open_.append(moves)
+        if len(open_) == COMPACT:
+            of, open_ = cut(_after(of, open_, moved)), []
+    of = _after(of, open_, moved)
+    return of.select("node", "cell")
+
+
+def _after(of: DataFrame, moves: list[DataFrame], moved) -> DataFrame:
+    for m in moves:
+        of = moved(of, "cell", m)
+    return of
+
+
+def distances(edges: DataFrame, sources: DataFrame, blocked_nodes: DataFrame | None = None, blocked_edges: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """``set_id, facility_type, node, dist``: least time from any source of the type.
 
     ``sources``: ``set_id, facility_type, node``. Blocked nodes and edges (``set_id, node``;
     ``set_id, src, dst`` in either order) take no part in their set; a blocked source isn't one.
+
+    Nodes lie in ``cells`` (``node, cell``; a cell fits into a task). A cell is solved by
+    itself, from the times at which it is entered; the times at its exits travel over the edges
+    between cells, and only what improves an entry is solved again. So rounds follow the
+    cells that a way crosses and not its edges; all times inside are written once, at the end.
+    Without ``cells``, a small graph is one, and a larger one is parted by ``cells_of``.
     """
     keys = ["set_id", "facility_type", "node"]
     ways = cut(both_ways(edges))
+    if cells is None:
+        few = ways.limit(2 * CELL_EDGES + 1).count() <= 2 * CELL_EDGES
+        cells = ways.select(F.col("src").alias("node")).distinct().withColumn("cell", F.lit("")) if few else cells_of(edges)
+    cells = cut(cells.select("node", "cell"))
     if blocked_nodes is not None:
         blocked_nodes = cut(blocked_nodes.select("set_id", "node").distinct())
         sources = sources.join(blocked_nodes, ["set_id", "node"], "left_anti")
     if blocked_edges is not None:
-        ends = blocked_edges.select("set_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct()
-        blocked_edges = cut(ends)
-    carried = ["dist", "path"] if with_path else ["dist"]
-    start = sources.select(*keys).distinct().withColumns({"dist": F.lit(0.0), "path": F.array("node")})
-    frontier = cut(start.select(*keys, *carried))
-    known = [frontier]  # what each round found; the least of them counts
-    merged = lambda: known[0] if len(known) == 1 else _union(known).groupBy(*keys).agg(F.min(F.struct(*carried)).alias("b")).select(*keys, "b.*")
+        blocked_edges = cut(blocked_edges.select("set_id", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct())
+    at = lambda end, name: cells.select(F.col("node").alias(end), F.col("cell").alias(name))
+    placed = cut(ways.join(at("src", "a"), "src").join(at("dst", "b"), "dst"))
+    cross = cut(placed.where("a <> b").select("src", "dst", "w", "a"))
+    inner = placed.where("a = b").groupBy(F.col("a").alias("cell")).agg(*(F.collect_list(c).alias(c) for c in ("src", "dst", "w")))
+    doors = cross.groupBy(F.col("a").alias("cell")).agg(F.collect_set("src").alias("doors"))
+    maps = cut(cells.select("cell").distinct().join(inner, "cell", "left").join(doors, "cell", "left"), spread=True)
+    start = cut(sources.select(*keys).distinct().withColumn("dist", F.lit(0.0)))
+    solve = lambda entries, whole: _solved(entries, cells, maps, blocked_nodes, blocked_edges, whole)
+    frontier, known = start, [start]  # what each round found; the least of them counts
+    merged = lambda: known[0] if len(known) == 1 else _union(known).groupBy(*keys).agg(F.min("dist").alias("dist"))
     while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("node", "at").join(ways.select(F.col("src").alias("at"), F.col("dst").alias("node"), "w"), "at")
+        step = solve(frontier, False).withColumnRenamed("node", "src").join(cross.select("src", F.col("dst").alias("node"), "w"), "src")
         if blocked_nodes is not None:
             step = step.join(blocked_nodes, ["set_id", "node"], "left_anti")
         if blocked_edges is not None:
-            step = step.withColumns({"lo": F.least("at", "node"), "hi": F.greatest("at", "node")}).join(blocked_edges, ["set_id", "lo", "hi"], "left_anti")
-        moved = [(F.col("dist") + F.col("w")).alias("dist")] + ([F.concat(F.array("node"), "path").alias("path")] if with_path else [])
-        found = cut(step.select(*keys, *moved).groupBy(*keys).agg(F.min(F.struct(*carried)).alias("b")).select(*keys, "b.*"))
+            step = step.withColumns({"lo": F.least("src", "node"), "hi": F.greatest("src", "node")}).join(blocked_edges, ["set_id", "lo", "hi"], "left_anti")
+        found = cut(step.groupBy(*keys).agg(F.min(F.col("dist") + F.col("w")).alias("dist")))
         few = found.limit(FEW + 1).count() <= FEW
         # what is known stays where it is, if the round's rows are few enough to go there
-        at = [F.col(f"f.{k}") == F.col(f"s.{k}") for k in keys]
-        stale = (F.broadcast(found) if few else found).alias("f").join(_union(known).alias("s"), [*at, F.col("s.dist") <= F.col("f.dist")]).select(*(f"f.{k}" for k in keys)).distinct()
+        on = [F.col(f"f.{k}") == F.col(f"s.{k}") for k in keys]
+        stale = (F.broadcast(found) if few else found).alias("f").join(_union(known).alias("s"), [*on, F.col("s.dist") <= F.col("f.dist")]).select(*(f"f.{k}" for k in keys)).distinct()
         frontier = cut(found.join(F.broadcast(stale) if few else stale, keys, "left_anti"))
         known.append(frontier)
         if len(known) > COMPACT:
             known = [cut(merged())]
-    return merged()
+    entries = cut(merged())
+    return solve(entries, True).unionByName(entries.join(cells, "node", "left_anti"))  # a source without a road is its own place
+
+
+def _solved(entries: DataFrame, cells: DataFrame, maps: DataFrame, blocked_nodes: DataFrame | None, blocked_edges: DataFrame | None, whole: bool) -> DataFrame:
+    """Least times inside the cells from ``entries``, at all nodes or at those with a way out."""
+    turn = F.pmod(F.xxhash64("set_id"), F.lit(TURNS)).alias("turn")  # sets of a cell are dealt to several rows
+    near = cells.select("node", "cell")
+    rows = entries.join(near, "node").groupBy("cell", turn).agg(F.collect_list(F.struct("set_id", "facility_type", "node", "dist")).alias("entries"))
+    if blocked_nodes is not None:
+        rows = rows.join(blocked_nodes.join(near, "node").groupBy("cell", turn).agg(F.collect_list(F.struct("set_id", "node")).alias("closed")), ["cell", "turn"], "left")
+    if blocked_edges is not None:
+        within = blocked_edges.join(near.withColumnRenamed("node", "lo"), "lo")
+        rows = rows.join(within.groupBy("cell", turn).agg(F.collect_list(F.struct("set_id", "lo", "hi")).alias("cuts")), ["cell", "turn"], "left")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("closed", "array<struct<set_id:string,node:string>>"), ("cuts", "array<struct<set_id:string,lo:string,hi:string>>")) if c not in rows.columns]
+    kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            for row in x.itertuples(index=False):
+                yield pd.DataFrame(_walks(row, whole), columns=["set_id", "facility_type", "node", "dist"])
+
+    return rows.select("*", *none).join(maps, "cell").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("set_id", "facility_type", "node", "dist")))
+
+
+def _walks(row, whole: bool) -> list[tuple]:
+    """``set_id, facility_type, node, dist`` of one cell and the sets that entered it."""
+    as_list = lambda v: [] if v is None else list(v)
+    ways: dict = {}
+    for u, v, w in zip(as_list(row.src), as_list(row.dst), as_list(row.w), strict=True):
+        ways.setdefault(u, []).append((v, float(w)))
+    starts: dict = {}
+    for e in row.entries:
+        starts.setdefault((e["set_id"], e["facility_type"]), []).append((float(e["dist"]), e["node"]))
+    closed: dict = {}
+    for e in as_list(row.closed):
+        closed.setdefault(e["set_id"], set()).add(e["node"])
+    cuts: dict = {}
+    for e in as_list(row.cuts):
+        cuts.setdefault(e["set_id"], set()).update(((e["lo"], e["hi"]), (e["hi"], e["lo"])))
+    doors, out = set(as_list(row.doors)), []
+    for (s, kind), heap in starts.items():
+        shut, gone, done = closed.get(s, ()), cuts.get(s, ()), {}
+        heapq.heapify(heap)
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in done or u in shut:
+                continue
+            done[u] = d
+            for v, w in ways.get(u, ()):
+                if v not in done and (u, v) not in gone:
+                    heapq.heappush(heap, (d + w, v))
+        out += [(s, kind, n, d) for n, d in done.items() if whole or n in doors]
+    return out
+
+
+def parents(edges: DataFrame, times: DataFrame) -> DataFrame:
+    """Adds ``parent`` to ``distances`` of the whole network: the node before on the way from the source, null for sources.
+
+    Of ways that take equally long, the one over the smaller node counts. Over edges that take
+    no time a node follows one that has its parent already.
+    """
+    keys = ["set_id", "facility_type"]
+    ways = cut(both_ways(edges))
+    before = times.select(*keys, F.col("node").alias("src"), F.col("dist").alias("d"))
+    steps = before.join(ways, "src").select(*keys, F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("via"), F.col("src"), "d")
+    first = steps.join(times, [*keys, "node"]).where("d < dist").groupBy(*keys, "node").agg(F.min(F.struct("via", "src")).alias("b"))
+    tree = cut(times.join(first, [*keys, "node"], "left").select(*times.columns, F.when(F.col("b.via") <= F.col("dist"), F.col("b.src")).alias("parent")))
+    held, rest = tree.where("parent IS NOT NULL OR dist = 0"), cut(tree.where("parent IS NULL AND dist > 0"))
+    still = ways.where("w = 0")
+    while not rest.isEmpty():
+        reached = held.select(*keys, F.col("node").alias("src"), "dist").join(still, "src").groupBy(*keys, F.col("dst").alias("node"), "dist").agg(F.min("src").alias("up"))
+        step = cut(rest.join(reached, [*keys, "node", "dist"], "left").select(*times.columns, F.col("up").alias("parent")))
+        held, rest = cut(held.unionByName(step.where("parent IS NOT NULL"))), cut(step.where("parent IS NULL"))
+    return held
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -137,16 +269,23 @@ def _losses_inside(graph: Graph, sets: DataFrame, failed_nodes: DataFrame | None
     return rows.mapInPandas(run, f"set_id {sets.schema['set_id'].dataType.simpleString()}, loss double")
 
 
-def affected(paths: DataFrame, habitations: DataFrame, failed_nodes: list, failed_edges: list[tuple] = ()) -> DataFrame:
-    """``facility_type, node`` of habitations whose own path (to its source) uses a failed node or edge."""
-    own = paths.join(habitations.select(F.col("node_id").alias("node")), "node")
-    hit = F.arrays_overlap("path", F.array(*(F.lit(n) for n in failed_nodes))) if failed_nodes else F.lit(False)
-    if failed_edges:
-        pair = lambda k: F.concat_ws("\x1f", F.least(F.get("path", k), F.get("path", k + 1)), F.greatest(F.get("path", k), F.get("path", k + 1)))
-        bad = F.array(*(F.lit("\x1f".join(sorted(map(str, e)))) for e in failed_edges))
-        used = F.transform(F.when(F.size("path") > 1, F.sequence(F.lit(0), F.size("path") - 2)).otherwise(F.array().cast("array<int>")), pair)
-        hit = hit | F.arrays_overlap(used, bad)
-    return own.where(hit).select("facility_type", "node")
+def affected(tree: DataFrame, habitations: DataFrame, failed_nodes: list, failed_edges: list[tuple] = ()) -> DataFrame:
+    """``facility_type, node`` of habitations whose own way (by ``parents``) uses a failed node or edge.
+
+    Each node looks at the one it points to and then points to where that one pointed, so
+    rounds grow with the logarithm of the longest way, and rows stay as wide as they are.
+    """
+    keys = ["set_id", "facility_type"]
+    ends = [sorted(e) for e in failed_edges]
+    hit = F.col("node").isin(list(failed_nodes)) if len(failed_nodes) else F.lit(False)
+    for a, b in ends:
+        hit = hit | F.coalesce((F.least("node", "parent") == a) & (F.greatest("node", "parent") == b), F.lit(False))
+    every = cut(tree.select(*keys, "node", F.col("parent").alias("up"), hit.alias("bad")))
+    while not every.where("up IS NOT NULL AND NOT bad").isEmpty():
+        look = every.select(*keys, F.col("node").alias("up"), F.col("up").alias("next"), F.col("bad").alias("above"))
+        every = cut(every.join(look, [*keys, "up"], "left").select(*keys, "node", F.when(~F.col("bad"), F.col("next")).alias("up"), (F.col("bad") | F.coalesce("above", F.lit(False))).alias("bad")))
+    own = every.where("bad").select("facility_type", "node")
+    return own.join(habitations.select(F.col("node_id").alias("node")), "node").select("facility_type", "node")
 
 
 class Graph:

@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or sc.getCheckpointDir()).rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a checkpoint of two files a core at most."""
+def cut(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Write ``df`` as a checkpoint of two files a core at most, or of its own partitions where rows are wide."""
     shared_folder(df.sparkSession)
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).checkpoint()
+    return df.checkpoint() if spread else df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).checkpoint()

@@ -524,9 +524,9 @@ def access_loss_subsets(spark, d):
 LEFT JOIN d24 x ON x.set_id = 'all' AND x.facility_type = y.facility_type AND x.node = y.node WHERE x.t IS NULL OR x.t > y.t + 1e-9""")
 def affected_habitations(spark, d):
     base = access.sources_of(spark.createDataFrame([("",)], "set_id string"), T.places(spark, d))
-    paths = access.distances(T.edges(spark, d), base, with_path=True)
+    tree = access.parents(T.edges(spark, d), access.distances(T.edges(spark, d), base))
     failed = sorted(r[0] for r in T.structures(spark, d).collect())
-    return access.affected(paths, T.homes(spark, d), failed)
+    return access.affected(tree, T.homes(spark, d), failed)
 
 
 # --- fragility, costs, policies -----------------------------------------------------------------

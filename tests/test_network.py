@@ -1,7 +1,9 @@
+import collections
 import heapq
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,12 +269,89 @@ def test_long_paths_take_little_of_each_round(spark, monkeypatch):
         assert got == want
 
 
+def once(spark, facilities):
+    return access.sources_of(spark.createDataFrame([("",)], "set_id string"), facilities)
+
+
 def test_affected_paths(spark):
     edges = [("h", "m", 1.0), ("m", "f", 1.0), ("k", "f", 1.0)]
     e, h, f, _ = tables(spark, edges, [("h", 1.0), ("k", 1.0)], [("health", "f")], [("health", 60.0, 1.0)])
-    paths = access.distances(e, access.sources_of(spark.createDataFrame([("",)], "set_id string"), f), with_path=True)
-    assert [r["node"] for r in access.affected(paths, h, ["m"]).collect()] == ["h"]
-    assert [r["node"] for r in access.affected(paths, h, [], [("f", "k")]).collect()] == ["k"]
+    tree = access.parents(e, access.distances(e, once(spark, f)))
+    assert {(r["node"], r["parent"]) for r in tree.collect()} == {("f", None), ("m", "f"), ("h", "m"), ("k", "f")}
+    assert [r["node"] for r in access.affected(tree, h, ["m"]).collect()] == ["h"]
+    assert [r["node"] for r in access.affected(tree, h, [], [("f", "k")]).collect()] == ["k"]
+
+
+def test_affected_on_long_ways_and_ties(spark):
+    edges = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(40)] + [("a1", "n40", 1.0), ("a2", "n40", 1.0), ("b", "a1", 1.0), ("b", "a2", 1.0), ("z1", "b", 0.0), ("z2", "z1", 0.0)]
+    homes = sorted({n for e in edges for n in e[:2]})
+    e, h, f, _ = tables(spark, edges, [(n, 1.0) for n in homes], [("health", "n00")], [("health", 60.0, 1.0)])
+    tree = access.parents(e, access.distances(e, once(spark, f)))
+    up = {r["node"]: r["parent"] for r in tree.collect()}
+    assert up["b"] == "a1" and up["z1"] == "b" and up["z2"] == "z1" and up["n00"] is None  # the smaller of equal ways
+
+    def behind(n, bad):
+        return n is not None and (n in bad or behind(up[n], bad))
+
+    for bad in (["n20"], ["a1"], ["z1", "n39"], ["n00"], ["none"]):
+        assert {r["node"] for r in access.affected(tree, h, bad).collect()} == {n for n in homes if behind(n, bad)}
+    assert {r["node"] for r in access.affected(tree, h, [], [("n30", "n31")]).collect()} == {n for n in homes if behind(n, ["n31"])}
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_distances_by_cells(spark, kind):
+    rng = np.random.default_rng(11)
+    name = (lambda i: f"n{i}") if kind == "string" else int
+    edges = sorted({(min(a, b), max(a, b)): float(rng.integers(1, 20)) for a, b in rng.integers(0, 60, (110, 2)) if a != b}.items())
+    edges = [(name(a), name(b), w) for (a, b), w in edges]
+    e = spark.createDataFrame(edges, f"src {kind}, dst {kind}, travel_time_min double")
+    f = spark.createDataFrame([("health", name(3)), ("health", name(40)), ("school", name(7)), ("school", name(99))], f"facility_type string, node_id {kind}")
+    sets = spark.createDataFrame([("",), ("a",), ("b",)], "set_id string")
+    shut = spark.createDataFrame([("a", name(3)), ("a", name(10)), ("b", name(11))], f"set_id string, node {kind}")
+    ends = [(b, a) if i % 2 else (a, b) for i, (a, b, _) in enumerate(edges[::9])]
+    gone = spark.createDataFrame([("b", a, b) for a, b in ends], f"set_id string, src {kind}, dst {kind}")
+    sources = access.sources_of(sets, f)
+    want = {}
+    for s, nodes, links in (("", set(), set()), ("a", {name(3), name(10)}, set()), ("b", {name(11)}, {frozenset(x) for x in ends})):
+        for t, at in (("health", [name(3), name(40)]), ("school", [name(7), name(99)])):
+            for n, d in dijkstra([x for x in edges if frozenset(x[:2]) not in links], [x for x in at if x not in nodes], nodes, set()).items():
+                want[s, t, n] = d
+        want[s, "school", name(99)] = 0.0
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    for cells in (None, nodes.withColumn("cell", F.pmod(F.xxhash64("node"), F.lit(7))), nodes.withColumn("cell", F.col("node")), access.cells_of(e, 9))[: 4 if kind == "string" else 2]:
+        got = {tuple(r)[:3]: r["dist"] for r in access.distances(e, sources, shut, gone, cells).select("set_id", "facility_type", "node", "dist").collect()}
+        assert got == want
+
+
+def test_a_large_grid_takes_few_rounds(spark, monkeypatch):
+    side, width = 300, 60
+    rng = np.random.default_rng(2)
+    across, down = rng.integers(1, 9, (side, side)), rng.integers(1, 9, (side, side))
+    i = np.arange(side * side)
+    rows = pd.concat([
+        pd.DataFrame({"src": i, "dst": i + 1, "travel_time_min": across.ravel().astype(float)})[i % side < side - 1],
+        pd.DataFrame({"src": i, "dst": i + side, "travel_time_min": down.ravel().astype(float)})[i // side < side - 1],
+    ])
+    e, f = spark.createDataFrame(rows), spark.createDataFrame([("health", 0)], "facility_type string, node_id long")
+    cells = spark.range(side * side).select(F.col("id").alias("node"), (F.floor(F.col("id") / side / width) * 100 + F.floor(F.col("id") % side / width)).alias("cell"))
+    rounds = []
+    monkeypatch.setattr(access, "_solved", lambda *a, own=access._solved: rounds.append(a[-1]) or own(*a))
+    got = access.distances(e, once(spark, f), cells=cells).select("node", "dist").toPandas().set_index("node")["dist"].sort_index().to_numpy()
+    want = dijkstra(list(rows.itertuples(index=False, name=None)), [0], set(), set())
+    assert len(got) == side * side and all(got[n] == d for n, d in want.items())
+    assert len(rounds) < 20
+
+
+def test_cells_are_near_and_bounded(spark):
+    side = 12
+    edges = [(r * side + c, r * side + c + d, 1.0) for r in range(side) for c in range(side) for d in (1, side) if (d == 1 and c < side - 1) or (d == side and r < side - 1)]
+    e = spark.createDataFrame(edges, "src int, dst int, travel_time_min double")
+    cell = {r[0]: r[1] for r in access.cells_of(e, 25).collect()}
+    sizes = collections.Counter(cell.values())
+    assert len(cell) == side * side and max(sizes.values()) <= 25 and len(sizes) <= 24
+    for c in sizes:  # each is connected
+        inside = {n for n in cell if cell[n] == c}
+        assert set(dijkstra([x for x in edges if x[0] in inside and x[1] in inside], [min(inside)], set(), set())) == inside
 
 
 def test_districts(spark):
