@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,58 +73,70 @@ def tagged(edges: DataFrame) -> DataFrame:
     return edges.where("is_bridge OR is_culvert")
 
 
-#: Cells a side of the grid on which points far from all targets look for them.
-GRID = 64
+#: Places of targets that a cell isn't split for, and splits one within another at most.
+LEAF, LEVELS = 32, 24
+#: Cells of a level that go to the points, at most; more of them meet by their places.
+FEW_CELLS = 20_000
 
 
-def nearest(points: DataFrame, targets: DataFrame, cell: float, limit: float | None = None) -> DataFrame:
+def _tree(spots: DataFrame, x0: float, y0: float, size: float) -> tuple[list[DataFrame], DataFrame]:
+    """The cells of each level, and the places by the cell that isn't split any more.
+
+    A cell of more than ``LEAF`` places is parted in sixteen, however many levels it takes,
+    so that dense places have small cells. Cells are told by ``ix, iy`` in their level and
+    have the box of what they hold.
+    """
+    levels, leaves, rest = [], [], spots
+    for level in range(LEVELS + 1):
+        width = size / 4.0**level
+        rest = rest.withColumns({"ix": F.floor((F.col("tx") - x0) / width).cast("long"), "iy": F.floor((F.col("ty") - y0) / width).cast("long")})
+        box = [F.min("tx").alias("bx0"), F.max("tx").alias("bx1"), F.min("ty").alias("by0"), F.max("ty").alias("by1")]
+        held = cut(rest.groupBy("ix", "iy").agg(F.count("*").alias("n"), *box).withColumn("leaf", (F.col("n") <= LEAF) if level < LEVELS else F.lit(True)).drop("n"))
+        levels.append(held)
+        own = rest.join(held.select("ix", "iy", "leaf"), ["ix", "iy"])
+        leaves.append(own.where("leaf").select(F.lit(level).alias("level"), "ix", "iy", "tx", "ty", "target"))
+        if held.where("NOT leaf").isEmpty():
+            break
+        rest = cut(own.where("NOT leaf").select("tx", "ty", "target"))
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.union(more)
+    return levels, cut(out)
+
+
+def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """For each point (``id, x, y``) the nearest target (``target, tx, ty``; smallest id of equals) and ``dist``.
 
-    Points and targets meet in grid cells of growing size: a target within one cell's width
-    is among the nine cells around, so a match that near is final; the rest of the points
-    go on with cells four times as wide. Points far from all targets meet only those in
-    cells that bounds of the cells' distances leave possible. Without targets the result is empty.
+    Points go down a tree of the targets' cells, level by level and all together: of the
+    cells a point has come to, those whose box begins beyond the farthest corner of another
+    are left behind. So a point meets the targets of a few small cells, however many lie in
+    one place. Points, and targets, of the same place are one. Without targets, and for
+    points without coordinates, there is no row.
     """
-    bounds = points.select("x", "y").union(targets.select("tx", "ty")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).collect()[0]
-    none = points.select("id").withColumns({"target": F.lit(None).cast(targets.schema["target"].dataType), "dist": F.lit(None).cast("double")}).limit(0)
-    if bounds[0] is None or targets.isEmpty():
-        return none
-    extent = max(bounds[1] - bounds[0], bounds[3] - bounds[2], cell)
-    done, left, width = none, points.select("id", "x", "y"), float(cell)
-    while width <= extent / GRID or done is none:
-        steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        around = left.withColumn("step", F.explode(steps))
-        around = around.select("id", "x", "y", (F.floor(F.col("x") / width) + F.col("step.i")).alias("cx"), (F.floor(F.col("y") / width) + F.col("step.j")).alias("cy"))
-        best = cut(_closest(around, _celled(targets, width)).where(F.col("dist") <= width))
-        done = best if done is none else done.union(best)
-        if limit is not None and width >= limit:
-            return done
-        left = cut(left.join(best, "id", "left_anti"))
-        if left.isEmpty():
-            return done
-        width *= 4
-    width = extent / GRID
-    left = left.withColumns({"px": F.floor(F.col("x") / width), "py": F.floor(F.col("y") / width)})
-    home = _celled(targets, width)
-    mine, theirs = (np.array(df.distinct().collect(), np.int64).reshape(-1, 2) for df in (left.select("px", "py"), home.select("cx", "cy")))  # (GRID + 2)^2 rows at most
-    pairs = []
-    for at in mine:
-        gap = np.abs(theirs - at)
-        low, high = np.hypot(*np.maximum(gap - 1, 0).T), np.hypot(*(gap + 1).T)
-        pairs += [(int(at[0]), int(at[1]), int(t[0]), int(t[1])) for t in theirs[low <= high.min() + 1e-9]]
-    near = left.sparkSession.createDataFrame(pairs, "px long, py long, cx long, cy long")
-    return done.union(_closest(left.join(F.broadcast(near), ["px", "py"]), home))
-
-
-def _celled(targets: DataFrame, width: float) -> DataFrame:
-    return targets.select("target", "tx", "ty", F.floor(F.col("tx") / width).alias("cx"), F.floor(F.col("ty") / width).alias("cy"))
-
-
-def _closest(around: DataFrame, home: DataFrame) -> DataFrame:
-    """The nearest of the targets that share a cell with a row of the point."""
+    spots = cut(targets.where("tx IS NOT NULL AND ty IS NOT NULL").groupBy(F.col("tx").cast("double").alias("tx"), F.col("ty").cast("double").alias("ty")).agg(F.min("target").alias("target")))
+    x0, x1, y0, y1 = spots.agg(F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
+    if x0 is None:
+        return points.select("id").withColumns({"target": F.lit(None).cast(targets.schema["target"].dataType), "dist": F.lit(None).cast("double")}).limit(0)
+    levels, leaves = _tree(spots, x0, y0, max(x1 - x0, y1 - y0, 1e-9) * (1 + 1e-9))
+    beside = lambda c: F.greatest(F.lit(0.0), F.col(f"b{c}0") - F.col(c), F.col(c) - F.col(f"b{c}1"))
+    across = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"b{c}0")), F.abs(F.col(c) - F.col(f"b{c}1")))
+    far = lambda f: F.sqrt(F.pow(f("x"), 2.0) + F.pow(f("y"), 2.0))
+    at = points.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    cells = at.join(F.broadcast(levels[0])).withColumn("level", F.lit(0))  # one cell
+    cells = cells.withColumns({"low": far(beside), "high": far(across)})
+    carried = ["x", "y", "level", "ix", "iy", "leaf", "low", "high"]
+    for level, below in enumerate(levels[1:], 1):
+        cells = cut(cells.select(*carried), spread=True)
+        inner = below.withColumns({"px": F.floor(F.col("ix") / 4), "py": F.floor(F.col("iy") / 4)})
+        inner = F.broadcast(inner) if below.count() <= FEW_CELLS else inner
+        split = cells.where("NOT leaf").select("x", "y", F.col("ix").alias("px"), F.col("iy").alias("py")).join(inner, ["px", "py"])
+        split = split.withColumns({"level": F.lit(level), "low": far(beside), "high": far(across)})
+        both = cells.where("leaf").select(*carried).unionByName(split.select(*carried))
+        cells = both.withColumn("best", F.min("high").over(Window.partitionBy("x", "y"))).where(F.col("low") <= F.col("best") * (1 + 1e-9))
     d = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2.0) + F.pow(F.col("y") - F.col("ty"), 2.0))
-    near = around.join(home, ["cx", "cy"]).withColumn("dist", d)
-    return near.groupBy("id").agg(F.min(F.struct("dist", "target")).alias("b")).select("id", "b.target", "b.dist")
+    met = cells.select("x", "y", "level", "ix", "iy").join(leaves, ["level", "ix", "iy"]).withColumn("dist", d)
+    best = met.groupBy("x", "y").agg(F.min(F.struct("dist", "target")).alias("b")).select("x", "y", "b.target", "b.dist")
+    return points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(best, ["x", "y"]).select("id", "target", "dist")
 
 
 def snap(points: DataFrame, nodes: DataFrame, tolerance_m: float = SNAP_TOLERANCE_M, connector_kph: float = CONNECTOR_KPH) -> DataFrame:
@@ -134,7 +145,7 @@ def snap(points: DataFrame, nodes: DataFrame, tolerance_m: float = SNAP_TOLERANC
     A point within the tolerance (inclusive) becomes the node ``kind:id`` with a walking
     connector to its nearest node; the others keep their whole distance as overshoot.
     """
-    found = nearest(points, nodes.select(F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), max(tolerance_m, 1e-9))
+    found = nearest(points, nodes.select(F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")))
     ok = F.col("dist") <= tolerance_m
     return points.join(found, "id").select(
         "id", "kind", "x", "y", ok.alias("is_attached"), F.when(ok, F.col("target")).alias("attached_to"), "dist",
@@ -143,9 +154,9 @@ def snap(points: DataFrame, nodes: DataFrame, tolerance_m: float = SNAP_TOLERANC
     )
 
 
-def allocate_population(cells: DataFrame, habitations: DataFrame, cell: float = 1000.0) -> DataFrame:
+def allocate_population(cells: DataFrame, habitations: DataFrame) -> DataFrame:
     """``node_id, population``: each population cell (id, x, y, population) goes to its nearest habitation; others get 0."""
-    found = nearest(cells, habitations.select(F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")), cell)
+    found = nearest(cells, habitations.select(F.col("node_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty")))
     sums = found.join(cells.select("id", "population"), "id").groupBy(F.col("target").alias("node_id")).agg(F.sum("population").alias("population"))
     return habitations.select("node_id").join(sums, "node_id", "left").select("node_id", F.coalesce("population", F.lit(0.0)).alias("population"))
 
@@ -272,16 +283,25 @@ def _rows(segments: DataFrame, cell: float) -> DataFrame:
     return segments.withColumn("cy", F.explode(F.sequence(at(F.least), at(F.greatest))))
 
 
-def _segments(lines: DataFrame, key: str, prefix: str, cell: float) -> DataFrame:
-    """A row for each segment and cell that it touches: as many as it is long, not as its box holds."""
-    rows = _rows(_pieces(lines, key), cell)
+#: Pairs of segments that meet in a cell which isn't parted, and partings one within another at most.
+MOST_PAIRS, PARTINGS = 4_096, 8
+
+
+def _in_cells(segments: DataFrame, cell: float, within: bool = False) -> DataFrame:
+    """A row for each segment and cell ``cx, cy`` that it touches: as many as it is long, not as its box holds.
+
+    With ``within``, only the sixteen cells that part the one a row is in already.
+    """
+    at = lambda f: F.floor(f("y1", "y2") / cell).cast("long")
+    inside = lambda low, high, c: (F.greatest(low, 4 * F.col(c)), F.least(high, 4 * F.col(c) + 3)) if within else (low, high)
+    rows = segments.withColumn("ny", F.explode(F.sequence(*inside(at(F.least), at(F.greatest), "cy"))))
     part = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("y1")) / (F.col("y2") - F.col("y1"))))
     x = lambda y, level: F.when(F.col("y1") == F.col("y2"), F.col(level)).otherwise(F.col("x1") + part(y) * (F.col("x2") - F.col("x1")))
-    one, two = x(F.col("cy") * cell, "x1"), x((F.col("cy") + 1) * cell, "x2")
+    one, two = x(F.col("ny") * cell, "x1"), x((F.col("ny") + 1) * cell, "x2")
     edge = 1e-6 * cell  # a neighbouring cell more does no harm, where rounding could leave one out
-    low, high = (F.floor(v / cell).cast("long") for v in (F.least(one, two) - edge, F.greatest(one, two) + edge))
-    cells = rows.withColumn("cx", F.explode(F.sequence(low, high)))
-    return cells.select(key, "cx", "cy", *(F.col(n).alias(f"{prefix}{i}") for i, n in enumerate(("x1", "y1", "x2", "y2"))))
+    low, high = inside(*(F.floor(v / cell).cast("long") for v in (F.least(one, two) - edge, F.greatest(one, two) + edge)), "cx")
+    rows = rows.withColumns({"low": low, "high": high}).where("low <= high")
+    return rows.withColumn("nx", F.explode(F.sequence("low", "high"))).select(segments.columns[0], "x1", "y1", "x2", "y2", F.col("nx").alias("cx"), F.col("ny").alias("cy"))
 
 
 def _inside_rings(roads: DataFrame, water: DataFrame, cell: float) -> DataFrame:
@@ -315,13 +335,30 @@ def crossings(roads: DataFrame, water: DataFrame, cell: float = 1000.0) -> DataF
     """The ``edge_id`` of roads that meet a water line or lie in a closed water ring.
 
     Both sides are ``points``: arrays of struct(x, y). Segments meet in grid cells and are
-    tested exactly; a road inside a ring without touching it is found by ray casting from
-    its first point.
+    tested exactly; a cell where too many would meet is parted in sixteen, again and again,
+    so that dense places are spread and only near segments are tested. A road inside a ring
+    without touching it is found by ray casting from its first point.
     """
-    a, b = _segments(roads.select("edge_id", "points"), "edge_id", "a", cell), _segments(water.select("water_id", "points"), "water_id", "b", cell)
+    a, b = (_in_cells(_pieces(df.select(key, "points"), key), cell) for df, key in ((roads, "edge_id"), (water, "water_id")))
+    met = _inside_rings(roads, water, cell)
+    for k in range(PARTINGS + 1):
+        count = lambda df, n: df.groupBy("cx", "cy").agg(F.count("*").alias(n))
+        dense = cut(count(a, "n").join(count(b, "m"), ["cx", "cy"]).where((F.col("n") * F.col("m") > MOST_PAIRS) & (F.col("n") > 1) & (F.col("m") > 1)).select("cx", "cy"))
+        last = k == PARTINGS or dense.isEmpty()
+        met = met.union(_tested(a if last else a.join(dense, ["cx", "cy"], "left_anti"), b))
+        if last:
+            break
+        cell /= 4
+        a, b = (cut(_in_cells(df.join(dense, ["cx", "cy"]).select(*df.columns), cell, within=True), spread=True) for df in (a, b))
+    return met.distinct()
+
+
+def _tested(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``edge_id`` of the segments of ``a`` that meet one of ``b`` in their cell."""
+    ends = ("x1", "y1", "x2", "y2")
+    named = lambda df, p: df.select("cx", "cy", *(["edge_id"] if p == "a" else []), *(F.col(c).alias(f"{p}{i}") for i, c in enumerate(ends)))
     cols = lambda p: [F.col(f"{p}{i}") for i in range(4)]
-    meet = a.join(b, ["cx", "cy"]).where(segments_meet(cols("a"), cols("b"))).select("edge_id")
-    return meet.union(_inside_rings(roads, water, cell)).distinct()
+    return named(a, "a").join(named(b, "b"), ["cx", "cy"]).where(segments_meet(cols("a"), cols("b"))).select("edge_id")
 
 
 def facilities_of(features: DataFrame) -> DataFrame:

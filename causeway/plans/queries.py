@@ -414,7 +414,7 @@ SELECT t.id AS node_id, CAST(coalesce(sum(b.id % 100), 0) AS DOUBLE) AS populati
 def population_alloc(spark, d):
     p = T.points(spark, d)
     cells = p.where("label <> 0").select("id", "x", "y", (F.col("id") % 100).cast("double").alias("population"))
-    return network.allocate_population(cells, p.where("label = 0").select(F.col("id").alias("node_id"), "x", "y"), cell=50.0)
+    return network.allocate_population(cells, p.where("label = 0").select(F.col("id").alias("node_id"), "x", "y"))
 
 
 def _segment_sql(a: str, b: str) -> str:

@@ -41,11 +41,11 @@ def test_nearest_against_brute_force(spark):
     rng = random.Random(1)
     pts = [(i, rng.uniform(0, 5000), rng.uniform(0, 100)) for i in range(200)]
     tgt = [(i, rng.uniform(0, 5000), rng.uniform(0, 100)) for i in range(15)]
-    got = network.nearest(spark.createDataFrame(pts, "id int, x double, y double"), spark.createDataFrame(tgt, "target int, tx double, ty double"), 10.0)
+    got = network.nearest(spark.createDataFrame(pts, "id int, x double, y double"), spark.createDataFrame(tgt, "target int, tx double, ty double"))
     want = {i: min(((x - a) ** 2 + (y - b) ** 2, t) for t, a, b in tgt)[1] for i, x, y in pts}
     assert {r["id"]: r["target"] for r in got.collect()} == want
     none = spark.createDataFrame([], "target int, tx double, ty double")
-    assert network.nearest(spark.createDataFrame(pts, "id int, x double, y double"), none, 10.0).count() == 0
+    assert network.nearest(spark.createDataFrame(pts, "id int, x double, y double"), none).count() == 0
 
 
 def test_far_points(spark):
@@ -55,11 +55,46 @@ def test_far_points(spark):
     p = np.concatenate([rng.normal((400, 1000), 20, (80, 2)), rng.normal((-500, -800), 5, (40, 2)), t[:10] + 0.5])
     points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id long, x double, y double")
     targets = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(t)], "target long, tx double, ty double")
-    got = {r["id"]: (r["target"], r["dist"]) for r in network.nearest(points, targets, 1.0).collect()}
+    got = {r["id"]: (r["target"], r["dist"]) for r in network.nearest(points, targets).collect()}
     d = np.hypot(p[:, None, 0] - t[None, :, 0], p[:, None, 1] - t[None, :, 1])
     assert {i: x[0] for i, x in got.items()} == dict(enumerate(d.argmin(axis=1).tolist())) and all(abs(x[1] - d[i].min()) < 1e-9 for i, x in got.items())
 
 
+def test_nearest_in_dense_places(spark, monkeypatch):
+    """Half of the targets, and of the points, in one spot: no task meets more than a small part of the pairs."""
+    rng = np.random.default_rng(8)
+    at = lambda n: np.concatenate([rng.uniform(0, 1e6, (n // 2, 2)), 5e5 + rng.uniform(0, 10, (n // 4, 2)), 5e5 + rng.uniform(0, 0.01, (n // 4, 2))])
+    t, p = at(20_000), np.concatenate([at(20_000), rng.uniform(4.9e5, 5.1e5, (2000, 2)), [[-1e7, 3e6]]])
+    t[7] = t[3]
+    points = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]})).union(spark.createDataFrame([(-1, None, 1.0)], "id long, x double, y double"))
+    targets = spark.createDataFrame(pd.DataFrame({"target": np.arange(len(t)), "tx": t[:, 0], "ty": t[:, 1]}))
+    got = network.nearest(points, targets).toPandas().set_index("id").sort_index()
+    assert len(got) == len(p)
+    some = np.r_[rng.choice(len(p), 1500, replace=False), [len(p) - 1]]
+    for i in some:
+        d = np.sqrt((p[i, 0] - t[:, 0]) ** 2 + (p[i, 1] - t[:, 1]) ** 2)
+        assert got.loc[i, "target"] == d.argmin() and got.loc[i, "dist"] == d.min()
+    spots = targets.groupBy("tx", "ty").agg(F.min("target").alias("target"))
+    levels, leaves = network._tree(spots, 0.0, 0.0, 1e6)
+    assert leaves.count() == 20_000 - 1 and leaves.groupBy("level", "ix", "iy").count().agg(F.max("count")).first()[0] <= network.LEAF and len(levels) < 20
+
+
+def test_crossings_in_dense_places(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    kind = "points array<struct<x:double,y:double>>"
+    short = lambda n: [[(float(x), float(y)), (float(x + dx), float(y + dy))] for x, y, dx, dy in np.c_[rng.uniform(-50, 50, (n, 2)), rng.normal(0, 0.4, (n, 2))]]
+    roads, water = short(1500) + [[(-50.0, -50.0), (50.0, 49.0)]], short(1200) + [[(-50.0, 20.0), (50.0, 21.0)]]
+    r, w = (spark.createDataFrame(list(enumerate(x)), f"{k} int, {kind}") for x, k in ((roads, "edge_id"), (water, "water_id")))
+    tested = []
+    monkeypatch.setattr(network, "segments_meet", lambda a, b, own=network.segments_meet: own(a, b))
+    monkeypatch.setattr(network, "_tested", lambda a, b, own=network._tested: tested.append(a.join(b.select("cx", "cy"), ["cx", "cy"]).count()) or own(a, b))
+    got = {x[0] for x in network.crossings(r, w, cell=1000.0).collect()}
+    monkeypatch.setattr(network, "MOST_PAIRS", 1 << 40)
+    pairs, tested[:] = sum(tested), []
+    assert got == {x[0] for x in network.crossings(r, w, cell=1000.0).collect()} and len(got) > 20
+    assert pairs * 5 < sum(tested)
+
+
 def test_crossings_against_brute_force(spark):
     rng = np.random.default_rng(6)
     line = lambda n, size: np.cumsum(rng.normal(0, size, (n, 2)), axis=0) + rng.uniform(-50, 50, 2)
