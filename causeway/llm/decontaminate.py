@@ -11,7 +11,8 @@ read again and verified by the exact containment of the item's shingles, as stri
 
 Shingles are five words, A-Z lower-cased; an item of fewer words is one shingle of its
 whole sequence and is found in documents of just that sequence: a few words inside a long
-text are no sign of a leak. Items and documents without words match nothing. A null document id is kept as such; each row is a document of
+text are no sign of a leak. Items and documents without words match nothing, and an item
+without an id, which no report could name, is left out. A null document id is kept as such; each row is a document of
 its own, and repeated rows (equal in id and text) count once.
 """
 

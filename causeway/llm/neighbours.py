@@ -75,6 +75,11 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` to all of ``b``, told from where most of ``b`` lies:
+    points that are near each other and far from 0 would lose their differences' digits."""
+    if len(b):
+        at = np.median(b, axis=0)
+        a, b = a - at, b - at
     with np.errstate(over="ignore", invalid="ignore"):
         d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
     return np.where(np.isnan(d), np.inf, np.maximum(d, 0))  # squares beyond double precision are infinite
@@ -107,6 +112,7 @@ def _seed(vectors: DataFrame, degree: int, salt: int, kind: str) -> DataFrame:
             m = _matrix(b.column("v"), kind).astype(np.float64)
             if not len(m):
                 continue
+            m -= np.median(m, axis=0)  # planes through where the vectors lie
             sides = m @ np.random.default_rng(salt).normal(size=(m.shape[1], SEED_PLANES)) > 0
             along = sides @ (1 << np.arange(SEED_PLANES)[::-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(along.astype(np.int64))], names=["id", "v", "along"])

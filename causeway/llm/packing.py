@@ -21,9 +21,11 @@ collected and broadcast. Null or empty texts are documents of one token, the sep
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,20 @@ HELD = 1 << 22
 BROADCAST_PARTS = 200_000
 
 
+def whole_numbers(targets: list[float]) -> list[int]:
+    """Whole numbers in the targets' proportions, whatever their sizes; a target that isn't zero
+    stays so. Exact where the largest takes 53 binary digits or fewer."""
+    if not all(math.isfinite(t) and t >= 0 for t in targets):
+        raise ValueError("targets are finite and not negative")
+    parts = [Fraction(repr(float(t))) for t in targets]
+    scale = math.lcm(*(p.denominator for p in parts))
+    whole = [int(p * scale) for p in parts]
+    divisor, most = math.gcd(*whole) or 1, max(whole, default=0)
+    if most // divisor < 1 << 53:
+        return [w // divisor for w in whole]
+    return [max(1, (w << 53) // most) if w else 0 for w in whole]
+
+
 class Schedule:
     """How many tokens each queue has handed over before window r, in closed form.
 
@@ -53,7 +69,7 @@ class Schedule:
 
     def __init__(self, totals: list[int], targets: list[float] | None = None, window: int = WINDOW, quantum: int = QUANTUM):
         self.totals, self.quantum, self.window = totals, quantum, window
-        weights = [int(1_000_000 * t) for t in targets] if targets else totals
+        weights = whole_numbers(targets) if targets else totals
         self.weights = [w or t for w, t in zip(weights, totals, strict=True)]
         self.late = [not w for w in weights]
         self._t, self._w, self._late = np.array(totals, np.int64), np.array(self.weights, np.float64), np.array(self.late, bool)

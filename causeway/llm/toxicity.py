@@ -4,11 +4,11 @@ Features of a text are its distinct words (any script, lower-cased, without mark
 ends) and the words' first three to five letters, each as present or not. A bounded sample
 of labelled rows (``SAMPLE``, the first by a hash of the id) gives the features that occur
 in ``MIN_DOCS`` rows or more with a log-odds ratio beyond chance, and logistic regression
-weighs them. For the penalty, labelled sentences are taken with an identity term of one
-group and again with a term of another (terms in the sentence are swapped; where there is
-none, the same sentence gets either term as a neutral mention): the loss adds ``pairing``
-times the squared difference of the two scores, and both copies keep the sentence's label.
-So a group's name alone moves no score. Null and empty texts get the score of no feature.
+weighs them. For the penalty, every labelled text that names a group is taken again with
+the names of others in its place, and without any; a part of the texts that name none is
+taken again with a name as a neutral mention. The loss adds ``pairing`` times the squared
+difference of a text's score and its counterfactual's, which keeps the text's label. So a
+group's name alone moves no score. Null and empty texts get the score of no feature.
 
 Scores are computed in whole, over every text; labels, language, source and ids are never
 inputs of a score.
@@ -41,6 +41,8 @@ IDENTITY = {
     "ability": ["disabled", "blind", "deaf", "autistic", "handicapé", "aveugle", "behindert", "discapacitado", "ciego"],
     "age": ["old", "young", "elderly", "vieux", "jeune", "alt", "jung", "viejo", "joven"],
 }
+TERMS = [t for group in IDENTITY.values() for t in group]
+_TERM = re.compile(r"(?<!\w)(?:" + "|".join(sorted(TERMS, key=len, reverse=True)) + r")(?!\w)")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -64,6 +66,15 @@ def text_features(text: str | None, cache: dict[str, tuple[int, ...]]) -> set[in
     return out
 
 
+def counterfactuals(text: str | None, key: int) -> tuple[str, str] | None:
+    """``text`` with other terms in the place of its own (which ones, ``key`` tells), and with none; None if it names none."""
+    text = (text or "").lower()
+    if not _TERM.search(text):
+        return None
+    step = 1 + zlib.crc32(str(key).encode()) % (len(TERMS) - 1)
+    return _TERM.sub(lambda m: TERMS[(TERMS.index(m[0]) + step) % len(TERMS)], text), _TERM.sub("", text)
+
+
 class Model:
     """Weights by feature, and the bias."""
 
@@ -120,28 +131,33 @@ def objective(w: np.ndarray, bias: float, r: np.ndarray, k: np.ndarray, y: np.nd
     return float(loss), np.bincount(k, d[r], m) + ridge / n * w, float(d.sum())
 
 
-def fit(rows: list[tuple[int, np.ndarray]], pairing: float = 1.0, ridge: float = 1e-3, steps: int = 300, seed: int = 0) -> Model:
-    """``rows``: label and sorted chosen features of each text. Without both labels, a constant score."""
+def fit(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], pairing: float = 10.0, ridge: float = 1e-3, steps: int = 300, seed: int = 0) -> Model:
+    """``rows``: label and sorted chosen features of each text, and those of its counterfactuals.
+    Without both labels, a constant score."""
     y = np.array([r[0] for r in rows], float)
     if len(set(y.tolist())) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model({}, float(np.log(p / (1 - p))))
     pos, neg = y.sum(), len(y) - y.sum()
-    terms = [t for ts in IDENTITY.values() for t in ts]
-    of_term = [np.unique(np.array(word_features(t), "<u4")) for t in terms]
-    names = np.unique(np.concatenate([*(r[1] for r in rows), *of_term]))
-    sets, labels = [np.searchsorted(names, r[1]).astype(np.int32) for r in rows], [r[0] for r in rows]
-    of_term = [np.searchsorted(names, t).astype(np.int32) for t in of_term]
-    # plain rows, then for a part of them two copies that name two groups
-    rng, left, right = np.random.default_rng(seed), [], []
-    for i in rng.permutation(len(rows))[: max(50, len(rows) // 4)]:
-        a, b = rng.choice(len(terms), 2, replace=False)
-        present = [t for t in of_term if np.isin(t, sets[i], assume_unique=True).all()]
-        rest = np.setdiff1d(sets[i], np.concatenate(present), assume_unique=False) if present else sets[i]
-        for t, side in ((a, left), (b, right)):
-            side.append(len(sets))
-            sets.append(np.union1d(rest, of_term[t]).astype(np.int32))
-            labels.append(labels[i])
+    of_term = [np.unique(np.array(word_features(t), "<u4")) for t in TERMS]
+    names = np.unique(np.concatenate([*(r[1] for r in rows), *(c for r in rows for c in r[2]), *of_term]))
+    place = lambda f: np.searchsorted(names, f).astype(np.int32)
+    sets, labels, of_term = [place(r[1]) for r in rows], [r[0] for r in rows], [place(t) for t in of_term]
+    left, right = [], []
+
+    def add(i: int, features: np.ndarray) -> None:
+        left.append(i)
+        right.append(len(sets))
+        sets.append(features.astype(np.int32))
+        labels.append(labels[i])
+
+    for i, r in enumerate(rows):
+        for c in r[2]:
+            add(i, place(c))
+    rng, free = np.random.default_rng(seed), np.array([i for i, r in enumerate(rows) if not r[2]], int)
+    for i in rng.permutation(free)[: max(50, len(rows) // 4)]:
+        for t in rng.choice(len(TERMS), 2, replace=False):
+            add(int(i), np.union1d(sets[i], of_term[t]))
     column = {int(f): i for i, f in enumerate(names)}
     r = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
     k = np.concatenate(sets)
@@ -172,26 +188,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
+        pack = lambda t: np.array(sorted(text_features(t, cache)), "<u4").tobytes()
         for b in batches:
-            found = [np.array(sorted(text_features(t, cache)), "<u4").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "f"])
+            texts = b.column("text").to_pylist()
+            others = [counterfactuals(t, d) for t, d in zip(texts, b.column("doc_id").to_pylist(), strict=True)]
+            columns = [b.column("doc_id"), b.column("toxic"), pa.array(map(pack, texts), pa.binary()), pa.array([[*map(pack, o or ())] for o in others], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "f", "others"])
 
     small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-    own = cut(own.mapInArrow(extract, "doc_id long, toxic int, f binary"), spread=True)
+    own = cut(own.mapInArrow(extract, "doc_id long, toxic int, f binary, others array<binary>"), spread=True)
     by = {r[0]: r[1] for r in own.groupBy("toxic").count().collect()}
     chosen = select_features(own, by.get(1, 0), by.get(0, 0)) if len(by) == 2 else []
-    terms = {f for ts in IDENTITY.values() for t in ts for f in word_features(t)}
+    terms = {f for t in TERMS for f in word_features(t)}
     kept = np.array(sorted({*chosen, *terms}), "<u4")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = lambda x: np.intersect1d(np.frombuffer(x, "<u4"), kept, True).tobytes()
         for b in batches:
-            f = [np.intersect1d(np.frombuffer(x, "<u4"), kept, True).tobytes() for x in b.column("f").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(f, pa.binary())], names=["doc_id", "toxic", "f"])
+            f, others = [few(x) for x in b.column("f").to_pylist()], [[few(x) for x in xs] for xs in b.column("others").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(f, pa.binary()), pa.array(others, pa.list_(pa.binary()))], names=b.schema.names)
 
-    got = own.mapInArrow(narrow, "doc_id long, toxic int, f binary").collect()
+    got = own.mapInArrow(narrow, own.schema).collect()
     got.sort(key=lambda x: (x[0], bytes(x[2])))
-    return fit([(x[1], np.frombuffer(x[2], "<u4")) for x in got], **options)
+    numbers = lambda x: np.frombuffer(x, "<u4")
+    return fit([(x[1], numbers(x[2]), [*map(numbers, x[3])]) for x in got], **options)
 
 
 def scorer(spark: SparkSession, model: Model):

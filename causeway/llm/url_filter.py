@@ -56,15 +56,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
     """The index of (verdict, host, path) rules: a header, digests, offsets, verdicts and texts."""
     texts: dict[str, tuple[int, int]] = {}
+    longest = 0
     for verdict, host, path in rules:
         if verdict not in (ALLOW, BLOCK):
             raise ValueError(f"unknown verdict {verdict!r}")
         host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-        text = host + BAR + path
+        text, longest = host + BAR + path, max(longest, len(host))
         texts[text] = (max(verdict == BLOCK, texts.get(text, (0, 0))[0]), len(path))
     keyed = sorted((xxhash.xxh64_intdigest(t.encode()), t) for t in texts)
     raw = [t.encode() for _, t in keyed]
-    head = json.dumps({"n": len(raw), "paths": sorted({texts[t][1] for t in texts})}).encode()
+    head = json.dumps({"n": len(raw), "host": longest, "paths": sorted({texts[t][1] for t in texts})}).encode()
     head += b" " * (-(len(head) + 8) % 8)
     return b"".join(
         (
@@ -84,7 +85,7 @@ class Index:
     def __init__(self, raw: np.ndarray):
         (n,) = struct.unpack("<q", raw[:8].tobytes())
         head = json.loads(raw[8 : 8 + n].tobytes())
-        self.n, self.paths, at = head["n"], head["paths"], 8 + n
+        self.n, self.host, self.paths, at = head["n"], head["host"], head["paths"], 8 + n
         self.digests = raw[at : at + 8 * self.n].view("<u8")
         at += 8 * self.n
         self.offsets = raw[at : at + 8 * (self.n + 1)].view("<i8")
@@ -111,14 +112,17 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode())
 
 
-def domains(host: str) -> list[str]:
-    """The host and the domains it lies in."""
-    return [host[i:] for i in [0, *(i + 1 for i, c in enumerate(host) if c == ".")]] if host else []
+def domains(host: str, longest: int) -> list[str]:
+    """The host and the domains it lies in, those of up to ``longest`` characters: however many
+    labels a host has, only as many can be a rule's."""
+    first = max(0, len(host) - longest - 1)
+    whole = [host] if 0 < len(host) <= longest else []
+    return whole + [host[i + 1 :] for i in range(first, len(host)) if host[i] == "."]
 
 
-def probes(host: str, path: str, lengths: list[int]) -> list[str]:
+def probes(host: str, path: str, lengths: list[int], longest: int) -> list[str]:
     """Every rule text that would fit, the longest first, of equal lengths the longer host."""
-    fit = [(len(d) + n, len(d), d + BAR + path[:n]) for d in domains(host) for n in lengths if n <= len(path)]
+    fit = [(len(d) + n, len(d), d + BAR + path[:n]) for d in domains(host, longest) for n in lengths if n <= len(path)]
     return [text for *_, text in sorted(fit, reverse=True)]
 
 
@@ -138,7 +142,7 @@ def _best(index: Index, hosts: list[str], paths: list[str]) -> tuple[list, list]
         tries.clear()
 
     for h, p in pairs:
-        tries.append([keys.setdefault(k, len(keys)) for k in probes(h, p, index.paths)])
+        tries.append([keys.setdefault(k, len(keys)) for k in probes(h, p, index.paths, index.host)])
         if len(keys) >= PROBES:
             search()
     search()
@@ -194,6 +198,7 @@ def judge_sharded(df: DataFrame, rules: DataFrame, url: str = "url", shards: int
     df = df.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     rules = rules.where("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL").select("verdict", ascii_lower(F.col("host")).alias("host"), "path")
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # as many as the longest path has characters, at most
+    longest = rules.agg(F.max(F.length("host"))).first()[0] or 0
     head = F.substring("path", 1, max(lengths, default=0))
 
     def shard(d: np.ndarray) -> pa.Array:
@@ -214,7 +219,7 @@ def judge_sharded(df: DataFrame, rules: DataFrame, url: str = "url", shards: int
 
         for b in batches:
             for page, h, p in zip(*(b.column(c).to_pylist() for c in ("page", "host", "head")), strict=True):
-                for d in domains(h):
+                for d in domains(h, longest):
                     held += [(page, digest(d + BAR + p[:n]), len(d), n) for n in lengths if n <= len(p)]
                     if len(held) >= PROBES:
                         yield out()
