@@ -247,12 +247,31 @@ def coverage(y: Column, lo: Column, hi: Column) -> Column:
     return F.avg(((y >= lo) & (y <= hi)).cast("double"))
 
 
-def kolmogorov_p(d: float, n: int, exact: int = 140) -> float:
-    """P-value of the distance ``d`` of ``n`` values: by the powers of a matrix up to ``exact`` values, asymptotic beyond."""
+def _scaled_power(a: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """``a`` to the power ``n``, and the power of ten that was taken out of it."""
+    if n == 1:
+        return a, 0
+    half, e = _scaled_power(a, n // 2)
+    out, e = half @ half, 2 * e
+    if n % 2:
+        out = out @ a
+    if out.max() > 1e140:
+        out, e = out * 1e-140, e + 140
+    return out, e
+
+
+def kolmogorov_p(d: float, n: int, exact: int = 20_000) -> float:
+    """P-value of the distance ``d`` of ``n`` values: by the powers of a matrix up to ``exact`` values, asymptotic beyond.
+
+    The matrix has 2 n d rows or so; where n d^2 is above 18 the p-value is below 1e-15, and
+    its first asymptotic term is taken.
+    """
     if d <= 0.5 / n:
         return 1.0
     if d >= 1:
         return 0.0
+    if n * d * d > 18:
+        return 2 * math.exp(-2 * n * d * d)
     if n <= exact:
         k = math.ceil(n * d)
         h, m = k - n * d, 2 * k - 1
@@ -262,9 +281,14 @@ def kolmogorov_p(d: float, n: int, exact: int = 140) -> float:
         a[:, 0] -= h ** np.arange(1, m + 1)
         a[-1, :] -= h ** np.arange(m, 0, -1)
         a[-1, 0] += max(0.0, 2 * h - 1) ** m
-        a /= np.array([math.factorial(x) for x in range(m + 1)], float)[step]
-        q = np.linalg.matrix_power(a, n)[k - 1, k - 1]
-        return min(1.0, max(0.0, 1 - float(q * np.prod(np.arange(1, n + 1) / n))))
+        a *= np.cumprod(1.0 / np.maximum(np.arange(m + 1), 1))[step]  # one over the factorials; the last are 0 to double precision
+        power, e = _scaled_power(a, n)
+        q = float(power[k - 1, k - 1])
+        for x in range(1, n + 1):
+            q *= x / n
+            if q < 1e-140:
+                q, e = q * 1e140, e - 140
+        return min(1.0, max(0.0, 1 - q * 10.0**e))
     x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
     if x < 0.2:
         return 1.0

@@ -93,6 +93,18 @@ def test_concordance_against_all_pairs(spark, monkeypatch, cuts):
     assert (none["c_index"], none["n_pairs"]) == (0.5, 0)
 
 
+@pytest.mark.parametrize("n, d, cdf", [(10, 0.274, 0.62847961545658), (2000, 0.04, 0.99676943191713676985), (16000, 0.016, 0.99945234913828052085)])
+def test_kolmogorov_p_of_many_values(n, d, cdf):
+    """Published values of the exact distribution."""
+    assert metrics.kolmogorov_p(d, n) == pytest.approx(1 - cdf, abs=1e-12)
+    assert metrics.kolmogorov_p(d, n, exact=0) == pytest.approx(1 - cdf, abs=0.02)
+
+
+def test_kolmogorov_p_falls_with_distance():
+    p = [metrics.kolmogorov_p(d, 10_000) for d in np.linspace(0.001, 0.06, 25)]
+    assert p[0] == pytest.approx(1.0) and all(a >= b for a, b in zip(p, p[1:], strict=False)) and p[-1] < 1e-15
+
+
 def test_kolmogorov_p():
     rng = np.random.default_rng(0)
     for n in (5, 20, 100):
