@@ -216,6 +216,19 @@ def sources_of(sets: DataFrame, facilities: DataFrame) -> DataFrame:
     return sets.select("set_id").distinct().join(F.broadcast(facilities.select("facility_type", F.col("node_id").alias("node"))))
 
 
+def unknown(edges: DataFrame, habitations: DataFrame, facilities: DataFrame, failed_nodes: DataFrame | None = None, failed_edges: DataFrame | None = None) -> DataFrame:
+    """``what, a, b``: failed nodes (``a``) and edges (their ends in order) that aren't in the network, each once, as text."""
+    text = lambda what, a, b: (F.lit(what).alias("what"), a.cast("string").alias("a"), b.cast("string").alias("b"))
+    out = edges.sparkSession.createDataFrame([], "what string, a string, b string")
+    if failed_nodes is not None:
+        known = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(habitations.select("node_id")).union(facilities.select("node_id"))
+        out = out.union(failed_nodes.join(known, "node", "left_anti").select(*text("node", F.col("node"), F.lit(None))))
+    if failed_edges is not None:
+        pair = lambda df: df.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        out = out.union(pair(failed_edges).join(pair(edges), ["src", "dst"], "left_anti").select(*text("edge", F.col("src"), F.col("dst"))))
+    return out.distinct()
+
+
 def losses(
     edges: DataFrame, habitations: DataFrame, facilities: DataFrame, services: DataFrame, sets: DataFrame,
     failed_nodes: DataFrame | None = None, failed_edges: DataFrame | None = None, validate: bool = False, small: bool | None = None,
@@ -228,12 +241,9 @@ def losses(
     two forms; by default the graph's size decides.
     """
     if validate:
-        known = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(habitations.select("node_id")).union(facilities.select("node_id"))
-        if failed_nodes is not None:
-            must_be_empty(failed_nodes.join(known, "node", "left_anti"), "a failed node isn't in the network")
-        if failed_edges is not None:
-            pair = lambda df: df.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-            must_be_empty(pair(failed_edges).join(pair(edges), ["src", "dst"], "left_anti"), "a failed edge isn't in the network")
+        lost = unknown(edges, habitations, facilities, failed_nodes, failed_edges)
+        must_be_empty(lost.where("what = 'node'"), "a failed node isn't in the network")
+        must_be_empty(lost.where("what = 'edge'"), "a failed edge isn't in the network")
     graph = Graph.small(edges, habitations, facilities, services) if small is not False else None
     if graph is not None:
         return _losses_inside(graph, sets, failed_nodes, failed_edges)

@@ -505,6 +505,17 @@ def access_loss_set(spark, d):
     return _loss(spark, d, T.structures(spark, d).select(F.lit("all").alias("set_id"), "node"))
 
 
+@query(f"""WITH {EDGES}, asked AS (SELECT DISTINCT o_custkey % 40 AS a, o_orderkey % 30 AS b FROM orders),
+nodes AS (SELECT src AS n FROM edges UNION SELECT dst FROM edges UNION SELECT node FROM homes UNION SELECT node FROM places)
+SELECT DISTINCT 'node' AS what, CAST(a AS VARCHAR) AS a, '' AS b FROM asked WHERE a NOT IN (SELECT n FROM nodes)
+UNION ALL SELECT DISTINCT 'edge', CAST(least(a, b) AS VARCHAR), CAST(greatest(a, b) AS VARCHAR) FROM asked WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = least(a, b) AND dst = greatest(a, b))""")
+def unknown_failures(spark, d):
+    """What orders name as failed - a node by customer, an edge to the order's - and the network doesn't have."""
+    o = T.read(spark, d, "orders").select((F.col("o_custkey") % 40).alias("node"), (F.col("o_orderkey") % 30).alias("dst"))
+    lost = access.unknown(T.edges(spark, d), T.homes(spark, d), T.places(spark, d), o.select("node"), o.select(F.col("node").alias("src"), "dst"))
+    return lost.select("what", "a", F.coalesce("b", F.lit("")).alias("b"))
+
+
 _SUBSETS = """names AS (SELECT n_nationkey AS node, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation WHERE n_regionkey = 3),
 set_ids AS (SELECT '' AS set_id UNION ALL SELECT CAST(m AS VARCHAR) FROM range(32) t(m)), fails AS (SELECT CAST(m AS VARCHAR) AS set_id, node FROM range(32) t(m), names WHERE (m >> i) & 1 = 1)"""
 #: The loss of each set of the structures, by mask, after the chain of times.
