@@ -39,20 +39,45 @@ def state_histogram(df: DataFrame, state: str = "state4") -> DataFrame:
     return df.groupBy(name.alias("state")).agg(F.count("*").alias("n"))
 
 
+def _in_ranges(df: DataFrame, keys: list[str], value: Column) -> tuple[DataFrame, DataFrame]:
+    """Equal values counted and dealt to tasks by ranges of (keys, value), and the sums of these ranges.
+
+    The first has ``keys, v, c, part``; the second, a row a range and group in it: ``keys, part``,
+    the rows ``inside`` and the sum ``total`` of their values, those ``before`` it and all ``n`` of the group.
+    """
+    counts = df.groupBy(*keys, value.alias("v")).agg(F.count("*").alias("c"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(counts.repartitionByRange(ranges, *keys, "v").withColumn("part", F.spark_partition_id()))
+    over = Window.partitionBy(*keys)
+    sums = ranged.groupBy(*keys, "part").agg(F.sum("c").alias("inside"), F.sum(F.col("v") * F.col("c")).alias("total"))
+    before = F.coalesce(F.sum("inside").over(over.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged, sums.withColumns({"n": F.sum("inside").over(over), "before": before})
+
+
+def _of_range(ranged: DataFrame, hit: DataFrame, keys: list[str]) -> DataFrame:
+    """The values of the ranges in ``hit`` (one a group), with its ``before`` and ``k``, and ``upto``: the rows up to each value."""
+    own = hit.select(F.col("part").alias("_part"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keys)), "before", "k")
+    own = ranged.join(own, [F.col("part") == F.col("_part"), *(F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys))])
+    return own.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*keys).orderBy("v")))
+
+
 def cvar(df: DataFrame, value: str, keys: list[str], alpha: float = 0.05) -> DataFrame:
     """Mean of the worst ceil(alpha n) values (one at least) of each group, as ``cvar``.
 
-    Equal values are counted first, so a group's window holds its distinct values only.
+    Sums of ranges tell which are wholly among the worst and which one the worst begin in; only
+    that one is sorted. So no task sorts a group. Values that are null take no part.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha is in (0, 1]")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    over = Window.partitionBy(*keys)
-    before = over.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    own = counts.withColumns({"n": F.sum("c").over(over), "before": F.coalesce(F.sum("c").over(before), F.lit(0))})
-    k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(alpha)))
-    take = F.greatest(F.lit(0), F.least(F.col("c"), k - F.col("before")))
-    return own.withColumn("take", take).groupBy(*keys).agg((F.sum(F.col(value) * F.col("take")) / F.sum("take")).alias("cvar"))
+    # the worst come first, by their negative values
+    ranged, sums = _in_ranges(df.where(F.col(value).isNotNull()), keys, -F.col(value).cast("double"))
+    sums = sums.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(alpha)))).where(F.col("before") < F.col("k"))
+    whole = F.col("before") + F.col("inside") <= F.col("k")
+    part = _of_range(ranged, sums.where(~whole), keys)
+    take = F.greatest(F.lit(0), F.least(F.col("c"), F.col("k") - F.col("upto") + F.col("c")))
+    part = part.select(*keys, (F.col("v") * take).alias("total"), take.alias("taken"))
+    both = sums.where(whole).select(*keys, "total", F.col("inside").alias("taken")).unionByName(part)
+    return both.groupBy(*keys).agg((-F.sum("total") / F.sum("taken")).alias("cvar"))
 
 
 def value_at_risk(value: str | Column, alpha: float = 0.05) -> Column:
@@ -214,18 +239,10 @@ def conformal_quantiles(residuals: DataFrame, keys: list[str], residual: str = "
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha is in (0, 1)")
-    counts = residuals.where(F.col(residual).isNotNull()).groupBy(*keys, F.abs(residual).alias("r")).agg(F.count("*").alias("c"))
-    ranges = int(residuals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(counts.repartitionByRange(ranges, *keys, "r").withColumn("part", F.spark_partition_id()))
-    over = Window.partitionBy(*keys)
-    sums = ranged.groupBy(*keys, "part").agg(F.sum("c").alias("inside"))  # a row a range, and group in it
-    sums = sums.withColumns({"n": F.sum("inside").over(over), "before": F.coalesce(F.sum("inside").over(over.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    ranged, sums = _in_ranges(residuals.where(F.col(residual).isNotNull()), keys, F.abs(residual))
     k = F.least(F.ceil((F.col("n") + 1) * F.lit(1.0 - alpha)), F.col("n"))
     hit = sums.withColumn("k", k).where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("inside")))
-    hit = hit.select(F.col("part").alias("_part"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keys)), "before", "k")
-    own = ranged.join(hit, [F.col("part") == F.col("_part"), *(F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys))])
-    own = own.withColumn("upto", F.col("before") + F.sum("c").over(over.orderBy("r")))
-    return own.where(F.col("upto") >= F.col("k")).groupBy(*keys).agg(F.min("r").alias("q"))
+    return _of_range(ranged, hit, keys).where(F.col("upto") >= F.col("k")).groupBy(*keys).agg(F.min("v").alias("q"))
 
 
 def conformal_by_group(residuals: DataFrame, group: str, residual: str = "residual", alpha: float = 0.1) -> DataFrame:

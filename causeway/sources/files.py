@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import csv
 import json
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 from causeway.functions import scalars as S
 from causeway.operators import network
-from causeway.operators.panel import panel_of
+from causeway.operators.lineage import cut
+from causeway.operators.panel import SHEET, panel_of
 
 
 def sheet_to_panel(spark: SparkSession, path: str, year: int) -> DataFrame:
@@ -23,32 +23,60 @@ def sheet_to_panel(spark: SparkSession, path: str, year: int) -> DataFrame:
     return panel_of(sheet.withColumn("year", F.lit(year)))
 
 
+#: The most headers that are sent to the tasks, 16 numbers and a path each; more meet their lines in a shuffle.
+MOST_HEADERS = 100_000
+
+
+def sheet_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, at, year, value``: the lines of all ``*.txt`` sheets below ``folder``; ``at`` is where the file's part begins.
+
+    The year is 2000 and the name's last two digits; files whose names end otherwise are skipped.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(folder)
+    name = F.col("_metadata.file_name")
+    year = F.regexp_extract(name, r"(\d{2})\.txt$", 1).cast("int") + 2000
+    return lines.where(name.rlike(r"\d{2}\.txt$")).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), year.alias("year"), "value")
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a line of CSV as they are written, quotes and all (an empty one may follow the last)."""
+    return F.regexp_extract_all(line, F.lit(r'("[^"]*+(?:""[^"]*+)*+"|[^,]*+)(?:,|$)'), 1)
+
+
+def _unquoted(cell: Column) -> Column:
+    """A cell's text; null for an empty one."""
+    inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+    return F.nullif(F.when(cell.rlike(r'^"(?s:.*)"$'), inner).otherwise(cell), F.lit(""))
+
+
 def load_sheets(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*.txt`` sheets below ``folder`` as one panel; the year is 2000 and the name's last two digits.
+    """All sheets below ``folder`` as one panel (see ``sheet_lines``).
 
-    Files whose names end otherwise are skipped. Sheets may have different columns.
+    Sheets may have different columns in any order, and as many headers as files: a header is a
+    row of places, which the file's lines meet by its path, so all files are one scan and one
+    plan. It is the first line of the file's beginning that names the state code and the
+    structure's number; of repeated names the first counts. Blank lines and empty files are
+    left out, short lines end in nulls, and lines of a file without a header are an error when they are read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder).select("path")
-    year = F.regexp_extract("path", r"(\d{2})\.txt$", 1)
-    found = sorted((int(r[1]) + 2000, r[0]) for r in files.select("path", year).where(F.length(year) > 0).collect())
+    lines = sheet_lines(spark, folder).where(F.trim("value") != "")
+    needed = [SHEET[c] for c in ("state_code", "structure_id")]
+    titles = lines.where("at = 0").where(F.col("value").contains(needed[0]) & F.col("value").contains(needed[1]))
+    titles = cut(titles.withColumn("i", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "i").alias("header")))
+    found = titles.count()
     if not found:
-        raise FileNotFoundError(f"no inspection sheets in {folder}")
-    # one scan for each header, so that a year's columns are read by name; the headers come from one scan of the files' beginnings
-    lines = spark.read.text([p for _, p in found]).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    firsts = lines.where("at = 0").withColumn("i", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "i"))
-    headers: dict[tuple, list[str]] = {}
-    for path, line in sorted(map(tuple, firsts.collect())):
-        headers.setdefault(tuple(next(csv.reader([line]))), []).append(path)
-    parts = []
-    for names, paths in headers.items():
-        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.csv(paths, header=True, schema=text, enforceSchema=True, encoding="UTF-8")
-        stem = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{2})\.txt$", 1)
-        parts.append(panel_of(raw.withColumn("year", stem.cast("int") + 2000)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if lines.isEmpty():
+            raise FileNotFoundError(f"no inspection sheets in {folder}")
+        raise KeyError(needed[0])
+    names = F.transform(_cells(F.col("header")), _unquoted)
+    places = F.get(F.transform(F.array(names), lambda n: F.transform(F.array(*map(F.lit, SHEET.values())), lambda c: F.array_position(n, c).cast("int") - 1)), F.lit(0))
+    heads = titles.select(F.col("path").alias("_path"), "header", places.alias("places"))
+    own = lines.join(F.broadcast(heads) if found <= MOST_HEADERS else heads, F.col("path") == F.col("_path"), "left").where(~F.col("value").eqNullSafe(F.col("header")))
+    # a place of -1 is a column that the sheet doesn't have; a line is taken apart once, for all places
+    cells = F.get(F.transform(F.array(_cells(F.col("value"))), lambda c: F.transform("places", lambda p: F.when(p >= 0, _unquoted(F.get(c, p))))), F.lit(0))
+    known = (F.get("places", F.lit(0)) >= 0) & (F.get("places", F.lit(1)) >= 0)
+    cells = F.when(F.coalesce(known, F.lit(False)), cells).otherwise(F.raise_error(F.concat(F.lit("no header with structures' numbers: "), "path")).cast("array<string>"))
+    picked = own.select("year", cells.alias("p"))
+    return panel_of(picked.select("year", *(F.get("p", F.lit(j)).alias(c) for j, c in enumerate(SHEET.values()))))
 
 
 def load_graphml(spark: SparkSession, path: str, speeds: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -73,3 +73,32 @@ def test_sheets_as_a_stream(spark, tmp_path):
     sheet(folder, "XX20.txt", [("01", "B1", "2000", "6", "6", "6", "N", ""), ("01", "B2", "2000", "N", "N", "N", "N", "")])
     incremental.append_panel(incremental.sheet_stream(spark, str(folder)), out, state).awaitTermination(120)
     assert {(r["year"], r["state4"]): r["n"] for r in incremental.state_counts(spark.read.parquet(out)).collect()} == {(2019, 0): 1, (2020, 1): 1}
+
+
+def test_sheets_of_500_headers_are_one_scan(spark, tmp_path):
+    names = [panel.SHEET[c] for c in ("state_code", "structure_id", "deck", "super", "sub", "culvert", "adt")]
+    for k in range(500):
+        turn = k % len(names)
+        head = [*names[turn:], *(f'"EXTRA,{j}"' for j in range(k)), *names[:turn]]
+        cells = dict(zip(names, ["01", f"B{k}", "8", "6", "7", "N", str(k)], strict=True))
+        rows = [",".join(cells.get(h, '"a, b"') for h in head), "", "x"]
+        (tmp_path / f"S{k:03}-{k % 20:02}.txt").write_text("\n".join([",".join(head), *rows]))
+    (tmp_path / "empty-01.txt").write_text("")
+    p = files.load_sheets(spark, str(tmp_path))
+    got = {r["key"]: (r["year"], r["state4"], r["adt"], r["age"], r["material"]) for r in p.collect()}
+    assert got == {f"01|B{k}": (2000 + k % 20, 1, float(k), None, None) for k in range(500)}
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value") == 1 and "Union" not in plan
+
+
+def test_headers_repeat_names_and_may_be_missing(spark, tmp_path):
+    head = f"{panel.SHEET['state_code']},{panel.SHEET['deck']},{panel.SHEET['structure_id']},{panel.SHEET['deck']},{panel.SHEET['super']},{panel.SHEET['sub']},{panel.SHEET['culvert']}"
+    (tmp_path / "XX20.txt").write_text(f'{head}\n01,8,"B,1",2,9,9,N\n{head}\n01,3,B2,9,9,9,N,more,cells\n')
+    got = {r["structure_id"]: r["state4"] for r in files.load_sheets(spark, str(tmp_path)).collect()}
+    assert got == {"B,1": 0, "B2": 2}
+    (tmp_path / "YY20.txt").write_text("A,B\n1,2\n")
+    with pytest.raises(Exception, match="structures' numbers"):
+        files.load_sheets(spark, str(tmp_path)).collect()
+    (tmp_path / "XX20.txt").unlink()
+    with pytest.raises(KeyError):
+        files.load_sheets(spark, str(tmp_path))

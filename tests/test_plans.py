@@ -44,6 +44,20 @@ def test_tails(spark):
         metrics.cvar(df, "v", ["policy"], 0)
 
 
+def test_tails_of_many_values_sort_one_range_a_group(spark):
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(0, 9, 4000), "b": rng.integers(-3, 4, 700).astype(float), None: rng.exponential(2, 90), "one": np.array([-7.5])}
+    rows = [(k, float(v), 1) for k, x in values.items() for v in x] + [("b", None, 1), ("nothing", None, 1)]
+    df = spark.createDataFrame(rows, "policy string, v double, c int")
+    for alpha in (0.01, 0.05, 0.37, 1.0):
+        out = metrics.cvar(df, "v", ["policy"], alpha)
+        assert {r["policy"]: r["cvar"] for r in out.collect()} == pytest.approx({k: O.cvar(x, alpha) for k, x in values.items()})
+    windows = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and all("windowspecdefinition(policy" in x for x in windows)
+    assert metrics.cvar(df.where("false"), "v", ["policy"]).count() == 0
+    assert metrics.cvar(df, "v", []).collect()[0]["cvar"] == pytest.approx(O.cvar(np.concatenate(list(values.values()))))
+
+
 def test_regret_and_pairs(spark):
     loss = np.array([[5, 6, 7, 8.0], [1, 2, 3, 4.0], [2, 3, 4, 9.0]])
     df = spark.createDataFrame([(f"p{i}", d, float(loss[i, d])) for i in range(3) for d in range(4)], "policy string, draw int, loss double")
