@@ -2,7 +2,8 @@
 
 Every element and every run of text between block-level tags is a binary variable, content
 or not. A variable has a potential of its own (its features' learned weights) and one with
-its parent (learned from how often content lies in content). The graph is a tree, so one
+its parent: how often content lies in content, and what the names of the parent (for text,
+also of the parent's parent) say of what lies in it. The graph is a tree, so one
 sum-product pass from the leaves up and one from the root down give exact marginals; runs
 of text whose marginal is over one half are the page's text. Potentials are trained from
 labelled pages: random layouts with known main text (``html_pages``), a bounded set
@@ -32,7 +33,7 @@ from causeway.llm import html_pages
 from causeway.llm.common import small_batches
 
 #: Labelled pages of the training set.
-PAGES = 1500
+PAGES = 2000
 #: Elements that begin a block, hold nothing, hold no text, are closed by others.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol option optgroup p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -47,6 +48,8 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"},
 }
+#: Elements whose names say nothing of what lies in them.
+PLAIN = frozenset("html body #root".split())
 #: What stops the search for an element to close.
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
@@ -56,10 +59,11 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("children", "features", "letters", "linked", "marks", "parent", "tag", "text")
+    __slots__ = ("children", "features", "letters", "linked", "marks", "names", "parent", "tag", "text")
 
     def __init__(self, tag: str, parent: int, features: list[str], text: str | None = None):
         self.tag, self.parent, self.features, self.text, self.children = tag, parent, features, text, []
+        self.names: list[str] = []
         self.letters = self.linked = self.marks = 0
 
 
@@ -254,8 +258,14 @@ def describe(nodes: list[Node]) -> None:
         if n.text is not None:
             n.marks = sum(n.text.count(c) for c in ".,;!?")
         up.marks += n.marks
+    whole = max(1, nodes[0].letters)
     for n in nodes[1:]:
         up, f = nodes[n.parent], n.features
+        n.names = [x for x in f if x.startswith("a:")] if n.text is None and n.tag not in PLAIN else []
+        f += [f"in-{x}" for x in up.names]
+        if n.text is not None and up.parent >= 0:
+            f += [f"far-{x}" for x in nodes[up.parent].names]
+        f.append(f"{'' if n.text is not None else 'e-'}share:{_bucket(n.letters / whole, (0.05, 0.2, 0.5, 0.9))}")
         link = _bucket(n.linked / max(1, n.letters), (0.01, 0.3, 0.7, 0.95))
         if n.text is not None:
             f.append(f"len:{_bucket(n.letters, (8, 20, 40, 80, 160, 320, 640))}")
@@ -317,7 +327,7 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def train(pages: int = PAGES, seed: int = 0, ridge: float = 1.0, steps: int = 200) -> Model:
+def train(pages: int = PAGES, seed: int = 0, ridge: float = 0.1, steps: int = 200) -> Model:
     """Fit the potentials: counts of parent and child labels, and logistic regression of the
     own potentials, whose offset is each node's prior given its parent's label."""
     rows: list[tuple[list[str], int, int, int]] = []

@@ -17,7 +17,7 @@ _MARK = re.compile(f"[{MAIN}{REST}]")
 _MENU = ["nav", "menu", "navbar", "main-nav", "navigation", "topnav", "site-nav", "breadcrumb", "breadcrumbs", "pagination", "toc"]
 _SIDE = ["sidebar", "aside", "widget", "side", "rail", "secondary", "related", "recommended", "popular", "trending"]
 _AD = ["ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "ad-slot", "sponsor"]
-_NOTE = ["cookie", "cookie-notice", "consent", "notice", "gdpr", "alert", "modal", "popup", "overlay", "subscribe", "paywall", "warning"]
+_NOTE = ["cookie", "cookie-notice", "consent", "notice", "gdpr", "alert", "modal", "popup", "overlay", "subscribe", "paywall", "warning", "newsletter", "signup"]
 _TALK = ["comments", "comment", "comment-list", "responses", "discussion", "replies", "reviews", "respond"]
 _FOOT = ["footer", "site-footer", "bottom", "colophon", "copyright", "legal"]
 _HEAD = ["header", "site-header", "masthead", "top", "branding", "logo"]
@@ -30,12 +30,17 @@ class Page:
         self.r = random.Random(seed)
         self.syllables = ["".join(self.r.choice("bcdfghklmnprstvz") + self.r.choice("aeiouéèäöü") for _ in range(self.r.randint(1, 2))) for _ in range(60)]
 
-    def word(self) -> str:
-        w = "".join(self.r.choice(self.syllables) for _ in range(self.r.choice([1, 1, 2, 2, 3])))
+        self.vocabulary = [self.new_word() for _ in range(80)]
+
+    def new_word(self) -> str:
+        w = "".join(self.r.choices(self.syllables, k=self.r.choice([1, 1, 2, 2, 3])))
         return w + self.r.choice(["", "", "", "", "", "", "%%%", "&amp;", "$$$"]) if self.r.random() < 0.1 else w
 
+    def word(self) -> str:
+        return self.r.choice(self.vocabulary)
+
     def words(self, n: int) -> str:
-        return " ".join(self.word() for _ in range(n))
+        return " ".join(self.r.choices(self.vocabulary, k=n))
 
     def prose(self, low: int = 1, high: int = 5) -> str:
         out = []
@@ -68,6 +73,8 @@ class Page:
         n = self.r.choice(names)
         if self.r.random() < 0.3:
             n = self.r.choice(["site", "page", "wp", "block", "js", "c"]) + self.r.choice("-_") + n
+        if names is _BODY and self.r.random() < 0.15:  # a layout's names say what lies beside the text
+            n += f" {self.r.choice(['has', 'with', 'no', 'without'])}-{self.r.choice(self.r.choice([_SIDE, _AD, _NOTE, _TALK, _FOOT, _HEAD]))}"
         return f' {self.r.choice(["class", "class", "class", "id"])}="{n}"'
 
     def links(self, low: int = 2, high: int = 9) -> str:
@@ -106,6 +113,32 @@ class Page:
         role = self.r.choice(["", "", ' role="alert"', ' role="dialog"'])
         return f"<{(t := self.r.choice(['div', 'div', 'section', 'aside']))}{self.attrs(_NOTE, 1)}{role}>{body}</{t}>"
 
+    def boxed(self, names: list[str]) -> str:
+        """What isn't main text but reads like it: only the box's name tells."""
+        r = self.r
+        text = lambda high: REST + self.prose(1, high)
+        body = r.choice([
+            text(3), f"<p>{text(3)}</p>", f"<p>{text(5)}</p><p>{text(5)}</p>", f"<h{(h := r.randint(2, 4))}>{REST}{self.words(r.randint(1, 5))}</h{h}><p>{text(3)}</p>" + f"<p>{text(3)}</p>" * r.randint(0, 1),
+            f"<div><p>{text(4)}</p></div>", f"<div>{text(3)}</div>", f"<p>{text(2)}</p><a href='/x'>{REST}{self.words(2)}</a>",
+        ])
+        return f"<{(t := r.choice(['div', 'div', 'section', 'aside']))}{self.attrs(names, 1)}>{body}</{t}>"
+
+    def bare(self) -> str:
+        """A short page whose text lies in boxes without names, or in none."""
+        r = self.r
+        n = r.choice([1, 1, 2, 2, 3, 4, 6, 8])
+        runs = [MAIN + self.prose(1, 3) for _ in range(n)]
+        inner = r.choice([" ".join(runs), "<br>".join(runs), "<br><br>".join(runs), "".join(f"<div>{x}</div>" for x in runs), "".join(f"<div>{x}</div>" for x in runs), "".join(f"<p>{x}</p>" for x in runs)])
+        if r.random() < 0.25:
+            inner = f"<h{(h := r.randint(1, 2))}>{MAIN}{self.words(r.randint(1, 8))}</h{h}>{inner}"
+        for _ in range(r.choice([0, 1, 1, 1, 2, 3])):
+            inner = f"<div>{inner}</div>"
+        if r.random() < 0.2:
+            inner = self.menu() + inner
+        if r.random() < 0.2:
+            inner += r.choice([self.footer, self.advert, self.notice])()
+        return inner
+
     def form(self) -> str:
         body = f"<label>{REST}{self.words(2)}</label><input name=q><button>{REST}{self.word()}</button>"
         if self.r.random() < 0.5:
@@ -152,6 +185,9 @@ class Page:
         for make, chance in ((self.advert, 0.25), (self.share, 0.15), (self.side, 0.1), (self.form, 0.08), (self.notice, 0.08)):
             if r.random() < chance:
                 parts.insert(r.randint(0, len(parts)), make())
+        for names in (_AD, _NOTE, _SIDE, _FOOT):
+            if r.random() < 0.3:
+                parts.insert(r.randint(0, len(parts)), self.boxed(names))
         if r.random() < 0.15:
             parts.append(self.comments())
         body = "".join(parts)
@@ -173,6 +209,8 @@ class Page:
 
     def html(self) -> str:
         r = self.r
+        if r.random() < 0.12:
+            return r.choice([self.bare(), f"<body>{self.bare()}</body>", f"<!DOCTYPE html><html><head><title>{REST}{self.words(3)}</title></head><body>\n{self.bare()}\n</body></html>"])
         top = [self.header() if r.random() < 0.5 else "", self.menu() if r.random() < 0.7 else "", self.notice() if r.random() < 0.25 else "", self.advert() if r.random() < 0.4 else "", self.side() if r.random() < 0.15 else ""]
         r.shuffle(top)
         low = [self.side() if r.random() < 0.4 else "", self.comments() if r.random() < 0.4 else "", self.advert() if r.random() < 0.2 else "", self.form() if r.random() < 0.2 else "", self.notice() if r.random() < 0.15 else ""]
