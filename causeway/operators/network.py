@@ -387,3 +387,18 @@ def cheapest_neighbours(edges: DataFrame, k: int = 3) -> DataFrame:
 
 def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def map_nodes(nodes: DataFrame, homes: DataFrame, places: DataFrame, structures: DataFrame) -> DataFrame:
+    """The nodes of a map: ``node_id, x, y, kind`` with what lies there, null where nothing does.
+
+    ``homes``: ``node_id, population``, summed at a node. ``places``: ``node_id, facility_type, ord``
+    and ``structures``: ``node_id, structure_type, ord``; the last of a node counts, of equal
+    ``ord`` the larger name. What lies at no known node, or at null, is left out. Each is
+    aggregated before it meets the nodes, so a node with very many of them is one row in a join.
+    """
+    last = lambda df, c: df.where(F.col(c).isNotNull()).groupBy("node_id").agg(F.max_by(c, F.struct("ord", c)).alias(c))
+    out = nodes.select("node_id", "x", "y", "kind")
+    for what in (homes.groupBy("node_id").agg(F.sum("population").alias("population")), last(places, "facility_type"), last(structures, "structure_type")):
+        out = out.join(what, "node_id", "left")
+    return out

@@ -109,6 +109,37 @@ def build_network(spark, d):
     return rounded(edges.select("src", "dst", "length_m", "road_class", "travel_time_min"), "length_m", "travel_time_min")
 
 
+@query("""WITH homes AS (SELECT o_custkey AS node_id, CAST(count(*) AS DOUBLE) AS population FROM orders GROUP BY 1),
+    places AS (SELECT o_custkey AS node_id, arg_max(CASE o_orderpriority WHEN '1-URGENT' THEN 'health' ELSE 'school' END, o_orderkey) AS facility_type FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1),
+    structures AS (SELECT s_nationkey AS node_id, arg_max(CASE WHEN s_suppkey % 3 = 0 THEN 'major_bridge' ELSE 'culvert' END, s_suppkey) AS structure_type FROM supplier GROUP BY 1)
+SELECT c_custkey AS node_id, round(c_acctbal, 6) AS x, CAST(c_nationkey AS DOUBLE) AS y, c_mktsegment AS kind, coalesce(population, -1) AS population, coalesce(facility_type, '-') AS facility_type, coalesce(structure_type, '-') AS structure_type
+FROM customer LEFT JOIN homes ON homes.node_id = c_custkey LEFT JOIN places ON places.node_id = c_custkey LEFT JOIN structures ON structures.node_id = c_custkey""")
+def map_nodes(spark, d):
+    """Customers as the nodes of a map, with what lies at each."""
+    o, s = T.read(spark, d, "orders"), T.read(spark, d, "supplier")
+    nodes = T.read(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.col("c_mktsegment").alias("kind"))
+    homes = o.select(F.col("o_custkey").alias("node_id"), F.lit(1.0).alias("population"))
+    served = S.lookup(F.col("o_orderpriority"), {"1-URGENT": "health", "2-HIGH": "school"})
+    places = o.select(F.col("o_custkey").alias("node_id"), served.alias("facility_type"), F.col("o_orderkey").alias("ord"))
+    kinds = F.when(F.col("s_suppkey") % 3 == 0, "major_bridge").otherwise("culvert")
+    out = network.map_nodes(nodes, homes, places, s.select(F.col("s_nationkey").alias("node_id"), kinds.alias("structure_type"), F.col("s_suppkey").alias("ord")))
+    named = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    return rounded(out.select("node_id", "x", "y", "kind", F.coalesce("population", F.lit(-1.0)).alias("population"), named("facility_type"), named("structure_type")), "x")
+
+
+@query("""SELECT event_id, replace(props, ' ', '') AS props, '{"' || event_type || '":' || user_id || '}' AS seen,
+    'INTERVAL ' || chr(39) || event_id % 40 || ' 00:00:00' || chr(39) || ' DAY TO SECOND' AS lag, CASE WHEN event_id < 0 THEN '-' END AS nothing FROM events""")
+def mixed_columns_sink(spark, d):
+    """Columns that Parquet has no plain type for, written as text and read again."""
+    at = _folder(spark, "mixed")
+    e = T.read(spark, d, "events").select(
+        "event_id", F.parse_json("props").alias("props"), F.create_map("event_type", "user_id").alias("seen"),
+        F.make_dt_interval((F.col("event_id") % 40).cast("int")).alias("lag"), F.lit(None).alias("nothing"),
+    )
+    files.write_table(e, at)
+    return spark.read.parquet(at)
+
+
 @query("SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'absent', 0")
 def optional_tables(spark, d):
     there = files.load_if_present(spark, f"{d}/nation.parquet", "n_nationkey bigint")

@@ -396,3 +396,14 @@ def test_districts(spark):
     assert r["passes"] and r["n_components"] == 1 and len(d.structures) == 8
     assert make_district(seed=5).edges() == make_district(seed=5).edges()
     assert len(make_redundant_district(2, 3).structures) == 6
+
+
+def test_nodes_of_a_map(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0, "junction", 9), (2, 1.0, 0.0, "junction", 9), (3, None, None, None, 9), (None, 5.0, 5.0, "junction", 9)], "node_id int, x double, y double, kind string, population int")
+    homes = spark.createDataFrame([(1, 10.0), (1, 5.0), (2, None), (7, 3.0), (None, 4.0)], "node_id int, population double")
+    places = spark.createDataFrame([(1, "health", 1), (1, "school", 2), (2, "health", 1), (2, "school", 1), (3, None, 5), (3, "health", 4)], "node_id int, facility_type string, ord int")
+    structures = spark.createDataFrame([(2, "culvert", None), (2, "culvert", 1)], "node_id int, structure_type string, ord int")
+    got = {r["node_id"]: tuple(r)[1:] for r in network.map_nodes(nodes, homes, places, structures).collect()}
+    assert got == {1: (0.0, 0.0, "junction", 15.0, "school", None), 2: (1.0, 0.0, "junction", None, "school", "culvert"), 3: (None, None, None, None, "health", None), None: (5.0, 5.0, "junction", None, None, None)}
+    empty = network.map_nodes(nodes.where("false"), homes, places, structures)
+    assert empty.count() == 0 and empty.columns == ["node_id", "x", "y", "kind", "population", "facility_type", "structure_type"]
