@@ -86,8 +86,11 @@ def value_at_risk(value: str | Column, alpha: float = 0.05) -> Column:
     return F.percentile(value, 1 - alpha)
 
 
-#: Cuts of time and of score that make the cells of ``concordance``.
+#: Ranges of time and of score that make the cells of ``concordance``: this many at least, one for so
+#: many distinct rows, and no more than make a matrix of cells for the driver (512 x 512 sums).
 CUTS = 64
+CUT_ROWS = 500_000
+CUTS_MOST = 512
 
 
 def _beaten(t: np.ndarray, x: np.ndarray, wi: np.ndarray, wj: np.ndarray) -> float:
@@ -122,19 +125,20 @@ def concordance(df: DataFrame, time: str, score: str, event: str) -> DataFrame:
     """Harrell's C: of pairs where one has its event first, how often it has the higher score.
 
     Equal (time, score, event) rows are counted first. Quantiles cut time and score into
-    ``CUTS`` ranges; pairs of rows that differ in both ranges are counted from the cells' sums,
-    the others inside a range of time or of score, each sorted in its own task. So no pair of
-    rows is ever made.
+    ranges, more for more rows (``CUTS``, ``CUT_ROWS``, ``CUTS_MOST``); pairs of rows that differ in
+    both ranges are counted from the cells' sums, the others inside a range of time or of score,
+    each sorted in its own task. So no pair of rows is ever made.
     """
     own = df.where(F.col(time).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(time).cast("double").alias("t"), F.col(score).cast("double").alias("x"), F.coalesce(F.col(event).cast("int") != 0, F.lit(False)).alias("e")).agg(F.count("*").cast("double").alias("n"))
     own = own.groupBy("t", "x").agg(F.sum(F.when(F.col("e"), F.col("n")).otherwise(0.0)).alias("i"), F.sum("n").alias("j"))
     own = cut(own)
-    shares = [k / CUTS for k in range(1, CUTS)]
+    cuts = max(CUTS, min(CUTS_MOST, -(-own.count() // CUT_ROWS)))
+    shares = [k / cuts for k in range(1, cuts)]
     at = own.agg(F.percentile_approx("t", shares), F.percentile_approx("x", shares)).collect()[0]
     t_cuts, x_cuts = (sorted(set(v or [])) for v in at)
     own = own.withColumns({"tc": _cell("t", t_cuts), "xc": _cell("x", x_cuts)})
     cells = np.zeros((2, len(t_cuts) + 1, len(x_cuts) + 1))
-    for r in own.groupBy("tc", "xc").agg(F.sum("i"), F.sum("j")).collect():  # CUTS x CUTS rows at most
+    for r in own.groupBy("tc", "xc").agg(F.sum("i"), F.sum("j")).collect():  # cuts x cuts rows at most
         cells[:, r[0], r[1]] = r[2], r[3]
     later = np.vstack([np.cumsum(cells[1][::-1], axis=0)[::-1][1:], np.zeros((1, cells.shape[2]))])  # j in later ranges of time, by range of score
     lower = np.cumsum(later, axis=1) - later

@@ -93,6 +93,24 @@ def test_concordance_against_all_pairs(spark, monkeypatch, cuts):
     assert (none["c_index"], none["n_pairs"]) == (0.5, 0)
 
 
+def test_concordance_cuts_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "CUTS", 2)
+    monkeypatch.setattr(metrics, "CUT_ROWS", 10)
+    rng = np.random.default_rng(3)
+    t, x, e = rng.exponential(5, 400).round(1), rng.normal(0, 1, 400).round(1), rng.integers(0, 2, 400)
+    asked = []
+    approx = metrics.F.percentile_approx
+    monkeypatch.setattr(metrics.F, "percentile_approx", lambda c, shares: asked.append(len(shares)) or approx(c, shares))
+    for most, ranges in ((512, 30), (7, 7)):
+        monkeypatch.setattr(metrics, "CUTS_MOST", most)
+        asked.clear()
+        got = metrics.concordance(spark.createDataFrame(list(zip(t.tolist(), x.tolist(), e.tolist(), strict=True)), "t double, x double, e int"), "t", "x", "e").collect()[0]
+        later = (t[None, :] > t[:, None]) & (e[:, None] == 1)
+        won = ((x[:, None] > x[None, :]) + 0.5 * (x[:, None] == x[None, :]))[later]
+        assert got["n_pairs"] == later.sum() and got["c_index"] == pytest.approx(won.mean())
+        assert all(n >= ranges - 1 for n in asked) and max(asked) < most
+
+
 @pytest.mark.parametrize("n, d, cdf", [(10, 0.274, 0.62847961545658), (2000, 0.04, 0.99676943191713676985), (16000, 0.016, 0.99945234913828052085)])
 def test_kolmogorov_p_of_many_values(n, d, cdf):
     """Published values of the exact distribution."""
