@@ -285,6 +285,8 @@ def _rows(segments: DataFrame, cell: float) -> DataFrame:
 
 #: Pairs of segments that meet in a cell which isn't parted, and partings one within another at most.
 MOST_PAIRS, PARTINGS = 4_096, 8
+#: Water segments of a crowded cell that its roads are tested against first, about.
+FIRST_TESTS = 2
 
 
 def _in_cells(segments: DataFrame, cell: float, within: bool = False) -> DataFrame:
@@ -335,24 +337,40 @@ def crossings(roads: DataFrame, water: DataFrame, cell: float = 1000.0) -> DataF
     """The ``edge_id`` of roads that meet a water line or lie in a closed water ring.
 
     Both sides are ``points``: arrays of struct(x, y). Segments meet in grid cells and are
-    tested exactly; a cell where too many would meet is parted in sixteen, again and again,
-    so that dense places are spread and only near segments are tested. A road inside a ring
-    without touching it is found by ray casting from its first point.
+    tested exactly. Where too many would meet in a cell, its roads are tested against about
+    ``FIRST_TESTS`` of its water segments, and those that meet one are done; only where many
+    roads are left is the cell parted in sixteen, again and again. So a dense place's long
+    roads leave before they are parted, and only near segments are tested. A road inside a
+    ring without touching it is found by ray casting from its first point.
     """
-    a, b = (_in_cells(_pieces(df.select(key, "points"), key), cell) for df, key in ((roads, "edge_id"), (water, "water_id")))
-    met = _inside_rings(roads, water, cell)
+    a, b = (cut(_in_cells(_pieces(df.select(key, "points"), key), cell), spread=True) for df, key in ((roads, "edge_id"), (water, "water_id")))
+    met, at = _inside_rings(roads, water, cell), ["cx", "cy"]
+    count = lambda df, n: df.groupBy(*at).agg(F.count("*").alias(n))
+    crowded = (F.col("n") * F.col("m") > MOST_PAIRS) & (F.col("n") > 1) & (F.col("m") > 1)
+    chance = (F.xxhash64("water_id", "x1", "y1", "x2", "y2").cast("double") / 2.0**64 + 0.5) * F.col("m")
     for k in range(PARTINGS + 1):
-        count = lambda df, n: df.groupBy("cx", "cy").agg(F.count("*").alias(n))
-        dense = cut(count(a, "n").join(count(b, "m"), ["cx", "cy"]).where((F.col("n") * F.col("m") > MOST_PAIRS) & (F.col("n") > 1) & (F.col("m") > 1)).select("cx", "cy"))
-        last = k == PARTINGS or dense.isEmpty()
-        met = met.union(_tested(a if last else a.join(dense, ["cx", "cy"], "left_anti"), b))
-        if last:
+        held = cut(count(a, "n").join(count(b, "m"), at).withColumn("crowded", crowded))
+        some = cut(b.join(_few(held), at).where(~F.col("crowded") | (chance < FIRST_TESTS)).select(*b.columns))
+        done = cut(_tested(a, _few(some)).distinct())
+        met, held = met.union(done), held.where("crowded").select(*at, "m")
+        if held.isEmpty():
+            break
+        a = cut(a.join(_few(held.select(*at)), at, "left_semi").join(done, "edge_id", "left_anti").select(*a.columns), spread=True)
+        left = cut(count(a, "n").join(held, at).withColumn("crowded", crowded if k < PARTINGS else F.lit(False)))
+        b = cut(b.join(_few(left), at).select(*b.columns, "crowded"), spread=True)
+        met, dense = met.union(_tested(a, b.where("NOT crowded"))), left.where("crowded").select(*at)
+        if dense.isEmpty():
             break
         cell /= 4
-        a, b = (cut(_in_cells(df.join(dense, ["cx", "cy"]).select(*df.columns), cell, within=True), spread=True) for df in (a, b))
+        a, b = (cut(_in_cells(df, cell, within=True), spread=True) for df in (a.join(_few(dense), at).select(*a.columns), b.where("crowded").drop("crowded")))
     return met.distinct()
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A written relation, to go to the other side of a join where it is small."""
+    return F.broadcast(df) if df.limit(FEW_CELLS + 1).count() <= FEW_CELLS else df
+
+
 def _tested(a: DataFrame, b: DataFrame) -> DataFrame:
     """``edge_id`` of the segments of ``a`` that meet one of ``b`` in their cell."""
     ends = ("x1", "y1", "x2", "y2")

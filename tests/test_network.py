@@ -95,6 +95,23 @@ def test_crossings_in_dense_places(spark, monkeypatch):
     assert pairs * 5 < sum(tested)
 
 
+def test_crossed_roads_leave_before_cells_are_parted(spark, monkeypatch):
+    rng, written = np.random.default_rng(5), []
+    cut = network.cut
+    monkeypatch.setattr(network, "cut", lambda df, spread=False: (out := cut(df, spread), written.append(out.count()))[0])
+    line = lambda n: [[tuple(map(float, p)) for p in rng.normal(0, 100, (2, 2))] for _ in range(n)]
+    roads, water = line(1500), line(300)
+    kind = "points array<struct<x:double,y:double>>"
+    table = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} int, {kind}")
+    got = {r[0] for r in network.crossings(table(roads, "edge_id"), table(water, "water_id"), cell=100.0).collect()}
+    a, b = np.array(roads), np.array(water)
+    side = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
+    (p, q), (u, v) = (a[:, None, 0], a[:, None, 1]), (b[None, :, 0], b[None, :, 1])
+    meet = (side(u, v, p) * side(u, v, q) < 0) & (side(p, q, u) * side(p, q, v) < 0)
+    assert got == set(np.flatnonzero(meet.any(axis=1)).tolist())
+    assert sum(written) < 15 * (len(roads) + len(water))  # parted with all its roads, four times as many
+
+
 def test_crossings_against_brute_force(spark):
     rng = np.random.default_rng(6)
     line = lambda n, size: np.cumsum(rng.normal(0, size, (n, 2)), axis=0) + rng.uniform(-50, 50, 2)
