@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -71,85 +71,111 @@ def fit_lmoments(rows: DataFrame) -> DataFrame:
     return m.select("cell", "n", "c", (F.col("l1") - F.col("scale") * (1 - gamma(1 + F.col("c"))) / F.col("c")).alias("loc"), "scale")
 
 
-def negative_log_likelihood(theta: np.ndarray, x: np.ndarray) -> float:
-    c, loc, log_scale = theta
-    scale = math.exp(log_scale)
-    z = (x - loc) / scale
-    if abs(c) < 1e-9:
-        return float(len(x) * log_scale + (z + np.exp(-z)).sum())
-    t = 1 - c * z
-    if (t <= 0).any():
-        return math.inf
-    y = np.log(t)
-    return float(len(x) * log_scale + (np.exp(y / c) - (1 / c - 1) * y).sum())
+def negative_log_likelihood(theta: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of each row of ``theta`` (c, loc, log scale) and of ``x``, records of one length."""
+    c, loc, log_scale = theta.T
+    flat = np.abs(c) < 1e-9
+    with np.errstate(all="ignore"):
+        z = (x - loc[:, None]) / np.exp(log_scale)[:, None]
+        d = np.where(flat, 1.0, c)[:, None]
+        t = 1 - d * z
+        y = np.log(t)
+        out = x.shape[1] * log_scale + (np.exp(y / d) - (1 / d - 1) * y).sum(axis=1)
+        out[(t <= 0).any(axis=1)] = math.inf
+        if flat.any():
+            out[flat] = x.shape[1] * log_scale[flat] + (z[flat] + np.exp(-z[flat])).sum(axis=1)
+    return out
 
 
 def simplex_search(f, start: np.ndarray, steps: int = 2000, tol: float = 1e-10) -> np.ndarray:
-    """Nelder-Mead."""
-    n = len(start)
-    pts = [np.array(start, float)]
+    """Nelder-Mead for many starts together, a row each; ``f(points, rows)`` are their values."""
+    k, n = start.shape
+    pts = np.repeat(start.astype(float)[:, None], n + 1, axis=1)
     for i in range(n):
-        p = np.array(start, float)
-        p[i] += 0.05 * abs(p[i]) if p[i] else 0.05
-        pts.append(p)
-    val = [f(p) for p in pts]
+        pts[:, i + 1, i] += np.where(start[:, i] != 0, 0.05 * np.abs(start[:, i]), 0.05)
+    rows, out = np.arange(k), np.empty((k, n))
+    val = np.stack([f(pts[:, i], rows) for i in range(n + 1)], axis=1)
     for _ in range(steps):
-        order = np.argsort(val, kind="stable")
-        pts, val = [pts[i] for i in order], [val[i] for i in order]
-        if abs(val[-1] - val[0]) <= tol and max(np.abs(p - pts[0]).max() for p in pts) <= 1e-8:
-            break
-        mid = np.mean(pts[:-1], axis=0)
-        r = mid + (mid - pts[-1])
-        fr = f(r)
-        if fr < val[0]:
-            e = mid + 2 * (mid - pts[-1])
-            fe = f(e)
-            pts[-1], val[-1] = (e, fe) if fe < fr else (r, fr)
-        elif fr < val[-2]:
-            pts[-1], val[-1] = r, fr
-        else:
-            k = mid + 0.5 * ((r if fr < val[-1] else pts[-1]) - mid)
-            fk = f(k)
-            if fk < min(fr, val[-1]):
-                pts[-1], val[-1] = k, fk
-            else:
-                pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
-                val = [val[0]] + [f(p) for p in pts[1:]]
-    return pts[int(np.argmin(val))]
+        order = np.argsort(val, axis=1, kind="stable")
+        pts, val = np.take_along_axis(pts, order[:, :, None], 1), np.take_along_axis(val, order, 1)
+        with np.errstate(invalid="ignore"):
+            found = (np.abs(val[:, -1] - val[:, 0]) <= tol) & (np.abs(pts - pts[:, :1]).max(axis=(1, 2)) <= 1e-8)
+        if found.any():
+            out[rows[found]] = pts[found, 0]
+            rows, pts, val = rows[~found], pts[~found], val[~found]
+            if not len(rows):
+                return out
+        mid, worst = pts[:, :-1].mean(axis=1), pts[:, -1]
+        r = mid + (mid - worst)
+        fr = f(r, rows)
+        far = fr < val[:, 0]
+        near = ~far & ~(fr < val[:, -2])
+        more = far | near
+        inner = mid + 0.5 * (np.where((fr < val[:, -1])[:, None], r, worst) - mid)
+        p = np.where(far[:, None], mid + 2 * (mid - worst), inner)
+        fp = np.full(len(rows), math.inf)
+        fp[more] = f(p[more], rows[more])
+        shrunk = near & ~(fp < np.minimum(fr, val[:, -1]))
+        better = (far & (fp < fr)) | (near & ~shrunk)
+        pts[:, -1] = np.where(better[:, None], p, np.where(shrunk[:, None], worst, r))
+        val[:, -1] = np.where(better, fp, np.where(shrunk, val[:, -1], fr))
+        if shrunk.any():
+            s = np.flatnonzero(shrunk)
+            pts[s, 1:] = pts[s, :1] + 0.5 * (pts[s, 1:] - pts[s, :1])
+            for i in range(1, n + 1):
+                val[s, i] = f(pts[s, i], rows[s])
+    out[rows] = pts[np.arange(len(rows)), val.argmin(axis=1)]
+    return out
+
+
+def fit_records(x: np.ndarray) -> np.ndarray:
+    """Maximum likelihood (c, loc, scale) of each row of ``x``, finite records of one length: the best of three moment starts."""
+    if x.shape[1] < LEAST_YEARS:
+        raise ValueError(f"a fit needs {LEAST_YEARS} finite values, not {x.shape[1]}")
+    scale = np.maximum(x.std(axis=1) * math.sqrt(6) / math.pi, 1e-9)
+    starts = np.concatenate([np.column_stack([np.full(len(x), c), x.mean(axis=1) - 0.5772 * scale, np.log(scale)]) for c in (0.1, -0.1, 0.0)])
+    theta = simplex_search(lambda t, rows: negative_log_likelihood(t, x[rows % len(x)]), starts)
+    value = negative_log_likelihood(theta, np.tile(x, (3, 1))).reshape(3, -1)
+    best = theta.reshape(3, -1, 3)[value.argmin(axis=0), np.arange(len(x))]
+    return np.column_stack([best[:, :2], np.exp(best[:, 2])])
 
 
 def fit_one(x: np.ndarray) -> tuple[float, float, float]:
-    """Maximum likelihood (c, loc, scale) from a moment start."""
+    """``fit_records`` of one record's finite values."""
     x = np.asarray(x, float)
-    x = x[np.isfinite(x)]
-    if len(x) < LEAST_YEARS:
-        raise ValueError(f"a fit needs {LEAST_YEARS} finite values, not {len(x)}")
-    scale = max(float(x.std()) * math.sqrt(6) / math.pi, 1e-9)
-    best = None
-    for c in (0.1, -0.1, 0.0):
-        theta = simplex_search(lambda t: negative_log_likelihood(t, x), np.array([c, x.mean() - 0.5772 * scale, math.log(scale)]))
-        v = negative_log_likelihood(theta, x)
-        if best is None or v < best[0]:
-            best = (v, theta)
-    c, loc, log_scale = best[1]
-    return float(c), float(loc), math.exp(log_scale)
+    c, loc, scale = fit_records(x[np.isfinite(x)][None])[0]
+    return float(c), float(loc), float(scale)
+
+
+#: Values that are fitted together, about.
+VALUES_TOGETHER = 1 << 17
 
 
 def fit_gev(rows: DataFrame, min_years: int = 30) -> DataFrame:
     """``cell, c, loc, scale, n_years, pooled_cells`` by maximum likelihood; too short a record is an error.
 
     ``pooled_cells`` names a cell with fewer than ``min_years`` values of its own, and those it
-    borrowed from. A cell's record is a value a year, so one task holds a cell.
+    borrowed from. A cell's record is a value a year, so a row holds it; a task fits its
+    records of one length together, a step of all their searches at a time.
     """
     kind = rows.schema["cell"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = pdf["cell"].iloc[0]
-        c, loc, scale = fit_one(pdf["value"].to_numpy())
-        others = sorted(set(pdf["origin"]) - {cell}, key=str)
-        return pd.DataFrame([(cell, c, loc, scale, len(pdf), [str(cell), *map(str, others)] if (pdf["origin"] == cell).sum() < min_years else [])], columns=["cell", "c", "loc", "scale", "n_years", "pooled_cells"])
-
-    return rows.groupBy("cell").applyInPandas(run, f"cell {kind}, c double, loc double, scale double, n_years int, pooled_cells array<string>")
+    names = F.concat(F.array(F.col("cell").cast("string")), F.array_sort(F.transform(F.array_remove(F.collect_set("origin"), F.col("cell")), lambda o: o.cast("string"))))
+    records = rows.groupBy("cell").agg(
+        F.array_sort(F.collect_list(F.col("value").cast("double"))).alias("x"), F.count("*").cast("int").alias("n_years"),
+        F.when(F.count_if(F.col("origin") == F.col("cell")) < min_years, names).otherwise(F.array().cast("array<string>")).alias("pooled_cells"),
+    ).withColumn("x", F.filter("x", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            size = pdf["x"].map(len).to_numpy()
+            for n in np.unique(size):
+                same = pdf[size == n]
+                for i in range(0, len(same), step := max(1, VALUES_TOGETHER // max(1, n))):
+                    own = same.iloc[i : i + step]
+                    fits = fit_records(np.stack(own["x"].to_list()).astype(float))
+                    yield pd.DataFrame({"cell": own["cell"], "c": fits[:, 0], "loc": fits[:, 1], "scale": fits[:, 2], "n_years": own["n_years"], "pooled_cells": own["pooled_cells"]})
+
+    return records.mapInPandas(run, f"cell {kind}, c double, loc double, scale double, n_years int, pooled_cells array<string>")
 
 
 def return_levels(fits: DataFrame, periods: Sequence[float] = PERIODS) -> DataFrame:

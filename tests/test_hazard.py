@@ -50,6 +50,19 @@ def test_short_records_borrow(spark):
     assert got["c0"]["n_years"] == 128 and got["c0"]["pooled_cells"] == ["c0", "c1", "c2"] and got["c1"]["n_years"] == 60 and got["c1"]["pooled_cells"] == []
 
 
+def test_records_of_a_task_are_searched_together(spark, monkeypatch):
+    x = np.stack([draws(40, c, 50.0, 9.0, seed) for seed, c in enumerate(np.linspace(-0.2, 0.2, 30))])
+    calls, own = [], hazard.negative_log_likelihood
+    monkeypatch.setattr(hazard, "negative_log_likelihood", lambda t, v: calls.append(len(np.atleast_2d(t))) or own(t, v))
+    alone = [hazard.fit_one(r) for r in x]
+    searched, calls[:] = len(calls), []
+    together = hazard.fit_records(x)
+    assert len(calls) * 10 < searched and max(calls) == 90
+    assert np.allclose(together, alone, rtol=1e-6, atol=1e-6)
+    got = {r["cell"]: (r["c"], r["loc"], r["scale"]) for r in hazard.fit_gev(hazard.pooled(series(spark, {f"c{i}": r for i, r in enumerate(x)}))).collect()}
+    assert np.allclose([got[f"c{i}"] for i in range(30)], together, rtol=1e-6, atol=1e-6)
+
+
 def test_resampled_years_keep_cells_together(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=200)
