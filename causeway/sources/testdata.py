@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
 from causeway.operators import network
+from causeway.operators.lineage import cut
 from causeway.operators.metrics import portable_uniform
 from causeway.operators.panel import SHEET
 from causeway.sources.files import filesystem
@@ -71,8 +72,11 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse road graph of nations: the fastest road of a pair, the three fastest at each nation."""
-    return network.cheapest_neighbours(network.fastest_edges(ways(spark, sf_dir).where("u <> v")))
+    """A sparse road graph of nations: the fastest road of a pair, the three fastest at each nation.
+
+    The roads of the pairs are written, a few hundred: whoever reads them again doesn't join the line items again.
+    """
+    return network.cheapest_neighbours(cut(network.fastest_edges(ways(spark, sf_dir).where("u <> v"))))
 
 
 def homes(spark: SparkSession, sf_dir: str) -> DataFrame:

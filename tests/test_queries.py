@@ -42,3 +42,9 @@ def test_runs(spark, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 16
+
+
+def test_roads_of_nations_are_joined_once(spark, sf_dir):
+    from causeway.sources import testdata
+
+    assert testdata.edges(spark, sf_dir).inputFiles() == []  # written: reading it again reads no table
