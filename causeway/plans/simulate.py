@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import arrays as A
@@ -28,6 +28,8 @@ from causeway.sources.synthetic import Scenarios, ScenarioTable
 
 #: Up to so many assets the losses of all their sets are worked out beforehand.
 ALL_SETS = 12
+#: Up to so many pairs of a policy and a condition vector are planned for once each.
+FEW_CONDITIONS = 20_000
 OPTIMISERS = ("additive_milp", "network_aware")
 
 
@@ -61,10 +63,6 @@ class Models:
         return Planner(self.types, self.outage, self.nodes, self.graph, self.opt_rain, self.opt_seed, self.budget, self.crew, self.fragility)
 
 
-def _by_asset(n: int, f) -> Column:
-    return F.transform(F.lit(np.arange(n)).cast("array<int>") if n else F.array().cast("array<int>"), f)
-
-
 def solved_plans(state: DataFrame, models: Models) -> DataFrame:
     """``policy, condition, plan`` for the distinct condition vectors of the optimising policies."""
     asked = state.where(F.col("policy").isin(*OPTIMISERS)).select("policy", "condition").distinct()
@@ -100,31 +98,42 @@ def simulate(spark: SparkSession, names: list[str], models: Models, scenarios: S
     outage = A.doubles(models.outage)
     table = cut(models.graph.set_losses(subsets(spark, n), models.nodes)) if n <= ALL_SETS else None
     b0, b1, b2 = models.fragility
-    for y in range(years):
+    def acted(df: DataFrame, solved: DataFrame | None) -> DataFrame:
+        """``df`` with ``plan``, ``spent`` and ``repaired``, which the policy and the condition decide."""
         plan = F.lit(None).cast("array<int>")
         for p in names:
             if p in known_policies:
                 plan = F.when(F.col("policy") == p, known_policies[p](models.assets, F.col("condition"))).otherwise(plan)
-        state = state.withColumn("plan", plan)
-        if any(p in OPTIMISERS for p in names):
-            solved = cut(solved_plans(state, models)).withColumnRenamed("plan", "solved")
-            state = state.join(solved, ["policy", "condition"], "left").withColumn("plan", F.coalesce("solved", "plan")).drop("solved")
-        at = lambda c, i, y=y: F.get(F.get(F.col(c), F.lit(y)), i)
-        repaired = _by_asset(n, lambda i: S.apply_reset(F.get("condition", i), F.get(reset, F.get("plan", i))))
-        state = state.withColumns({
-            "planned": F.col("planned") + A.total(_by_asset(n, lambda i: cost.at(i, F.get("plan", i)))),
-            "condition": repaired, "first_plan": F.coalesce("first_plan", "plan"),
+        df = df.withColumn("plan", plan)
+        if solved is not None:
+            df = df.join(solved, ["policy", "condition"], "left").withColumn("plan", F.coalesce("solved", "plan")).drop("solved")
+        return df.withColumns({
+            "spent": A.total(F.transform("plan", lambda o, i: cost.at(i, o))),
+            "repaired": F.zip_with("condition", "plan", lambda c, o: S.apply_reset(c, F.get(reset, o))),
         })
-        worn = _by_asset(n, lambda i: A.next_state(F.get(cdf, F.get("condition", i)), at("det_u", i)))
-        state = state.withColumn("condition", worn)
-        state = state.withColumn("fails", _by_asset(n, lambda i: at("fail_u", i) < S.sigmoid(b0 + b1 * F.get("condition", i) + b2 * F.ln(at("rain", i)))))
+
+    for y in range(years):
+        solved = cut(solved_plans(state, models)).withColumnRenamed("plan", "solved") if any(p in OPTIMISERS for p in names) else None
+        asked = cut(state.select("policy", "condition").distinct()) if table is not None else None
+        if asked is not None and asked.count() <= FEW_CONDITIONS:
+            state = state.join(F.broadcast(cut(acted(asked, solved))), ["policy", "condition"])
+        else:
+            state = acted(state, solved)
+        # an array goes into a lambda as its argument: read inside by place, it would be worked out for each place
+        at = lambda c, y=y: F.get(F.col(c), F.lit(y))
+        state = state.withColumns({
+            "planned": F.col("planned") + F.col("spent"), "first_plan": F.coalesce("first_plan", "plan"),
+            "condition": F.zip_with("repaired", at("det_u"), lambda c, u: A.next_state(F.get(cdf, c), u)),
+        }).drop("spent", "repaired")
+        chance = F.zip_with("condition", at("rain"), lambda c, r: S.sigmoid(b0 + b1 * c + b2 * F.ln(r)))
+        state = state.withColumn("fails", F.zip_with(at("fail_u"), chance, lambda u, p: u < p))
         count = F.size(F.filter("fails", lambda f: f))
         sum_if = lambda values: A.total(F.zip_with(values, F.col("fails"), lambda v, f: F.when(f, v).otherwise(0.0)))
         state = state.withColumn("failed", F.filter(F.transform("fails", lambda f, i: F.when(f, i)), lambda i: i.isNotNull()))
         if table is None:
             state = cut(state)
         known = table if table is not None else cut(models.graph.set_losses(state.select("failed").distinct(), models.nodes))
-        state = state.join(known, "failed", "left")
+        state = state.join(F.broadcast(known) if table is not None else known, "failed", "left")
         state = cut(state.withColumns({
             "person_days": F.col("person_days") + F.when(count > 0, sum_if(outage) / count * F.col("loss")).otherwise(0.0),
             "emergency": F.col("emergency") + sum_if(major) * models.premium,

@@ -198,6 +198,18 @@ def test_simulator(spark):
         make_scenarios(2, 3, 4, 0, np.ones((1, 1, 1)))
 
 
+def test_policies_plan_once_a_condition(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def mine(condition):
+        asked.add(1)
+        return [0] * len(condition)
+
+    out = simulate(spark, ["mine"], bridge(), make_scenarios(1, 2, 400, 0), own={"mine": lambda assets, condition: mine(condition)})
+    assert out.count() == 400 and 0 < asked.value < 100  # four conditions a year, not 400 scenarios
+
+
 def test_simulator_against_plain_python(spark):
     """A year-by-year replay of one policy in Python."""
     d = X.make_district(n_junctions=12, n_habitations=6, n_structures=5, seed=2)
