@@ -68,11 +68,12 @@ class Tree:
 
     def node(self, x: np.ndarray, levels: int) -> np.ndarray:
         """The node of each row of ranges after ``levels`` levels, from 0 in its level."""
-        at = np.zeros(len(x), int)
+        at = np.zeros(len(x), np.int32)
         for level in range(levels):
-            own = at + 2**level - 1
-            f = self.feature[own]
-            right = (f >= 0) & (x[np.arange(len(x)), np.maximum(f, 0)] > self.at[own])
+            right = np.zeros(len(x), bool)
+            for j, own in enumerate(range(2**level - 1, 2 ** (level + 1) - 1)):  # a column a node: no row is picked by place
+                if self.feature[own] >= 0:
+                    right |= (at == j) & (x[:, self.feature[own]] > self.at[own])
             at = 2 * at + right
         return at
 
@@ -206,7 +207,7 @@ def _pack(width: int, base: np.ndarray):
 def _unpack(batch: pa.RecordBatch, width: int, classes: int) -> Iterator[tuple[np.ndarray, ...]]:
     for i in range(batch.num_rows):
         y, w, x, s = (batch.column(c)[i].values.to_numpy() for c in "ywxs")
-        yield y, w, x.reshape(-1, width).astype(np.int64), s.reshape(-1, classes)
+        yield y, w, np.asfortranarray(x.reshape(-1, width)), s.reshape(-1, classes)  # a feature lies together
 
 
 def _add(x: np.ndarray, scores: np.ndarray, rounds: list[list[Tree]], rate: float, depth: int) -> np.ndarray:
@@ -229,7 +230,7 @@ def _histogram(blocks: DataFrame, tasks: int, rounds: list[list[Tree]], trees: l
             p = _softmax(_add(x, scores, rounds, rate, depth))
             for c, tree in enumerate(trees):
                 slope = p[:, c] * (1 - p[:, c])  # of either residual, of the class and of the others
-                node = tree.node(x, level) * width
+                node = tree.node(x, level).astype(np.intp) * width
                 for f in varied:
                     for j, v in enumerate((w * ((y == c) - p[:, c]), w * slope, w)):
                         sums[c, j, :, f] += np.bincount(node + x[:, f], v, n).reshape(nodes, width)

@@ -272,3 +272,25 @@ def test_conformal(spark):
     assert np.isclose(out[1]["hi"], q) and out[0]["hi"] != out[1]["hi"]
     with pytest.raises(ValueError):
         metrics.conformal_quantiles(df, [], alpha=1.0)
+
+
+def test_trees_read_whole_columns():
+    from causeway.operators.boosting import Tree
+
+    class Columns(np.ndarray):
+        def __getitem__(self, key):
+            assert not isinstance(key, tuple) or isinstance(key[0], slice), "rows picked by place"
+            return super().__getitem__(key)
+
+    rng, tree = np.random.default_rng(3), Tree(3)
+    x = rng.integers(0, 9, (200, 4)).astype(np.int16)
+    tree.feature[:], tree.at[:] = [2, 0, -1, 3, 1, 0, 2], rng.integers(1, 8, 7)
+
+    def walk(row):
+        at = 0
+        for _ in range(3):
+            at = 2 * at + 1 + int(tree.feature[at] >= 0 and row[tree.feature[at]] > tree.at[at])
+        return at - 7
+
+    want = [walk(r) for r in x.tolist()]
+    assert np.asarray(tree.node(np.asfortranarray(x).view(Columns), 3)).tolist() == want
